@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewell.llm import pii
+from tracewell.llm import langid, pii, toxicity
+from tracewell.llm import text as tx
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +17,19 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return out.select("doc_id", (tx.fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "n_sentences", "offending")
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.predict(docs, langid.fit(docs))
+    return out.select("doc_id", (tx.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES = {"op1_pii": op1_pii, "op4_toxicity": op4_toxicity, "op5_language": op5_language}
 
 ORACLE_SQL: dict[str, str] = {}

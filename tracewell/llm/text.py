@@ -6,11 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: ASCII white space: tab, line feed, vertical tab, form feed, carriage return, blank.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
+#: Bytes that belong to no word when words are letters only: ASCII that isn't a letter.
+NOT_LETTER = np.ones(256, dtype=bool)
+NOT_LETTER[128:] = NOT_LETTER[65:91] = NOT_LETTER[97:123] = False
+
 _BASE = 0x9E3779B97F4A7C15
 _U64 = np.uint64
 _powers: dict[int, np.ndarray] = {}
@@ -53,13 +59,13 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return np.where((buf >= 65) & (buf <= 90), buf | 32, buf)
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and document index of the maximal runs without ASCII white space; none crosses a document."""
+def words(buf: np.ndarray, off: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and document index of the maximal runs without gap bytes (ASCII white space); none crosses a document."""
     n = len(buf)
     if not n:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none
-    gap = SPACE[buf]
+    gap = gaps[buf]
     first = np.zeros(n + 1, dtype=bool)
     first[off] = True
     before = np.empty(n, dtype=bool)
@@ -101,11 +107,16 @@ def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _BAS
     return mix(raw ^ ((end - start).astype(_U64) * _U64(0xD6E8FEB86659FD93)))
 
 
-def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    start, end, doc = words(buf, off)
+def word_hashes(buf: np.ndarray, off: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    start, end, doc = words(buf, off, gaps)
     return start, end, doc, spans(prefix(buf), start, end)
 
 
-def python_crc_fold(column: str, modulus: int) -> str:
-    """SQL for crc32 of a number as text, modulo ``modulus``."""
-    return f"pmod(crc32(cast({column} as string)), {modulus})"
+def fold(column: str, modulus: int) -> Column:
+    """crc32 of a number as text, modulo ``modulus``; null for null."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def sums(values: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``values`` by ``index`` as doubles, for indexes 0 to n-1."""
+    return np.bincount(index, weights=values, minlength=n)
