@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import langid, pii, toxicity
+from tracewell.llm import langid, mixing, packing, pii, toxicity
 from tracewell.llm import text as tx
 
 
@@ -17,6 +17,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -30,6 +34,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (tx.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {"op1_pii": op1_pii, "op4_toxicity": op4_toxicity, "op5_language": op5_language}
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op3_packing": op3_packing, "op7_mixing": op7_mixing, "op4_toxicity": op4_toxicity, "op5_language": op5_language}
 
 ORACLE_SQL: dict[str, str] = {}
