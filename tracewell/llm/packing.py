@@ -135,8 +135,17 @@ def best_fit(count: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     return [(p, n) for group in open_.values() for p, n in group.items()]
 
 
-def solve(count: dict[int, int], capacity: int = CAPACITY, rate: float = 12.0, step: float = 0.1, rounds: int = 400, tolerance: float = 0.002) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a sequence, number of such sequences) for a histogram of lengths.
+#: (rate at which prices fall, tolerance) of the runs of the solver; the run that needs the fewest sequences counts.
+SETTINGS = ((0.002, 0.002), (0.002, 0.01), (0.01, 0.002), (0.01, 0.01))
+
+
+def solve(count: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths in a sequence, number of such sequences) for a histogram of lengths."""
+    return min((solve_once(count, capacity, *x) for x in SETTINGS), key=lambda found: sum(n for _, n in found))
+
+
+def solve_once(count: dict[int, int], capacity: int, rate: float, tolerance: float, step: float = 0.2, rounds: int = 1500) -> list[tuple[tuple[int, ...], int]]:
+    """One run of multiplicative weights, rounding and best fit.
 
     The price of a length starts at its share of the capacity and falls exponentially as its pieces get covered.
     Each round a knapsack over the prices gives, for every length, the best pattern that has it; those within
@@ -155,7 +164,7 @@ def solve(count: dict[int, int], capacity: int = CAPACITY, rate: float = 12.0, s
         if not open_.any():
             break
         share = covered / need
-        price = np.where(open_, lengths / capacity * np.exp(-rate * 0.01 * (share - share.min())), 0.0)
+        price = np.where(open_, lengths / capacity * np.exp(-rate * (share - share.min())), 0.0)
         own, worth = lengths[open_], price[open_]
         best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
         for c in range(1, capacity + 1):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import langid, mixing, packing, pii, toxicity
+from tracewell.llm import hnsw, langid, mih, mixing, packing, pii, toxicity
 from tracewell.llm import text as tx
 
 
@@ -17,6 +17,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return mih.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op3_packing": op3_packing, "op7_mixing": op7_mixing, "op4_toxicity": op4_toxicity, "op5_language": op5_language}
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_mih": op2_mih, "op3_packing": op3_packing, "op7_mixing": op7_mixing, "op9_embedding_dedup": op9_embedding_dedup, "op4_toxicity": op4_toxicity, "op5_language": op5_language}
 
 ORACLE_SQL: dict[str, str] = {}
