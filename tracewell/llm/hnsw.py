@@ -132,7 +132,8 @@ def linked(x: np.ndarray, q: np.ndarray, threshold: float, audit: int = AUDIT, r
     """(queries x rows) of booleans: the links found, none of them below ``threshold`` in doubles. Rows have length 1.
 
     A query whose whole beam lies above the threshold is asked again with a wider beam. An audit compares some
-    queries with all rows and widens every beam until it passes; a beam of a quarter of the rows gives way to all rows.
+    queries with all rows and widens every beam until it passes. A beam that would see as many rows as there are, and
+    any of a quarter of the rows, gives way to a comparison with all of them.
     """
     out = np.zeros((len(q), len(x)), dtype=bool)
     if not len(x) or not len(q):
@@ -150,7 +151,7 @@ def linked(x: np.ndarray, q: np.ndarray, threshold: float, audit: int = AUDIT, r
             again = []
             for low in range(0, len(open_), BATCH):
                 part = open_[low : low + BATCH]
-                if graph is None or 4 * now >= len(x):
+                if graph is None or 4 * now >= len(x) or (now > beam and 2 * DEGREE * now >= len(x)):
                     out[part] = wide[part] @ narrow.T >= edge
                     continue
                 rows, sims = graph.query(wide[part], now)
