@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import hnsw, langid, mih, mixing, packing, pii, toxicity
+from tracewell.llm import hnsw, langid, lm, mih, mixing, packing, pii, toxicity
 from tracewell.llm import text as tx
 
 
@@ -47,6 +47,10 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_mih": op2_mih, "op3_packing": op3_packing, "op7_mixing": op7_mixing, "op9_embedding_dedup": op9_embedding_dedup, "op4_toxicity": op4_toxicity, "op5_language": op5_language}
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_mih": op2_mih, "op3_packing": op3_packing, "op7_mixing": op7_mixing, "op9_embedding_dedup": op9_embedding_dedup, "op10_lm": op10_lm, "op4_toxicity": op4_toxicity, "op5_language": op5_language}
 
 ORACLE_SQL: dict[str, str] = {}
