@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import hnsw, langid, lm, mih, mixing, packing, pii, toxicity
+from tracewell.llm import hnsw, jaccard, langid, lm, mih, mixing, packing, pii, toxicity
 from tracewell.llm import text as tx
 
 
@@ -43,6 +43,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -51,6 +55,6 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_mih": op2_mih, "op3_packing": op3_packing, "op7_mixing": op7_mixing, "op9_embedding_dedup": op9_embedding_dedup, "op10_lm": op10_lm, "op4_toxicity": op4_toxicity, "op5_language": op5_language}
+QUERIES = {"op1_pii": op1_pii, "op2_mih": op2_mih, "op3_packing": op3_packing, "op7_mixing": op7_mixing, "op8_jaccard_join": op8_jaccard_join, "op9_embedding_dedup": op9_embedding_dedup, "op10_lm": op10_lm, "op4_toxicity": op4_toxicity, "op5_language": op5_language}
 
 ORACLE_SQL: dict[str, str] = {}
