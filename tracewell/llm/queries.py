@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import hnsw, jaccard, langid, lm, mih, mixing, packing, pii, toxicity
+from tracewell.llm import hnsw, jaccard, langid, lm, mih, mixing, packing, pii, suffix_dedup, toxicity
 from tracewell.llm import text as tx
 
 
@@ -39,6 +39,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (tx.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
@@ -55,6 +59,6 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_mih": op2_mih, "op3_packing": op3_packing, "op7_mixing": op7_mixing, "op8_jaccard_join": op8_jaccard_join, "op9_embedding_dedup": op9_embedding_dedup, "op10_lm": op10_lm, "op4_toxicity": op4_toxicity, "op5_language": op5_language}
+QUERIES = {"op1_pii": op1_pii, "op2_mih": op2_mih, "op3_packing": op3_packing, "op6_suffix_dedup": op6_suffix_dedup, "op7_mixing": op7_mixing, "op8_jaccard_join": op8_jaccard_join, "op9_embedding_dedup": op9_embedding_dedup, "op10_lm": op10_lm, "op4_toxicity": op4_toxicity, "op5_language": op5_language}
 
 ORACLE_SQL: dict[str, str] = {}
