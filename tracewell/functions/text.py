@@ -1,0 +1,192 @@
+"""Prompt cleaning, previews, formats: built-in functions only."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: How messages begin that no person wrote.
+SYSTEM_PREFIXES = (
+    "[Request interrupted by user",
+    "<command-name>",
+    "<command-message>",
+    "<local-command-caveat>",
+    "<local-command-stdout>",
+    "<task-notification>",
+    "<bash-input>",
+    "<bash-stdout>",
+)
+#: Lines of a pasted terminal session, matched on the trimmed line.
+TERMINAL_LINES = (
+    r"^(?i)last login:",
+    r"^[➜❯]\s+",
+    r"^(?i)github(?:\.com|\.rbx\.com)?$",
+    r"^[✓✔]",
+    r"^(?i)-\s+(?:active account|git operations protocol|token|token scopes):",
+    r"^(?i)(?:credential|init|user|filter|alias|core|remote|branch)\.[^=]+=",
+    r"^(?i)branch\.[^.]+\.",
+)
+SUMMARY = r"^(?i)(?:\[previous conversation summary\]:|summary:\s*1\.\s*primary request and intent:|and merge infrastructure was built for human-paced output)"
+TERMINAL_NOISE = r"(?i)last login:|gh auth status|github\.com|credential\.helper=|branch\."
+
+
+def is_system_generated(text: Column) -> Column:
+    """Messages that the tool wrote in the user's name."""
+    out = F.lit(False)
+    for p in SYSTEM_PREFIXES:
+        out = out | text.startswith(p)
+    return out
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def clean_prompt(text: Column) -> Column:
+    """What a person asked, without pasted noise and tags, on one line; empty if nothing is left."""
+    whole = strip(F.coalesce(text, F.lit("")))
+    lines = F.split(whole, "\n")
+    speaker = F.element_at(lines, 1).rlike(r"^(?i)\S.*\[\d{1,2}:\d{2}\s?[ap]m\]$")
+    lines = F.when(speaker, F.slice(lines, 2, 1_000_000)).otherwise(lines)
+    greeting = speaker & strip(F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))).rlike(r"^(?i)(?:hello|hi)\b")
+    lines = F.when(greeting, F.slice(lines, 2, 1_000_000)).otherwise(lines)
+
+    def wanted(line: Column) -> Column:
+        bare, drop = strip(line), F.lit(False)
+        for p in TERMINAL_LINES:
+            drop = drop | bare.rlike(p)
+        return ~drop
+
+    out = strip(F.array_join(F.filter(F.split(strip(F.array_join(lines, "\n")), "\n"), wanted), "\n"))
+    attached = out.rlike(r"(?i)<attached_files>|<code_selection\b")
+    out = F.regexp_replace(out, r"(?i)</?[a-z][^>]*>", "")
+    out = F.regexp_replace(out, r"(?m)^\s*\d+\|\s*", "")
+    out = F.regexp_replace(out, r"Caveat:\s*The messages below were generated by the user while running local commands\.[^.]*", "")
+    out = F.regexp_replace(out, r"DO NOT respond to these messages[^.]*", "")
+    out = F.regexp_replace(out, r"^/\w+\s*", "")
+    out = strip(F.regexp_replace(out, r"\s+", " "))
+    short = whole.rlike(TERMINAL_NOISE) & out.rlike(r"^(?i)[a-z0-9._:-]{1,12}$")
+    return F.when(whole.rlike(SUMMARY) | attached | out.rlike(SUMMARY) | short, "").otherwise(out)
+
+
+def normal_title(text: Column) -> Column:
+    """Whitespace collapsed, empty as null."""
+    return F.nullif(strip(F.regexp_replace(text, r"\s+", " ")), F.lit(""))
+
+
+def classify_injection(content: Column) -> Column:
+    """What an injected message is about."""
+    skill = F.element_at(F.split(strip(F.regexp_replace(F.substring_index(content, "\n", 1), "^Base directory for this skill: ?", "")), "/"), -1)
+    ran = F.regexp_extract(content, r"^The user just ran /([^\s/]*)", 1)
+    usage = F.regexp_extract(content, r"^Usage: /(\S*)", 1)
+    unknown = F.lit("unknown")
+    return (
+        F.when(content.startswith("Base directory for this skill:"), F.concat(F.lit("skill:"), F.coalesce(F.nullif(skill, F.lit("")), unknown)))
+        .when(content.startswith("The user just ran /"), F.concat(F.lit("command:/"), F.coalesce(F.nullif(ran, F.lit("")), unknown)))
+        .when(content.startswith("Usage: /"), F.concat(F.lit("command:/"), F.coalesce(F.nullif(usage, F.lit("")), unknown)))
+        .when(content.startswith("[Image:"), "image")
+        .when(content.startswith("<local-command-caveat>"), "local-command")
+        .otherwise("system")
+    )
+
+
+def mcp_server(tool: Column) -> Column:
+    """The server of a tool named mcp__server__tool, else null."""
+    return F.when(tool.startswith("mcp__"), F.nullif(F.get(F.split(tool, "__"), F.lit(1)), F.lit("")))
+
+
+def tool_short_name(tool: Column) -> Column:
+    """Last part of a composite tool name."""
+    return F.when(tool.startswith("mcp__"), F.element_at(F.split(tool, "__"), -1)).otherwise(tool)
+
+
+def classify_command(command: Column) -> Column:
+    """What a shell command does."""
+    return (
+        F.when(command.rlike(r"(?i)\b(?:test|jest|vitest|pytest|cargo\s+test|mocha|spec)\b"), "test")
+        .when(command.rlike(r"(?i)\b(?:build|compile|tsc|webpack|vite\s+build|rollup)\b"), "build")
+        .when(command.rlike(r"(?i)^\s*git "), "git")
+        .when(command.rlike(r"(?i)\b(?:lint|biome|eslint|prettier|format)\b"), "lint")
+        .otherwise("other")
+    )
+
+
+def first_word(command: Column) -> Column:
+    return F.element_at(F.split(strip(command), r"[\s|;&]"), 1)
+
+
+def base_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def last_two(path: Column) -> Column:
+    """Last two segments of a path."""
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    return F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), "/")
+
+
+def tool_path(input_json: Column) -> Column:
+    """The file that a tool call names, under any of its four keys."""
+    return F.coalesce(*(F.nullif(F.get_json_object(input_json, f"$.{k}"), F.lit("")) for k in ("file_path", "filePath", "path", "notebook_path")))
+
+
+def format_duration(ms: Column) -> Column:
+    """1h 2m, 3m 4s or 5s (P50)."""
+    s = F.floor(ms / 1000)
+    hour, minute, second = F.floor(s / 3600), F.pmod(F.floor(s / 60), F.lit(60)), F.pmod(s, F.lit(60))
+    return F.when(hour > 0, F.format_string("%dh %dm", hour, minute)).when(s >= 60, F.format_string("%dm %ds", F.floor(s / 60), second)).otherwise(F.format_string("%ds", s))
+
+
+def format_cost(dollars: Column) -> Column:
+    return F.when(dollars < 0.01, "<$0.01").otherwise(F.concat(F.lit("$"), F.format_string("%.2f", dollars)))
+
+
+def format_number(n: Column) -> Column:
+    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1_000_000)).when(n >= 1_000, F.format_string("%.1fK", n / 1_000)).otherwise(n.cast("string"))
+
+
+def format_size(n: Column) -> Column:
+    return F.when(n >= 1 << 20, F.format_string("%.1f MB", n / float(1 << 20))).when(n >= 1 << 10, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+
+
+def escape_html(text: Column) -> Column:
+    """(K3)"""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def strip_markdown(text: Column) -> Column:
+    """Plain words of a Markdown text."""
+    for pattern, to in ((r"```[\s\S]*?```", ""), (r"`([^`]*)`", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"(?m)^\s*[-*]\s+", "")):
+        text = F.regexp_replace(text, pattern, to)
+    return strip(text)
+
+
+def strip_ansi(text: Column) -> Column:
+    return F.regexp_replace(text, "\\u001b\\[[0-9;]*[A-Za-z]", "")
+
+
+def visual_width(text: Column) -> Column:
+    """Wide East Asian characters count twice."""
+    return F.length(F.regexp_replace(text, r"[ᄀ-ᅟ⺀-꓏가-힣豈-﫿︰-﹏＀-｠￠-￦]", "xx"))
+
+
+def snippet(text: Column, query: str, before: int = 40, after: int = 60) -> Column:
+    """What surrounds the first match of a search."""
+    at = F.instr(F.lower(text), query.lower())
+    start = F.greatest(at - before, F.lit(1))
+    return F.when(at > 0, text.substr(start, F.lit(len(query) + after) + at - start))
+
+
+def coerce_time(value: Column) -> Column:
+    """ISO text, or epoch seconds or milliseconds, as a timestamp; null where it is neither."""
+    number = value.try_cast("double")
+    epoch = F.timestamp_millis(F.when(number > 1e10, number).otherwise(number * 1000).cast("bigint"))
+    return F.when(number.isNotNull(), epoch).otherwise(F.try_to_timestamp(value))
+
+
+def model_label(labels: Column) -> Column:
+    """Last distinct name of a comma list."""
+    parts = F.array_distinct(F.filter(F.transform(F.split(labels, ","), strip), lambda x: x != ""))
+    return F.try_element_at(parts, F.lit(-1))
