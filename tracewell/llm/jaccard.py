@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,12 @@ from tracewell.llm.store import written
 
 WORDS = 5
 THRESHOLD = 0.8
-#: Coordinates of a signature; 16 bits are kept of each.
+#: Coordinates of a signature; 32 bits are kept of each.
 SIGNATURE = 64
 #: Pairs whose signatures agree this much less than the threshold asks are not read in full (five standard deviations).
 SLACK = 0.25
 #: A node with this many sets at most is a leaf.
-LEAF = 256
+LEAF = 1_024
 DEPTH = 5
 #: Chance that one run joins a pair at the threshold, at least (depth 5, one child and another with chance 1/4), and the recall aimed at.
 RUN_RECALL, RECALL = 0.33, 0.998
@@ -69,12 +70,12 @@ def shingles(buf: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.n
 
 
 def signatures(own: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """(documents x SIGNATURE) of 16 bits: a hash of the token that each coordinate samples; documents without a set have zeros."""
-    out = np.zeros((len(off) - 1, SIGNATURE), dtype=np.uint16)
+    """(documents x SIGNATURE) of 32 bits: a hash of the token that each coordinate samples; documents without a set have zeros."""
+    out = np.zeros((len(off) - 1, SIGNATURE), dtype=np.uint32)
     some = np.flatnonzero(np.diff(off))
     if len(some):
         for k in range(SIGNATURE):
-            out[some, k] = (tx.mix(np.minimum.reduceat(own * _MULTIPLIERS[k], off[some])) & _U(0xFFFF)).astype(np.uint16)
+            out[some, k] = (tx.mix(np.minimum.reduceat(own * _MULTIPLIERS[k], off[some])) & _U(0xFFFFFFFF)).astype(np.uint32)
     return out
 
 
@@ -104,7 +105,7 @@ def children(path: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _signs(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, SIGNATURE)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, SIGNATURE)
 
 
 def roots(classes: DataFrame, runs: int) -> DataFrame:
@@ -262,16 +263,25 @@ def intersections(own: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def small_intersections(own: list[np.ndarray]) -> np.ndarray:
+    """The same for two or three sets, by merging their sorted elements."""
+    out = np.zeros((len(own), len(own)))
+    for i, j in combinations(range(len(own)), 2):
+        both = np.sort(np.concatenate((own[i], own[j])), kind="stable")
+        out[i, j] = out[j, i] = (both[1:] == both[:-1]).sum()
+    return out
+
+
 def own_sets(table: pa.Table) -> tuple[list[np.ndarray], list[int]]:
     """The sets of the rows whose text has the row's key, and which rows these are: another text of the same id doesn't count, nor does a repeated one."""
     each, keep, last = [], [], None
-    keys, reps, paths = (table.column(c).to_pylist() for c in ("key", "rep", "path"))
+    keys, reps, paths, ones, twos = (table.column(c).to_pylist() for c in ("key", "rep", *GROUP))
     at = 0
     for batch in table.to_batches():
         for part in tx.slices(batch, "text"):
             own, off = shingles(*tx.texts(part.column("text")))
             for x, y in zip(off[:-1], off[1:], strict=True):
-                now = (paths[at], table.column("a")[at].as_py(), table.column("b")[at].as_py(), reps[at])
+                now = (paths[at], ones[at], twos[at], reps[at])
                 if now != last and digest(own[x:y]) == keys[at]:
                     each.append(own[x:y])
                     keep.append(at)
@@ -297,7 +307,7 @@ def verified(rows: DataFrame, threshold: float) -> DataFrame:
             known = padded(table.column("known"))
             out = []
             for a, b in zip(start[:-1], start[1:], strict=True):
-                common = intersections(each[a:b])
+                common = intersections(each[a:b]) if b - a > 3 else small_intersections(each[a:b])
                 sizes = np.array([len(x) for x in each[a:b]])
                 link = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9
                 np.fill_diagonal(link, False)

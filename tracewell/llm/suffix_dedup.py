@@ -7,9 +7,9 @@ their anchors at the same place, so only suffixes at anchors are sorted, about o
    the region its windows cover. Leading bytes that occur once can't repeat. Of equal regions the first stays, the others are
    covered whole. Only leading bytes that have several different regions need their texts.
 2. Those suffixes are range-partitioned by their leading bytes, with splitters that Spark samples. A bucket sorts the
-   windows of its suffixes by multikey quicksort, eight bytes at a time, and keeps the first of equal ones. Leading bytes that
-   reach over a boundary are compared again: each bucket sends the distinct windows of its first and last
-   leading bytes, with their first place, and every window learns the first place of all buckets.
+   windows of its suffixes by multikey quicksort, eight bytes at a time, and keeps the first of equal ones. Leading bytes with
+   very many regions are cut into parts of bounded size, which may lie in several buckets; these are compared across
+   their boundaries: each part sends its distinct windows with their first places, and learns the first places of all parts.
 3. Each document unites what was covered and drops it.
 """
 
@@ -29,6 +29,8 @@ from tracewell.llm.store import written
 
 WINDOW = 100
 LEADING = 20
+#: Suffixes with one leading text that a task sorts together, about; more are cut into parts.
+PART_ROWS = 16_384
 _OTHER_BASE = 0xD1342543DE82EF95
 _U = np.uint64
 
@@ -99,18 +101,18 @@ def unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def marked(rows: DataFrame) -> DataFrame:
-    """(doc, place, covered): the anchors covered whole by an equal region before them, and those to be compared."""
+    """(doc, place, covered, parts): the anchors covered whole by an equal region before them, and those to be compared, with the parts of their leading text."""
     lead = W.partitionBy("lead")
     own = lead.orderBy("region", "doc", "place").rowsBetween(W.unboundedPreceding, W.currentRow)
     known = rows.withColumn("fresh", F.col("region").isNotNull() & ~F.col("region").eqNullSafe(F.lag("region").over(lead.orderBy("region", "doc", "place"))))
     known = known.withColumn("d", F.last(F.when(F.col("fresh"), F.col("doc")), ignorenulls=True).over(own)).withColumn("p", F.last(F.when(F.col("fresh"), F.col("place")), ignorenulls=True).over(own))
     known = known.withColumn("kinds", F.sum(F.col("fresh").cast("int")).over(lead))
     covered = F.col("region").isNull() | (F.col("doc") != F.col("d")) | (F.col("place") != F.col("p"))
-    return known.where(covered | (F.col("kinds") > 1)).select("doc", "place", covered.alias("covered"))
+    return known.where(covered | (F.col("kinds") > 1)).select("doc", "place", covered.alias("covered"), F.ceil(F.col("kinds") / PART_ROWS).cast("int").alias("parts"))
 
 
 def suffixes(docs: DataFrame, window: int, leading: int) -> DataFrame:
-    """(l0, l1, doc, place, region): the leading bytes as a number and as a hash, and the bytes that the windows cover, of the places of each document."""
+    """(l0, l1, part, cut, doc, place, region): the leading bytes as a number and as a hash, the part that a document falls in, whether there are others, and the bytes that the windows cover."""
 
     def run(batches):
         for batch in batches:
@@ -118,7 +120,7 @@ def suffixes(docs: DataFrame, window: int, leading: int) -> DataFrame:
                 buf, off = tx.texts(part.column("text"))
                 places = part.column("places")
                 doc = np.repeat(np.arange(part.num_rows), places.value_lengths().to_numpy())
-                place = places.flatten().to_numpy()
+                place, parts = (places.flatten().field(k).to_numpy() for k in ("place", "parts"))
                 anchor, back, windows = unpack(place)
                 at = off[doc] + anchor
                 first = at - back
@@ -129,11 +131,14 @@ def suffixes(docs: DataFrame, window: int, leading: int) -> DataFrame:
                 where = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
                 text = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.py_buffer(buf[where])])
                 l1 = tx.spans(tx.prefix(buf), at, at + leading)
+                ids = part.column("doc").to_numpy()[doc]
+                own = (tx.mix(ids.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((l0 ^ _U(1 << 63)).view(np.int64)), pa.array(l1.view(np.int64)), pa.array(part.column("doc").to_numpy()[doc]), pa.array(place), text], names=["l0", "l1", "doc", "place", "region"]
+                    [pa.array((l0 ^ _U(1 << 63)).view(np.int64)), pa.array(l1.view(np.int64)), pa.array(own), pa.array(parts > 1), pa.array(ids), pa.array(place), text],
+                    names=["l0", "l1", "part", "cut", "doc", "place", "region"],
                 )
 
-    return docs.mapInArrow(run, "l0 bigint, l1 bigint, doc bigint, place bigint, region binary")
+    return docs.mapInArrow(run, "l0 bigint, l1 bigint, part int, cut boolean, doc bigint, place bigint, region binary")
 
 
 def multikey_sort(buf: np.ndarray, start: np.ndarray, segment: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,15 +168,16 @@ def multikey_sort(buf: np.ndarray, start: np.ndarray, segment: np.ndarray, windo
 
 
 def compared(rows: DataFrame, partitions: int, window: int) -> DataFrame:
-    """(doc, start, end, digest): byte ranges covered by an earlier equal window, and, with a digest, distinct windows to compare across boundaries."""
+    """(doc, start, end, digest): byte ranges covered by an earlier equal window, and, with a digest, distinct windows to compare across parts."""
     most = 1 << 20
 
-    def windows_of(table: pa.Table, edge: np.ndarray):
-        """Covered ranges, and first places of distinct windows of the groups in ``edge``."""
+    def windows_of(table: pa.Table):
+        """Covered ranges, and first places of distinct windows where the leading text has other parts."""
         start = np.append(group_starts(table, KEYS), table.num_rows)
         group = np.repeat(np.arange(len(start) - 1), np.diff(start))
         doc, place = table.column("doc").to_numpy(), table.column("place").to_numpy()
         anchor, back, many = unpack(place)
+        cut = table.column("cut").to_numpy()
         buf, off = tx.texts(table.column("region").combine_chunks())
         low = 0
         while low < 256:  # equal windows lie equally far before their anchors, so distances go one block after another
@@ -195,7 +201,7 @@ def compared(rows: DataFrame, partitions: int, window: int) -> DataFrame:
                 lead = np.maximum.accumulate(np.where(fresh, np.arange(len(segment)), 0))
                 covered = (own_doc != own_doc[lead]) | (own_begin != own_begin[lead])
                 yield own_doc[covered], own_begin[covered], None
-                send = fresh & edge[group[row[order]]]
+                send = fresh & cut[row[order]]
                 if send.any():
                     where = at[order[send]]
                     yield own_doc[send], own_begin[send], [hashlib.blake2b(buf[x : x + window].tobytes(), digest_size=16).digest() for x in where.tolist()]
@@ -215,32 +221,16 @@ def compared(rows: DataFrame, partitions: int, window: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(begin), pa.array(end), digest], names=["doc", "start", "end", "digest"])
 
     def run(batches):
-        first = True
-        for table, last in _with_last(whole_groups(batches, KEYS)):
-            groups = len(group_starts(table, KEYS))
-            edge = np.zeros(groups, dtype=bool)
-            edge[0] |= first
-            edge[-1] |= last
-            first = False
-            for doc, begin, digest in windows_of(table, edge):
+        for table in whole_groups(batches, KEYS):
+            for doc, begin, digest in windows_of(table):
                 if len(doc):
                     yield batch_of(doc, begin, digest)
 
-    placed = rows.repartitionByRange(partitions, "l0", "l1", F.xxhash64("doc")).sortWithinPartitions("l0", "l1", "doc", "place")
+    placed = rows.repartitionByRange(partitions, *KEYS).sortWithinPartitions(*KEYS, "doc", "place")
     return placed.mapInArrow(run, "doc bigint, start bigint, end bigint, digest binary")
 
 
-def _with_last(tables):
-    before = None
-    for table in tables:
-        if before is not None:
-            yield before, False
-        before = table
-    if before is not None:
-        yield before, True
-
-
-KEYS = ("l0", "l1")
+KEYS = ("l0", "l1", "part")
 
 
 def covered_ranges(docs: DataFrame, window: int = WINDOW, leading: int = LEADING) -> DataFrame:
@@ -249,7 +239,7 @@ def covered_ranges(docs: DataFrame, window: int = WINDOW, leading: int = LEADING
     marks = written(marked(anchor_rows(docs, window, leading).repartition("lead")), "suffix-marks")
     anchor, back, many = (F.expr(x) for x in ("shiftright(place, 16)", "shiftright(place, 8) & 255", "place & 255"))
     whole = marks.where("covered").select("doc", (anchor - back).alias("start"), (anchor - back + many - 1 + window).alias("end"))
-    open_ = marks.where("not covered").groupBy("doc").agg(F.collect_set("place").alias("places"))  # bounded by the text's length
+    open_ = marks.where("not covered").groupBy("doc").agg(F.collect_set(F.struct("place", "parts")).alias("places"))  # bounded by the text's length
     texts = docs.join(open_, "doc").select("doc", "text", "places")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = written(compared(suffixes(texts, window, leading), parts, window), "suffix-compared")
