@@ -121,24 +121,32 @@ def roots(classes: DataFrame, runs: int) -> DataFrame:
 
 
 def split(large: DataFrame) -> DataFrame:
+    """(rep, path, parent): the sets of large nodes by child, with the size of the node that they come from."""
+
     def run(batches):
         for batch in batches:
             row, path = children(batch.column("path").to_numpy().view(np.uint64), _signs(batch.column("signature")))
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column("rep").to_numpy()[row]), pa.array(path.view(np.int64))], names=["rep", "path"])
+            rep, n = (batch.column(c).to_numpy()[row] for c in ("rep", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(path.view(np.int64)), pa.array(n)], names=["rep", "path", "parent"])
 
-    return large.select("rep", "path", "signature").mapInArrow(run, "rep bigint, path bigint")
+    return large.select("rep", "path", "n", "signature").mapInArrow(run, "rep bigint, path bigint, parent bigint")
 
 
 def leaves(classes: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """(rep, path, n): the leaves of all runs with two sets at least, and how many sets each has."""
+    """(rep, path, n): the leaves of all runs with two sets at least, and how many sets each has.
+
+    A node is also a leaf, of any size, when half of its parent's sets went its way: they are alike, and further tokens
+    would not part them. To stop early only adds pairs.
+    """
     found = None
-    level = roots(classes, runs)
+    level = roots(classes, runs).withColumn("parent", F.lit(None).cast("long"))
     for k in range(depth):
-        sizes = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        now = written(level.join(sizes, "path").select("rep", "path", "n"), "jaccard-level")
-        done = now if k == depth - 1 else now.where(F.col("n") <= leaf)
+        sizes = level.groupBy("path").agg(F.count("*").alias("n"), F.max("parent").alias("parent")).where("n > 1")
+        now = written(level.select("rep", "path").join(sizes, "path").select("rep", "path", "n", "parent"), "jaccard-level")
+        ends = (F.col("n") <= leaf) | F.coalesce(2 * F.col("n") >= F.col("parent"), F.lit(False))
+        done = (now if k == depth - 1 else now.where(ends)).select("rep", "path", "n")
         found = done if found is None else found.union(done)
-        large = now.where(F.col("n") > leaf)
+        large = now.where(~ends)
         if k == depth - 1 or not large.limit(1).count():
             break
         level = split(large.join(classes.select("rep", "signature"), "rep"))
