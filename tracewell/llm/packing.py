@@ -130,6 +130,8 @@ def best_fit(count: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     return [(p, n) for group in open_.values() for p, n in group.items()]
 
 
+#: Amounts under a cut are rounded to nothing; the cut that leaves the fewest sequences counts.
+CUTS = (1, 2, 4, 8, 16, 32, 64)
 #: (rate at which prices fall, tolerance) of the runs of the solver; the run that needs the fewest sequences counts.
 SETTINGS = ((0.002, 0.002), (0.002, 0.01), (0.01, 0.002), (0.01, 0.01))
 
@@ -195,11 +197,17 @@ def solve_once(count: dict[int, int], capacity: int, rate: float, tolerance: flo
             used += 1
         if not used:
             break
-    left = {k: count[k] for k in lengths.tolist()}
+    whole = {k: count[k] for k in lengths.tolist()}
+    return out + min((rounded(amount, whole, capacity, cut) for cut in CUTS), key=lambda found: sum(n for _, n in found))
+
+
+def rounded(amount: dict[tuple[int, ...], float], count: dict[int, int], capacity: int, cut: int) -> list[tuple[tuple[int, ...], int]]:
+    """Amounts rounded down, those under ``cut`` to nothing; best fit packs what is left."""
+    out, left = [], dict(count)
     for key, x in sorted(amount.items(), key=lambda a: (-a[1], a[0])):
         index = {k: key.count(k) for k in set(key)}
         n = min(int(x + 1e-9), *(left[k] // times for k, times in index.items()))
-        if n > 0:
+        if n >= cut:
             out.append((key, n))
             for k, times in index.items():
                 left[k] -= n * times
