@@ -1,0 +1,116 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from tracewell.plans import sessions
+from tracewell.sources import logs
+
+T = "2025-05-02T08:00:{:02d}Z"
+
+
+def tool(id, name, **input):
+    return {"type": "tool_use", "id": id, "name": name, "input": input}
+
+
+def result(id, content, **more):
+    return {"type": "tool_result", "tool_use_id": id, "content": content, **more}
+
+
+def user(second, content, **more):
+    return {"type": "user", "timestamp": T.format(second), "message": {"role": "user", "content": content}, **more}
+
+
+def assistant(second, id, content, output=10, model="x-sonnet-4", **more):
+    use = {"input_tokens": 100, "output_tokens": output, "cache_creation_input_tokens": 0, "cache_read_input_tokens": 7}
+    return {"type": "assistant", "timestamp": T.format(second), "message": {"role": "assistant", "id": id, "model": model, "content": content, "usage": use, **more}}
+
+
+LOG = [
+    {"type": "file-history-snapshot", "snapshot": {"timestamp": "2025-05-02T07:59:00Z"}, "gitBranch": "main", "entrypoint": "cli", "permissionMode": "plan"},
+    user(1, "Please repair the parser in lib.py", gitBranch="main"),
+    assistant(5, "m1", [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "On it."}]),
+    assistant(6, "m1", [tool("t1", "Edit", file_path="/home/me/p/lib.py", old_string="password=hunter2hunter2", new_string="b"), tool("t2", "Read", file_path="/home/me/p/a.py")], output=30) | {"gitBranch": "fix"},
+    user(9, [result("t1", "done"), result("t2", [{"type": "text", "text": "x"}, {"type": "text", "text": "y"}], is_error=True)]),
+    "not json",
+    "",
+    user(20, "Base directory for this skill: /skills/tidy\nmore", isMeta=True),
+    user(21, [{"type": "text", "text": "Now test"}, {"type": "image", "source": {"media_type": "image/png", "data": "QQ=="}}]),
+    user(22, "<command-name>clear</command-name>"),
+    assistant(23, "m2", [tool("t3", "Bash", command="pytest -q"), tool("t4", "mcp__git__log", n=1), tool("t5", "Write", file_path="/home/me/p/b.py", content="z")], model="<synthetic>"),
+    user(29, [result("t3", "2 passed")]),
+    assistant(30, "m3", [{"type": "text", "text": "cut off"}], stop_reason="max_tokens"),
+    {"type": "pr-link", "data": {"prNumber": 4, "prUrl": "https://e.org/p/4", "prRepository": "e/p"}},
+    {"type": "pr-link", "data": {"prNumber": 4, "prUrl": "https://e.org/p/4", "prRepository": "e/p"}},
+    {"type": "system", "subtype": "turn_duration", "durationMs": 4000},
+    {"type": "system", "subtype": "turn_duration", "durationMs": 5000},
+    {"type": "system", "subtype": "compact_boundary"},
+    {"type": "system", "subtype": "api_error", "error": {"status": 529}},
+    {"type": "progress", "data": "tick"},
+    {"type": "custom-title", "customTitle": "Parser"},
+]
+OTHER = [user(1, "A second session"), user(11, "with a gap"), user(12, "")]
+AGENT = [assistant(7, "s1", [tool("u1", "Write", file_path="/home/me/p/lib.py", content="q")])]
+
+
+@pytest.fixture(scope="module")
+def events(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("logs")
+    (root / "one" / "subagents").mkdir(parents=True)
+    for path, rows in ((root / "one.jsonl", LOG), (root / "two.jsonl", OTHER), (root / "one" / "subagents" / "agent-7.jsonl", AGENT)):
+        path.write_text("\n".join(r if isinstance(r, str) else json.dumps(r) for r in rows))
+    return logs.events(spark, str(root))
+
+
+def test_one_row_a_session(events):
+    rows = {r["session"]: r for r in sessions.scan(events, home="/home/me").collect()}
+    assert set(rows) == {"one", "two"}
+    r = rows["one"]
+    assert (r["prompt_count"], r["tool_call_count"], r["edit_count"], r["duration_ms"]) == (3, 5, 3, 9000)
+    assert (r["compaction_count"], r["api_error_count"], r["sub_agent_count"]) == (1, 1, 1)
+    assert (r["start_time"], r["end_time"]) == ("2025-05-02T07:59:00Z", T.format(30))
+    assert (r["title"], r["model"], r["entrypoint"], r["permission_mode"]) == ("Parser", "x-sonnet-4", "cli", "plan")
+    assert r["first_prompt"] == "Please repair the parser in lib.py"
+    assert (r["git_branch"], r["git_branches"]) == ("fix", ["main", "fix"])
+    assert [tuple(x) for x in r["files_modified"]] == [("~/p/lib.py", 2), ("~/p/b.py", 1)]
+    assert (r["input_tokens"], r["output_tokens"], r["cache_read_input_tokens"]) == (300, 50, 21)
+    assert r["cost"] == pytest.approx((200 * 3 + 40 * 15 + 14 * 0.3) / 1e6)
+    assert r["skills_used"] == ["tidy"] and r["mcp_servers_used"] == ["git"]
+    assert [tuple(x) for x in r["pr_links"]] == [(4, "https://e.org/p/4", "e/p")]
+    r = rows["two"]
+    assert (r["prompt_count"], r["duration_ms"], r["cost"], r["git_branch"], r["edit_count"]) == (3, 11000, None, None, 0)
+
+
+def test_scenes_in_order_and_redacted(events):
+    rows = sessions.scenes(events, home="/home/me").where("session = 'one'").orderBy("scene_index").collect()
+    assert [r["type"] for r in rows] == ["user-prompt", "thinking", "text-response", "tool-call", "tool-call", "context-injection", "user-prompt", "tool-call", "tool-call", "tool-call", "text-response"]
+    edit, read, bash = rows[3], rows[4], rows[7]
+    assert edit["diff"]["file_path"] == "~/p/lib.py" and "hunter2" not in edit["diff"]["old_content"] and edit["diff"]["new_content"] == "b"
+    assert "hunter2" not in edit["input"]["old_string"] and edit["duration_ms"] == 4000
+    assert (read["result"], read["is_error"], read["duration_ms"]) == ("x\ny", True, None)
+    assert tuple(bash["bash"]) == ("pytest -q", "2 passed") and bash["duration_ms"] == 6000
+    assert rows[5]["injection"] == "skill:tidy" and rows[6]["images"] == ["data:image/png;base64,QQ=="]
+    assert rows[-1]["is_truncated"] and not rows[2]["is_truncated"]
+
+
+def test_turns_and_documents(events):
+    scene = sessions.scenes(events)
+    turns = [tuple(r)[1:4] for r in sessions.turn_stats(scene).where("session = 'one'").orderBy("turn").collect()]
+    assert turns == [(1, 2, ["Edit", "Read"]), (2, 3, ["Bash", "Write", "mcp__git__log"])]
+    got = {r["session"]: json.loads(r["document"]) for r in sessions.documents(scene, sessions.scan(events)).collect()}
+    assert len(got["one"]["scenes"]) == 11 and got["two"]["meta"]["prompt_count"] == 3
+
+
+def test_header_sample_and_notes(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("\n".join(json.dumps(r) for r in LOG if isinstance(r, dict)))
+    (tmp_path / "n.md").write_text("---\nname: build\ndescription: how to\ntype: project\n---\nUse make.\n")
+    r = logs.header_sample(spark, str(tmp_path)).first()
+    assert (r["first_ts"], r["last_ts"], r["title"], r["tool_calls"], r["edits"]) == (T.format(1), T.format(30), "Parser", 5, 2)
+    assert tuple(logs.memory_notes(spark, str(tmp_path)).first())[1:] == ("build", "how to", "project", "Use make.")
+    assert [r["length"] > 0 for r in logs.files(spark, str(tmp_path)).collect()] == [True]
+
+
+def test_no_logs(spark, tmp_path):
+    (tmp_path / "e.jsonl").write_text("\n")
+    none = logs.events(spark, str(tmp_path))
+    assert sessions.scan(none).count() == 0 and sessions.scenes(none).where(F.lit(True)).count() == 0

@@ -79,7 +79,7 @@ def shorten_path(text: Column, home: str) -> Column:
 def truncate(text: Column, limit: int) -> Column:
     """Redact, then cut with a note of the redacted length."""
     clean = redact(text)
-    return F.when(F.length(clean) > limit, F.concat(F.substring(clean, 1, limit), F.lit("\n... ("), F.length(clean).cast("string"), F.lit(" chars total)"))).otherwise(clean)
+    return F.when(F.length(clean) > limit, F.concat(F.substring(clean, 1, limit), F.lit("\n... (truncated, "), F.length(clean).cast("string"), F.lit(" chars total)"))).otherwise(clean)
 
 
 def _named(rule: str):

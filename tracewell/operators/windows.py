@@ -17,7 +17,7 @@ def millis(ts: str) -> Column:
 def active_duration(df: DataFrame, key: str, ts: str, max_gap_ms: int = MAX_GAP_MS) -> DataFrame:
     """(key, active_ms): gaps between successive times, each capped; null with fewer than two times or no gap."""
     gap = millis(ts) - F.lag(millis(ts)).over(W.partitionBy(key).orderBy(ts))
-    gaps = df.where(F.col(ts).isNotNull()).select(key, F.least(gap, F.lit(max_gap_ms)).alias("gap"))
+    gaps = df.where(F.col(ts).isNotNull()).select(key, gap.alias("gap")).withColumn("gap", F.when(F.col("gap").isNotNull(), F.least("gap", F.lit(max_gap_ms))))  # least() would skip the first row's null
     return gaps.groupBy(key).agg(F.nullif(F.sum("gap"), F.lit(0)).alias("active_ms"))
 
 

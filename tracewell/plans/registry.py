@@ -36,7 +36,7 @@ def query(sql: str | None = None):
 
 
 @query("""
-SELECT user_id, nullif(sum(least(gap, 300000)), 0)::BIGINT AS active_ms FROM (
+SELECT user_id, nullif(sum(CASE WHEN gap IS NOT NULL THEN least(gap, 300000) END), 0)::BIGINT AS active_ms FROM (
   SELECT user_id, (epoch_us(ts) // 1000) - lag((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events WHERE ts IS NOT NULL
 ) GROUP BY user_id""")
 def active_duration(t):
@@ -297,7 +297,7 @@ def secret_scan(t):
     return redact.findings(t("documents"), "doc_id", "text").groupBy("doc_id", "rule").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, length(text)::BIGINT AS n, substr(text, 1, 2000) || CASE WHEN length(text) > 2000 THEN chr(10) || '... (' || length(text) || ' chars total)' ELSE '' END AS cut FROM documents WHERE NOT regexp_matches(text, '@|(?i)key|secret|token|password|credential|auth|AKIA|://')")
+@query("SELECT doc_id, length(text)::BIGINT AS n, substr(text, 1, 2000) || CASE WHEN length(text) > 2000 THEN chr(10) || '... (truncated, ' || length(text) || ' chars total)' ELSE '' END AS cut FROM documents WHERE NOT regexp_matches(text, '@|(?i)key|secret|token|password|credential|auth|AKIA|://')")
 def truncate_text(t):
     plain = t("documents").where(~F.col("text").rlike("@|(?i)key|secret|token|password|credential|auth|AKIA|://"))
     return plain.select("doc_id", F.length("text").cast("long").alias("n"), redact.truncate(F.col("text"), 2000).alias("cut"))

@@ -1,0 +1,121 @@
+"""Session logs: one JSON object a line, in a file for each session and one for each sub-agent."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewell.functions.text import strip
+
+#: Blocks of a message; ``input`` stays JSON text, a result's ``content`` is text or again blocks.
+BLOCK = "struct<type:string,text:string,thinking:string,id:string,name:string,input:string,tool_use_id:string,content:variant,is_error:boolean,source:struct<media_type:string,data:string>>"
+USAGE = "struct<input_tokens:bigint,output_tokens:bigint,cache_creation_input_tokens:bigint,cache_read_input_tokens:bigint>"
+LINE = (
+    "struct<type:string,subtype:string,sessionId:string,slug:string,cwd:string,version:string,timestamp:string,gitBranch:string,entrypoint:string,"
+    "permissionMode:string,isMeta:boolean,isCompactSummary:boolean,sourceToolAssistantUUID:string,durationMs:double,customTitle:string,title:string,"
+    "prNumber:bigint,prUrl:string,prRepository:string,parentToolUseID:string,snapshot:struct<timestamp:string>,"
+    "data:struct<type:string,agentId:string,prNumber:bigint,prUrl:string,prRepository:string>,"
+    f"message:struct<role:string,id:string,model:string,stop_reason:string,content:variant,usage:{USAGE}>>"
+)
+_AGENT = r"/([^/]+)/subagents/(?:agent-)?([^/]+)\.jsonl$"
+_FILE = r"([^/]+)\.jsonl$"
+
+
+def is_text(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
+
+
+def block_text(v: Column) -> Column:
+    """Text of a content that is a string or an array of blocks, whose texts are joined by line feeds."""
+    blocks = F.from_json(F.to_json(v), f"array<{BLOCK}>")
+    texts = F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit("")))
+    other = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.array_join(texts, "\n")).otherwise(F.to_json(v))
+    return F.when(is_text(v), F.variant_get(v, "$", "string")).otherwise(other)
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_no, raw) of all .jsonl files below ``path``, blank and unparsable lines left out.
+
+    Files are read whole, since their lines must keep their order; a session's log has some MB.
+    """
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
+    each = whole.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("line_no", "raw"))
+    return each.where((F.trim("raw") != "") & F.try_parse_json("raw").isNotNull())
+
+
+def events(spark: SparkSession, path: str, sessions: DataFrame | None = None) -> DataFrame:
+    """One typed row per line: session, agent (null in a main file), ord, fields of the line, text and blocks.
+
+    A file belongs to the session that it is named after, a sub-agent's file to that of its folder. ``sessions``
+    (file, session, file_seq) joins the files of resumed sessions, in that order.
+    """
+    rows = lines(spark, path).withColumn("e", F.from_json("raw", LINE))
+    agent = F.nullif(F.regexp_extract("path", _AGENT, 2), F.lit(""))
+    owner = F.when(agent.isNotNull(), F.regexp_extract("path", _AGENT, 1)).otherwise(F.regexp_extract("path", _FILE, 1))
+    rows = rows.withColumn("agent", agent).withColumn("file", owner)
+    if sessions is None:
+        rows = rows.withColumn("session", F.col("file")).withColumn("file_seq", F.lit(0))
+    else:
+        rows = rows.join(sessions.select("file", "session", "file_seq"), "file")
+    content = F.col("e.message.content")
+    blocks = F.from_json(F.to_json(content), f"array<{BLOCK}>")
+    typed = F.transform(
+        blocks,
+        lambda b: F.struct(*(b[c].alias(c) for c in ("type", "text", "thinking", "id", "name", "input", "tool_use_id", "is_error", "source")), block_text(b["content"]).alias("result")),
+    )
+    return rows.select(
+        "session",
+        "agent",
+        F.struct("file_seq", "path", "line_no").alias("ord"),
+        *(F.col(f"e.{c}").alias(c) for c in ("type", "subtype", "sessionId", "slug", "cwd", "gitBranch", "entrypoint", "permissionMode", "sourceToolAssistantUUID", "durationMs", "parentToolUseID", "data")),
+        F.nullif(F.col("e.timestamp"), F.lit("")).alias("ts"),
+        F.nullif(F.col("e.snapshot.timestamp"), F.lit("")).alias("snapshot_ts"),
+        F.coalesce("e.isMeta", F.lit(False)).alias("is_meta"),
+        F.coalesce("e.isCompactSummary", F.lit(False)).alias("is_compact"),
+        F.coalesce(F.nullif("e.customTitle", F.lit("")), F.nullif("e.title", F.lit(""))).alias("title"),
+        F.coalesce("e.data.prNumber", "e.prNumber").alias("pr_number"),
+        F.coalesce("e.data.prUrl", "e.prUrl").alias("pr_url"),
+        F.coalesce("e.data.prRepository", "e.prRepository", F.lit("")).alias("pr_repository"),
+        F.col("e.message").isNotNull().alias("has_message"),
+        F.col("e.message.role").alias("role"),
+        F.nullif("e.message.id", F.lit("")).alias("msg_id"),
+        F.nullif("e.message.model", F.lit("")).alias("model"),
+        F.col("e.message.stop_reason").alias("stop_reason"),
+        F.col("e.message.usage").alias("usage"),
+        F.when(is_text(content), F.variant_get(content, "$", "string")).alias("text"),
+        F.when(~is_text(content), typed).alias("blocks"),
+    )
+
+
+def files(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
+    """(path, length, modified): a listing without contents."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return found.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def memory_notes(spark: SparkSession, path: str, limit: int = 2000) -> DataFrame:
+    """(path, name, description, kind, content) of Markdown notes with a header between --- lines."""
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    header, body = F.regexp_extract("value", r"\A---\n([\s\S]*?)\n---\n?", 1), F.regexp_replace("value", r"\A---\n[\s\S]*?\n---\n?", "")
+
+    def entry(key: str) -> Column:
+        return F.nullif(F.trim(F.regexp_extract(header, rf"(?m)^{key}:[ \t]*(.*)$", 1)), F.lit(""))
+
+    return text.select("path", entry("name").alias("name"), entry("description").alias("description"), entry("type").alias("kind"), F.substring(strip(body), 1, limit).alias("content"))
+
+
+def header_sample(spark: SparkSession, path: str, head: int = 150, tail: int = 50) -> DataFrame:
+    """(path, first_ts, last_ts, title, n_lines, prompts, tool_calls, edits): a file's first and last lines, and expressions over its raw lines."""
+    rows = lines(spark, path)
+    total = rows.groupBy("path").agg(F.max("line_no").alias("__last"), F.count("*").alias("n_lines"))
+    rows = rows.join(total, "path")
+    field = lambda name: F.nullif(F.get_json_object("raw", f"$.{name}"), F.lit(""))
+    at_end = F.col("line_no") > F.col("__last") - tail
+    return rows.groupBy("path", "n_lines").agg(
+        F.min(F.when(F.col("line_no") < head, field("timestamp"))).alias("first_ts"),
+        F.max(F.when(at_end, field("timestamp"))).alias("last_ts"),
+        F.max_by(field("customTitle"), F.when(at_end & field("customTitle").isNotNull(), F.col("line_no"))).alias("title"),
+        F.sum(F.when((F.get_json_object("raw", "$.message.role") == "user") & ~F.col("raw").contains('"tool_result"'), 1).otherwise(0)).alias("prompts"),
+        F.sum(F.regexp_count("raw", F.lit('"type":\\s*"tool_use"'))).alias("tool_calls"),
+        F.sum(F.regexp_count("raw", F.lit('"name":\\s*"(?:Edit|Write|NotebookEdit|Delete)"'))).alias("edits"),
+    )
