@@ -14,12 +14,15 @@ from tracewell.functions import pricing, redact, text
 from tracewell.operators import joins, windows
 
 NOW = "2024-01-31"
-#: Money in whole cents adds up to the same sum in any order.
-CENTS = F.round(F.col("o_totalprice") * 100).cast("long")
 QUERIES = {}
 ORACLE_SQL = {}
 
 
+def cents():
+    """Money in whole cents adds up to the same sum in any order."""
+    return F.round(F.col("o_totalprice") * 100).cast("long")
+
+
 def query(sql: str | None = None):
     """Register a query function of (table reader) under its name, with its SQL."""
 
@@ -368,7 +371,7 @@ def session_scan_row(t):
 SELECT o_custkey AS project, count(*) AS sessions, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents, (sum(round(o_totalprice * 100)::BIGINT) // count(*))::BIGINT AS avg_cents, count(DISTINCT o_orderpriority) AS branches, max(o_orderdate) AS last_activity FROM orders GROUP BY 1""")
 def project_insights(t):
     return t("orders").groupBy(F.col("o_custkey").alias("project")).agg(
-        F.count("*").alias("sessions"), F.sum(CENTS).alias("cents"), F.floor(F.sum(CENTS) / F.count("*")).alias("avg_cents"), F.count_distinct("o_orderpriority").alias("branches"), F.max("o_orderdate").alias("last_activity")
+        F.count("*").alias("sessions"), F.sum(cents()).alias("cents"), F.floor(F.sum(cents()) / F.count("*")).alias("avg_cents"), F.count_distinct("o_orderpriority").alias("branches"), F.max("o_orderdate").alias("last_activity")
     )
 
 
@@ -376,7 +379,7 @@ def project_insights(t):
 SELECT count(*) AS sessions, count(DISTINCT o_custkey) AS projects, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents, count(DISTINCT o_orderdate::DATE) AS active_days, count(DISTINCT (o_custkey, o_orderpriority)) AS branches FROM orders""")
 def user_insights(t):
     return t("orders").agg(
-        F.count("*").alias("sessions"), F.count_distinct("o_custkey").alias("projects"), F.sum(CENTS).alias("cents"), F.count_distinct(F.to_date("o_orderdate")).alias("active_days"), F.count_distinct("o_custkey", "o_orderpriority").alias("branches")
+        F.count("*").alias("sessions"), F.count_distinct("o_custkey").alias("projects"), F.sum(cents()).alias("cents"), F.count_distinct(F.to_date("o_orderdate")).alias("active_days"), F.count_distinct("o_custkey", "o_orderpriority").alias("branches")
     )
 
 
@@ -409,7 +412,7 @@ def provider_breakdown(t):
 @query("""
 SELECT o_custkey, o_orderpriority, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest, count(*) AS parts, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents FROM orders GROUP BY 1, 2""")
 def merge_same_session(t):
-    return t("orders").groupBy("o_custkey", "o_orderpriority").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"), F.count("*").alias("parts"), F.sum(CENTS).alias("cents"))
+    return t("orders").groupBy("o_custkey", "o_orderpriority").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"), F.count("*").alias("parts"), F.sum(cents()).alias("cents"))
 
 
 @query("SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey)::INTEGER AS rn FROM orders) WHERE rn <= 3")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import text
-from tracewell.operators import joins
+from tracewell.operators import joins, windows
 
 #: Type numbers of messages.
 USER_TYPE = 1
@@ -45,7 +45,8 @@ def rows(spark: SparkSession, path: str, table: str, key: str = "key", value: st
 
 
 def utf8(value: Column) -> Column:
-    return F.decode(value, "UTF-8")
+    """Bytes as text; null where they aren't UTF-8."""
+    return F.try_validate_utf8(value.cast("string"))
 
 
 def meta(store: DataFrame) -> DataFrame:
@@ -99,28 +100,36 @@ def bubbles(kv: DataFrame, composer: DataFrame) -> DataFrame:
 
 #: Names that the second provider gives to tools, under the canonical one.
 TOOL_NAMES = {
-    "Read": ("read_file", "read_file_v2", "ReadFile", "Read"),
-    "Edit": ("edit_file", "edit_file_v2", "search_replace", "apply_patch", "ApplyPatch", "StrReplace", "MultiEdit", "Edit"),
-    "Write": ("write", "create_file", "Write"),
-    "Delete": ("delete_file", "Delete"),
-    "Bash": ("run_terminal_cmd", "run_terminal_command", "run_terminal_command_v2", "Shell", "Bash"),
-    "Grep": ("grep", "grep_search", "ripgrep", "ripgrep_raw_search", "rg", "Grep"),
-    "Glob": ("file_search", "glob_file_search", "list_dir", "Glob"),
-    "Agent": ("task", "task_v2", "Task", "Agent"),
+    "Bash": ("Shell", "run_terminal_command_v2", "run_terminal_cmd"),
+    "Read": ("Read", "ReadFile", "read_file_v2", "read_file"),
+    "ReadLints": ("read_lints",),
+    "Grep": ("Grep", "ripgrep_raw_search", "ripgrep", "rg", "grep", "grep_search"),
+    "Glob": ("Glob", "glob_file_search", "file_search", "list_dir", "list_dir_v2", "LS"),
+    "Edit": ("StrReplace", "EditFile", "edit_file_v2", "edit_file", "search_replace", "ApplyPatch", "apply_patch"),
+    "Write": ("Write", "WriteFile", "write"),
+    "Delete": ("Delete", "delete_file"),
+    "Agent": ("Task", "task_v2"),
+    "TodoWrite": ("todo_write",),
+    "AskQuestion": ("ask_question",),
+    "SemanticSearch": ("semantic_search_full", "codebase_search"),
+    "WebSearch": ("web_search",),
+    "WebFetch": ("WebFetch", "web_fetch"),
+    "Plan": ("create_plan",),
 }
+#: Names that begin so belong to the browser.
+BROWSER = ("mcp-cursor-ide-browser-cursor-ide-browser-browser_", "chrome-devtools-")
 
 
 def tool_name(name: Column) -> Column:
     """The canonical name of a tool, else the name itself (P10)."""
     known = F.create_map(*(F.lit(x) for to, names in TOOL_NAMES.items() for n in names for x in (n, to)))
-    return F.coalesce(F.try_element_at(known, name), name)
+    browser = F.when(name.startswith(BROWSER[0]) | name.startswith(BROWSER[1]), "Browser")
+    return F.coalesce(F.try_element_at(known, name), browser, name)
 
 
 def only_here(found: DataFrame, known: DataFrame, key: str, limit: int) -> DataFrame:
     """Sessions of one store that no other source has, the newest ``limit`` of each project."""
-    from tracewell.operators.windows import top_k
-
-    return top_k(found.join(known.select(key), key, "left_anti"), ["project"], [F.desc("updated"), key], limit)
+    return windows.top_k(found.join(known.select(key), key, "left_anti"), ["project"], [F.desc("updated"), key], limit)
 
 
 def enriched(primary: DataFrame, other: DataFrame, key: str, fields: list[str]) -> DataFrame:
