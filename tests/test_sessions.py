@@ -3,7 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.plans import sessions
+from tracewell.functions import blocks
+from tracewell.plans import scene_stats, sessions
 from tracewell.sources import logs
 
 T = "2025-05-02T08:00:{:02d}Z"
@@ -114,3 +115,36 @@ def test_no_logs(spark, tmp_path):
     (tmp_path / "e.jsonl").write_text("\n")
     none = logs.events(spark, str(tmp_path))
     assert sessions.scan(none).count() == 0 and sessions.scenes(none).where(F.lit(True)).count() == 0
+
+
+def test_scene_measures(events):
+    scene = sessions.scenes(events, home="/home/me").where("session = 'one'").cache()
+    files = {r["file"]: (r["reads"], r["edits"], r["added"]) for r in scene_stats.files(scene).collect()}
+    assert files == {"~/p/lib.py": (0, 1, 0), "~/p/a.py": (1, 0, 0), "~/p/b.py": (0, 1, 1)}
+    assert tuple(scene_stats.activity(scene).first())[1:] == (1, 2, 1, 1)
+    assert [tuple(r)[1:] for r in scene_stats.commands(scene).collect()] == [("test", 1)]
+    t = scene_stats.totals(scene).first()
+    assert (t["scenes"], t["tools"], t["errors"], t["images"]) == (11, 5, 1, 1)
+    assert scene_stats.timeline(scene, 4).agg(F.sum("n")).first()[0] == 11 and scene_stats.timeline(scene, 4).count() == 4
+    grid = {(r["file"], r["turn"]): r["edits"] for r in scene_stats.file_grid(scene).collect()}
+    assert grid == {("~/p/lib.py", 1): 1, ("~/p/lib.py", 2): 0, ("~/p/b.py", 1): 0, ("~/p/b.py", 2): 1}
+    assert scene_stats.first_turn(scene).first()["tools"] == 2
+    assert len(scene_stats.digest(scene).first()["digest"].split("\n")) == 11 and len(scene_stats.digest(scene, limit=100).first()["digest"]) <= 100
+
+
+def test_turns_agents_and_usage(events):
+    assert scene_stats.truncated(events).where("session = 'one'").first()["truncated"] == 1
+    a = scene_stats.sub_agents(events).first()
+    assert (a["session"], a["agent"], a["tools"], a["tokens"]) == ("one", "7", 1, 110)
+    assert scene_stats.sub_agent_scenes(events, 1).count() == 1 and scene_stats.agent_links(events).count() == 0
+    turns = {r["turn"]: (r["model"], r["output"], r["context"]) for r in scene_stats.turn_usage(events).collect()}
+    assert turns[1] == ("x-sonnet-4", 30, 107)
+    assert scene_stats.api_errors(events).count() == 1
+
+
+def test_blocks(spark):
+    df = spark.createDataFrame([("a\nb", "a\nc\nd", "*** Update File: x.py\n@@\n keep\n-old\n+new", 'say {oops {"k": {"n": 1}} end'), (None, "", None, None)], "old string, new string, patch string, text string")
+    r, empty = df.select(blocks.line_delta(F.col("old"), F.col("new")).alias("d"), blocks.line_diff("old", "new").alias("diff"), blocks.patch_sides(F.col("patch")).alias("p"), blocks.first_json("text").alias("j")).collect()
+    assert r["d"] == 1 and [tuple(x) for x in r["diff"]] == [("same", "a"), ("removed", "b"), ("added", "c"), ("added", "d")]
+    assert tuple(r["p"]) == ("x.py", "keep\nold", "keep\nnew") and r["j"] == '{"k": {"n": 1}}'
+    assert empty["d"] == 0 and empty["diff"] == [] and empty["j"] is None

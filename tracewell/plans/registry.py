@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tracewell.functions import pricing, redact, text
+from tracewell.functions import blocks, pricing, redact, text
 from tracewell.operators import joins, windows
 
 NOW = "2024-01-31"
@@ -526,6 +526,42 @@ def latest_overlay(t):
 def risk_files(t):
     return t("orders").where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count("*").alias("n")).where("n >= 4")
 
+@query(f"SELECT doc_id, regexp_replace(text, {_q(f'{redact.EMAIL[0]}({redact.EMAIL[1]})')}, '[REDACTED]\\1', 'g') AS clean FROM documents WHERE contains(text, '@')")
+def email_redact(t):
+    clean = F.regexp_replace("text", f"{redact.EMAIL[0]}({redact.EMAIL[1]})", r"\[REDACTED\]$1")
+    return t("documents").where(F.contains("text", F.lit("@"))).select("doc_id", clean.alias("clean"))
+
+
+@query("""
+WITH c AS (SELECT l_partkey AS file, l_linenumber AS turn, count(*) AS edits FROM lineitem GROUP BY 1, 2), f AS (SELECT file FROM c GROUP BY 1 ORDER BY sum(edits) DESC, file LIMIT 8), s AS (SELECT unnest(generate_series(1, 7))::INTEGER AS turn)
+SELECT f.file, s.turn, coalesce(c.edits, 0)::BIGINT AS edits FROM f CROSS JOIN s LEFT JOIN c ON c.file = f.file AND c.turn = s.turn""")
+def file_heatmap(t):
+    cells = t("lineitem").groupBy(F.col("l_partkey").alias("file"), F.col("l_linenumber").alias("turn")).agg(F.count("*").alias("edits"))
+    top = cells.groupBy("file").agg(F.sum("edits").alias("n")).orderBy(F.desc("n"), "file").limit(8)
+    grid = top.select("file", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("turn"))
+    return grid.join(cells, ["file", "turn"], "left").select("file", "turn", F.coalesce("edits", F.lit(0)).alias("edits"))
+
+
+@query("SELECT l_orderkey, round(avg(CASE WHEN l_discount + l_tax > 0 THEN l_discount / (l_discount + l_tax) ELSE 0 END), 6) AS cache_share FROM lineitem GROUP BY 1")
+def cache_ratio(t):
+    share = F.coalesce(F.try_divide(F.col("l_discount"), F.col("l_discount") + F.col("l_tax")), F.lit(0.0))
+    return t("lineitem").groupBy("l_orderkey").agg(F.round(F.avg(share), 6).alias("cache_share"))
+
+
+@query("SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END::BIGINT AS n_lines FROM documents WHERE text IS NOT NULL")
+def line_counts(t):
+    return t("documents").where("text is not null").select("doc_id", blocks.line_count(F.col("text")).cast("long").alias("n_lines"))
+
+
+@query("""
+WITH l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS p FROM events)
+SELECT event_id, CASE WHEN (epoch_us(ts) // 1000) - (epoch_us(p) // 1000) BETWEEN 1 AND 3599999 THEN (epoch_us(ts) // 1000) - (epoch_us(p) // 1000) END AS duration_ms FROM l""")
+def tool_durations(t):
+    e = t("events").withColumn("began", windows.last_result_start(F.col("ts"), F.lit(None).cast("timestamp_ntz"), ["user_id", "event_type"], ["ts", "event_id"]))
+    took = windows.millis("ts") - windows.millis("began")
+    return e.select("event_id", F.when((took > 0) & (took < 3_600_000), took).alias("duration_ms"))
+
+
 
 def table_names() -> list[str]:
     return sorted(QUERIES)
