@@ -38,6 +38,9 @@ ASSIGNMENTS = {
 PRIVATE_KEY = (r"-----BEGIN (?:RSA |EC |DSA )?PRIVATE KEY-----", r"[\s\S]*?-----END (?:RSA |EC |DSA )?PRIVATE KEY-----")
 EMAIL = (r"[a-zA-Z0-9._%+-]+", r"@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}")
 MARK = "[REDACTED]"
+#: Every secret holds one of these as it stands, or one of the words in any case; other texts need no regular expression.
+LITERALS = ("sk-", "ghp_", "gho_", "github_pat_", "AKIA", "AIza", "xox", "k_live_", "pypi-", "Bearer", "eyJ", "SG.", "SK", "key-", "AGE-SECRET-KEY-", "hvs.", "npm_", "://", "PRIVATE KEY", "@")
+WORDS = ("api_key", "apikey", "api-key", "secret", "token", "password", "credential", "auth")
 #: Rules of the second scan; three classes aren't scanned, and a private key counts by its first line.
 SCAN_RULES = (
     {k: a + b for k, (a, b) in TOKENS.items() if k != "project-key"}
@@ -46,8 +49,19 @@ SCAN_RULES = (
 )
 
 
+def may_hold(text: Column) -> Column:
+    """Whether a text has a part that every secret has: a search for bytes, many times as fast as the patterns."""
+    low = F.lower(text)
+    out = F.lit(False)
+    for x in LITERALS:
+        out = out | text.contains(x)
+    for x in WORDS:
+        out = out | low.contains(x)
+    return out
+
+
 def redact(text: Column) -> Column:
-    """All secrets replaced, one ``regexp_replace`` a class.
+    """All secrets replaced, one ``regexp_replace`` a class, in texts that may hold some.
 
     Keys and tokens keep six characters, assignments and connection strings what stands up to their sign, addresses
     their domain. A private key goes whole: keeping what stands before its first = or : would keep most of a padded one.
@@ -58,7 +72,8 @@ def redact(text: Column) -> Column:
     for head, rest in ASSIGNMENTS.values():
         out = F.regexp_replace(out, f"(?i)({head}){rest}", r"$1 \[REDACTED\]")
     out = F.regexp_replace(out, "".join(PRIVATE_KEY), r"\[REDACTED PRIVATE KEY\]")
-    return F.regexp_replace(out, f"{EMAIL[0]}({EMAIL[1]})", r"\[REDACTED\]$1")
+    out = F.regexp_replace(out, f"{EMAIL[0]}({EMAIL[1]})", r"\[REDACTED\]$1")
+    return F.when(may_hold(text), out).otherwise(text)
 
 
 def utf16_length(text: Column) -> Column:
@@ -88,7 +103,7 @@ def _named(rule: str):
 
 def findings(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, rule, match, context, line): what the rules find, once for each rule and first 30 characters, in the first line that has it."""
-    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("at", "one"))
+    lines = df.where(may_hold(F.col(text))).select(key, F.posexplode(F.split(text, "\n")).alias("at", "one")).where(may_hold(F.col("one")))
     hits = [F.transform(F.regexp_extract_all("one", F.lit(p), F.lit(0)), _named(r)) for r, p in SCAN_RULES.items()]
     each = lines.select(key, "at", "one", F.explode(F.flatten(F.array(*hits))).alias("h")).where(~F.col("h.m").contains(MARK))
     first = each.groupBy(key, F.col("h.rule").alias("rule"), F.substring("h.m", 1, 30).alias("head")).agg(F.min(F.struct("at", "one", F.col("h.m").alias("m"))).alias("f"))
