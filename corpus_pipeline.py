@@ -33,8 +33,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in sequences of 1024 tokens."""
-    return packing.pack(docs)
+    """The pieces of the documents and their places in sequences of 1024 tokens, numbered along the order of the mix."""
+    return packing.pack_in_order(docs)
 
 
 STAGES = [

@@ -68,3 +68,20 @@ def test_awkward_rows_pass_all_stages(spark, nasty, empty):
     assert kept["mixing"].count() == kept["near_duplicates"].count() and kept["mixing"].where("doc_id is null").count() == 2
     assert kept["packing"].where("piece = 0").count() == kept["mixing"].count()
     assert all(out.count() == 0 for _, _, out in stages(spark, empty))
+
+
+def test_sequences_follow_the_mix(spark):
+    words = "one two three four five six seven eight nine ten "
+    docs = spark.createDataFrame([(k, words * (5 + k % 40), "hot" if k % 3 == 0 else f"s{k % 4}") for k in range(6000)], "doc_id bigint, text string, source string")
+    mixed = written(corpus_pipeline.mix_sources(spark, docs, SF), "test-mixed")
+    rows = corpus_pipeline.pack_sequences(spark, mixed, SF).collect()
+    last = {}
+    for r in rows:
+        last[r["doc_id"]] = max(last.get(r["doc_id"], 0), r["sequence_id"])
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    sizes = collections.Counter(source.values())
+    weight = {s: n**0.5 / sum(x**0.5 for x in sizes.values()) for s, n in sizes.items()}
+    order = [source[d] for d in sorted(last, key=last.get)]
+    for t in range(1000, int(0.9 * min(n / weight[s] for s, n in sizes.items())), 500):
+        seen = collections.Counter(order[:t])
+        assert all(abs(seen[s] / t - w) < 0.05 for s, w in weight.items())

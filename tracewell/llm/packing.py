@@ -11,7 +11,9 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,6 +25,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Rows that one task ranks at a time, about.
 ROWS_PER_BUCKET = 20_000
+#: Sequences' worth of tokens in each range of an order that has to be kept.
+RANGE = 256
 #: How the public byte-level vocabulary splits a text into words before merging (a fixed value of its format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
@@ -75,10 +79,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): texts as ids with an end id, cut only where longer than ``capacity``.
 
-    Of a cut document the first piece is the short one. A null or empty text is its end id alone.
+    Of a cut document the first piece is the short one. A null or empty text is its end id alone. The columns named in
+    ``keep`` follow, repeated for each piece.
     """
     path = tokenizer or default_tokenizer()
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -87,19 +92,19 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         coder = encoder(path)
         for batch in batches:
             for part in tx.slices(batch, "text"):
-                out = []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                out, row = [], []
+                for at, (doc, text) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)):
                     ids = coder.encode(text or "") + end
                     n = len(ids) // 4
                     cut = n % capacity or capacity
                     bounds = [0, *range(cut, n + 1, capacity)]
                     out += [(doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[i] for r in out], type=t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+                    row += [at] * (len(bounds) - 1)
+                own = [pa.array([r[i] for r in out], type=t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*own, *(part.column(c).take(pa.array(row, type=pa.int64())) for c in keep)], names=["doc_id", "piece", "start", "length", "ids_crc32", *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema) if keep else ""
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + kept)
 
 
 def best_fit(count: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -266,3 +271,45 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
     return ranked.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, file, row): the documents with their place, by file and row where they come from files, else by row of the frame."""
+    try:
+        return docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        return docs.select("doc_id", "text", F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))
+
+
+def pack_in_order(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, sequences: int = RANGE) -> DataFrame:
+    """As ``pack``, but sequences follow the order of the documents.
+
+    The order is cut into ranges of ``sequences`` times ``capacity`` tokens. Best fit packs each range by itself, and
+    within it sequences are numbered by the mean place of their tokens, so that the first sequences hold the first
+    documents to within one range.
+    """
+    cut = written(pieces(in_order(docs), tokenizer, capacity, end_id, keep=("file", "row")), "packing-pieces")
+    keyed = cut.withColumn("chunk", F.floor(F.col("row") / ROWS_PER_BUCKET))
+    chunks = keyed.groupBy("file", "chunk").agg(F.sum("length").alias("n")).orderBy("file", "chunk").collect()
+    ends = np.cumsum([r["n"] for r in chunks]).tolist()
+    table = [(r["file"], r["chunk"], end - r["n"]) for r, end in zip(chunks, ends, strict=True)]
+    starts = docs.sparkSession.createDataFrame(table, "file string, chunk bigint, first bigint")  # a row for each file and 20,000 rows of it
+    before = F.sum("length").over(W.partitionBy("file", "chunk").orderBy("row", "piece").rowsBetween(W.unboundedPreceding, -1))
+    place = keyed.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(starts), ["file", "chunk"])
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    ranged = place.select(*names, (F.col("first") + F.col("before")).alias("place")).withColumn("range", F.floor(F.col("place") / (sequences * capacity)))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("place", ignore_index=True)
+        length = part["length"].to_numpy()
+        places = Places(best_fit(part["length"].value_counts().to_dict(), capacity))
+        sequence, offset = places(length, part.groupby("length").cumcount().to_numpy())
+        mean = np.bincount(sequence, weights=length * (part["place"].to_numpy() - part["place"].iat[0])) / np.bincount(sequence, weights=length)
+        number = np.argsort(np.argsort(mean, kind="stable"), kind="stable")
+        return part.drop(columns="place").assign(local=number[sequence], offset=offset)
+
+    packed = written(ranged.groupBy("range").applyInPandas(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, range bigint, local bigint, offset bigint"), "packing-ranges")
+    sizes = packed.groupBy("range").agg((F.max("local") + 1).alias("n")).orderBy("range").collect()
+    ends = np.cumsum([r["n"] for r in sizes]).tolist()
+    first = docs.sparkSession.createDataFrame([(r["range"], end - r["n"]) for r, end in zip(sizes, ends, strict=True)], "range bigint, first bigint")
+    return packed.join(F.broadcast(first), "range").select(*names, (F.col("first") + F.col("local")).alias("sequence_id"), "offset")
