@@ -218,3 +218,22 @@ def test_mix_follows_the_schedule(spark):
         seen[r["source"]] += 1
         if t % 4 == 0:
             assert all(abs(seen[s] - w * t) < 4 for s, w in shares.items())
+
+
+def test_mix_follows_the_weights_over_many_cycles(spark):
+    docs = spark.createDataFrame([(k, "hot" if k % 3 == 0 else f"s{k % 20}") for k in range(6000)], "doc_id bigint, source string")
+    rows = sorted(mixing.mix(docs, block=1).collect(), key=lambda r: r["position"])
+    sizes = collections.Counter(r["source"] for r in rows)
+    weights = {s: n**0.5 / sum(x**0.5 for x in sizes.values()) for s, n in sizes.items()}
+    seen = collections.Counter()
+    for t, r in enumerate(rows[: int(min(sizes[s] / w for s, w in weights.items()))], 1):
+        seen[r["source"]] += 1
+        assert all(abs(seen[s] - w * t) < 1 for s, w in weights.items())
+    assert t > 3000
+
+
+def test_mix_keeps_small_weights(spark):
+    docs = spark.createDataFrame([(k, f"s{k % 20}") for k in range(8000)], "doc_id bigint, source string")
+    weights = spark.createDataFrame([(f"s{k}", 0.001 if k == 0 else 0.999 / 19) for k in range(20)], "source string, weight double")
+    rows = sorted(mixing.mix(docs, weights, block=1).collect(), key=lambda r: r["position"])
+    assert abs(sum(r["source"] == "s0" for r in rows[:7000]) - 7) <= 1

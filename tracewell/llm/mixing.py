@@ -2,8 +2,8 @@
 
 A source of weight w gets one block in every window of 1/w slots: its block i (from 0) may start at slot
 floor(i/w) and must end by slot ceil((i+1)/w). Earliest deadline first meets all windows, so that after any slot
-each source lies less than one block from its share. Weights are whole numbers of quanta that add up to one cycle,
-after which all windows repeat; one cycle is scheduled, and every block finds its slot by its number.
+each source lies less than one block from its share. Weights are whole numbers of very small quanta; all blocks are
+scheduled, in time that grows with their number, and every block finds its slot by its number.
 """
 
 from __future__ import annotations
@@ -14,8 +14,12 @@ from pyspark.sql import Window as W
 
 #: Documents in a block.
 BLOCK = 16
-#: Slots in a cycle for each source; a source's weight is rounded to a whole number of slots, one at least.
+#: Slots in a cycle for each source; cycles only number the slots, weights aren't rounded to them.
 SLOTS_PER_SOURCE = 32
+#: Quanta that all weights are divided into: so many that over 2**24 blocks rounding moves a source by less than 1/1,000 block, and whole numbers stay below 2**63.
+QUANTA = 2**38
+#: Slots that the schedule gathers at a time.
+RUN = 1024
 #: Default target: shares in proportion to the number of documents to this power.
 POWER = 0.5
 #: Rows that one task numbers at a time, about.
@@ -52,35 +56,44 @@ def quanta(weights: DataFrame, slots_per_source: int = SLOTS_PER_SOURCE) -> Data
 
 
 def cycle_slots(shares: DataFrame) -> DataFrame:
-    """(source, turn, slot) of one cycle, by earliest deadline first among released blocks; ties go to the source that sorts first.
+    """(source, turn, slot) of one cycle, in which each source has as many blocks as quanta."""
+    return schedule(shares.withColumn("n", F.col("q")))
 
-    The one row that is folded has an entry for each source and runs over one cycle of slots: its size follows
-    the number of sources, not of documents.
+
+def schedule(shares: DataFrame) -> DataFrame:
+    """(source, turn, slot) of all ``n`` blocks of each source of (source, q, cycle, n), the share of a source being q / cycle.
+
+    Earliest deadline first among released blocks, and among all next blocks where none is released, as happens once a
+    source has ended; ties go to the source that sorts first. The one row that is folded has an entry for each source
+    and runs over as many slots as there are blocks; picks are gathered in runs of ``RUN``, so that appending stays cheap.
     """
     one = shares.agg(
-        F.array_sort(F.collect_list(F.struct("source", "q", F.lit(0).cast("long").alias("done")))).alias("start"),
+        F.array_sort(F.collect_list(F.struct("source", "q", "n", F.lit(0).cast("long").alias("done")))).alias("start"),
         F.max("cycle").alias("cycle"),
-    )
+        F.sum("n").alias("blocks"),
+    ).where("blocks > 0")
     # deadline of block i: ceil((i + 1) * cycle / q); released once i * cycle < q * (slot + 1), all in whole numbers
-    folded = one.selectExpr(
-        """aggregate(
-             sequence(0L, cycle - 1),
-             named_struct('state', start, 'picked', cast(array() as array<int>)),
-             (acc, slot) -> with_pick(acc, slot)
-           ).picked AS picked""".replace(
-            "with_pick(acc, slot)",
-            """transform(array(array_min(transform(acc.state, (s, k) ->
-                 if(s.done < s.q and s.done * cycle < s.q * (slot + 1),
-                    named_struct('deadline', -((-(s.done + 1) * cycle) div s.q) + if((s.done + 1) * cycle % s.q > 0, 1L, 0L), 'k', k),
-                    cast(null as struct<deadline:bigint,k:int>))))),
+    step = """transform(array(array_min(transform(acc.state, (s, k) ->
+                 if(s.done < s.n,
+                    named_struct('waits', if(s.done * cycle < s.q * (slot + 1), 0, 1), 'deadline', ((s.done + 1) * cycle + s.q - 1) div s.q, 'k', k, 'turn', s.done),
+                    cast(null as struct<waits:int,deadline:bigint,k:int,turn:bigint>))))),
                best -> named_struct(
-                 'state', transform(acc.state, (s, k) -> if(k = best.k, named_struct('source', s.source, 'q', s.q, 'done', s.done + 1), s)),
-                 'picked', concat(acc.picked, array(best.k))))[0]""",
-        ),
+                 'state', transform(acc.state, (s, k) -> if(k = best.k, named_struct('source', s.source, 'q', s.q, 'n', s.n, 'done', s.done + 1), s)),
+                 'picked', concat(acc.picked, array(named_struct('k', best.k, 'turn', best.turn)))))[0]"""
+    run = f"""aggregate(
+                sequence(c * {RUN}L, least((c + 1) * {RUN}L, blocks) - 1),
+                named_struct('state', whole.state, 'picked', cast(array() as array<struct<k:int,turn:bigint>>)),
+                (acc, slot) -> {step})"""
+    folded = one.selectExpr(
+        f"""aggregate(
+             sequence(0L, (blocks - 1) div {RUN}),
+             named_struct('state', start, 'picked', cast(array() as array<array<struct<k:int,turn:bigint>>>)),
+             (whole, c) -> transform(array({run}), r -> named_struct('state', r.state, 'picked', concat(whole.picked, array(r.picked))))[0]
+           ).picked AS picked""",
         "start",
     )
-    slots = folded.selectExpr("posexplode(picked) AS (slot, k)", "start").selectExpr("start[k].source AS source", "cast(slot as bigint) AS slot")
-    return slots.select("source", "slot", (F.row_number().over(W.partitionBy("source").orderBy("slot")) - 1).alias("turn"))
+    runs = folded.selectExpr("posexplode(picked) AS (c, picks)", "start").selectExpr("c", "posexplode(picks) AS (at, pick)", "start")
+    return runs.selectExpr("start[pick.k].source AS source", f"cast(c as bigint) * {RUN} + at AS slot", "pick.turn AS turn")
 
 
 def numbered(docs: DataFrame, rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -110,29 +123,30 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, s
 
     ``weights`` has (source, weight); without it ``default_weights`` sets the target. A null source is a source of
     its own; one that isn't in ``weights`` gets the least quantum. The last block of a source may be short. While
-    all sources last, each lies less than one block from its share after any block; a source that has ended leaves
-    its slots out and the others keep their order, so positions rise with gaps. Rows repeated whole are documents
+    all sources last, each lies less than one block from its weight after any block; once a source has ended, the
+    others go on by their deadlines. Positions have gaps only after short blocks. Rows repeated whole are documents
     of their own. An empty table gives an empty mix. Other columns stay.
     """
     docs = docs.drop(*ADDED)
     sizes = docs.groupBy("source").agg(F.count("*").alias("n"))
-    rows = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows, sources = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     if weights is None:
         target = default_weights(sizes, power)
     else:
         given = weights.groupBy(F.col("source").alias("__mix_w")).agg(F.max("weight").alias("weight"))
         target = sizes.join(given, F.col("source").eqNullSafe(F.col("__mix_w")), "left").select("source", "weight")
-    shares = quanta(target, slots_per_source)
-    of = shares.select(F.col("source").alias("__mix_s2"), "q", F.col("cycle").alias("length"))
-    plan = cycle_slots(shares).join(of, F.col("source").eqNullSafe(F.col("__mix_s2"))).groupBy("__mix_s2").agg(
-        F.first("q").alias("__mix_q"), F.first("length").alias("__mix_len"), F.transform(F.array_sort(F.collect_list(F.struct("turn", "slot"))), lambda x: x["slot"]).alias("__mix_slots")
-    )
+    # a row for each source in both
+    blocks = sizes.select(F.col("source").alias("__mix_s2"), F.ceil(F.col("n") / block).alias("n"))
+    shares = quanta(target, QUANTA // max(sources, 1)).join(F.broadcast(blocks), F.col("source").eqNullSafe(F.col("__mix_s2"))).drop("__mix_s2")
+    plan = schedule(shares).groupBy(F.col("source").alias("__mix_s2")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "slot"))), lambda x: x["slot"]).alias("__mix_slots"))
+    length = max(sources, 1) * slots_per_source
     number = numbered(docs, rows)
     placed = number.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("__mix_s2")))  # a row for each source
     placed = (
         placed.withColumn("block", F.floor(F.col("__mix_number") / block))
-        .withColumn("cycle", F.floor(F.col("block") / F.col("__mix_q")))
-        .withColumn("slot", F.get("__mix_slots", F.pmod("block", F.col("__mix_q")).cast("int")))
-        .withColumn("position", (F.col("cycle") * F.col("__mix_len") + F.col("slot")) * block + F.pmod("__mix_number", F.lit(block)))
+        .withColumn("__mix_slot", F.get("__mix_slots", F.col("block").cast("int")))
+        .withColumn("cycle", F.floor(F.col("__mix_slot") / length))
+        .withColumn("slot", F.pmod("__mix_slot", F.lit(length)))
+        .withColumn("position", F.col("__mix_slot") * block + F.pmod("__mix_number", F.lit(block)))
     )
     return placed.select(*docs.columns, *ADDED)
