@@ -195,6 +195,21 @@ def test_nearest_neighbours_recall(vectors):
     assert hit >= 0.9 * total
 
 
+def test_nearest_neighbours_in_a_dense_group():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.normal(size=(6_667, 64))
+    x[:6_667] = x[0] + 0.3 * off / np.linalg.norm(off, axis=1, keepdims=True)
+    ids = np.arange(len(x))
+    names = [*range(100, 200), *range(10_000, 10_100)]
+    mean, rotation = mih.learn(x[::5])
+    got = mih.neighbours(x, ids, x[names], names, mean, rotation, 10, mih.RERANK)
+    true = [mih.ranked(x, ids, ids, x[n], n, 10)[0] for n in names]
+    hit = [len(set(a) & set(b)) / 10 for (a, _), b in zip(got, true, strict=True)]
+    assert np.mean(hit[:100]) >= 0.9 and np.mean(hit[100:]) >= 0.9
+
+
 def test_every_code_within_the_radius_is_found():
     rng = np.random.default_rng(0)
     code = rng.integers(0, 1 << 16, (2000, 8)).astype(np.uint16)

@@ -20,8 +20,10 @@ SAMPLE = 4096
 #: Vectors of a shard and queries of a block, about.
 SHARD_ROWS = 20_000
 QUERY_ROWS = 4_096
-#: The radius widens until a shard has this many codes within it; floats then rank them.
+#: The radius widens until a shard has this many codes within it; floats then rank them. Audits double it where that isn't enough.
 RERANK = 600
+#: Groups of queries by radius, queries of each that are compared with the whole shard, and the share of neighbours they must find.
+GROUPS, AUDIT, RECALL = 8, 32, 0.95
 
 
 def learn(sample: np.ndarray, bits: int = BITS, rounds: int = 15, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +81,42 @@ class Index:
         return order[: len(distance)]
 
 
+def ranked(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, vector: np.ndarray, name: object, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, distances) of the ``k`` nearest of ``rows``, without the one called ``name``."""
+    rows = rows[ids[rows] != name]
+    score = np.sqrt(((x[rows] - vector) ** 2).sum(axis=1))
+    best = np.lexsort((ids[rows], score))[:k]
+    return rows[best], score[best]
+
+
+def neighbours(x: np.ndarray, ids: np.ndarray, q: np.ndarray, names: list, mean: np.ndarray, rotation: np.ndarray, k: int, rerank: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, distances) for each query, nearest first.
+
+    Queries are grouped by the radius that holds ``rerank`` codes, which is small in dense places. Some of each group are
+    compared with all rows; where they find too few of their neighbours, the group ranks twice as many codes, up to all.
+    """
+    index, asked = Index(codes(x, mean, rotation)), codes(q, mean, rotation)
+    all_rows = np.arange(len(x))
+
+    def found(i: int, least: int) -> tuple[np.ndarray, np.ndarray, int]:
+        rows = index.nearest(asked[i], least + 1) if least < len(x) else all_rows
+        return *ranked(x, ids, rows, q[i], names[i], k), int(np.bitwise_count(index.code[rows] ^ asked[i]).sum(axis=1).max())
+
+    first = [found(i, rerank) for i in range(len(q))]
+    out = [f[:2] for f in first]
+    for group in np.array_split(np.argsort([f[2] for f in first], kind="stable"), GROUPS):
+        sample = group[np.unique(np.linspace(0, len(group) - 1, min(AUDIT, len(group))).astype(int))]
+        true = [ranked(x, ids, all_rows, q[i], names[i], k)[1] for i in sample] if rerank < len(x) else []
+        least, have = rerank, [out[i] for i in sample]
+        while least < len(x) and sum((h[1] <= t[len(t) - 1]).sum() for h, t in zip(have, true, strict=True) if len(t)) < RECALL * sum(map(len, true)):
+            least *= 2
+            have = [found(i, least)[:2] for i in sample]
+        if least > rerank:
+            for i in group:
+                out[i] = found(i, least)[:2]
+    return out
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = RERANK, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found of each query, by Euclidean distance in doubles.
 
@@ -103,13 +141,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = RE
         x, q, ids = matrix(own["embedding"], d), matrix(ask["embedding"], d), own["vec_id"].to_numpy()
         out = []
         if len(own) and len(ask):
-            index = Index(codes(x, mean, rotation))
-            for name, vector, code in zip(ask["vec_id"].tolist(), q, codes(q, mean, rotation), strict=True):
-                rows = index.nearest(code, rerank + 1)
-                rows = rows[ids[rows] != name]
-                score = np.sqrt(((x[rows] - vector) ** 2).sum(axis=1))
-                best = np.lexsort((ids[rows], score))[:k]
-                out.append(pd.DataFrame({"query_id": name, "vec_id": ids[rows[best]], "score": score[best]}))
+            names = ask["vec_id"].tolist()
+            for name, (rows, score) in zip(names, neighbours(x, ids, q, names, mean, rotation, k, rerank), strict=True):
+                out.append(pd.DataFrame({"query_id": name, "vec_id": ids[rows], "score": score}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     found = placed.groupBy("shard", "block").cogroup(spread.groupBy("shard", "block")).applyInPandas(run, "query_id bigint, vec_id bigint, score double")
