@@ -168,6 +168,28 @@ def test_embedding_dedup_equals_brute_force(vectors, shard_rows):
     assert sum(got[k]["component_id"] == v for k, v in root.items()) >= 0.99 * len(root)
 
 
+@pytest.mark.parametrize("across", (False, True))
+def test_sparse_links_are_found(across):
+    """Thirty pairs in a broad cluster of 4,000 rows."""
+    rng = np.random.default_rng(5)
+
+    def unit(*size):
+        x = rng.normal(size=size)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    centre, around = unit(1, 256), unit(4000, 256)
+    x = centre + 0.6 * around
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:60:2] = x[1:60:2] + 0.3 * unit(30, 256)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True))[rng.permutation(4000)]
+    a, b = (x[:2000], x[2000:]) if across else (x, x)
+    true, got = b @ a.T >= 0.93, hnsw.linked(a, b, 0.93)
+    if not across:
+        np.fill_diagonal(true, False)
+        np.fill_diagonal(got, False)
+    assert true.any() and not (got & ~true).any() and (got & true).sum() >= 0.99 * true.sum()
+
+
 def test_graph_search_recall():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 32)).astype(np.float32)

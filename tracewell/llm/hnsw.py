@@ -19,7 +19,7 @@ BEAM = 64
 SHARD_ROWS = 8_192
 #: Rows searched at a time.
 BATCH = 1_024
-#: Audited rows of a task, and the share of their true links that a search must find.
+#: Audited rows with links of a task, and the share of their true links that a search must find.
 AUDIT, RECALL = 128, 0.99
 
 
@@ -128,11 +128,29 @@ class Hnsw:
         return search(self.x, self.levels[-1][1], q, entry, beam)
 
 
+def audited(x: np.ndarray, q: np.ndarray, threshold: float, audit: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(queries, their links to other rows) of ``audit`` queries or more that have links, in a fixed random order; None if a quarter of the queries hold fewer."""
+    order = np.random.default_rng(13).permutation(len(q))[: max(audit, len(q) // 4)]
+    queries, links = [], []
+    for low in range(0, len(order), audit):
+        part = order[low : low + audit]
+        link = q[part] @ x.T >= threshold
+        if q is x:
+            link[np.arange(len(part)), part] = False
+        some = link.any(axis=1)
+        queries.append(part[some])
+        links.append(link[some])
+        if sum(map(len, queries)) >= audit:
+            return np.concatenate(queries), np.concatenate(links)
+    return None
+
+
 def linked(x: np.ndarray, q: np.ndarray, threshold: float, audit: int = AUDIT, recall: float = RECALL, beam: int = BEAM) -> np.ndarray:
     """(queries x rows) of booleans: the links found, none of them below ``threshold`` in doubles. Rows have length 1.
 
-    A query whose whole beam lies above the threshold is asked again with a wider beam. An audit compares some
-    queries with all rows and widens every beam until it passes. A beam that would see as many rows as there are, and
+    A query whose whole beam lies above the threshold is asked again with a wider beam. An audit compares
+    queries with all rows until enough with links to other rows were seen, and widens every beam until these find their
+    links; where links are too sparse for that, all queries are compared with all rows. A beam that would see as many rows as there are, and
     any of a quarter of the rows, gives way to a comparison with all of them.
     """
     out = np.zeros((len(q), len(x)), dtype=bool)
@@ -140,9 +158,8 @@ def linked(x: np.ndarray, q: np.ndarray, threshold: float, audit: int = AUDIT, r
         return out
     narrow, wide = x.astype(np.float32), q.astype(np.float32)
     edge = threshold - 1e-4
-    sample = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int))
-    truth = q[sample] @ x.T >= threshold
-    graph = Hnsw(narrow) if 4 * beam < len(x) else None
+    truth = audited(x, q, threshold, audit) if 4 * beam < len(x) else None
+    graph = Hnsw(narrow) if truth else None
     while True:
         open_ = np.arange(len(q))
         out[:] = False
@@ -165,7 +182,10 @@ def linked(x: np.ndarray, q: np.ndarray, threshold: float, audit: int = AUDIT, r
             for a in range(0, len(i), 1 << 17):
                 s = slice(a, a + (1 << 17))
                 out[low + i[s], j[s]] = np.einsum("ij,ij->i", q[low + i[s]], x[j[s]]) >= threshold
-        if graph is None or 4 * beam >= len(x) or (out[sample] & truth).sum() >= recall * truth.sum():
+        if graph is None or 4 * beam >= len(x):
+            return out
+        true, hit = truth[1].sum(axis=1), (out[truth[0]] & truth[1]).sum(axis=1)
+        if hit.sum() >= recall * true.sum() and (hit / true).mean() >= recall:
             return out
         beam *= 2
 
