@@ -306,6 +306,15 @@ def truncate_text(t):
     return plain.select("doc_id", F.length("text").cast("long").alias("n"), redact.truncate(F.col("text"), 2000).alias("cut"))
 
 
+@query(
+    f"WITH c AS (SELECT doc_id, {_redact_sql('text')} AS t FROM documents) SELECT doc_id, length(t)::BIGINT AS n, "
+    "substr(t, 1, 2000) || CASE WHEN length(t) > 2000 THEN chr(10) || '... (truncated, ' || length(t) || ' chars total)' ELSE '' END AS cut FROM c"
+)
+def truncate_redacted(t):
+    clean = redact.redact(F.col("text"))
+    return t("documents").select("doc_id", F.length(clean).cast("long").alias("n"), redact.truncate(F.col("text"), 2000).alias("cut"))
+
+
 @query("SELECT lang, count(*) AS docs, sum(length(text))::BIGINT AS chars, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS lines FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def char_totals(t):
     docs = t("documents").where("text is not null")
