@@ -237,3 +237,9 @@ def test_mix_keeps_small_weights(spark):
     weights = spark.createDataFrame([(f"s{k}", 0.001 if k == 0 else 0.999 / 19) for k in range(20)], "source string, weight double")
     rows = sorted(mixing.mix(docs, weights, block=1).collect(), key=lambda r: r["position"])
     assert abs(sum(r["source"] == "s0" for r in rows[:7000]) - 7) <= 1
+
+
+def test_wide_characters_end_no_word():
+    buf = np.frombuffer("a\U0002000ab cd".encode(), dtype=np.uint8)
+    _, begin, inverse = langid.grams(buf, np.array([0, 7]), np.array([6, 9]), np.array([1, 2]))
+    assert len(begin) == 2 and inverse.tolist() == [0, 1]

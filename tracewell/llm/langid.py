@@ -24,8 +24,8 @@ def grams(buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray):
     """Distinct words' character 4-grams.
 
     Returns (packed 4-grams of each distinct word in turn, first 4-gram of each distinct word, word -> distinct word).
-    A word has lower case, a mark before and after it; contexts don't reach over words. A 4-gram packs the
-    low 16 bits of four characters, the predicted one last, zeros before the word.
+    A word has lower case, a mark before and after it; contexts don't reach over words. A 4-gram packs
+    four characters of 16 bits, the predicted one last, zeros before the word.
     """
     _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
     s, e = start[first], end[first]
@@ -33,7 +33,8 @@ def grams(buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray):
     where = np.repeat(s - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
     joined = buf[np.minimum(where, len(buf) - 1)]
     joined[np.cumsum(sizes) - 1] = 10
-    chars = np.frombuffer(joined.tobytes().decode("utf-8", "replace").lower().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) & np.uint64(0xFFFF)
+    chars = np.frombuffer(joined.tobytes().decode("utf-8", "replace").lower().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    chars = np.where(chars > 0xFFFF, 0xE000 + chars % 0x1900, chars).astype(np.uint64)  # into the private range, which never gives the mark
     stop = np.flatnonzero(chars == 10)
     begin = np.concatenate(([0], stop[:-1] + 1))
     age = np.arange(len(chars)) - np.repeat(begin, stop - begin + 1)
