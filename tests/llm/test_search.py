@@ -8,6 +8,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tracewell.llm import components, hnsw, jaccard, lm, mih, suffix_dedup
@@ -59,6 +61,18 @@ def test_suffix_dedup_edges(spark, nasty, empty):
     assert got == [(1, 0), (1, 0), (2, 299), (2, 299)]  # all but the first byte lie in a window that starts later
 
 
+def test_suffix_dedup_of_a_very_long_text(spark, tmp_path):
+    size = 64 << 20
+    long = np.random.default_rng(4).integers(33, 127, size).astype(np.uint8)
+    long[-1000:] = long[suffix_dedup.BLOCK - 500 : suffix_dedup.BLOCK + 500]  # over the edge of two blocks
+    texts = [long.tobytes().decode(), long[40_000_000:40_005_000].tobytes().decode()]
+    pq.write_table(pa.table({"doc_id": [1, 2], "text": texts}), tmp_path / "long.parquet")
+    rows = {r["doc_id"]: r for r in suffix_dedup.dedup(spark.read.parquet(str(tmp_path / "long.parquet")), keep=False).collect()}
+    assert (rows[1]["n_bytes"], rows[1]["n_removed"], rows[1]["n_spans"]) == (size, 1000, 1)
+    assert rows[1]["kept_sha256"] == hashlib.sha256(long[:-1000].tobytes()).hexdigest()
+    assert (rows[2]["n_removed"], rows[2]["n_spans"]) == (5000, 1)
+
+
 def test_multikey_sort_orders_strings():
     rng = np.random.default_rng(0)
     buf = rng.integers(97, 99, 5000).astype(np.uint8)

@@ -40,7 +40,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), keep=False)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
