@@ -1,15 +1,18 @@
 """Language-model scoring: a log-bilinear model trained by noise-contrastive estimation, and exact corpus counts.
 
-The corpus is cut into chunks that keep their token numbers in a written table. Counts come from all training
-documents: every chunk sends its distinct tokens, by hash range, to where they are added up, and gets the totals
-back. The model predicts the class of a token from the classes of the two tokens before it; frequent tokens are
-classes of their own, all others share a class with tokens of a like form, within which corpus counts rule. Its
-normaliser depends on the context alone and comes from batched matrix products.
+Documents are dealt into chunks by a hash of what they are, so that neither counts nor the model depend on how the
+input is laid out; chunks keep their token numbers in a written table. Counts come from all training documents: every
+chunk sends its distinct tokens, by hash range, to where they are added up, and gets the totals back.
+
+Frequent tokens, the more the larger the corpus, have vectors of their own. The vector predicted for a token comes
+from the two tokens before it and the mean of those before in its document. It gives the token's class first: classes
+of frequent tokens of like frequency, and forms (length and ending) of all others. Within a class of frequent tokens
+it then gives the token, within a form corpus counts do. Both steps are normalised by batched matrix products, so the
+probabilities of all tokens, with one unknown of each form, add up to 1.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,15 +24,23 @@ from pyspark.sql import functions as F
 from tracewell.llm import text as tx
 from tracewell.llm.store import buckets_for, delete_written, written
 
-#: Frequent tokens that are classes of their own.
-HEAD = 488
-#: Classes of other tokens: by a coarse form of the token.
-FORMS = 24
-DIM = 24
-#: Noise tokens for a true one.
-NOISE = 16
-EPOCHS = 1
+#: Tokens with vectors of their own: at most this many times the root of the number of training tokens, and no more than OWN_MOST (50 MB of vectors).
+OWN_RATE, OWN_MOST = 2.0, 1 << 18
+#: A token with a vector of its own occurs so often, at least.
+OWN_COUNT = 5
+#: Classes of other tokens: by length and ending.
+FORMS = 32
+DIM = 16
+#: Noise for a true class (in expectation) and for a true token of a class (drawn).
+NOISE, DRAWN = 16, 4
+#: Rounds of training; every chunk trains on another part of its documents in each, and their mean begins the next.
+ROUNDS = 2
+RATE = 0.3
 SMOOTH = 0.1
+#: Bytes of text in a chunk, about, and chunks of a task.
+CHUNK_BYTES, CHUNKS_PER_TASK = 4 << 20, 16
+#: Tokens whose mean is the history of the next one, at most, and tokens of a step of training, about.
+HISTORY, BATCH = 4_096, 4_096
 #: Distinct tokens of chunks that one task adds up, about.
 BUCKET_TOKENS = 400_000
 #: Hash of the token that ends every document; it is no word's.
@@ -37,61 +48,92 @@ END = np.uint64(0)
 
 
 def form(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A class from 0 to FORMS-1 by length, letters outside ASCII, and digits or signs."""
-    n = end - start
-    length = np.minimum((n - 1) // 3, 3)
-    after = np.concatenate(([0], np.cumsum(buf >= 128)))
-    foreign = after[end] - after[start]
-    letters = np.concatenate(([0], np.cumsum(~tx.NOT_LETTER[buf])))
-    sign = (letters[end] - letters[start]) < n
-    return (length * 6 + np.minimum(foreign // 2, 2) * 2 + sign).astype(np.int64)
-
-
-CHUNK = "chunk string, doc_ids binary, has_id binary, held binary, ends binary, tokens binary, hashes binary, forms binary, counts binary, n_distinct bigint, n_train bigint"
+    """A class from 0 to FORMS-1 by length and the last two bytes."""
+    tail = buf[end - 1].astype(np.uint64) * np.uint64(256) + np.where(end - start > 1, buf[np.maximum(end - 2, 0)], 0).astype(np.uint64)
+    return ((tx.mix(tail) % np.uint64(FORMS // 2)).astype(np.int64) * 2 + (end - start > 6)).astype(np.int64)
+
+
+def hashed(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, hash, form) of every word, worked on in pieces that end at white space."""
+    out, low = [], 0
+    while low < len(buf):
+        high = min(len(buf), low + CHUNK_BYTES)
+        while high < len(buf) and not tx.SPACE[buf[high]] and high not in off:
+            gap = np.flatnonzero(tx.SPACE[buf[high : high + 65_536]])
+            high = high + int(gap[0]) if len(gap) else min(len(buf), high + 65_536)
+        piece = buf[low:high]
+        start, end, doc, h = tx.word_hashes(piece, np.clip(off, low, high) - low)
+        out.append((doc, h, form(piece, start, end)))
+        low = high
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+CHUNK = "chunk string, number bigint, doc_ids binary, has_id binary, held binary, ends binary, tokens binary, hashes binary, forms binary, counts binary, n_distinct bigint, n_train bigint"
+
+
+def dealt(batches):
+    """(block, number within it, rows) of chunks: rows sorted by block, cut where CHUNK_BYTES are full, wherever batches end."""
+    held, block, number, size = [], None, 0, 0
+    for batch in batches:
+        begin = 0
+        blocks = batch.column("block").to_pylist()
+        for k, (b, n) in enumerate(zip(blocks, np.diff(tx.offsets(batch.column("text"))).tolist(), strict=True)):
+            if b != block or (size and size + n > 2 * CHUNK_BYTES):
+                held.append(batch.slice(begin, k - begin))
+                if block is not None and size >= 0:
+                    yield block, number, held
+                held, begin, size = [], k, 0
+                number = number + 1 if b == block else 0
+                block = b
+            size += n
+        held.append(batch.slice(begin))
+    if block is not None:
+        yield block, number, held
 
 
 def chunks(docs: DataFrame, folds: int, held_out_fold: int) -> DataFrame:
-    """One row per couple of MB of text: distinct token hashes with forms and training counts, and the tokens as numbers of these."""
+    """One row per chunk: distinct token hashes with forms and training counts, and the tokens as numbers of these."""
 
     def run(batches):
-        for batch in batches:
-            for part in tx.slices(batch, "text", 4 << 20):
-                buf, off = tx.texts(part.column("text"))
-                low = tx.lower_ascii(buf)
-                start, end, doc, h = tx.word_hashes(low, off)
-                n = part.num_rows
-                held = part.column("held").to_numpy(zero_copy_only=False).astype(bool)
-                hashes, first, at = np.unique(np.maximum(h, 1), return_index=True, return_inverse=True)
-                kinds = form(low, start[first], end[first]) if len(h) else np.zeros(0, np.int64)
-                hashes = np.append(END, hashes)  # the end token stands first
-                kinds = np.append(0, kinds)
-                many = np.bincount(doc, minlength=n)
-                ends = np.cumsum(many + 1)
-                tokens = np.zeros(int(ends[-1]), dtype=np.uint32)
-                tokens[np.arange(len(at)) + doc] = at + 1
-                train = np.repeat(~held, many + 1)
-                counts = np.bincount(tokens[train], minlength=len(hashes))
-                ids = part.column("doc_id")
-                row = {
-                    "chunk": uuid.uuid4().hex,
-                    "doc_ids": ids.fill_null(0).to_numpy().astype("<i8").tobytes(),
-                    "has_id": ids.is_valid().to_numpy(zero_copy_only=False).tobytes(),
-                    "held": held.tobytes(),
-                    "ends": ends.astype("<i8").tobytes(),
-                    "tokens": tokens.tobytes(),
-                    "hashes": hashes.tobytes(),
-                    "forms": kinds.astype(np.uint8).tobytes(),
-                    "counts": counts.astype("<u4").tobytes(),
-                    "n_distinct": len(hashes),
-                    "n_train": int(train.sum()),
-                }
-                yield pa.RecordBatch.from_pylist([row], schema=_CHUNK)
-
-    known = docs.select("doc_id", "text", F.coalesce(tx.fold("doc_id", folds) == held_out_fold, F.lit(False)).alias("held"))
-    return known.mapInArrow(run, CHUNK)
-
-
-_CHUNK = pa.schema([("chunk", pa.string()), *((c, pa.binary()) for c in ("doc_ids", "has_id", "held", "ends", "tokens", "hashes", "forms", "counts")), ("n_distinct", pa.int64()), ("n_train", pa.int64())])
+        for block, number, held in dealt(batches):
+            part = pa.Table.from_batches([x for x in held if x.num_rows]).combine_chunks()
+            buf, off = tx.texts(part.column("text").combine_chunks())
+            doc, h, kinds = hashed(tx.lower_ascii(buf), off)
+            n = part.num_rows
+            out = part.column("held").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+            hashes, first, at = np.unique(np.maximum(h, 1), return_index=True, return_inverse=True)
+            hashes = np.append(END, hashes)  # the end token stands first
+            kinds = np.append(0, kinds[first])
+            many = np.bincount(doc, minlength=n)
+            ends = np.cumsum(many + 1)
+            tokens = np.zeros(int(ends[-1]), dtype=np.uint32)
+            tokens[np.arange(len(at)) + doc] = at + 1
+            train = np.repeat(~out, many + 1)
+            ids = part.column("doc_id").combine_chunks()
+            row = {
+                "chunk": f"{block}-{number}",
+                "number": block * 1_000_003 + number,
+                "doc_ids": ids.fill_null(0).to_numpy().astype("<i8").tobytes(),
+                "has_id": ids.is_valid().to_numpy(zero_copy_only=False).tobytes(),
+                "held": out.tobytes(),
+                "ends": ends.astype("<i8").tobytes(),
+                "tokens": tokens.tobytes(),
+                "hashes": hashes.tobytes(),
+                "forms": kinds.astype(np.uint8).tobytes(),
+                "counts": np.bincount(tokens[train], minlength=len(hashes)).astype("<u4").tobytes(),
+                "n_distinct": len(hashes),
+                "n_train": int(train.sum()),
+            }
+            yield pa.RecordBatch.from_pylist([row], schema=_CHUNK)
+
+    known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(tx.fold("doc_id", folds) == held_out_fold, F.lit(False)).alias("held"))
+    size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = buckets_for(size, CHUNK_BYTES)
+    keyed = known.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("block", F.pmod("key", F.lit(blocks)))
+    return spread(keyed, blocks, "block", CHUNKS_PER_TASK).sortWithinPartitions("block", "key", "doc_id").drop("key").mapInArrow(run, CHUNK)
+
+
+_CHUNK = pa.schema([("chunk", pa.string()), ("number", pa.int64()), *((c, pa.binary()) for c in ("doc_ids", "has_id", "held", "ends", "tokens", "hashes", "forms", "counts")), ("n_distinct", pa.int64()), ("n_train", pa.int64())])
 
 
 def added_up(table: DataFrame, buckets: int) -> DataFrame:
@@ -126,210 +168,339 @@ def added_up(table: DataFrame, buckets: int) -> DataFrame:
         return pd.DataFrame({"bucket": part["bucket"].iat[0], **own})
 
     asked = table.select("chunk", "hashes", "forms", "counts").mapInArrow(send, "bucket int, chunk string, hashes binary, forms binary, counts binary")
-    return asked.groupBy("bucket").applyInPandas(add, "bucket int, chunk string, total binary, hashes binary, forms binary")
+    return spread(asked, buckets, "bucket").groupBy("bucket").applyInPandas(add, "bucket int, chunk string, total binary, hashes binary, forms binary")
+
+
+def spread(df: DataFrame, groups: int, key: str, each: int = 4) -> DataFrame:
+    """Rows dealt by ``key`` over as many partitions as hold ``each`` groups, so that partitions don't grow with the data."""
+    return df.repartition(max(-(-groups // each), min(groups, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))), key)
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def level(total: np.ndarray) -> np.ndarray:
+    """Counts on a scale of 16 steps for each doubling, from 0 to 1023."""
+    return np.minimum(np.floor(16 * np.log2(np.maximum(total, 1))), 1023).astype(np.int64)
+
+
 def statistics(totals: DataFrame) -> DataFrame:
-    """For each hash range: N, V, masses of the forms and its most frequent tokens."""
+    """For each hash range: N, V, tokens and kinds of the forms, and how many tokens there are of each level."""
 
     def run(batches):
         for batch in batches:
-            for total, hashes, forms in zip(*(batch.column(c).to_pylist() for c in ("total", "hashes", "forms")), strict=True):
-                t, h, f = np.frombuffer(total, "<i8"), np.frombuffer(hashes, np.uint64), np.frombuffer(forms, np.uint8)
-                top = np.lexsort((h, -t))[: HEAD + 1]
+            for total, forms in zip(*(batch.column(c).to_pylist() for c in ("total", "forms")), strict=True):
+                t, f = np.frombuffer(total, "<i8"), np.frombuffer(forms, np.uint8)
                 yield pa.RecordBatch.from_pylist(
                     [{
-                        "n": int(t.sum()), "v": len(t), "top_hash": h[top].view(np.int64).tolist(), "top_n": t[top].tolist(), "top_form": f[top].astype(int).tolist(),
+                        "n": int(t.sum()), "v": len(t), "levels": np.bincount(level(t), minlength=1024).tolist(),
                         "form_n": np.bincount(f, weights=t, minlength=FORMS).astype(np.int64).tolist(), "form_v": np.bincount(f, minlength=FORMS).astype(np.int64).tolist(),
                     }],
-                    schema=pa.schema([("n", pa.int64()), ("v", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("top_hash", "top_n", "top_form", "form_n", "form_v"))]),
+                    schema=pa.schema([("n", pa.int64()), ("v", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("levels", "form_n", "form_v"))]),
                 )
 
-    return totals.where("chunk is null").mapInArrow(run, "n bigint, v bigint, top_hash array<bigint>, top_n array<bigint>, top_form array<bigint>, form_n array<bigint>, form_v array<bigint>")
+    return totals.where("chunk is null").mapInArrow(run, "n bigint, v bigint, levels array<bigint>, form_n array<bigint>, form_v array<bigint>")
+
+
+def frequent(totals: DataFrame, least: int) -> DataFrame:
+    """(hash, n, form) of the training tokens of a level or higher ones."""
+
+    def run(batches):
+        for batch in batches:
+            for total, hashes, forms in zip(*(batch.column(c).to_pylist() for c in ("total", "hashes", "forms")), strict=True):
+                t, h, f = np.frombuffer(total, "<i8"), np.frombuffer(hashes, np.int64), np.frombuffer(forms, np.uint8)
+                own = (level(t) >= least) & (t >= OWN_COUNT)
+                yield pa.RecordBatch.from_arrays([pa.array(h[own]), pa.array(t[own]), pa.array(f[own].astype(np.int32))], names=["hash", "n", "form"])
+
+    return totals.where("chunk is null").mapInArrow(run, "hash bigint, n bigint, form int")
 
 
 @dataclass
 class Corpus:
-    """Training tokens N, distinct ones V, sorted head tokens with their classes, and counts and kinds of every class."""
+    """Training tokens N, distinct ones V, and the model's units.
+
+    Units are the tokens with vectors of their own, from the most frequent on, then the forms, then the mark that stands
+    before a document. ``own`` are the sorted hashes of the former, ``unit`` their units, ``unit_n`` their counts by unit,
+    ``begin`` the first unit of each of their classes and the end of the last; ``form_n`` and ``form_v`` are tokens and
+    kinds of the forms without them.
+    """
 
     n: int
     v: int
-    head: np.ndarray
-    head_class: np.ndarray
-    class_n: np.ndarray
-    class_v: np.ndarray
+    own: np.ndarray
+    unit: np.ndarray
+    unit_n: np.ndarray
+    begin: np.ndarray
+    form_n: np.ndarray
+    form_v: np.ndarray
+
+    @property
+    def words(self) -> int:
+        return len(self.own)
 
     @property
     def classes(self) -> int:
-        return len(self.class_n)
+        return len(self.begin) - 1 + FORMS
+
+    def class_n(self) -> np.ndarray:
+        """Tokens of every class: those of frequent tokens, then the forms."""
+        return np.concatenate((np.add.reduceat(self.unit_n, self.begin[:-1]) if self.words else np.zeros(0), self.form_n)).astype(float)
 
-    def class_of(self, hashes: np.ndarray, forms: np.ndarray) -> np.ndarray:
-        if not len(self.head):
+    def class_of(self, units: np.ndarray) -> np.ndarray:
+        return np.where(units < self.words, np.searchsorted(self.begin, units, side="right") - 1, units - self.words + len(self.begin) - 1)
+
+    def units_of(self, hashes: np.ndarray, forms: np.ndarray) -> np.ndarray:
+        if not self.words:
             return forms.astype(np.int64)
-        at = np.minimum(np.searchsorted(self.head, hashes), len(self.head) - 1)
-        return np.where(self.head[at] == hashes, self.head_class[at], forms.astype(np.int64))
+        at = np.minimum(np.searchsorted(self.own, hashes), self.words - 1)
+        return np.where(self.own[at] == hashes, self.unit[at], forms.astype(np.int64) + self.words)
 
 
 def corpus(totals: DataFrame) -> Corpus:
-    """Sums over the hash ranges; only head tokens and class masses come to the driver."""
+    """Sums over the hash ranges; only sums and the frequent tokens, of a bounded number, come to the driver."""
     each = written(statistics(totals), "lm-statistics")
     n, v = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    forms = each.select(F.posexplode(F.arrays_zip("form_n", "form_v")).alias("k", "x")).groupBy("k").agg(F.sum("x.form_n").alias("n"), F.sum("x.form_v").alias("v")).collect()
-    top = each.select(F.explode(F.arrays_zip("top_hash", "top_n", "top_form")).alias("x")).select("x.*").orderBy(F.desc("top_n"), "top_hash").limit(HEAD).collect()
-    class_n, class_v = np.zeros(FORMS + len(top)), np.zeros(FORMS + len(top))
-    for r in forms:
-        class_n[r["k"]], class_v[r["k"]] = r["n"], r["v"]
-    hashes = np.array([r["top_hash"] for r in top], dtype=np.int64).view(np.uint64)
-    own = np.arange(len(top)) + FORMS
-    for r, k in zip(top, own, strict=True):
-        class_n[r["top_form"]] -= r["top_n"]
-        class_v[r["top_form"]] -= 1
-        class_n[k], class_v[k] = r["top_n"], 1
-    order = np.argsort(hashes)
+    summed = lambda c, size: np.array([r["x"] for r in each.select(F.posexplode(c).alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").collect()] or [0] * size, dtype=np.int64)
+    levels, form_n, form_v = summed("levels", 1024), summed("form_n", FORMS), summed("form_v", FORMS)
+    above = np.cumsum(levels[::-1])[::-1]
+    few = np.flatnonzero(above <= min(OWN_RATE * n**0.5, OWN_MOST))
+    top = frequent(totals, int(few[0]) if len(few) else 1024).orderBy(F.desc("n"), "hash").collect()
     delete_written(each.sparkSession, each)
-    return Corpus(int(n), int(v), hashes[order], own[order], class_n, class_v)
+    counts = np.array([r["n"] for r in top], dtype=np.int64)
+    for r in top:
+        form_n[r["form"]] -= r["n"]
+        form_v[r["form"]] -= 1
+    hashes = np.array([r["hash"] for r in top], dtype=np.int64).view(np.uint64)
+    # classes of like weight, by the roots of the counts
+    share = np.cumsum(counts**0.5) / max((counts**0.5).sum(), 1)
+    many = int(len(top) ** 0.5 / 2)
+    begin = np.unique(np.concatenate(([0], np.searchsorted(share, np.arange(1, many) / max(many, 1)), [len(top)])))
+    order = np.argsort(hashes)
+    return Corpus(int(n), int(v), hashes[order], order, counts, begin, form_n, form_v)
 
 
-def grams(tokens: np.ndarray, ends: np.ndarray, of: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context number, class) of every token; before a document stand two marks, class number ``classes``."""
-    c = of[tokens]
-    k = classes + 1
-    one, two = np.full(len(c), classes), np.full(len(c), classes)
-    one[1:], two[2:] = c[:-1], c[:-2]
+def segments(ends: np.ndarray) -> np.ndarray:
+    """Begins of the documents and of every further HISTORY tokens of one, and the end."""
     first = np.concatenate(([0], ends[:-1]))
-    one[first] = two[first] = classes
-    second = first + 1
-    two[second[second < len(c)]] = classes
-    return two * k + one, c
+    many = -(-(ends - first) // HISTORY)
+    within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return np.append(np.repeat(first, many) + within * HISTORY, ends[-1:] if len(ends) else 0)
+
+
+def steps(begins: np.ndarray, size: int = BATCH) -> list[tuple[int, int]]:
+    """Runs of whole segments, of ``size`` tokens about, as ranges of ``begins``."""
+    out, low = [], 0
+    while low < len(begins) - 1:
+        high = max(low + 1, int(np.searchsorted(begins, begins[low] + size, side="right")) - 1)
+        out.append((low, high))
+        low = high
+    return out
 
 
 @dataclass
 class Bilinear:
-    """Class vectors r and q, diagonal maps of the two context places, and biases (log10 scale left to the scorer)."""
+    """Vectors r of the units as context, c of classes and w of tokens as what is predicted, with biases; diagonal maps of the context's places."""
 
     r: np.ndarray
-    q: np.ndarray
+    maps: np.ndarray
     c: np.ndarray
-    b: np.ndarray
-
-    def predicted(self, context: np.ndarray) -> np.ndarray:
-        k = len(self.r)
-        return self.r[context // k] * self.c[0] + self.r[context % k] * self.c[1]
-
-    def log_z(self, context: np.ndarray) -> np.ndarray:
-        """Log-normalisers of the contexts, by matrix products over batches."""
-        out = np.empty(len(context), dtype=np.float64)
-        for low in range(0, len(context), 4096):
-            s = self.predicted(context[low : low + 4096]) @ self.q.T + self.b
-            top = s.max(axis=1)
-            out[low : low + 4096] = top + np.log(np.exp(s - top[:, None]).sum(axis=1, dtype=np.float64))
+    cb: np.ndarray
+    w: np.ndarray
+    wb: np.ndarray
+
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.r, self.maps, self.c, self.cb, self.w, self.wb
+
+    def context(self, units: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Units one and two places before every token, its segment's begin, how many tokens its history has, and that history's mean."""
+        mark = len(self.r) - 1
+        at = np.arange(len(units))
+        first = np.repeat(begins[:-1], np.diff(begins))
+        one, two = np.full(len(units), mark), np.full(len(units), mark)
+        one[1:], two[2:] = units[:-1], units[:-2]
+        one[begins[:-1]] = two[begins[:-1]] = mark
+        two[np.minimum(begins[:-1] + 1, len(units) - 1)] = mark
+        seen = np.maximum(at - first, 1).astype(np.float32)
+        before = np.zeros((len(units) + 1, self.r.shape[1]))
+        np.cumsum(self.r[units], axis=0, out=before[1:])
+        mean = ((before[at] - before[first]) / seen[:, None]).astype(np.float32)
+        return one, two, first, seen, mean
+
+    def predicted(self, one: np.ndarray, two: np.ndarray, mean: np.ndarray) -> np.ndarray:
+        return self.r[one] * self.maps[0] + self.r[two] * self.maps[1] + mean * self.maps[2]
+
+    def log_prob(self, units: np.ndarray, ends: np.ndarray, stats: Corpus) -> np.ndarray:
+        """Natural logarithms of the normalised probabilities of units; for a form, of the form."""
+        out = np.empty(len(units))
+        begins = segments(ends)
+        for low, high in steps(begins, 8 * BATCH):
+            a, b = begins[low], begins[high]
+            own = units[a:b]
+            one, two, _, _, mean = self.context(own, begins[low : high + 1] - a)
+            p = self.predicted(one, two, mean)
+            kind = stats.class_of(own)
+            value = log_softmax(p @ self.c.T + self.cb, kind)
+            order = np.argsort(kind, kind="stable")
+            cut = np.searchsorted(kind[order], np.arange(len(stats.begin)))
+            for k in np.flatnonzero(np.diff(cut)):
+                i, members = order[cut[k] : cut[k + 1]], slice(stats.begin[k], stats.begin[k + 1])
+                value[i] += log_softmax(p[i] @ self.w[members].T + self.wb[members], own[i] - stats.begin[k])
+            out[a:b] = value
         return out
 
-    def log_prob(self, context: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the normalised class probabilities."""
-        k = len(self.q)
-        pair, at = np.unique(context * k + c, return_inverse=True)
-        contexts, place = np.unique(pair // k, return_inverse=True)
-        z = self.log_z(contexts)[place]
-        own = np.empty(len(pair))
-        for low in range(0, len(pair), 1 << 17):
-            s = slice(low, low + (1 << 17))
-            own[s] = np.einsum("ij,ij->i", self.predicted(pair[s] // k), self.q[pair[s] % k]) + self.b[pair[s] % k]
-        return (own - z)[at]
+
+def log_softmax(s: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    own = s[np.arange(len(s)), chosen].astype(np.float64)
+    top = s.max(axis=1)
+    s -= top[:, None]
+    np.exp(s, out=s)
+    return own - top - np.log(s.sum(axis=1, dtype=np.float64))
 
 
 def fresh(stats: Corpus, dim: int = DIM, seed: int = 5) -> Bilinear:
     rng = np.random.default_rng(seed)
-    share = (stats.class_n + SMOOTH) / (stats.n + SMOOTH * stats.classes)
-    k = stats.classes
-    return Bilinear(
-        rng.normal(scale=0.1, size=(k + 1, dim)).astype(np.float32),
-        rng.normal(scale=0.1, size=(k, dim)).astype(np.float32),
-        np.ones((2, dim), dtype=np.float32),
-        np.log(np.maximum(share, 1e-12)).astype(np.float32),
-    )
-
-
-def scatter(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``rows`` by ``index`` in a table of ``n`` rows."""
+    normal = lambda n: rng.normal(scale=0.1, size=(n, dim)).astype(np.float32)
+    n = stats.class_n()
+    share = (n + SMOOTH) / (n.sum() + SMOOTH * len(n))
+    return Bilinear(normal(stats.words + FORMS + 1), np.ones((3, dim), dtype=np.float32), normal(stats.classes), np.log(share).astype(np.float32), normal(stats.words), np.log(np.maximum(stats.unit_n, 1)).astype(np.float32))
+
+
+def scatter(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct indexes, sums of their ``rows``)."""
     order = np.argsort(index, kind="stable")
     own, start = np.unique(index[order], return_index=True)
-    out = np.zeros((n, rows.shape[1]), dtype=np.float32)
-    out[own] = np.add.reduceat(rows[order], start, axis=0)
-    return out
+    return own, np.add.reduceat(rows[order], start, axis=0)
 
 
-def nce(model: Bilinear, context: np.ndarray, c: np.ndarray, weight: np.ndarray, noise: np.ndarray, rate: float = 0.1, batch: int = 4096, seed: int = 0) -> Bilinear:
-    """One pass of noise-contrastive estimation over weighted (context, class) pairs, by Adagrad.
+def nce(model: Bilinear, stats: Corpus, units: np.ndarray, ends: np.ndarray, rate: float, seed: int) -> Bilinear:
+    """One pass of noise-contrastive estimation over documents, by Adagrad.
 
-    Noise comes from the class shares. There are few enough classes to take the expectation over the noise instead
-    of draws, which Adagrad would weigh unevenly for rare classes.
+    Noise comes from the shares of classes, and of tokens within a class. There are few enough classes to take the
+    expectation over the noise; tokens of a class are drawn.
     """
     rng = np.random.default_rng(seed)
-    r, q, maps, b = model.r.copy(), model.q.copy(), model.c.copy(), model.b.copy()
-    k = len(r)
-    sums = [np.full(x.shape, 1e-3, dtype=np.float32) for x in (r, q, maps, b)]
-    log_noise, share = np.log(noise * NOISE).astype(np.float32), (noise * NOISE).astype(np.float32)
-    order = rng.permutation(len(context))
-    for low in range(0, len(order), batch):
-        i = order[low : low + batch]
-        u, v, w = context[i] // k, context[i] % k, weight[i].astype(np.float32)
-        w = (w / w.mean())[:, None]
-        own = c[i]
-        p = r[u] * maps[0] + r[v] * maps[1]
-        odds = np.exp(np.clip(p @ q.T + (b - log_noise), -30, 30))
-        good = w / (1 + odds[np.arange(len(i)), own])[:, None]
-        bad = odds / (1 + odds) * (-w * share)
-        back = good * q[own] + bad @ q
-        gq = scatter(own, good * p, len(q)) + bad.T @ p
-        gb = np.bincount(own, weights=good[:, 0], minlength=len(b)).astype(np.float32) + bad.sum(axis=0)
-        gr = scatter(np.concatenate((u, v)), np.concatenate((back * maps[0], back * maps[1])), k)
-        gm = np.stack(((back * r[u]).sum(axis=0), (back * r[v]).sum(axis=0)))
-        for x, grad, total, step in ((r, gr, sums[0], rate), (q, gq, sums[1], rate), (maps, gm, sums[2], rate / 10), (b, gb, sums[3], rate)):
-            total += grad * grad
-            x += step * grad / np.sqrt(total)
-    return Bilinear(r, q, maps, b)
-
-
-def train(table: DataFrame, stats: Corpus, epochs: int = EPOCHS) -> Bilinear:
-    """Parameter mixing: every partition trains on its own documents, the mean weighted by their tokens starts the next epoch."""
+    new = Bilinear(*(x.copy() for x in model.parts()))
+    r, maps, c, cb, w, wb = new.parts()
+    sums = [np.full(x.shape, 1e-2, dtype=np.float32) for x in new.parts()]
+    n = stats.class_n()
+    share = ((n + SMOOTH) / (n.sum() + SMOOTH * len(n)) * NOISE).astype(np.float32)
+    log_share = np.log(share)
+    mass = np.concatenate(([0], np.cumsum(stats.unit_n)))  # draws of a token from its class
+    begins = segments(ends)
+
+    def step(k: int, grad: np.ndarray, at: np.ndarray | slice = slice(None)) -> None:
+        x, total = new.parts()[k], sums[k]
+        total[at] += grad * grad
+        x[at] += rate * grad / np.sqrt(total[at])
+
+    for low, high in steps(begins):
+        a, b = begins[low], begins[high]
+        own = units[a:b]
+        edges = begins[low : high + 1] - a
+        one, two, first, seen, mean = new.context(own, edges)
+        p = new.predicted(one, two, mean)
+        kind = stats.class_of(own)
+        odds = p @ c.T
+        odds += cb - log_share
+        np.clip(odds, -30, 30, out=odds)
+        np.exp(odds, out=odds)
+        good = 1 / (1 + odds[np.arange(len(own)), kind])
+        odds /= 1 + odds
+        odds *= -share
+        odds[np.arange(len(own)), kind] += good
+        back = odds @ c
+        gc, gcb = odds.T @ p, odds.sum(axis=0)
+        is_word = np.flatnonzero(own < stats.words)
+        if len(is_word):
+            word, k = own[is_word], kind[is_word]
+            low_mass, high_mass = mass[stats.begin[k]], mass[stats.begin[k + 1]]
+            drawn = np.searchsorted(mass, low_mass[:, None] + rng.random((len(word), DRAWN)) * (high_mass - low_mass)[:, None], side="right") - 1
+            both = np.concatenate((word[:, None], np.minimum(drawn, stats.words - 1)), axis=1)
+            log_noise = np.log(DRAWN * stats.unit_n[both] / (high_mass - low_mass)[:, None])
+            q = w[both]
+            pull = p[is_word]
+            s = 1 / (1 + np.exp(-np.clip(np.einsum("ijk,ik->ij", q, pull) + wb[both] - np.log((high_mass - low_mass)[:, None]) - log_noise, -30, 30)))
+            s = -s
+            s[:, 0] += 1
+            s = s.astype(np.float32)
+            back[is_word] += np.einsum("ij,ijk->ik", s, q)
+            at, gw = scatter(both.ravel(), np.concatenate((s[:, :, None] * pull[:, None, :], s[:, :, None]), axis=2).reshape(-1, p.shape[1] + 1))
+            step(4, gw[:, :-1], at)
+            step(5, gw[:, -1], at)
+        # a token is in the history of those after it in its segment
+        far = np.zeros((len(own) + 1, p.shape[1]))
+        np.cumsum((back * maps[2] / seen[:, None])[::-1], axis=0, out=far[1:])
+        last = np.repeat(edges[1:], np.diff(edges))
+        far = (far[len(own) - 1 - np.arange(len(own))] - far[len(own) - last]).astype(np.float32)
+        at, gr = scatter(np.concatenate((one, two, own)), np.concatenate((back * maps[0], back * maps[1], far)))
+        gm = np.stack(((back * r[one]).sum(axis=0), (back * r[two]).sum(axis=0), (back * mean).sum(axis=0)))
+        step(0, gr, at)
+        step(1, gm / 10)
+        step(2, gc)
+        step(3, gcb)
+    return new
+
+
+def train(table: DataFrame, stats: Corpus, rounds: int = ROUNDS) -> Bilinear:
+    """Rounds of parameter mixing over the chunks.
+
+    In a round every chunk trains, from the same model, on the documents whose number in the chunk falls in the round.
+    A row of the next model moves by the mean of the moves, weighted by how often a chunk has the row's unit. Chunks, not
+    partitions, are the units of work, so that the input's layout changes nothing but the order of sums of doubles.
+    """
     model = fresh(stats)
-    shapes = [x.shape for x in (model.r, model.q, model.c, model.b)]
-    noise = (stats.class_n + SMOOTH) / (stats.n + SMOOTH * stats.classes)
-    for epoch in range(epochs):
+    shapes = [x.shape for x in model.parts()]
+
+    def weights(units: np.ndarray) -> list[np.ndarray]:
+        """How much a chunk's move of each row of the model counts."""
+        n = np.bincount(units, minlength=stats.words + FORMS + 1).astype(float)
+        n[-1] = len(units)
+        kinds = np.bincount(stats.class_of(units), minlength=stats.classes) + 1e-6 * len(units)
+        words = n[: stats.words] + 1e-6 * len(units)
+        return [n, np.full(3, float(len(units))), kinds, kinds, words, words]
+
+    for at_round in range(rounds):
 
-        def run(batches, model=model, epoch=epoch):
-            now, seen = model, 0
+        def run(batches, model=model, at_round=at_round):
+            moved, weighed = [np.zeros(s) for s in shapes], [np.zeros(s[0]) for s in shapes]
+            some = False
             for batch in batches:
-                for hashes, forms, tokens, ends, held in zip(*(batch.column(x).to_pylist() for x in ("hashes", "forms", "tokens", "ends", "held")), strict=True):
-                    of = stats.class_of(np.frombuffer(hashes, np.uint64), np.frombuffer(forms, np.uint8))
+                for number, hashes, forms, tokens, ends, held in zip(*(batch.column(x).to_pylist() for x in ("number", "hashes", "forms", "tokens", "ends", "held")), strict=True):
                     ends, held = np.frombuffer(ends, "<i8"), np.frombuffer(held, bool)
-                    context, c = grams(np.frombuffer(tokens, np.uint32), ends, of, stats.classes)
-                    own = np.repeat(~held, np.diff(np.concatenate(([0], ends))))
-                    pair, n = np.unique(context[own] * stats.classes + c[own], return_counts=True)
-                    if len(pair):
-                        now = nce(now, pair // stats.classes, pair % stats.classes, n, noise, rate=0.1 / (epoch + 1), seed=int(pair.sum() % 1_000_003) + epoch)  # every chunk draws its own noise
-                        seen += int(n.sum())
-            if seen:
-                flat = np.concatenate([x.ravel() for x in (now.r, now.q, now.c, now.b)]).astype(np.float64) * seen
-                for part, low in enumerate(range(0, len(flat), 2048)):
-                    yield pa.RecordBatch.from_pylist([{"part": part, "x": flat[low : low + 2048].tolist(), "seen": seen}], schema=pa.schema([("part", pa.int32()), ("x", pa.list_(pa.float64())), ("seen", pa.int64())]))
-
-        each = table.where("n_train > 0").select("hashes", "forms", "tokens", "ends", "held").mapInArrow(run, "part int, x array<double>, seen bigint")
-
-        def mean(part: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"part": [part["part"].iat[0]], "x": [np.sum(np.stack(part["x"].to_numpy()), axis=0) / part["seen"].sum()]})
-
-        parts = each.groupBy("part").applyInPandas(mean, "part int, x array<double>").orderBy("part").collect()
+                    docs = np.flatnonzero(~held)[at_round::rounds]
+                    sizes = np.diff(np.concatenate(([0], ends)))
+                    chosen = np.zeros(len(held), dtype=bool)
+                    chosen[docs] = True
+                    units = stats.units_of(np.frombuffer(hashes, np.uint64), np.frombuffer(forms, np.uint8))[np.frombuffer(tokens, np.uint32)[np.repeat(chosen, sizes)]]
+                    if not len(units):
+                        continue
+                    some = True
+                    new = nce(model, stats, units, np.cumsum(sizes[docs]), RATE / (1 + at_round) ** 0.5, number % (1 << 31) * rounds + at_round)
+                    for x, y, z, total, weight in zip(new.parts(), model.parts(), weights(units), moved, weighed, strict=True):
+                        total += (x.astype(float) - y) * (z[:, None] if x.ndim == 2 else z)
+                        weight += z
+            if some:
+                flat = np.concatenate([x.ravel() for x in (*moved, *weighed)])
+                for part, low in enumerate(range(0, len(flat), 1 << 16)):
+                    yield pa.RecordBatch.from_pylist([{"part": part, "x": flat[low : low + (1 << 16)].astype(np.float32).tobytes()}], schema=pa.schema([("part", pa.int32()), ("x", pa.binary())]))
+
+        each = table.where("n_train > 0").select("number", "hashes", "forms", "tokens", "ends", "held").mapInArrow(run, "part int, x binary")
+
+        def total(part: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"part": [part["part"].iat[0]], "x": [np.sum([np.frombuffer(x, np.float32) for x in part["x"]], axis=0, dtype=float).tobytes()]})
+
+        parts = each.groupBy("part").applyInPandas(total, "part int, x binary").orderBy("part").collect()  # of the model's size
         if not parts:
             return model
-        flat = np.concatenate([np.array(r["x"]) for r in parts]).astype(np.float32)
-        cut = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
-        model = Bilinear(*(x.reshape(s) for x, s in zip(np.split(flat, cut), shapes, strict=True)))
+        flat = np.concatenate([np.frombuffer(r["x"]) for r in parts])
+        cut = np.cumsum([int(np.prod(s)) for s in shapes] + [s[0] for s in shapes])[:-1]
+        found = np.split(flat, cut)
+        moved, weighed = found[: len(shapes)], found[len(shapes) :]
+        model = Bilinear(*(
+            (x + m.reshape(x.shape) / np.maximum(z if x.ndim == 1 else z[:, None], 1e-12)).astype(np.float32)
+            for x, m, z in zip(model.parts(), moved, weighed, strict=True)
+        ))
     return model
 
 
@@ -344,26 +515,26 @@ def score(docs: DataFrame, folds: int = 10, held_out_fold: int = 0) -> DataFrame
     than doc_id and text are not read.
     """
     table = written(chunks(docs, folds, held_out_fold), "lm-chunks")
-    distinct = table.agg(F.coalesce(F.sum("n_distinct"), F.lit(0))).first()[0]
+    distinct, many = table.agg(F.coalesce(F.sum("n_distinct"), F.lit(0)), F.count("*")).first()
     buckets = buckets_for(distinct, BUCKET_TOKENS)
     totals = written(added_up(table, buckets), "lm-totals")
     stats = corpus(totals)
     model = train(table, stats)
     n, v = stats.n, stats.v
     floor = n + SMOOTH * (v + 1)
-    class_mass = np.log(stats.class_n + SMOOTH * (stats.class_v + 1))
+    form_mass = np.log(stats.form_n + SMOOTH * (stats.form_v + 1))
 
     def run(own: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         out = []
         for x in own.itertuples():
             total = np.concatenate([np.frombuffer(t, "<i8") for t in back.sort_values("bucket")["total"]])
             tokens, ends = np.frombuffer(x.tokens, np.uint32), np.frombuffer(x.ends, "<i8")
-            of = stats.class_of(np.frombuffer(x.hashes, np.uint64), np.frombuffer(x.forms, np.uint8))
+            forms = np.frombuffer(x.forms, np.uint8)
+            units = stats.units_of(np.frombuffer(x.hashes, np.uint64), forms)
             base = np.log10((total + SMOOTH) / floor)
-            within = np.log(total + SMOOTH) - class_mass[of]
+            within = np.where(units < stats.words, 0.0, np.log(total + SMOOTH) - form_mass[forms])
             first = np.concatenate(([0], ends[:-1]))
-            context, c = grams(tokens, ends, of, stats.classes)
-            each = (model.log_prob(context, c) + within[tokens]) / np.log(10)
+            each = (model.log_prob(units[tokens], ends, stats) + within[tokens]) / np.log(10)
             ids = np.frombuffer(x.doc_ids, "<i8")
             out.append(pd.DataFrame({
                 "doc_id": pd.array(np.where(np.frombuffer(x.has_id, bool), ids, 0), dtype="Int64").copy(),
@@ -375,4 +546,5 @@ def score(docs: DataFrame, folds: int = 10, held_out_fold: int = 0) -> DataFrame
 
     replies = totals.where("chunk is not null").select("chunk", "bucket", "total")
     asked = table.select("chunk", "doc_ids", "has_id", "held", "ends", "tokens", "hashes", "forms")
+    asked, replies = (spread(x, max(many, 1), "chunk") for x in (asked, replies))
     return asked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(run, RESULT)
