@@ -249,11 +249,31 @@ def test_nearest_neighbours_in_a_dense_group():
 def test_every_code_within_the_radius_is_found():
     rng = np.random.default_rng(0)
     code = rng.integers(0, 1 << 16, (2000, 8)).astype(np.uint16)
+    code[1000:] = code[:1000] ^ (1 << rng.integers(0, 16, (1000, 8))).astype(np.uint16) * (rng.random((1000, 8)) < 0.3)
     index = mih.Index(code)
-    for q in code[:20]:
-        d = np.bitwise_count(code ^ q).sum(axis=1)
-        rows = index.nearest(q, 50)
-        assert set(rows) == set(np.flatnonzero(d <= np.sort(d)[49]))
+    queries = code[::20]
+    for least in (2, 50):
+        for q, rows in zip(queries, index.nearest(queries, least), strict=True):
+            d = np.bitwise_count(code ^ q).sum(axis=1)
+            assert set(rows) == set(np.flatnonzero(d <= np.sort(d)[least - 1]))
+
+
+def test_probing_touches_few_of_many_rows():
+    """Groups of 50 near one another among 200,000 vectors."""
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(4_000, 64)), 50, axis=0) + 0.25 * rng.normal(size=(200_000, 64))
+    mean, rotation = mih.learn(x[:: len(x) // 4096][:4096])
+    code = mih.codes(x, mean, rotation)
+    index = mih.Index(code)
+    asked = np.arange(0, len(x), 1000)
+    hit = 0
+    for i, rows in zip(asked, index.nearest(code[asked], 41), strict=True):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        own = rows[rows != i]
+        hit += len(set(np.argsort(d)[:10]) & set(own[np.argsort(d[own])[:10]]))
+    assert hit >= 0.95 * 10 * len(asked)
+    assert index.touched < 0.2 * len(x) * len(asked)
 
 
 def test_nearest_neighbour_edges(spark):

@@ -32,7 +32,7 @@ OWN_COUNT = 5
 FORMS = 32
 DIM = 16
 #: Noise for a true class (in expectation) and for a true token of a class (drawn).
-NOISE, DRAWN = 16, 4
+NOISE, DRAWN = 16, 2
 #: Rounds of training; every chunk trains on another part of its documents in each, and their mean begins the next.
 ROUNDS = 2
 RATE = 0.3
@@ -351,11 +351,16 @@ class Bilinear:
 
 
 def log_softmax(s: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Logarithms of the chosen columns' shares; ``s`` is overwritten."""
     own = s[np.arange(len(s)), chosen].astype(np.float64)
-    top = s.max(axis=1)
-    s -= top[:, None]
+    top = s.max()
+    if top - s.min() > 80:  # one shift for all rows would lose the small ones
+        top = s.max(axis=1)
+        s -= top[:, None]
+    else:
+        s -= top
     np.exp(s, out=s)
-    return own - top - np.log(s.sum(axis=1, dtype=np.float64))
+    return own - top - np.log(s @ np.ones(s.shape[1], dtype=s.dtype))
 
 
 def fresh(stats: Corpus, dim: int = DIM, seed: int = 5) -> Bilinear:
