@@ -127,6 +127,9 @@ def test_solver_packs_every_piece(seed):
         for x in pattern:
             got[x] += n
     assert got == count
+    rest = packing.through_program(count)[1]
+    assert sum(rest.values()) <= 0.1 * len(sizes)
+    assert sum(n for _, n in found) <= sum(n for _, n in packing.best_fit(count, 1024))
     assert sum(n for _, n in found) <= -(-int(sizes.sum()) // 1024) * 1.01 + 1
 
 

@@ -1,7 +1,8 @@
 """Best-fit packing of token sequences: a configuration program over the length histogram.
 
 Multiplicative weights solve the fractional program, a knapsack over the current prices names the next patterns, and
-the amounts are rounded down. What rounding leaves is packed by best fit on the histogram. Only the histogram, at
+the amounts are rounded. What rounding leaves goes through knapsacks in whole amounts, and only what these can't place
+well through best fit on the histogram. Only the histogram, at
 most one entry for each length up to the capacity, comes to the driver; documents find their places by their rank
 among the pieces of their length.
 """
@@ -135,28 +136,90 @@ def best_fit(count: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     return [(p, n) for group in open_.values() for p, n in group.items()]
 
 
-#: Amounts under a cut are rounded to nothing; the cut that leaves the fewest sequences counts.
-CUTS = (1, 2, 4, 8, 16, 32, 64)
-#: (rate at which prices fall, tolerance) of the runs of the solver; the run that needs the fewest sequences counts.
-SETTINGS = ((0.002, 0.002), (0.002, 0.01), (0.01, 0.002), (0.01, 0.01))
+#: Pieces that are left to best fit, at most.
+FEW = 8
+#: How much more a piece as long as the capacity is worth than its length: short pieces are easier to place later.
+LONG_WORTH = 0.3
+#: How fast prices fall as pieces get covered, and how far below the best pattern of a round others may be worth.
+RATE, TOLERANCE = 0.002, 0.01
 
 
 def solve(count: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a sequence, number of such sequences) for a histogram of lengths."""
-    return min((solve_once(count, capacity, *x) for x in SETTINGS), key=lambda found: sum(n for _, n in found))
+    """(lengths in a sequence, number of such sequences) for a histogram of lengths.
 
+    The fractional program's amounts are rounded down. What is left goes through knapsacks in whole amounts, which
+    fill a sequence from the longest piece on, and the last FEW pieces through best fit.
+    """
+    by_program, rest = through_program(count, capacity)
+    return by_program + best_fit(rest, capacity)
+
+
+def through_program(count: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """(patterns that the program places, pieces left)."""
+    left = {k: n for k, n in count.items() if n}
+    out = [((capacity,), left.pop(capacity))] if capacity in left else []
+
+    def place(key: tuple[int, ...], most: int) -> int:
+        times = {k: key.count(k) for k in set(key)}
+        n = min(most, *(left.get(k, 0) // t for k, t in times.items()))
+        if n > 0:
+            out.append((key, n))
+            for k, t in times.items():
+                left[k] -= n * t
+        return n
+
+    for key, x in sorted(program(left, capacity).items(), key=lambda a: (-a[1], a[0])):
+        place(key, int(x + 1e-9))
+    left = {k: n for k, n in left.items() if n}
+    while sum(left.values()) > FEW:
+        fill = knapsack(left | {max(left): left[max(left)] - 1}, capacity)  # so that the longest piece always finds its place
+        for length in sorted(left, reverse=True):
+            if left[length] and not place(tuple(sorted((length, *fill(capacity - length)), reverse=True)), left[length]):
+                break  # its pieces have gone to longer ones: ask again
+        left = {k: n for k, n in left.items() if n}
+    return out, left
+
+
+def knapsack(count: dict[int, int], capacity: int):
+    """A function from a room to the lengths that fill it best, none used more often than it occurs; long pieces are worth more for their length, since short ones are easier to place later."""
+    items = []
+    for length in sorted(count):
+        left, k = min(count[length], capacity // length), 1
+        while left:
+            k = min(k, left)
+            items.append((length, k))
+            left -= k
+            k *= 2
+    best = np.zeros(capacity + 1)
+    taken = np.zeros((len(items), capacity + 1), dtype=bool)
+    for row, (length, k) in enumerate(items):
+        size = length * k
+        value = best[: capacity + 1 - size] + size * (1 + LONG_WORTH * length / capacity)
+        better = value > best[size:]
+        taken[row, size:] = better
+        best[size:][better] = value[better]
+
+    def fill(room: int) -> list[int]:
+        out = []
+        for row in range(len(items) - 1, -1, -1):
+            if taken[row, room]:
+                out += [items[row][0]] * items[row][1]
+                room -= items[row][0] * items[row][1]
+        return out
 
-def solve_once(count: dict[int, int], capacity: int, rate: float, tolerance: float, step: float = 0.2, rounds: int = 1500) -> list[tuple[tuple[int, ...], int]]:
-    """One run of multiplicative weights, rounding and best fit.
+    return fill
+
+
+def program(count: dict[int, int], capacity: int, rate: float = RATE, tolerance: float = TOLERANCE, step: float = 1.0, rounds: int = 1500) -> dict[tuple[int, ...], float]:
+    """Amounts of patterns in the fractional program, by multiplicative weights.
 
     The price of a length starts at its share of the capacity and falls exponentially as its pieces get covered.
-    Each round a knapsack over the prices gives, for every length, the best pattern that has it; those within
-    ``tolerance`` of the best are used for a ``step`` of the pieces that they cover.
+    Each round a knapsack over the prices gives, for every length, the best pattern that has it; full ones within
+    ``tolerance`` of the best are used for a ``step`` of the pieces that they cover. Pieces that no full pattern covers stay uncovered.
     """
-    out = [((capacity,), count[capacity])] if count.get(capacity) else []
-    lengths = np.array(sorted(k for k, n in count.items() if n and k < capacity), dtype=np.int64)
+    lengths = np.array(sorted(count), dtype=np.int64)
     if not len(lengths):
-        return out
+        return {}
     need = np.array([count[k] for k in lengths.tolist()], dtype=float)
     covered = np.zeros(len(lengths))
     amount: dict[tuple[int, ...], float] = {}
@@ -166,7 +229,7 @@ def solve_once(count: dict[int, int], capacity: int, rate: float, tolerance: flo
         if not open_.any():
             break
         share = covered / need
-        price = np.where(open_, lengths / capacity * np.exp(-rate * (share - share.min())), 0.0)
+        price = np.where(open_, lengths / capacity * (1 + LONG_WORTH * lengths / capacity) * np.exp(-rate * (share - share.min())), 0.0)
         own, worth = lengths[open_], price[open_]
         best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
         for c in range(1, capacity + 1):
@@ -189,7 +252,7 @@ def solve_once(count: dict[int, int], capacity: int, rate: float, tolerance: flo
                     c -= int(last[c])
                 else:
                     c -= 1
-            if sum(pattern) < capacity * (1 - tolerance):
+            if sum(pattern) < capacity:
                 continue
             key = tuple(sorted(pattern, reverse=True))
             index, times = np.unique([place[x] for x in key], return_counts=True)
@@ -202,21 +265,7 @@ def solve_once(count: dict[int, int], capacity: int, rate: float, tolerance: flo
             used += 1
         if not used:
             break
-    whole = {k: count[k] for k in lengths.tolist()}
-    return out + min((rounded(amount, whole, capacity, cut) for cut in CUTS), key=lambda found: sum(n for _, n in found))
-
-
-def rounded(amount: dict[tuple[int, ...], float], count: dict[int, int], capacity: int, cut: int) -> list[tuple[tuple[int, ...], int]]:
-    """Amounts rounded down, those under ``cut`` to nothing; best fit packs what is left."""
-    out, left = [], dict(count)
-    for key, x in sorted(amount.items(), key=lambda a: (-a[1], a[0])):
-        index = {k: key.count(k) for k in set(key)}
-        n = min(int(x + 1e-9), *(left[k] // times for k, times in index.items()))
-        if n >= cut:
-            out.append((key, n))
-            for k, times in index.items():
-                left[k] -= n * times
-    return out + best_fit({k: n for k, n in left.items() if n}, capacity)
+    return amount
 
 
 class Places:
@@ -284,7 +333,7 @@ def in_order(docs: DataFrame) -> DataFrame:
 def pack_in_order(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, sequences: int = RANGE) -> DataFrame:
     """As ``pack``, but sequences follow the order of the documents.
 
-    The order is cut into ranges of ``sequences`` times ``capacity`` tokens. Best fit packs each range by itself, and
+    The order is cut into ranges of ``sequences`` times ``capacity`` tokens. Each is packed by itself as by ``pack``, and
     within it sequences are numbered by the mean place of their tokens, so that the first sequences hold the first
     documents to within one range.
     """
@@ -302,7 +351,7 @@ def pack_in_order(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("place", ignore_index=True)
         length = part["length"].to_numpy()
-        places = Places(best_fit(part["length"].value_counts().to_dict(), capacity))
+        places = Places(solve(part["length"].value_counts().to_dict(), capacity))
         sequence, offset = places(length, part.groupby("length").cumcount().to_numpy())
         mean = np.bincount(sequence, weights=length * (part["place"].to_numpy() - part["place"].iat[0])) / np.bincount(sequence, weights=length)
         number = np.argsort(np.argsort(mean, kind="stable"), kind="stable")
