@@ -205,6 +205,21 @@ def test_schedule_stays_within_one_block(spark):
         assert all(abs(done[s] - n * t / cycle) < 1 for s, n in q.items())
 
 
+def test_schedule_equals_plain_earliest_deadline_first(spark):
+    rows = [("a", 50, 90), ("b", 30, 10), ("c", 13, 40), ("d", 7, 12)]
+    cycle = 100
+    done, state = [], {s: 0 for s, _, _ in rows}
+    while any(state[s] < n for s, _, n in rows):
+        t = len(done)
+        ready = [(state[s] * cycle >= q * (t + 1), -(-(state[s] + 1) * cycle // q), s) for s, q, n in rows if state[s] < n]
+        source = min(ready)[2]
+        done.append((source, t, state[source]))
+        state[source] += 1
+    shares = spark.createDataFrame([(*r, cycle) for r in rows], "source string, q bigint, n bigint, cycle bigint")
+    got = sorted(((r["source"], r["slot"], r["turn"]) for r in mixing.schedule(shares).collect()), key=lambda r: r[1])
+    assert got == done
+
+
 def test_mix_keeps_every_row(nasty, empty):
     rows = mixing.mix(nasty).collect()
     assert len(rows) == nasty.count() and len({r["position"] for r in rows}) == len(rows)

@@ -138,14 +138,13 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, s
     # a row for each source in both
     blocks = sizes.select(F.col("source").alias("__mix_s2"), F.ceil(F.col("n") / block).alias("n"))
     shares = quanta(target, QUANTA // max(sources, 1)).join(F.broadcast(blocks), F.col("source").eqNullSafe(F.col("__mix_s2"))).drop("__mix_s2")
-    plan = schedule(shares).groupBy(F.col("source").alias("__mix_s2")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "slot"))), lambda x: x["slot"]).alias("__mix_slots"))
+    plan = schedule(shares).select(F.col("source").alias("__mix_s2"), F.col("turn").alias("__mix_turn"), F.col("slot").alias("__mix_slot"))
     length = max(sources, 1) * slots_per_source
     number = numbered(docs, rows)
-    placed = number.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("__mix_s2")))  # a row for each source
+    number = number.withColumn("block", F.floor(F.col("__mix_number") / block))
+    placed = number.join(plan, F.col("source").eqNullSafe(F.col("__mix_s2")) & (F.col("block") == F.col("__mix_turn")))  # a row for each block
     placed = (
-        placed.withColumn("block", F.floor(F.col("__mix_number") / block))
-        .withColumn("__mix_slot", F.get("__mix_slots", F.col("block").cast("int")))
-        .withColumn("cycle", F.floor(F.col("__mix_slot") / length))
+        placed.withColumn("cycle", F.floor(F.col("__mix_slot") / length))
         .withColumn("slot", F.pmod("__mix_slot", F.lit(length)))
         .withColumn("position", F.col("__mix_slot") * block + F.pmod("__mix_number", F.lit(block)))
     )
