@@ -47,11 +47,16 @@ LOG = [
     {"type": "system", "subtype": "turn_duration", "durationMs": 5000},
     {"type": "system", "subtype": "compact_boundary"},
     {"type": "system", "subtype": "api_error", "error": {"status": 529}},
+    {"type": "system", "subtype": "api_error", "retryAttempt": 2, "error": {"status": 529, "error": {"type": "error", "error": {"type": "overloaded_error", "message": "busy"}}}},
     {"type": "progress", "data": "tick"},
     {"type": "custom-title", "customTitle": "Parser"},
 ]
 OTHER = [user(1, "A second session"), user(11, "with a gap"), user(12, "")]
-AGENT = [assistant(7, "s1", [tool("u1", "Write", file_path="/home/me/p/lib.py", content="q")])]
+AGENT = [
+    assistant(7, "s1", [tool("u1", "Write", file_path="/home/me/p/lib.py", content="q")]),
+    user(8, [result("u1", "wrote /home/me/p/lib.py with password=hunter2hunter2")]),
+    assistant(9, "s2", [{"type": "text", "text": "token: abcdefghijkl " + "z" * 1100}]),
+]
 
 
 @pytest.fixture(scope="module")
@@ -68,7 +73,7 @@ def test_one_row_a_session(events):
     assert set(rows) == {"one", "two"}
     r = rows["one"]
     assert (r["prompt_count"], r["tool_call_count"], r["edit_count"], r["duration_ms"]) == (3, 5, 3, 9000)
-    assert (r["compaction_count"], r["api_error_count"], r["sub_agent_count"]) == (1, 1, 1)
+    assert (r["compaction_count"], r["api_error_count"], r["sub_agent_count"]) == (1, 2, 1)
     assert (r["start_time"], r["end_time"]) == ("2025-05-02T07:59:00Z", T.format(30))
     assert (r["title"], r["model"], r["entrypoint"], r["permission_mode"]) == ("Parser", "x-sonnet-4", "cli", "plan")
     assert r["first_prompt"] == "Please repair the parser in lib.py"
@@ -135,11 +140,17 @@ def test_scene_measures(events):
 def test_turns_agents_and_usage(events):
     assert scene_stats.truncated(events).where("session = 'one'").first()["truncated"] == 1
     a = scene_stats.sub_agents(events).first()
-    assert (a["session"], a["agent"], a["tools"], a["tokens"]) == ("one", "7", 1, 110)
-    assert scene_stats.sub_agent_scenes(events, 1).count() == 1 and scene_stats.agent_links(events).count() == 0
+    assert (a["session"], a["agent"], a["tools"], a["tokens"]) == ("one", "7", 1, 220)
+    kinds = scene_stats.sub_agents(events).select("session", "agent", F.lit("explorer").alias("agent_type"))
+    assert [tuple(r) for r in scene_stats.sub_agents_by_type(scene_stats.sub_agents(events), kinds).collect()] == [("one", "explorer", 1, 1, 220)]
+    call, said = scene_stats.sub_agent_scenes(events, "/home/me").orderBy("rn").collect()
+    assert (call["type"], call["diff"]["file_path"], call["diff"]["new_content"]) == ("tool-call", "~/p/lib.py", "q")
+    assert "hunter2" not in call["result"] and "~/p/lib.py" in call["result"] and call["input"]["file_path"] == "~/p/lib.py"
+    assert "abcdefghijkl" not in said["content"] and "chars total)" in said["content"] and len(said["content"]) < 1100
+    assert scene_stats.sub_agent_scenes(events, limit=1).count() == 1 and scene_stats.agent_links(events).count() == 0
     turns = {r["turn"]: (r["model"], r["output"], r["context"]) for r in scene_stats.turn_usage(events).collect()}
     assert turns[1] == ("x-sonnet-4", 30, 107)
-    assert scene_stats.api_errors(events).count() == 1
+    assert {(r["kind"], r["n"]) for r in scene_stats.api_errors(events).collect()} == {("529", 1), ("overloaded_error", 1)}
 
 
 def test_blocks(spark):

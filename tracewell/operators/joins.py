@@ -10,8 +10,8 @@ from pyspark.sql import Window as W
 def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], ts: str, right_id: str) -> DataFrame:
     """Each left row with the first right row of its keys at its time or later (J9): one sort instead of a range join."""
     rows = left.withColumn("__side", F.lit(0)).unionByName(right.withColumn("__side", F.lit(1)), allowMissingColumns=True)
-    ahead = W.partitionBy(*keys).orderBy(ts, "__side").rowsBetween(W.currentRow, W.unboundedFollowing)
-    hit = F.first(F.when(F.col("__side") == 1, F.struct(F.col(right_id).alias("id"), F.col(ts).alias("ts"))), ignorenulls=True).over(ahead)
+    ahead = W.partitionBy(*keys).orderBy(F.desc(ts), F.desc("__side")).rowsBetween(W.unboundedPreceding, W.currentRow)  # backwards: a frame that only grows
+    hit = F.last(F.when(F.col("__side") == 1, F.struct(F.col(right_id).alias("id"), F.col(ts).alias("ts"))), ignorenulls=True).over(ahead)
     found = rows.withColumn("__hit", hit).where("__side = 0")
     return found.select(*left.columns, F.col("__hit.id").alias(f"next_{right_id}"), F.col("__hit.ts").alias(f"next_{ts}"))
 

@@ -82,10 +82,9 @@ def last_result_start(result_ts: Column, own_ts: Column, keys: list[str], order:
 
 def neighbours(df: DataFrame, keys: list[str], index: str, mask: Column) -> DataFrame:
     """Adds ``prev_index`` and ``next_index``: the nearest masked rows before and after each row."""
-    w = W.partitionBy(*keys).orderBy(index)
     masked = F.when(mask, F.col(index))
-    before = F.max(masked).over(w.rowsBetween(W.unboundedPreceding, -1))
-    after = F.min(masked).over(w.rowsBetween(1, W.unboundedFollowing))
+    so_far = lambda order: W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    before, after = F.max(masked).over(so_far(F.asc(index))), F.min(masked).over(so_far(F.desc(index)))  # frames that only grow
     return df.withColumn("prev_index", before).withColumn("next_index", after)
 
 
@@ -114,8 +113,7 @@ def cumulative(df: DataFrame, keys: list[str], order: list[str], value: str, nam
 
 def ratio_to_max(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Share of the group's largest value, which counts as 1 at least."""
-    top = df.groupBy(*keys).agg(F.max(value).alias("__top"))
-    return df.join(top, keys).withColumn(name, F.col(value) / F.greatest(F.col("__top"), F.lit(1))).drop("__top")
+    return df.withColumn(name, F.col(value) / F.greatest(F.max(value).over(W.partitionBy(*keys)), F.lit(1)))
 
 
 def top_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:

@@ -272,12 +272,10 @@ def _q(s: str) -> str:
 
 
 def _redact_sql(col: str) -> str:
-    for head, rest in redact.TOKENS.values():
-        col = f"regexp_replace({col}, {_q(f'({head}){rest}')}, '\\1...[REDACTED]', 'g')"
-    for head, rest in redact.ASSIGNMENTS.values():
-        col = f"regexp_replace({col}, {_q(f'(?i)({head}){rest}')}, '\\1 [REDACTED]', 'g')"
-    col = f"regexp_replace({col}, {_q(''.join(redact.PRIVATE_KEY))}, '[REDACTED PRIVATE KEY]', 'g')"
-    return f"regexp_replace({col}, {_q(f'{redact.EMAIL[0]}({redact.EMAIL[1]})')}, '[REDACTED]\\1', 'g')"
+    for pattern, before, mark, after in redact.steps():
+        new = ("\\1" if before else "") + mark + ("\\1" if after else "")
+        col = f"regexp_replace({col}, {_q(pattern)}, {_q(new)}, 'g')"
+    return col
 
 
 @query(f"SELECT doc_id, md5({_redact_sql('text')}) AS digest, length({_redact_sql('text')})::BIGINT AS n FROM documents")

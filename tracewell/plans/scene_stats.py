@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import blocks, text
 from tracewell.operators import joins, windows
+from tracewell.plans import sessions
 
 READING, WRITING = ("Read", "Grep", "Glob", "LS", "WebFetch", "WebSearch"), ("Edit", "Write", "NotebookEdit", "Delete")
 #: Which type of scene stands for a piece of the timeline, the largest first.
@@ -88,8 +89,9 @@ def truncated(events: DataFrame) -> DataFrame:
 
 
 def api_errors(events: DataFrame) -> DataFrame:
-    """(session, hour, n) of failed calls."""
-    return events.where("type = 'system' and subtype = 'api_error'").groupBy("session", F.substring("ts", 1, 13).alias("hour")).agg(F.count("*").alias("n"))
+    """(session, kind, n) of failed calls by the type of error, else by status code."""
+    kind = F.coalesce(F.nullif(F.coalesce("error.error.error.type", "error.error.type"), F.lit("")), F.col("error.status").cast("string"), F.lit("unknown"))
+    return events.where("agent is null and type = 'system' and subtype = 'api_error'").groupBy("session", kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
 def sub_agents(events: DataFrame) -> DataFrame:
@@ -102,11 +104,28 @@ def sub_agents(events: DataFrame) -> DataFrame:
     return counts.join(tokens, ["session", "agent"], "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
 
 
-def sub_agent_scenes(events: DataFrame, limit: int = SUB_AGENT_SCENES) -> DataFrame:
-    """(session, agent, rn, type, content, tool_name): the first ``limit`` scenes of each sub-agent."""
-    rows = events.where("agent is not null and role = 'assistant'").select("session", "agent", "ord", F.posexplode("blocks").alias("at", "b")).where("b.type in ('thinking', 'text', 'tool_use')")
-    rows = rows.select("session", "agent", "ord", "at", F.col("b.type").alias("type"), F.coalesce("b.thinking", "b.text").alias("content"), F.col("b.name").alias("tool_name"))
-    return windows.top_k(rows, ["session", "agent"], ["ord", "at"], limit).drop("ord", "at")
+def sub_agent_scenes(events: DataFrame, home: str = "", limit: int = SUB_AGENT_SCENES) -> DataFrame:
+    """(session, agent, rn, ts, type, content, tool_name, input, result, is_error, diff): the first ``limit`` scenes of each sub-agent, redacted, texts and results cut to 1,000 characters."""
+    own = events.where("agent is not null")
+    rows = own.where("role = 'assistant'").select("session", "agent", "ord", "ts", F.posexplode("blocks").alias("at", "b")).where("b.type in ('thinking', 'text', 'tool_use')")
+    first = windows.top_k(rows, ["session", "agent"], ["ord", "at"], limit).withColumn("tool_id", F.when(F.col("b.type") == "tool_use", F.col("b.id")))
+    known = first.join(sessions.tool_results(own, ("session", "agent")), ["session", "agent", "tool_id"], "left")
+    tool = F.col("b.type") == "tool_use"
+    kind = F.when(tool, "tool-call").when(F.col("b.type") == "text", "text-response").otherwise("thinking")
+    return known.select(
+        "session", "agent", "rn", "ts", kind.alias("type"),
+        F.when(~tool, sessions.cut(F.coalesce("b.thinking", "b.text", F.lit("")), home, 1000)).alias("content"),
+        F.col("b.name").alias("tool_name"), sessions.sanitized(F.col("b.input"), home).alias("input"),
+        F.when(tool, sessions.cut(F.coalesce("result", F.lit("")), home, 1000)).alias("result"),
+        F.when(tool, F.coalesce("is_error", F.lit(False))).alias("is_error"), sessions.diff(home).alias("diff"),
+    )
+
+
+def sub_agents_by_type(agents: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(session, agent_type, agents, tools, tokens), most agents first: ``sub_agents`` by the types of (session, agent, agent_type)."""
+    known = agents.join(kinds.select("session", "agent", "agent_type"), ["session", "agent"], "left")
+    sums = known.groupBy("session", F.coalesce(F.nullif("agent_type", F.lit("")), F.lit("unknown")).alias("agent_type"))
+    return sums.agg(F.count("*").alias("agents"), F.sum("tools").alias("tools"), F.sum("tokens").alias("tokens")).orderBy("session", F.desc("agents"), "agent_type")
 
 
 def agent_links(events: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def messages(events: DataFrame) -> DataFrame:
 
 
 def _some(block: Column) -> Column:
-    return (block["type"] == "text") & F.coalesce(block["text"].rlike(r"\S"), F.lit(False)) | (block["type"] == "image")
+    return (block["type"] == "text") & F.coalesce(block["text"].rlike(r"\S"), F.lit(False)) | (block["type"] == "_user_images")
 
 
 def is_prompt() -> Column:
@@ -138,11 +138,11 @@ def scan(events: DataFrame, home: str = "") -> DataFrame:
     )
 
 
-def tool_results(events: DataFrame) -> DataFrame:
-    """(session, tool_id, result, is_error, images, result_ts): the last result of each tool call."""
-    rows = events.where("agent is null and role = 'user'").select("session", "ord", "ts", F.posexplode("blocks").alias("at", "b")).where("b.type = 'tool_result'")
-    rows = rows.select("session", F.col("b.tool_use_id").alias("tool_id"), F.struct("ord", "at").alias("o"), F.coalesce("b.result", F.lit("")).alias("result"), F.coalesce("b.is_error", F.lit(False)).alias("is_error"), F.col("ts").alias("result_ts"))
-    return joins.last_per_key(rows, ["session", "tool_id"], ["o"]).drop("o")
+def tool_results(events: DataFrame, keys: tuple[str, ...] = ("session",)) -> DataFrame:
+    """(keys, tool_id, result, is_error, result_ts): the last result of each tool call."""
+    rows = events.where("role = 'user'").select(*keys, "ord", "ts", F.posexplode("blocks").alias("at", "b")).where("b.type = 'tool_result'")
+    rows = rows.select(*keys, F.col("b.tool_use_id").alias("tool_id"), F.struct("ord", "at").alias("o"), F.coalesce("b.result", F.lit("")).alias("result"), F.coalesce("b.is_error", F.lit(False)).alias("is_error"), F.col("ts").alias("result_ts"))
+    return joins.last_per_key(rows, [*keys, "tool_id"], ["o"]).drop("o")
 
 
 def user_turns(events: DataFrame) -> DataFrame:
@@ -166,6 +166,17 @@ def cut(content: Column, home: str, limit: int) -> Column:
     return redact.truncate(redact.redact_path(content, home) if home else content, limit)
 
 
+def diff(home: str) -> Column:
+    """Both sides of what the tool call ``b`` changes, redacted; null for other tools."""
+    path, blank = F.get_json_object("b.input", "$.file_path"), F.lit("")
+    part = lambda name, limit=None: cut(F.get_json_object("b.input", f"$.{name}"), home, limit) if limit else clean(F.get_json_object("b.input", f"$.{name}"), home)
+    old = F.when(F.col("b.name") == "Edit", F.coalesce(part("old_string"), blank)).when(F.col("b.name") == "Delete", F.coalesce(part("old_string"), F.lit("(file deleted)"))).otherwise(blank)
+    new = F.when(F.col("b.name") == "Edit", F.coalesce(part("new_string"), blank)).when(F.col("b.name") == "Write", F.coalesce(part("content", 3000), blank)).otherwise(blank)
+    has_diff = F.col("b.name").isin("Edit", "Write", "Delete") & path.isNotNull()
+    short = redact.redact_path(path, home) if home else path
+    return F.when(has_diff, F.struct(short.alias("file_path"), old.alias("old_content"), new.alias("new_content")))
+
+
 def scenes(events: DataFrame, home: str = "") -> DataFrame:
     """Typed scenes of each session, numbered from 0.
 
@@ -180,16 +191,11 @@ def scenes(events: DataFrame, home: str = "") -> DataFrame:
         F.max_by("stop_reason", F.when(F.col("stop_reason").isNotNull(), F.col("ord"))).alias("stop_reason"),
     )
     each = said.select("session", "msg_id", "ord", F.posexplode("blocks").alias("at", "b")).join(first, ["session", "msg_id"])
-    each = each.withColumn("tool_id", F.when(F.col("b.type") == "tool_use", F.col("b.id"))).join(tool_results(events), ["session", "tool_id"], "left")
+    each = each.withColumn("tool_id", F.when(F.col("b.type") == "tool_use", F.col("b.id"))).join(tool_results(events.where("agent is null")), ["session", "tool_id"], "left")
     began = windows.last_result_start(F.try_to_timestamp("result_ts"), F.try_to_timestamp("msg_ts"), ["session", "msg_id"], ["ord", "at"])
     took = F.unix_millis(F.try_to_timestamp("result_ts")) - F.unix_millis(began)
     each = each.withColumn("took", took)
-    path = F.get_json_object("b.input", "$.file_path")
-    part = lambda name, limit=None: cut(F.get_json_object("b.input", f"$.{name}"), home, limit) if limit else clean(F.get_json_object("b.input", f"$.{name}"), home)
     blank = F.lit("")
-    old = F.when(F.col("b.name") == "Edit", F.coalesce(part("old_string"), blank)).when(F.col("b.name") == "Delete", F.coalesce(part("old_string"), F.lit("(file deleted)"))).otherwise(blank)
-    new = F.when(F.col("b.name") == "Edit", F.coalesce(part("new_string"), blank)).when(F.col("b.name") == "Write", F.coalesce(part("content", 3000), blank)).otherwise(blank)
-    has_diff = F.col("b.name").isin("Edit", "Write", "Delete") & path.isNotNull()
     command = F.get_json_object("b.input", "$.command")
     no_text, no_long = F.lit(None).cast("string"), F.lit(None).cast("long")
     from_blocks = each.select(
@@ -201,7 +207,7 @@ def scenes(events: DataFrame, home: str = "") -> DataFrame:
         F.when(F.col("b.type") == "tool_use", cut(F.coalesce("result", blank), home, 5000)).alias("result"),
         F.when(F.col("b.type") == "tool_use", F.coalesce("is_error", F.lit(False))).alias("is_error"),
         F.when((F.col("took") > 0) & (F.col("took") < 3_600_000), F.col("took")).alias("duration_ms"),
-        F.when(has_diff, F.struct(F.when(F.lit(bool(home)), redact.redact_path(path, home or "~")).otherwise(path).alias("file_path"), old.alias("old_content"), new.alias("new_content"))).alias("diff"),
+        diff(home).alias("diff"),
         F.when((F.col("b.name") == "Bash") & command.isNotNull(), F.struct(clean(command, home).alias("command"), cut(F.coalesce("result", blank), home, 3000).alias("stdout"))).alias("bash"),
         F.when(F.col("b.type") == "text", F.col("stop_reason").eqNullSafe("max_tokens")).alias("is_truncated"),
         no_text.alias("injection"), F.array().cast("array<string>").alias("images"),

@@ -16,8 +16,9 @@ SCHEMA = "path string, key string, value binary"
 def rows(spark: SparkSession, path: str, table: str, key: str = "key", value: str = "value", prefix: str | None = None, pattern: str = "*.db") -> DataFrame:
     """(path, key, value) of a table in each SQLite file below ``path``; keys may be limited to a prefix.
 
-    Files come as bytes through Spark's reader, so they may lie in any store. Files without the table, and files
-    that aren't SQLite, give no rows. Values are bytes, whatever their type.
+    Files come as bytes through Spark's reader, so they may lie in any store; a file has to be below 2 GB. Files without
+    the table, and files that aren't SQLite, give no rows; one that breaks off while it is read is an error, since its
+    rows would be missing unnoticed. Values are bytes, whatever their type.
     """
 
     def run(batches):
@@ -30,13 +31,19 @@ def rows(spark: SparkSession, path: str, table: str, key: str = "key", value: st
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 db = sqlite3.connect(":memory:")
                 try:
-                    db.deserialize(content)
+                    try:
+                        db.deserialize(content)
+                        known = db.execute("SELECT 1 FROM sqlite_master WHERE name = ?", (table,)).fetchone()
+                    except sqlite3.DatabaseError:
+                        known = None  # no SQLite file
+                    if not known:
+                        continue
                     where = f' WHERE "{key}" >= ? AND "{key}" < ?' if high else ""
                     found = db.execute(f'SELECT "{key}", CAST("{value}" AS BLOB) FROM "{table}"{where}', (low, high) if high else ())
                     while part := found.fetchmany(10_000):
                         yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array([str(r[0]) for r in part]), pa.array([r[1] for r in part], type=pa.binary())], names=["path", "key", "value"])
-                except sqlite3.Error:
-                    continue
+                except sqlite3.Error as e:
+                    raise ValueError(f"{name}: {e}") from e
                 finally:
                     db.close()
 
