@@ -45,8 +45,11 @@ def projects(rows: DataFrame) -> DataFrame:
 
 
 def user(rows: DataFrame) -> DataFrame:
-    """One row for all sessions."""
-    return rows.agg(*_totals(), F.count_distinct("project").alias("projects"))
+    """One row for all sessions, with distinct projects, branches of a project and links."""
+    one = rows.agg(*_totals(), F.count_distinct("project").alias("projects"))
+    branch = rows.select("project", F.explode(_branches()).alias("b")).agg(F.count_distinct("project", "b").alias("branches"))
+    link = rows.select(F.explode("pr_links").alias("p")).agg(F.count_distinct("p.pr_url").alias("pull_requests"))
+    return one.crossJoin(branch).crossJoin(link)  # one row each
 
 
 def _branches() -> Column:

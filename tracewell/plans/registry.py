@@ -576,3 +576,6 @@ def table_names() -> list[str]:
 
 def run(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
     return QUERIES[name](spark, sf_dir)
+
+
+from tracewell.plans import session_queries  # noqa: E402, F401  registers its queries here
