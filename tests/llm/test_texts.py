@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -38,6 +40,14 @@ def test_base_spans_equal_the_plain_expressions():
         assert pii.base_spans(text) == plain(text), text
 
 
+def test_long_runs_of_digits_take_linear_time():
+    began = time.time()
+    assert pii.base_spans("7" * 1_000_000) == []
+    assert pii.base_spans("1." * 500_000 + "x")[:1] == [(0, 1, 7)]
+    assert pii.base_spans("7" * 500_000 + " 10.0.0.1") == [(500_001, 1, 500_009)]
+    assert time.time() - began < 10
+
+
 def test_pii_rows(nasty, empty):
     rows = pii.scan(nasty).collect()
     assert len(rows) == nasty.count()
@@ -191,6 +201,58 @@ def test_kneser_ney_is_a_distribution():
     assert abs(total - 1) < 1e-9
 
 
+def plain_kneser_ney(counts):
+    """(n-gram, a tuple of characters) to its probability, as the formulas say, by dictionaries."""
+    order = langid.ORDER
+    level = {order: dict(counts)}
+    for k in range(order - 1, 0, -1):
+        level[k] = collections.Counter(g[1:] for g in level[k + 1])
+    floor = 1 / (len(level[1]) + 1)
+
+    def probability(g):
+        if not g:
+            return floor
+        own = level[len(g)]
+        ones, twos = sum(n == 1 for n in own.values()), sum(n == 2 for n in own.values())
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        same = [n for x, n in own.items() if x[:-1] == g[:-1]]
+        if not same:
+            return probability(g[1:])
+        return max(own.get(g, 0) - d, 0) / sum(same) + min(d * len(same) / sum(same), 1) * probability(g[1:])
+
+    return probability
+
+
+def test_kneser_ney_equals_plain_formulas():
+    rng = random.Random(8)
+    text = [rng.choice("aabbbcde") for _ in range(400)]
+    counts = collections.Counter(tuple(map(ord, text[i : i + langid.ORDER])) for i in range(len(text) - langid.ORDER + 1))
+    pack = lambda g: sum(c << (16 * (langid.ORDER - 1 - i)) for i, c in enumerate(g))
+    language = langid.kneser_ney("x", np.array([pack(g) for g in counts], dtype=np.uint64), np.array(list(counts.values())))
+    plain = plain_kneser_ney(counts)
+    asked = [*list(counts)[:80], *(tuple(rng.choice(b"abcdez") for _ in range(langid.ORDER)) for _ in range(80))]
+    got = language.log_prob(np.array([pack(g) for g in asked], dtype=np.uint64))
+    assert np.allclose(np.exp(got), [plain(g) for g in asked], atol=1e-12)
+
+
+def test_document_score_is_the_noisy_or_of_its_sentences(spark):
+    texts = ["", "one two. three four! five", "bad word here. all is fine. bad bad", "nothing", "three bad. four"]
+    raw = [t.encode() for t in texts]
+    buf, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    start, end, doc, number, which, h = toxicity.sentences(buf, off)
+    words = np.unique(h)
+    weights = np.random.default_rng(4).normal(size=len(words))
+    model = toxicity.Model(words, weights, -1.0)
+    score, count, _ = toxicity.score_slice(buf, off, model)
+    for d in range(len(texts)):
+        clean, seen = 1.0, set(number[doc == d].tolist())
+        for sentence in seen:
+            features = {int(x) for w, x in zip(which, h, strict=True) if number[w] == sentence}
+            z = -1.0 + sum(weights[int(np.flatnonzero(words == np.uint64(x))[0])] for x in features)
+            clean *= 1 - 1 / (1 + math.exp(-z))
+        assert abs(score[d] - (1 - clean)) < 1e-9 and count[d] == len(seen)
+
+
 def test_schedule_stays_within_one_block(spark):
     weights = spark.createDataFrame([("a", 0.5), ("b", 0.3), ("c", 0.1), ("d", 0.05), ("e", 0.03), ("f", 0.0), (None, 0.02)], "source string, weight double")
     shares = mixing.quanta(weights)

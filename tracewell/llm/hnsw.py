@@ -190,6 +190,11 @@ def linked(x: np.ndarray, q: np.ndarray, threshold: float, audit: int = AUDIT, r
         beam *= 2
 
 
+def weighed(link: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of ``size`` over the links of each row, some rows at a time: the product turns booleans into long numbers."""
+    return np.concatenate([link[low : low + BATCH] @ size for low in range(0, len(link), BATCH)] or [np.zeros(0, dtype=np.int64)])
+
+
 def own_components(link: np.ndarray) -> np.ndarray:
     """Smallest row reachable from each row of a symmetric matrix."""
     label = np.arange(len(link))
@@ -217,7 +222,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, shard_rows: int
     d = common_dimension(rows.where(good))
     good = F.coalesce(good & (F.size("embedding") == d), F.lit(False))
     classes = written(rows.where(good).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")), "hnsw-classes")
-    shards = classes.groupBy("label").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
+    shards = classes.groupBy("label").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"), F.count("*").alias("n"))
+    # a task for some pairs of shards, by their work and not by their bytes: as many as there are pairs, or as blocks of 1,024 rows in them
+    groups, blocks = shards.agg(F.coalesce(F.sum(F.col("shards") * (F.col("shards") + 1) / 2), F.lit(0)).cast("long"), F.coalesce(F.sum(F.col("n") * F.col("shards")), F.lit(0))).first()
+    tasks = max(1, min(groups, max(-(-blocks // BATCH), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    shards = shards.drop("n")
     placed = classes.join(shards, "label").withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
     numbers = F.sequence(F.lit(0), F.col("shards") - 1)
     # a task for each pair of shards (a >= b) of a label: a has the graph, b asks
@@ -235,18 +244,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, shard_rows: int
             link = linked(x, x, threshold)
             link |= link.T
             np.fill_diagonal(link, False)
-            count, root = link @ size, own_components(link)
+            count, root = weighed(link, size), own_components(link)
         else:
             is_a = (part["shard"] == a).to_numpy()
             ia, ib = np.flatnonzero(is_a), np.flatnonzero(~is_a)
             cross = linked(x[ia], x[ib], threshold)
             count = np.zeros(len(part), dtype=np.int64)
-            count[ia], count[ib] = size[ib] @ cross, cross @ size[ia]
+            count[ia], count[ib] = weighed(cross.T, size[ib]), weighed(cross, size[ia])
             root = two_sided(cross, ia, ib, len(part))
         some = count > 0
         return pd.DataFrame({"rep": rep[some], "linked": count[some], "root": rep[root[some]]})
 
-    found = written(pairs.groupBy("label", "a", "b").applyInPandas(run, "rep bigint, linked bigint, root bigint"), "hnsw-links")
+    found = written(pairs.repartition(tasks, "label", "a", "b").groupBy("label", "a", "b").applyInPandas(run, "rep bigint, linked bigint, root bigint"), "hnsw-links")
     counts = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
     parts = connected(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "hnsw-components")
     known = classes.join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import hnsw, jaccard, langid, lm, mih, mixing, packing, pii, suffix_dedup, toxicity
@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(folds: int, fold: int) -> Column:
+    """Whether a document lies in the held-out fold; one without id doesn't."""
+    return F.coalesce(tx.fold("doc_id", folds) == fold, F.lit(False)).alias("held_out")
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
@@ -30,13 +35,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     out = toxicity.score(docs, model).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-    return out.select("doc_id", (tx.fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "n_sentences", "offending")
+    return out.select("doc_id", held_out(5, 0), "score", "predicted", "n_sentences", "offending")
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.predict(docs, langid.fit(docs))
-    return out.select("doc_id", (tx.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return out.select("doc_id", held_out(4, 2), "lang_pred", "score", "rejected")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

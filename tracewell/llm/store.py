@@ -8,10 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a folder of our own only where the session names none, as in tests."""
+    """The session's checkpoint folder; where it names none, a folder of our own in local mode, as in tests, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tracewell-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -22,9 +27,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_all_written(spark: SparkSession) -> None:
+    """Remove all tables that this process has written and that are still there, once their results have been saved."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def delete_written(spark: SparkSession, *frames: DataFrame) -> None:
     """Remove tables made by :func:`written` that no later plan reads."""
     jvm = spark.sparkContext._jvm
