@@ -1,0 +1,25 @@
+from pyspark.sql import functions as F
+
+from tracewell.plans import catalogue
+
+
+def test_kept_sessions_and_slugs(spark):
+    df = spark.createDataFrame([("a", ["<b>hi</b>", "please mend the parser"]), ("b", ["<x>short</x>"]), (None, ["please mend the parser"]), ("c", None)], "session string, prompts array<string>")
+    assert [r["session"] for r in catalogue.kept(df).collect()] == ["a"]
+    slugs = {"a-b.c": True, "..": False, "a/b": False, ".hid": False, "a..b": False, None: False}
+    df = spark.createDataFrame([(k,) for k in slugs], "s string")
+    assert {r["s"]: r["ok"] for r in df.select("s", catalogue.safe_slug(F.col("s")).alias("ok")).collect()} == slugs
+
+
+def test_orders_unions_and_scans(spark):
+    a, b = spark.createDataFrame([("x", 1)], "session string, n int"), spark.createDataFrame([("y", "t")], "session string, title string")
+    assert {tuple(r) for r in catalogue.all_providers([a, b]).collect()} == {("x", 1, None), ("y", None, "t")}
+    p = spark.createDataFrame([("p", 2, 1.0), ("q", 3, None), ("r", 1, 5.0)], "project string, sessions int, cost double")
+    assert [r["project"] for r in catalogue.ordered(p, "cost", "project").collect()] == ["r", "p", "q"]
+    assert [r["project"] for r in catalogue.ordered(p, "sessions", "project").collect()] == ["q", "p", "r"]
+    rows, scans = spark.createDataFrame([("s",), ("t",)], "slug string"), spark.createDataFrame([("s", 1, 5, 1), ("s", 2, 7, 2)], "slug string, at int, prompt_count int, tool_calls int")
+    assert {r["slug"]: r["scanned_prompts"] for r in catalogue.with_scan(rows, scans).collect()} == {"s": 7, "t": None}
+    notes = spark.createDataFrame([("p",), ("p",)], "project string")
+    assert {r["project"]: r["notes"] for r in catalogue.with_notes(p, notes).collect()} == {"p": 2, "q": 0, "r": 0}
+    tools = spark.createDataFrame([("Read",), ("Write",), ("Bash",), ("Glob",), ("Task",)], "t string")
+    assert [r[0] for r in tools.select(catalogue.tool_action(F.col("t"))).collect()] == ["read", "create", "run", "search", "task"]

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tracewell.plans import export, incremental, insights, scene_stats, sessions
+from tracewell.plans import catalogue, export, incremental, insights, scene_stats, sessions
 from tracewell.plans.registry import query
 
 TODAY = "1998-08-02"
@@ -296,3 +296,94 @@ def public_rows(t):
 def unexpired_rows(t):
     rows = t("orders").select("o_orderkey", F.expr(_ENDS).alias("expires_at"))
     return incremental.unexpired(rows, "1997-01-01").select("o_orderkey")
+
+
+# --- the catalogue -------------------------------------------------------------------------------------------------
+
+_CARD = {
+    "session": "cast(o_orderkey as string)", "slug": "concat('s', o_orderkey)", "project": "concat('p', o_custkey)", "provider": "o_orderstatus", "title": "case when o_orderkey % 9 = 0 then null when o_orderkey % 9 = 1 then '<noise>' else concat('About ', o_orderpriority) end",
+    "first_prompt": "concat('Order ', o_orderkey)", "prompt_count": "o_orderkey % 5", "model": "case when o_orderkey % 17 = 0 then null else 'm' end", "git_branch": "case when o_orderkey % 3 = 0 then 'main' when o_orderkey % 3 = 1 then o_orderpriority end", "modified": "o_orderdate",
+}
+C = "c AS (SELECT " + ", ".join(f"{v} AS {n}" for n, v in _CARD.items()).replace("as string", "AS VARCHAR") + ", o_orderkey AS k FROM orders), r AS (SELECT slug, k % 7 AS prompt_count FROM c WHERE k % 4 = 0)"
+
+
+def cards(t):
+    return t("orders").select(*(F.expr(v).alias(n) for n, v in _CARD.items()))
+
+
+def replay_rows(t):
+    return t("orders").where("o_orderkey % 4 = 0").select(F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("slug"), (F.col("o_orderkey") % 7).alias("prompt_count"))
+
+
+@query(f"WITH {C} SELECT session FROM c WHERE project <> '' AND (contains(lower(title), 'high') OR contains(lower(first_prompt), 'high') OR contains(slug, 'high') OR contains(lower(git_branch), 'high'))")
+def catalogue_search(t):
+    return catalogue.find_sessions(cards(t), "HIGH").select("session")
+
+
+@query(f"WITH {C} SELECT project, count(*) AS sessions, max(modified) AS newest FROM c GROUP BY 1")
+def catalogue_groups(t):
+    return catalogue.grouped(cards(t))
+
+
+@query(f"WITH {C} SELECT session, modified FROM c WHERE (prompt_count = 0 OR title IS NULL OR title LIKE '<%' OR model IS NULL) AND k % 2 = 1 ORDER BY modified DESC, session LIMIT 30")
+def catalogue_enrich(t):
+    return catalogue.to_enrich(cards(t), cards(t).where("session % 2 = 0")).select("session", "modified")
+
+
+@query(f"WITH {C} SELECT project, count(*) AS sessions, count(r.slug) AS replays FROM c LEFT JOIN r USING (slug) GROUP BY 1")
+def catalogue_projects(t):
+    return catalogue.project_counts(cards(t), replay_rows(t))
+
+
+@query(f"WITH {C} SELECT count(*) AS sessions, count(DISTINCT project) AS projects, count(DISTINCT provider) AS providers, sum(greatest(c.prompt_count, coalesce(r.prompt_count, 0)))::BIGINT AS prompts, count(r.slug) AS replays, round(100.0 * count(r.slug) / count(*)) AS converted_percent FROM c LEFT JOIN r USING (slug)")
+def catalogue_home(t):
+    return catalogue.home(cards(t), replay_rows(t))
+
+
+@query(f"""
+WITH {C}, d AS (SELECT modified::DATE AS day, count(*) AS n, sum(prompt_count) AS p FROM c GROUP BY 1)
+SELECT arg_max(day, (n, -date_diff('day', DATE '1970-01-01', day))) AS peak_day, max(n) AS peak, count(*) AS active_days, round(avg(n), 6) AS per_day, round(sum(p) / sum(n), 6) AS prompts_per_session FROM d""")
+def catalogue_days(t):
+    return catalogue.days(cards(t))
+
+
+@query(f"WITH {C} SELECT count(*) AS expiring, min(greatest(0, 2000 - date_diff('day', modified::DATE, DATE '{TODAY}')))::INTEGER AS soonest FROM c WHERE provider = 'F' AND greatest(0, 2000 - date_diff('day', modified::DATE, DATE '{TODAY}')) <= 7")
+def catalogue_expiring(t):
+    return catalogue.expiring(cards(t), "F", TODAY, 2000)
+
+
+@query("SELECT o_custkey AS owner, sum(round(o_totalprice))::BIGINT AS bytes FROM orders GROUP BY 1 HAVING sum(round(o_totalprice)) + 100000 <= 2000000")
+def catalogue_quota(t):
+    return catalogue.within_quota(t("orders").select(F.col("o_custkey").alias("owner"), F.round("o_totalprice").cast("long").alias("size")), 100_000, 2_000_000)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey = 7 OR (o_orderkey % 3 > 0 AND (o_orderkey % 5 = 0 OR o_orderdate > TIMESTAMP '1997-01-01'))")
+def catalogue_visible(t):
+    rows = t("orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("owner"), F.when(F.col("o_orderkey") % 3 == 0, "private").otherwise("unlisted").alias("visibility"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderdate")).alias("expires_at"))
+    return catalogue.visible(rows, "7", "1997-01-01").select("o_orderkey")
+
+
+@query(f"WITH {C} SELECT session, coalesce(git_branch NOT IN ('main', 'master', ''), false) AS own FROM c")
+def catalogue_branches(t):
+    return cards(t).select("session", catalogue.own_branch().alias("own"))
+
+
+@query(f"WITH {E} SELECT type, count(*) AS n FROM e WHERE type = 'user-prompt' GROUP BY 1")
+def scene_prompts_only(t):
+    return catalogue.shown(scene_rows(t), prompts_only=True).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH p AS (SELECT conv_id AS session, turn, substr(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), 1, 12) AS p FROM conversations WHERE role = 'assistant' AND text NOT LIKE '%<%' AND text NOT LIKE '/%'),
+f AS (SELECT session, p, min(turn) AS turn FROM p WHERE length(p) >= 8 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY turn) AS rn FROM f)
+SELECT session, string_agg(p, '|' ORDER BY turn) AS previews FROM k WHERE rn <= 3 GROUP BY 1""")
+def prompt_previews(t):
+    said = t("conversations").where("role = 'assistant' and text not like '%<%' and text not like '/%'").select(F.col("conv_id").alias("session"), F.col("turn").alias("ord"), "text")
+    return catalogue.previews(said, limit=12).select("session", F.array_join("previews", "|").alias("previews"))
+
+
+@query(f"WITH {E}, o AS (SELECT session, turn, min(scene_index) AS first FROM tt WHERE turn > 0 GROUP BY 1, 2) SELECT e.session, e.scene_index::BIGINT AS position, max(o.turn)::BIGINT AS turn FROM e LEFT JOIN o ON o.session = e.session AND o.first <= e.scene_index GROUP BY 1, 2")
+def outline_positions(t):
+    scene = scene_rows(t)
+    out = catalogue.outline_position(sessions.turn_stats(scene), scene.select("session", F.col("scene_index").alias("position")))
+    return out.select("session", F.col("position").cast("long").alias("position"), "turn")
