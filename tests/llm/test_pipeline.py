@@ -7,7 +7,7 @@ from test_search import brute_jaccard
 from test_texts import packed_well
 
 import corpus_pipeline
-from tracewell.llm import packing, pii, toxicity
+from tracewell.llm import jaccard, packing, pii, toxicity
 from tracewell.llm.store import written
 
 SF = "/root/testdata/sf0.001"
@@ -85,3 +85,17 @@ def test_sequences_follow_the_mix(spark):
     for t in range(1000, int(0.9 * min(n / weight[s] for s, n in sizes.items())), 500):
         seen = collections.Counter(order[:t])
         assert all(abs(seen[s] / t - w) < 0.05 for s, w in weight.items())
+
+
+def test_an_id_with_several_texts_keeps_the_one_compared(spark):
+    words = " ".join(f"w{k}" for k in range(30))
+    other = " ".join(f"v{k}" for k in range(30))
+    rows = [(1, words, "b"), (1, other, "a"), (2, words, "a"), (3, other, "a"), (4, "alone here", "b"), (4, "alone here", "a"), (None, words, "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    first = {r["doc_id"]: r for r in jaccard.join(docs).collect()}
+    for n in (1, 3, 7):
+        got = sorted(corpus_pipeline.drop_near_duplicates(spark, docs.repartition(n), SF).collect(), key=key)
+        by = {r["doc_id"]: r for r in got}
+        linked = 2 if first[2]["group_id"] == 1 else 3  # which of them equals the text that stands for document 1
+        assert set(by) == {1, 4, None, 5 - linked} and len(got) == 4
+        assert by[1]["text"] == (words if linked == 2 else other) and by[4]["source"] == "a"
