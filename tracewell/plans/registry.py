@@ -539,6 +539,11 @@ def email_redact(t):
     return t("documents").where(F.contains("text", F.lit("@"))).select("doc_id", clean.alias("clean"))
 
 
+@query(f"SELECT doc_id, regexp_replace(text, {_q(f'{redact.EMAIL[0]}({redact.EMAIL[1]})')}, '[REDACTED]\\1', 'g') AS clean FROM documents")
+def email_redact_all(t):
+    return t("documents").select("doc_id", F.regexp_replace("text", f"{redact.EMAIL[0]}({redact.EMAIL[1]})", r"\[REDACTED\]$1").alias("clean"))
+
+
 @query("""
 WITH c AS (SELECT l_partkey AS file, l_linenumber AS turn, count(*) AS edits FROM lineitem GROUP BY 1, 2), f AS (SELECT file FROM c GROUP BY 1 ORDER BY sum(edits) DESC, file LIMIT 8), s AS (SELECT unnest(generate_series(1, 7))::INTEGER AS turn)
 SELECT f.file, s.turn, coalesce(c.edits, 0)::BIGINT AS edits FROM f CROSS JOIN s LEFT JOIN c ON c.file = f.file AND c.turn = s.turn""")
