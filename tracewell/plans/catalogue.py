@@ -74,6 +74,12 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.groupBy("project").agg(F.count("*").alias("sessions"), F.max("modified").alias("newest")).orderBy(F.desc("newest"), "project")
 
 
+def choices(rows: DataFrame) -> DataFrame:
+    """Sessions by project, the project with the newest session first, and newest first within it."""
+    newest = F.max("modified").over(W.partitionBy("project"))
+    return rows.withColumn("__newest", newest).orderBy(F.desc("__newest"), "project", F.desc("modified"), "session").drop("__newest")
+
+
 def to_enrich(rows: DataFrame, known: DataFrame, limit: int = ENRICHED) -> DataFrame:
     """The newest sessions that lack a count, a title or a model, or whose title is noise, and that aren't known yet."""
     lacking = F.col("prompt_count").isNull() | (F.col("prompt_count") == 0) | F.coalesce(F.trim("title"), F.lit("")).isin("") | F.col("model").isNull() | F.coalesce(F.col("title").startswith("<"), F.lit(False))

@@ -5,12 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.functions import composer as read
 from tracewell.functions import text
 from tracewell.operators import joins, windows
+from tracewell.sources import logs
 
 #: Type numbers of messages.
 USER_TYPE = 1
 SCHEMA = "path string, key string, value binary"
+#: The shape of a session's id, and the size in bytes below which a store holds nothing.
+SESSION_ID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+LEAST_STORE, REQUEST_ROWS = 8192, 500
+
+
+def index(spark: SparkSession, path: str, least: int = LEAST_STORE) -> DataFrame:
+    """(session, workspace_hash, path, length, modified): stores of ``least`` bytes or more in folders named after sessions, by a listing alone."""
+    part = F.split("path", "/")
+    found = logs.files(spark, path, "store.db").where(F.col("length") >= least)
+    return found.select(F.element_at(part, -2).alias("session"), F.element_at(part, -3).alias("workspace_hash"), "path", "length", "modified").where(F.col("session").rlike(f"^{SESSION_ID}$"))
+
+
+def with_workspace(stores: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """Stores with the project whose path has the hash of their folder, null if none is known."""
+    known = workspaces.select(F.col("path").alias("project")).distinct().withColumn("workspace_hash", read.workspace_hash(F.col("project")))
+    return stores.join(known, "workspace_hash", "left")
+
+
+def _part(n: int) -> Column:
+    return F.get(F.split("key", ":"), n)
+
+
+def present(wanted: DataFrame, kv: DataFrame) -> DataFrame:
+    """The wanted (session, …) that the store has a conversation of."""
+    have = kv.where(F.col("key").startswith("composerData:")).select(_part(1).alias("session"))
+    return wanted.join(have, "session", "left_semi")
+
+
+def checkpoints(kv: DataFrame) -> DataFrame:
+    """(session, checkpoints)."""
+    return kv.where(F.col("key").startswith("checkpointId:")).groupBy(_part(1).alias("session")).agg(F.count("*").alias("checkpoints"))
+
+
+def request_contexts(kv: DataFrame, limit: int = REQUEST_ROWS) -> DataFrame:
+    """(session, position, request): JSON that was sent along, the first ``limit`` of each session by key."""
+    rows = kv.where(F.col("key").startswith("messageRequestContext:")).select(_part(1).alias("session"), "key", utf8(F.col("value")).alias("request"))
+    return windows.top_k(rows, ["session"], ["key"], limit).where(F.try_parse_json("request").isNotNull()).select("session", F.col("rn").alias("position"), "request")
 
 
 def rows(spark: SparkSession, path: str, table: str, key: str = "key", value: str = "value", prefix: str | None = None, pattern: str = "*.db") -> DataFrame:
