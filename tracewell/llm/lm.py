@@ -39,6 +39,8 @@ RATE = 0.3
 SMOOTH = 0.1
 #: Bytes of text in a chunk, about, and chunks of a task.
 CHUNK_BYTES, CHUNKS_PER_TASK = 4 << 20, 16
+#: Bytes of a chunk that are split into words at once: temporary arrays take some 60 bytes a byte.
+PIECE_BYTES = 1 << 19
 #: Tokens whose mean is the history of the next one, at most, and tokens of a step of training, about.
 HISTORY, BATCH = 4_096, 4_096
 #: Distinct tokens of chunks that one task adds up, about.
@@ -57,7 +59,7 @@ def hashed(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     """(document, hash, form) of every word, worked on in pieces that end at white space."""
     out, low = [], 0
     while low < len(buf):
-        high = min(len(buf), low + CHUNK_BYTES)
+        high = min(len(buf), low + PIECE_BYTES)
         while high < len(buf) and not tx.SPACE[buf[high]] and high not in off:
             gap = np.flatnonzero(tx.SPACE[buf[high : high + 65_536]])
             high = high + int(gap[0]) if len(gap) else min(len(buf), high + 65_536)
@@ -144,7 +146,7 @@ def added_up(table: DataFrame, buckets: int) -> DataFrame:
 
     def send(batches):
         for batch in batches:
-            for chunk, hashes, forms, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "hashes", "forms", "counts")), strict=True):
+            for chunk, hashes, forms, counts in each_row(batch, "chunk", "hashes", "forms", "counts"):
                 h, f, c = np.frombuffer(hashes, np.uint64), np.frombuffer(forms, np.uint8), np.frombuffer(counts, "<u4")
                 owner = bucket_of(h, buckets)
                 cut = np.searchsorted(owner, np.arange(buckets + 1))  # hashes rise, so do their buckets
@@ -176,6 +178,13 @@ def spread(df: DataFrame, groups: int, key: str, each: int = 4) -> DataFrame:
     return df.repartition(max(-(-groups // each), min(groups, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))), key)
 
 
+def each_row(batch: pa.RecordBatch, *names: str):
+    """Values of a batch row by row; binary ones as views of the batch, so that no second copy of it is made."""
+    columns = [batch.column(c) for c in names]
+    for k in range(batch.num_rows):
+        yield tuple(c[k].as_buffer() if pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type) else c[k].as_py() for c in columns)
+
+
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -323,29 +332,34 @@ class Bilinear:
         two[np.minimum(begins[:-1] + 1, len(units) - 1)] = mark
         seen = np.maximum(at - first, 1).astype(np.float32)
         before = np.zeros((len(units) + 1, self.r.shape[1]))
-        np.cumsum(self.r[units], axis=0, out=before[1:])
-        mean = ((before[at] - before[first]) / seen[:, None]).astype(np.float32)
+        np.cumsum(self.r.take(units, axis=0), axis=0, out=before[1:])
+        mean = ((before[:-1] - before.take(first, axis=0)) / seen[:, None]).astype(np.float32)
         return one, two, first, seen, mean
 
     def predicted(self, one: np.ndarray, two: np.ndarray, mean: np.ndarray) -> np.ndarray:
-        return self.r[one] * self.maps[0] + self.r[two] * self.maps[1] + mean * self.maps[2]
+        return self.r.take(one, axis=0) * self.maps[0] + self.r.take(two, axis=0) * self.maps[1] + mean * self.maps[2]
 
     def log_prob(self, units: np.ndarray, ends: np.ndarray, stats: Corpus) -> np.ndarray:
         """Natural logarithms of the normalised probabilities of units; for a form, of the form."""
         out = np.empty(len(units))
         begins = segments(ends)
-        for low, high in steps(begins, 8 * BATCH):
+        classes = stats.class_of(np.arange(stats.words + FORMS))
+        for low, high in steps(begins, 16 * BATCH):
             a, b = begins[low], begins[high]
             own = units[a:b]
-            one, two, _, _, mean = self.context(own, begins[low : high + 1] - a)
-            p = self.predicted(one, two, mean)
-            kind = stats.class_of(own)
-            value = log_softmax(p @ self.c.T + self.cb, kind)
-            order = np.argsort(kind, kind="stable")
+            kind = classes.take(own)
+            p, value = np.empty((len(own), self.r.shape[1]), dtype=np.float32), np.empty(len(own))
+            for near, far in steps(begins[low : high + 1]):  # classes of few tokens at once, which stay in the cache
+                edges = begins[low + near : low + far + 1] - a
+                i = slice(edges[0], edges[-1])
+                one, two, _, _, mean = self.context(own[i], edges - edges[0])
+                p[i] = self.predicted(one, two, mean)
+                value[i] = log_softmax(p[i] @ self.c.T + self.cb, kind[i])
+            order = by_value(kind)
             cut = np.searchsorted(kind[order], np.arange(len(stats.begin)))
             for k in np.flatnonzero(np.diff(cut)):
                 i, members = order[cut[k] : cut[k + 1]], slice(stats.begin[k], stats.begin[k + 1])
-                value[i] += log_softmax(p[i] @ self.w[members].T + self.wb[members], own[i] - stats.begin[k])
+                value[i] += log_softmax(p.take(i, axis=0) @ self.w[members].T + self.wb[members], own[i] - stats.begin[k])
             out[a:b] = value
         return out
 
@@ -373,9 +387,21 @@ def fresh(stats: Corpus, dim: int = DIM, seed: int = 5) -> Bilinear:
 
 def scatter(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct indexes, sums of their ``rows``)."""
-    order = np.argsort(index, kind="stable")
-    own, start = np.unique(index[order], return_index=True)
-    return own, np.add.reduceat(rows[order], start, axis=0)
+    order = by_value(index)
+    rising = index.take(order)
+    new = np.concatenate(([True], rising[1:] > rising[:-1]))
+    place = np.empty(len(index), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    own = rising[new]
+    out = np.empty((len(own), rows.shape[1]), dtype=np.float32)
+    for k in range(rows.shape[1]):
+        out[:, k] = np.bincount(place, weights=rows[:, k])
+    return own, out
+
+
+def by_value(index: np.ndarray) -> np.ndarray:
+    """The stable order of numbers from 0 on; those of 16 bits are sorted by their digits, which is faster."""
+    return np.argsort(index.astype(np.uint16) if len(index) and index.max() < 1 << 16 else index, kind="stable")
 
 
 def nce(model: Bilinear, stats: Corpus, units: np.ndarray, ends: np.ndarray, rate: float, seed: int) -> Bilinear:
@@ -393,11 +419,18 @@ def nce(model: Bilinear, stats: Corpus, units: np.ndarray, ends: np.ndarray, rat
     log_share = np.log(share)
     mass = np.concatenate(([0], np.cumsum(stats.unit_n)))  # draws of a token from its class
     begins = segments(ends)
+    classes = stats.class_of(np.arange(stats.words + FORMS))
 
-    def step(k: int, grad: np.ndarray, at: np.ndarray | slice = slice(None)) -> None:
+    def step(k: int, grad: np.ndarray, at: np.ndarray | None = None) -> None:
         x, total = new.parts()[k], sums[k]
-        total[at] += grad * grad
-        x[at] += rate * grad / np.sqrt(total[at])
+        move = grad * grad
+        move += total if at is None else total.take(at, axis=0)
+        total[slice(None) if at is None else at] = move
+        np.sqrt(move, out=move)
+        np.divide(grad, move, out=move)
+        move *= rate
+        move += x if at is None else x.take(at, axis=0)
+        x[slice(None) if at is None else at] = move
 
     for low, high in steps(begins):
         a, b = begins[low], begins[high]
@@ -405,7 +438,7 @@ def nce(model: Bilinear, stats: Corpus, units: np.ndarray, ends: np.ndarray, rat
         edges = begins[low : high + 1] - a
         one, two, first, seen, mean = new.context(own, edges)
         p = new.predicted(one, two, mean)
-        kind = stats.class_of(own)
+        kind = classes.take(own)
         odds = p @ c.T
         odds += cb - log_share
         np.clip(odds, -30, 30, out=odds)
@@ -423,8 +456,8 @@ def nce(model: Bilinear, stats: Corpus, units: np.ndarray, ends: np.ndarray, rat
             drawn = np.searchsorted(mass, low_mass[:, None] + rng.random((len(word), DRAWN)) * (high_mass - low_mass)[:, None], side="right") - 1
             both = np.concatenate((word[:, None], np.minimum(drawn, stats.words - 1)), axis=1)
             log_noise = np.log(DRAWN * stats.unit_n[both] / (high_mass - low_mass)[:, None])
-            q = w[both]
-            pull = p[is_word]
+            q = w.take(both, axis=0)
+            pull = p.take(is_word, axis=0)
             s = 1 / (1 + np.exp(-np.clip(np.einsum("ijk,ik->ij", q, pull) + wb[both] - np.log((high_mass - low_mass)[:, None]) - log_noise, -30, 30)))
             s = -s
             s[:, 0] += 1
@@ -437,9 +470,9 @@ def nce(model: Bilinear, stats: Corpus, units: np.ndarray, ends: np.ndarray, rat
         far = np.zeros((len(own) + 1, p.shape[1]))
         np.cumsum((back * maps[2] / seen[:, None])[::-1], axis=0, out=far[1:])
         last = np.repeat(edges[1:], np.diff(edges))
-        far = (far[len(own) - 1 - np.arange(len(own))] - far[len(own) - last]).astype(np.float32)
+        far = (far[-2::-1] - far.take(len(own) - last, axis=0)).astype(np.float32)
         at, gr = scatter(np.concatenate((one, two, own)), np.concatenate((back * maps[0], back * maps[1], far)))
-        gm = np.stack(((back * r[one]).sum(axis=0), (back * r[two]).sum(axis=0), (back * mean).sum(axis=0)))
+        gm = np.stack([np.einsum("ij,ij->j", back, x) for x in (r.take(one, axis=0), r.take(two, axis=0), mean)])
         step(0, gr, at)
         step(1, gm / 10)
         step(2, gc)
@@ -471,7 +504,7 @@ def train(table: DataFrame, stats: Corpus, rounds: int = ROUNDS) -> Bilinear:
             moved, weighed = [np.zeros(s) for s in shapes], [np.zeros(s[0]) for s in shapes]
             some = False
             for batch in batches:
-                for number, hashes, forms, tokens, ends, held in zip(*(batch.column(x).to_pylist() for x in ("number", "hashes", "forms", "tokens", "ends", "held")), strict=True):
+                for number, hashes, forms, tokens, ends, held in each_row(batch, "number", "hashes", "forms", "tokens", "ends", "held"):
                     ends, held = np.frombuffer(ends, "<i8"), np.frombuffer(held, bool)
                     docs = np.flatnonzero(~held)[at_round::rounds]
                     sizes = np.diff(np.concatenate(([0], ends)))
