@@ -239,7 +239,7 @@ def context(bubbles: DataFrame, requests: DataFrame, limit: int = CONTEXT_FILES)
     of_requests = full.select("session", F.lit(1).alias("side"), "position", F.concat(F.transform(array("request", "terminalFiles"), _of_item), folders).alias("files"))
     each = of_bubbles.unionByName(of_requests).select("session", "side", "position", F.posexplode("files").alias("at", "file")).where("file is not null")
     first = each.groupBy("session", "file").agg(F.min(F.struct("side", "position", "at")).alias("o"))
-    files = windows.top_k(first, ["session"], ["o"], limit).groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "file"))), lambda x: x["file"]).alias("context_files"))
+    files = windows.top_k(first, ["session"], ["o", "file"], limit).groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "file"))), lambda x: x["file"]).alias("context_files"))
     counts = full.groupBy("session").agg(F.count("*").alias("request_contexts"), F.max(F.size(array("request", "cursorRules")) > 0).alias("has_rules"))
     return files.join(counts, "session", "full_outer").select("session", "context_files", F.coalesce("request_contexts", F.lit(0)).alias("request_contexts"), F.coalesce("has_rules", F.lit(False)).alias("has_rules"))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tracewell.functions import composer
 from tracewell.plans import catalogue, export, incremental, insights, scene_stats, sessions
 from tracewell.plans.registry import query
 
@@ -387,3 +388,55 @@ def outline_positions(t):
     scene = scene_rows(t)
     out = catalogue.outline_position(sessions.turn_stats(scene), scene.select("session", F.col("scene_index").alias("position")))
     return out.select("session", F.col("position").cast("long").alias("position"), "turn")
+
+
+# --- conversations of the second provider --------------------------------------------------------------------------
+
+_INTENT = r"(?i)\b(?:I\s+need|I\s+think|I\s+should|I\s+might|I\s+could|I'm|I\s+am|I'll|I\s+will|let's|we\s+need\s+to|we\s+should)\b"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, doc_id % 3 AS m, regexp_replace(regexp_replace(coalesce(text, ''), '^\\s+', ''), '\\s+$', '') AS body FROM documents)
+SELECT doc_id, CASE WHEN m < 2 AND regexp_matches(substr(body, 1, 500), '{_INTENT.replace("'", "''")}') THEN 7 WHEN body = '' THEN length('Did it.' || chr(10) || chr(10) || (CASE m WHEN 0 THEN '**Planning**' WHEN 1 THEN '**Checking the rest**' ELSE '**Results**' END))
+  ELSE length('Did it.' || repeat(chr(10), 4) || (CASE m WHEN 0 THEN '**Planning**' WHEN 1 THEN '**Checking the rest**' ELSE '**Results**' END) || body) END::INTEGER AS length FROM d""")
+def plans_removed(t):
+    heading = F.expr("case doc_id % 3 when 0 then 'Planning' when 1 then 'Checking the rest' else 'Results' end")
+    said = F.concat(F.lit("Did it.\n\n**"), heading, F.lit("**\n\n"), F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+", ""))
+    return t("documents").select("doc_id", F.length(composer.without_plan(said)).alias("length"))
+
+
+@query("""
+SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN o_orderstatus WHEN 1 THEN 'z' ELSE o_orderpriority END AS branch,
+  o_orderstatus || '|x|' || o_orderpriority || CASE WHEN o_orderkey % 3 = 1 THEN '|z' ELSE '' END AS chain,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'x|' || o_orderpriority || '|' || o_orderstatus ELSE o_orderstatus || '|x|' || o_orderpriority || CASE WHEN o_orderkey % 3 = 1 THEN '|z' ELSE '' END END AS shown
+FROM orders""")
+def branch_chains(t):
+    listed = F.array(F.struct(F.col("o_orderpriority").alias("branchName"), F.lit(None).cast("string").alias("branch"), F.lit(2).alias("lastInteractionAt")), F.struct(F.lit(None).cast("string").alias("branchName"), F.lit("x").alias("branch"), F.lit(1).alias("lastInteractionAt")))
+    active = F.expr("case o_orderkey % 3 when 0 then o_orderstatus when 1 then 'z' end")
+    json = F.to_json(F.struct(F.col("o_orderstatus").alias("createdOnBranch"), listed.alias("branches"), active.alias("activeBranch")))
+    rows = t("orders").select(F.col("o_orderkey").alias("k"), composer.branches(json).alias("b")).select("k", "b.*")
+    rows = rows.withColumn("shown", F.array_join(composer.branch_chain(F.col("branch"), F.col("chain")), "|"))
+    return rows.withColumn("chain", F.array_join("chain", "|"))
+
+
+@query("""
+WITH e AS (SELECT l_orderkey AS k, l_linenumber AS n, unnest([0, 1]) AS place, unnest(['/d/p ' || l_partkey || '.py', 's' || l_suppkey]) AS file FROM lineitem),
+f AS (SELECT k, file, min(n * 2 + place) AS o FROM e GROUP BY 1, 2), g AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o, file) AS rn FROM f)
+SELECT k, string_agg(file, '|' ORDER BY o, file) AS files, (k % 2 = 0)::BIGINT AS request_contexts, k % 2 = 0 AS has_rules FROM g WHERE rn <= 3 GROUP BY k""")
+def context_files(t):
+    item = F.format_string('{"relevantFiles": ["file:///d/p%%20%d.py", {"path": "s%d"}]}', F.col("l_partkey"), F.col("l_suppkey"))
+    bubbles = t("lineitem").select(F.col("l_orderkey").alias("session"), F.col("l_linenumber").alias("position"), item.alias("bubble"))
+    requests = bubbles.select("session").distinct().select("session", F.lit(0).alias("position"), F.when(F.col("session") % 2 == 0, '{"cursorRules": [{}]}').otherwise('{"cursorRules": []}').alias("request"))
+    out = composer.context(bubbles, requests, 3)
+    return out.select(F.col("session").alias("k"), F.array_join("context_files", "|").alias("files"), "request_contexts", "has_rules")
+
+
+@query("""
+WITH r AS (SELECT o_orderkey AS k, o_custkey % 20 AS u, o_orderkey % 7 AS m FROM orders)
+SELECT k, CASE WHEN m = 5 THEN '/data/p5' ELSE '/home/u' || u || '/p' || m || CASE WHEN u < 3 AND m < 5 THEN '/sub' ELSE '' END END AS project FROM r""")
+def project_roots(t):
+    raw = F.format_string('{"file": "file:///home/u%d/p%d/sub/f.py"}', F.col("o_custkey") % 20, F.col("o_orderkey") % 7)
+    rows = t("orders").select(F.col("o_orderkey").alias("session"), raw.alias("raw"))
+    some = rows.sparkSession.range(50).select(F.format_string("/home/u%d/p%d", (F.col("id") / 5).cast("int"), F.col("id") % 5).alias("path"), "id")
+    known = some.select("path").unionByName(some.where("id < 15").select(F.concat("path", F.lit("/sub")).alias("path"))).unionByName(some.where("id = 0").select(F.lit("/data/p5").alias("path")))
+    return composer.with_project(rows, known).select(F.col("session").alias("k"), "project")
