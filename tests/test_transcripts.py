@@ -48,6 +48,19 @@ def test_turns_outputs_and_scan(spark, root):
     assert [(r["session"], r["lines"]) for r in tr.discover(spark, root).collect()] == [("s1", 6)]
 
 
+def test_plans_and_images_go(spark, tmp_path):
+    use = {"type": "tool_use", "id": "t", "name": "Read", "input": {}}
+    lines = [
+        {"role": "user", "message": {"content": [{"type": "text", "text": "look\n[Image]\n<image_files>\n1. /a.png\n</image_files>"}, {"type": "text", "text": "[image]"}]}},
+        {"role": "assistant", "message": {"content": [{"type": "text", "text": "**Planning**\n\nI need more"}, use]}},
+        {"role": "assistant", "message": {"content": [{"type": "text", "text": "**Planning**\n\nI need more"}]}},
+        {"role": "assistant", "message": {"content": [{"type": "text", "text": "Done.\n\n**Next steps**\n\nLet's see"}]}},
+    ]
+    (tmp_path / "s.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    got = [(r["kind"], r["text"]) for r in tr.turns(tr.entries(spark, str(tmp_path))).orderBy("position").collect()]
+    assert got == [("text", "look"), ("tool", None), ("text", "**Planning**\n\nI need more"), ("text", "Done.")]
+
+
 def test_coercions(spark):
     df = spark.createDataFrame([('{"inputTokens": 3.6, "output_tokens": "2", "cacheReadTokens": -5}',), ('{"inputTokens": 0}',), ("x",)], "j string")
     assert [r[0] and tuple(r[0]) for r in df.select(tr.token_usage(F.col("j"))).collect()] == [(4, 2, 0, 0), None, None]

@@ -96,6 +96,11 @@ def without_image_lines(text: Column) -> Column:
     return strip(F.array_join(F.filter(F.split(text, "\n"), lambda line: ~line.rlike(r"(?i)^\s*\[image\]\s*$")), "\n"))
 
 
+def without_images(text: Column) -> Column:
+    """A text without its image blocks and the lines that stand for images."""
+    return without_image_lines(F.regexp_replace(text, r"(?i)<image_files>[\s\S]*?</image_files>", ""))
+
+
 def image_paths(text: Column, home: str) -> Column:
     """Distinct paths of image files listed in a text's image blocks, in order."""
     blocks = F.regexp_extract_all(text, F.lit(r"(?i)<image_files>([\s\S]*?)</image_files>"), F.lit(1))

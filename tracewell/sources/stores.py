@@ -131,14 +131,15 @@ def composers(kv: DataFrame) -> DataFrame:
 def bubbles(kv: DataFrame, composer: DataFrame) -> DataFrame:
     """(composer, position, role, text, thinking, tool, input, result, created, model, tokens): messages in the order of the headers, by one equi-join.
 
-    ``tool`` is the canonical name. Headers without a message are left out.
+    ``tool`` is the canonical name. Headers without a message are left out, and plans from the assistant's texts and thoughts.
     """
     b = kv.where(F.col("key").startswith("bubbleId:")).select(F.split("key", ":").alias("k"), F.from_json(utf8(F.col("value")), BUBBLE).alias("b"))
     b = b.select(F.col("k")[1].alias("composer"), F.col("k")[2].alias("bubble"), "b").where("b is not null")
     order = composer.select("composer", F.col("model").alias("default_model"), F.posexplode("headers").alias("position", "bubble"))
     joined = order.join(b, ["composer", "bubble"])
+    said = F.when(F.col("b.type") == USER_TYPE, F.col("b.text")).otherwise(read.assistant_text(F.col("b.text"), F.col("b.toolFormerData").isNotNull()))
     return joined.select(
-        "composer", "position", F.when(F.col("b.type") == USER_TYPE, "user").otherwise("assistant").alias("role"), F.col("b.text").alias("text"), F.col("b.thinking").alias("thinking"),
+        "composer", "position", F.when(F.col("b.type") == USER_TYPE, "user").otherwise("assistant").alias("role"), said.alias("text"), F.when(F.col("b.thinking").isNotNull(), read.thinking(F.col("b.thinking"))).alias("thinking"),
         tool_name(F.col("b.toolFormerData.name")).alias("tool"), F.col("b.toolFormerData.params").alias("input"), F.col("b.toolFormerData.result").alias("result"),
         text.coerce_time(F.col("b.createdAt")).alias("created"), F.coalesce("b.modelInfo.modelName", "default_model").alias("model"), F.col("b.tokenCount").alias("tokens"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tracewell.functions import composer
 from tracewell.functions.text import strip
 from tracewell.operators import joins
 from tracewell.sources import logs, stores
@@ -149,18 +150,19 @@ def results(rows: DataFrame) -> DataFrame:
 
 
 def turns(rows: DataFrame) -> DataFrame:
-    """(session, position, role, ts, kind, text, tool_id, tool, args, result, is_error): blocks in order, each user line as one text.
+    """(session, position, role, ts, kind, text, tool_id, tool, args, result, is_error): blocks in order, each user line as one text.
 
-    Texts of the system go. A line in bold at the end of an assistant's text is a call that waits for its output, of kind ``marker``.
+    Texts of the system, image blocks and plans go. A line in bold at the end of an assistant's text is a call that waits for its output, of kind ``marker``.
     """
-    each = rows.select("session", "ord", "role", "ts", F.posexplode("blocks").alias("at", "b"))
-    text = unwrapped(F.col("b.text"))
-    users = each.where("role = 'user' and b.type = 'text'").where(~is_system_context(text) & (text != ""))
+    uses = F.exists("blocks", lambda b: b["type"] == "tool_use").alias("uses")
+    each = rows.select("session", "ord", "role", "ts", uses, F.posexplode("blocks").alias("at", "b"))
+    text = composer.without_images(unwrapped(F.col("b.text")))
+    users = each.where("role = 'user' and b.type = 'text'").where(~is_system_context(unwrapped(F.col("b.text"))) & (text != ""))
     said = users.groupBy("session", "ord", "role", "ts").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", text.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
     none = F.lit(None).cast("string")
     said = said.select("session", "ord", F.lit(0).alias("at"), F.lit(0).alias("part"), "role", "ts", F.lit("text").alias("kind"), "text", none.alias("tool_id"), none.alias("tool"), none.alias("args"))
-    other = each.where("role = 'assistant'").withColumn("m", F.when(F.col("b.type") == "text", marker(F.col("b.text"))))
-    plain = F.when(F.col("m").isNotNull(), F.col("m.body")).otherwise(F.nullif(strip(F.col("b.text")), F.lit("")))
+    other = each.where("role = 'assistant'").withColumn("said", F.when(F.col("b.type") == "text", composer.assistant_text(unwrapped(F.col("b.text")), F.col("uses")))).withColumn("m", marker(F.col("said")))
+    plain = F.when(F.col("m").isNotNull(), F.col("m.body")).otherwise(F.nullif("said", F.lit("")))
     texts = other.where("b.type = 'text'").select("session", "ord", "at", F.lit(0).alias("part"), "role", "ts", F.lit("text").alias("kind"), plain.alias("text"), none.alias("tool_id"), none.alias("tool"), none.alias("args")).where("text is not null")
     marks = other.where("m is not null").select("session", "ord", "at", F.lit(1).alias("part"), "role", "ts", F.lit("marker").alias("kind"), none.alias("text"), none.alias("tool_id"), F.col("m.name").alias("tool"), none.alias("args"))
     name = F.coalesce(F.nullif(F.trim("b.name"), F.lit("")), F.lit("Tool"))
