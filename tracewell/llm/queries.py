@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import hnsw, jaccard, langid, lm, mih, mixing, packing, pii, suffix_dedup, toxicity
+from tracewell.llm import hard_negatives, hnsw, jaccard, langid, lm, mih, mixing, packing, pii, secret_scan, suffix_dedup, toxicity
 from tracewell.llm import text as tx
 
 
@@ -64,6 +64,40 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_mih": op2_mih, "op3_packing": op3_packing, "op6_suffix_dedup": op6_suffix_dedup, "op7_mixing": op7_mixing, "op8_jaccard_join": op8_jaccard_join, "op9_embedding_dedup": op9_embedding_dedup, "op10_lm": op10_lm, "op4_toxicity": op4_toxicity, "op5_language": op5_language}
-
-ORACLE_SQL: dict[str, str] = {}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    of = lambda *kinds: F.filter("spans", lambda x: x["kind"].isin(*kinds))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE_KINDS]
+    digest = F.sha2(secret_scan.joined(of(*secret_scan.BASE_KINDS)), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, secret_scan.joined(F.col("spans")).alias("spans"), F.transform("spans", lambda x: x["bits"]).alias("bits"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_mih": op2_mih, "op3_packing": op3_packing, "op6_suffix_dedup": op6_suffix_dedup, "op7_mixing": op7_mixing, "op8_jaccard_join": op8_jaccard_join, "op9_embedding_dedup": op9_embedding_dedup, "op10_lm": op10_lm, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op12_hard_negatives": op12_hard_negatives, "op13_secrets": op13_secrets}
+
+HARD_NEGATIVES_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
+  from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, cast(list_inner_product(a.e, b.e) as bigint) as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+positives as (
+  select anchor_id, other_id as positive_id, score as positive_score from pairs where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5),
+ranked as (
+  select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, other_id) as integer) as rank,
+    other_id as negative_id, positive_score, score as negative_score
+  from positives join pairs using (anchor_id)
+  where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select * from ranked where rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_hard_negatives": HARD_NEGATIVES_SQL}
