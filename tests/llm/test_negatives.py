@@ -58,7 +58,7 @@ def test_scores_that_doubles_do_not_hold(spark):
     rng = np.random.default_rng(3)
     rows = [(i, (rng.normal(size=4) * 1e5 + 1e5).tolist(), i % 3) for i in range(120)]
     assert mined(frame(spark, rows), 10) == brute(rows, 10)
-    assert max(r[5] for r in brute(rows, 10)) > 1 << 53
+    assert max(r[4] for r in brute(rows, 10)) > 1 << 53
 
 
 def test_nothing_to_mine(spark):
