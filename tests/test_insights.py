@@ -136,7 +136,3 @@ def test_streams(spark, tmp_path):
     q = activity.windowed_counts(stream, "at", ["user"]).writeStream.outputMode("complete").format("memory").queryName("days").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
     assert q.awaitTermination(120)
     assert {(r["user"], r["n"]) for r in spark.table("days").collect()} == {("a", 3), ("b", 1)}
-    put = activity.merged_into(str(tmp_path / "out"), ["user"])
-    put(spark.createDataFrame([("a", 1), ("b", 1)], "user string, n int"), 0)
-    put(spark.createDataFrame([("b", 2)], "user string, n int"), 1)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out") + "/version=000000000001").collect())) == [("a", 1), ("b", 2)]

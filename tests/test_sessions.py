@@ -108,12 +108,24 @@ def test_turns_and_documents(events):
 
 
 def test_header_sample_and_notes(spark, tmp_path):
-    (tmp_path / "a.jsonl").write_text("\n".join(json.dumps(r) for r in LOG if isinstance(r, dict)))
+    start = {"type": "system", "sessionId": "abcdefghijk", "version": "2", "timestamp": T.format(0)}
+    more = [{"type": "progress", "n": n} for n in range(400)]
+    asked = user(40, [{"type": "text", "text": "Please also "}, {"type": "text", "text": "write more tests"}])
+    late = [assistant(41, "m9", [tool("t9", "Bash", command="ls")], model="claude-x-1"), {"type": "custom-title", "customTitle": "Late"}]
+    rows = [start, *(r for r in LOG if isinstance(r, dict) and "customTitle" not in r), asked, "", *more, *late]
+    (tmp_path / "a.jsonl").write_text("\n".join(r if isinstance(r, str) else json.dumps(r) for r in rows))
+    (tmp_path / "b.jsonl").write_text(json.dumps(start))
     (tmp_path / "n.md").write_text("---\nname: build\ndescription: how to\ntype: project\n---\nUse make.\n")
-    r = logs.header_sample(spark, str(tmp_path)).first()
-    assert (r["first_ts"], r["last_ts"], r["title"], r["tool_calls"], r["edits"]) == (T.format(1), T.format(30), "Parser", 5, 2)
+    for size in ("128m", "2k"):  # in one split, and in many
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        (r,) = logs.header_sample(spark, str(tmp_path)).collect()
+        assert (r["session_id"], r["slug"], r["version"], r["git_branch"]) == ("abcdefghijk", "abcdefgh", "2", "main")
+        assert (r["timestamp"], r["title"], r["n_lines"], r["tool_calls"], r["edits"]) == ("2025-05-02T07:59:00Z", "Late", len(rows) - 1, 6, 2)
+        assert r["prompts"] == ["Please repair the parser in lib.py", "Base directory for this skill: /skills/tidy more"]
+        assert (r["prompt_count"], r["model"], r["duration_ms"], r["has_pr"]) == (5, "claude-x-1", 9000, True)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert tuple(logs.memory_notes(spark, str(tmp_path)).first())[1:] == ("build", "how to", "project", "Use make.")
-    assert [r["length"] > 0 for r in logs.files(spark, str(tmp_path)).collect()] == [True]
+    assert [r["length"] > 0 for r in logs.files(spark, str(tmp_path)).collect()] == [True, True]
 
 
 def test_no_logs(spark, tmp_path):

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from tracewell.functions.text import strip
+from tracewell.functions.text import clean_prompt, is_system_generated, strip
 
 #: Blocks of a message; ``input`` stays JSON text, a result's ``content`` is text or again blocks.
 BLOCK = "struct<type:string,text:string,thinking:string,id:string,name:string,input:string,tool_use_id:string,content:variant,is_error:boolean,source:struct<media_type:string,data:string>>"
@@ -33,23 +34,52 @@ def block_text(v: Column) -> Column:
     return F.when(is_text(v), F.variant_get(v, "$", "string")).otherwise(other)
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, raw) of all .jsonl files below ``path``, blank and unparsable lines left out.
+def raw_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
+    """(path, line, raw, modified): all lines of the files below ``path`` but blank ones; ``line`` sorts those of a file.
 
-    Files are read whole, since their lines must keep their order; a session's log has some MB.
+    Large files are read in splits of ``spark.sql.files.maxPartitionBytes``, a line by the split in which it begins. ``line``
+    is the byte where its split begins, with a number that grows along the rows of a task.
     """
-    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
-    each = whole.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("line_no", "raw"))
-    return each.where((F.trim("raw") != "") & F.try_parse_json("raw").isNotNull())
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "\n").text(path)
+    some = rows.where(F.trim(F.col("value"), F.lit(" \t\r")) != "")
+    line = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    return some.select(F.col("_metadata.file_path").alias("path"), line.alias("line"), F.col("value").alias("raw"), F.col("_metadata.file_modification_time").alias("modified"))
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, raw) of all .jsonl files below ``path``, blank and unparsable lines left out."""
+    return raw_lines(spark, path).select("path", "line", "raw").where(F.try_parse_json("raw").isNotNull())
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (path, line, ...) of ``raw_lines`` with ``line_no`` from 0 and ``n_lines`` of the file: from a count of each split, without a shuffle of lines."""
+    splits = rows.groupBy("path", F.col("line.split").alias("split")).agg(F.min("line.row").alias("first"), F.count("*").alias("n"))
+    each = W.partitionBy("path")
+    before = F.coalesce(F.sum("n").over(each.orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("path", "split", "first", before.alias("before"), F.sum("n").over(each).alias("n_lines"))
+    out = rows.withColumn("split", F.col("line.split")).join(splits, ["path", "split"])
+    return out.withColumn("line_no", F.col("before") + F.col("line.row") - F.col("first")).drop("split", "first", "before")
 
 
 def events(spark: SparkSession, path: str, sessions: DataFrame | None = None) -> DataFrame:
-    """One typed row per line: session, agent (null in a main file), ord, fields of the line, text and blocks.
+    """The events of all files below ``path``, see ``parsed``."""
+    return parsed(raw_lines(spark, path), sessions)
+
+
+def saved(rows: DataFrame, path: str) -> DataFrame:
+    """Events written as a table and read from it, so that what reads them several times parses them once."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def parsed(lines: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """One typed row per line of (path, line, raw): session, agent (null in a main file), ord, fields of the line, text and blocks.
 
     A file belongs to the session that it is named after, a sub-agent's file to that of its folder. ``sessions``
-    (file, session, file_seq) joins the files of resumed sessions, in that order.
+    (file, session, file_seq) joins the files of resumed sessions, in that order. ``line`` may be of any kind that sorts a
+    file's lines. Lines that aren't JSON objects are left out.
     """
-    rows = lines(spark, path).withColumn("e", F.from_json("raw", LINE))
+    rows = lines.where(F.try_parse_json("raw").isNotNull()).withColumn("e", F.from_json("raw", LINE))
     agent = F.nullif(F.regexp_extract("path", _AGENT, 2), F.lit(""))
     owner = F.when(agent.isNotNull(), F.regexp_extract("path", _AGENT, 1)).otherwise(F.regexp_extract("path", _FILE, 1))
     rows = rows.withColumn("agent", agent).withColumn("file", owner)
@@ -66,7 +96,7 @@ def events(spark: SparkSession, path: str, sessions: DataFrame | None = None) ->
     return rows.select(
         "session",
         "agent",
-        F.struct("file_seq", "path", "line_no").alias("ord"),
+        F.struct("file_seq", "path", "line").alias("ord"),
         *(F.col(f"e.{c}").alias(c) for c in ("type", "subtype", "sessionId", "slug", "cwd", "gitBranch", "entrypoint", "permissionMode", "sourceToolAssistantUUID", "durationMs", "parentToolUseID", "retryAttempt", "error", "data")),
         F.nullif(F.col("e.timestamp"), F.lit("")).alias("ts"),
         F.nullif(F.col("e.snapshot.timestamp"), F.lit("")).alias("snapshot_ts"),
@@ -104,18 +134,46 @@ def memory_notes(spark: SparkSession, path: str, limit: int = 2000) -> DataFrame
     return text.select("path", entry("name").alias("name"), entry("description").alias("description"), entry("type").alias("kind"), F.substring(strip(body), 1, limit).alias("content"))
 
 
-def header_sample(spark: SparkSession, path: str, head: int = 150, tail: int = 50) -> DataFrame:
-    """(path, first_ts, last_ts, title, n_lines, prompts, tool_calls, edits): a file's first and last lines, and expressions over its raw lines."""
-    rows = lines(spark, path)
-    total = rows.groupBy("path").agg(F.max("line_no").alias("__last"), F.count("*").alias("n_lines"))
-    rows = rows.join(total, "path")
+def header_sample(spark: SparkSession, path: str, head: int = 150, metadata: int = 30, tail: int = 50, prompts: int = 2, model_prefix: str = "claude-") -> DataFrame:
+    """A row for each session's file, from a sample of its lines and from expressions over all raw ones.
+
+    session_id, slug, cwd, version and git_branch are the first that aren't empty among the first ``metadata`` lines; title
+    the last among these, else the last of the last ``tail`` lines; timestamp the first snapshot's among the first, else
+    that of the last system line among the last ten, else the file's. ``prompts`` are the first cleaned prompts with ten
+    characters or more of the first ``head`` lines, cut to 200; files without one, or without a session id, are left out.
+    prompt_count, tool_calls, edits (lines with an editing call), model, duration_ms and has_pr only look at the raw text.
+    """
+    rows = numbered(raw_lines(spark, path))
+    no, last = F.col("line_no"), F.col("n_lines")
     field = lambda name: F.nullif(F.get_json_object("raw", f"$.{name}"), F.lit(""))
-    at_end = F.col("line_no") > F.col("__last") - tail
-    return rows.groupBy("path", "n_lines").agg(
-        F.min(F.when(F.col("line_no") < head, field("timestamp"))).alias("first_ts"),
-        F.max(F.when(at_end, field("timestamp"))).alias("last_ts"),
-        F.max_by(field("customTitle"), F.when(at_end & field("customTitle").isNotNull(), F.col("line_no"))).alias("title"),
-        F.sum(F.when((F.get_json_object("raw", "$.message.role") == "user") & ~F.col("raw").contains('"tool_result"'), 1).otherwise(0)).alias("prompts"),
-        F.sum(F.regexp_count("raw", F.lit('"type":\\s*"tool_use"'))).alias("tool_calls"),
-        F.sum(F.regexp_count("raw", F.lit('"name":\\s*"(?:Edit|Write|NotebookEdit|Delete)"'))).alias("edits"),
-    )
+    sampled = (no < head) | (no >= last - tail)
+    known = rows.withColumn("type", F.when(sampled, field("type")))
+    first = lambda value, where: F.min_by(value, F.when(where & value.isNotNull(), no))
+    latest = lambda value, where: F.max_by(value, F.when(where & value.isNotNull(), no))
+    early = no < metadata
+    named = F.when(F.col("type") == "custom-title", F.coalesce(field("customTitle"), field("title")))
+    snapshot = F.when(F.col("type") == "file-history-snapshot", field("snapshot.timestamp"))
+    system = F.when(F.col("type") == "system", field("timestamp"))
+    content = F.get_json_object("raw", "$.message.content")
+    blocks = F.from_json(content, "array<struct<type:string,text:string>>")
+    said = F.when(content.startswith("["), F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit(""))), "")).otherwise(content)
+    asked = (no < head) & (F.col("type") == "user") & (F.get_json_object("raw", "$.message.role") == "user")
+    prompt = F.when(asked & ~is_system_generated(said), clean_prompt(said))
+    known = known.withColumn("prompt", F.when(F.length(prompt) >= 10, F.substring(prompt, 1, 200)))
+    raw = F.col("raw")
+    calls = F.regexp_count(raw, F.lit(r'"type"\s*:\s*"tool_use"'))
+    model = F.nullif(F.regexp_extract(raw, rf'"model"\s*:\s*"({model_prefix}[^"]+)"', 1), F.lit(""))
+    out = known.groupBy("path").agg(
+        *(first(field(c), early).alias(n) for c, n in (("sessionId", "session_id"), ("slug", "slug"), ("cwd", "cwd"), ("version", "version"), ("gitBranch", "git_branch"))),
+        F.coalesce(latest(named, early), latest(named, no >= last - tail)).alias("title"),
+        F.coalesce(first(snapshot, early), latest(system, no >= last - 10), F.date_format(F.max("modified"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("timestamp"),
+        F.max("n_lines").alias("n_lines"),
+        F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("prompt").isNotNull(), F.struct("line_no", "prompt")))), 1, prompts), lambda x: x["prompt"]).alias("prompts"),
+        F.count_if(raw.rlike(r'"type": ?"user"') & ~raw.contains('"tool_result"')).alias("prompt_count"),
+        F.sum(calls).alias("tool_calls"),
+        F.count_if((calls > 0) & raw.rlike(r'"name"\s*:\s*"(?:Edit|Write|MultiEdit|NotebookEdit)"')).alias("edits"),
+        first(model, raw.contains('"assistant"')).alias("model"),
+        F.sum(F.when(raw.contains('"turn_duration"'), F.regexp_extract(raw, r'"durationMs"\s*:\s*(\d+)', 1).try_cast("long"))).alias("duration_ms"),
+        F.max(raw.contains('"pr-link"')).alias("has_pr"),
+    )
+    return out.where(F.col("session_id").isNotNull() & (F.size("prompts") > 0)).withColumn("slug", F.coalesce("slug", F.substring("session_id", 1, 8)))

@@ -121,10 +121,8 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
 
     ``ord`` sorts by the files' times, then by lines.
     """
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
-    each = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.posexplode(F.split("value", "\n")).alias("line_no", "raw"))
-    each = each.where(F.try_parse_json("raw").isNotNull()).withColumn("e", F.from_json("raw", LINE)).where("e.message.content is not null")
-    return each.select(F.regexp_extract("path", _STEM, 1).alias("session"), F.struct("modified", "path", "line_no").alias("ord"), F.col("e.role").alias("role"), F.nullif(F.col("e.timestamp"), F.lit("")).alias("ts"), F.col("e.message.content").alias("blocks"))
+    each = logs.raw_lines(spark, path).where(F.try_parse_json("raw").isNotNull()).withColumn("e", F.from_json("raw", LINE)).where("e.message.content is not null")
+    return each.select(F.regexp_extract("path", _STEM, 1).alias("session"), F.struct("modified", "path", "line").alias("ord"), F.col("e.role").alias("role"), F.nullif(F.col("e.timestamp"), F.lit("")).alias("ts"), F.col("e.message.content").alias("blocks"))
 
 
 def discover(spark: SparkSession, path: str, least_lines: int = 2) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import bisect
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from tracewell.operators.windows import MAX_GAP_MS
 
@@ -19,43 +20,65 @@ def windowed_counts(events: DataFrame, ts: str, keys: list[str], every: str = "1
     return timed.groupBy(grid.alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
 
 
-def active_time(events: DataFrame, key: str, ts: str, late: str = "1 hour", idle: str = "1 day", max_gap_ms: int = MAX_GAP_MS) -> DataFrame:
-    """(key, active_ms, last_ms): after each batch, the active time so far of the keys that it has.
+class _ActiveTime(StatefulProcessor):
+    """Times within the watermark's reach stay in a sorted list; gaps count for good only behind it."""
 
-    The state of a key is its last time and its sum. A key without events for ``idle`` after the watermark is
-    forgotten; times before a key's last one add nothing, so the batch form is exact and this one for ordered streams.
-    """
-    kind = dict(events.dtypes)[key]
-    idle_ms = pd.Timedelta(idle).value // 1_000_000
-
-    def run(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, total = state.get if state.exists else (None, 0)
-        times = sorted(int(t) for part in parts for t in part["ms"])
+    def __init__(self, key: str, idle_ms: int | None, max_gap_ms: int):
+        self.key, self.idle_ms, self.max_gap_ms = key, idle_ms, max_gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.settled = handle.getValueState("settled", "last bigint, total bigint")
+        self.open = handle.getListState("open", "ms bigint")
+
+    def _after(self, last: int | None, total: int, times: list[int]) -> tuple[int | None, int]:
         for t in times:
-            if last is not None:
-                total += min(max(t - last, 0), max_gap_ms)
-            last = t if last is None else max(last, t)
-        state.update((last, total))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame({key: [name[0]], "active_ms": [total], "last_ms": [last]})
+            total += min(t - last, self.max_gap_ms) if last is not None else 0
+            last = t
+        return last, total
 
-    timed = events.select(key, F.col(ts).cast("timestamp").alias("__t")).where("__t is not null").withWatermark("__t", late).withColumn("ms", F.unix_millis("__t"))
-    return timed.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, active_ms bigint, last_ms bigint", "last bigint, total bigint", "update", GroupStateTimeout.EventTimeTimeout)
+    def _row(self, key: tuple, last: int, total: int, closed: bool) -> pd.DataFrame:
+        return pd.DataFrame({self.key: [key[0]], "active_ms": [total], "last_ms": [last], "closed": [closed]})
 
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        edge = timerValues.getCurrentWatermarkInMs()
+        state = self.settled.get() if self.settled.exists() else (None, 0)
+        open_ = [r[0] for r in self.open.get()] if self.open.exists() else []
+        times = sorted([*open_, *(int(t) for part in rows for t in part["ms"])])
+        cut = bisect.bisect_left(times, edge)  # what is earlier can't get company any more
+        last, total = self._after(*state, times[:cut])
+        if last is not None:
+            self.settled.update((last, total))
+        if times[cut:]:
+            self.open.put([(t,) for t in times[cut:]])
+        else:
+            self.open.clear()
+        last, total = self._after(last, total, times[cut:])
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(max(last, edge) + self.idle_ms)
+        yield self._row(key, last, total, False)
 
-def merged_into(path: str, keys: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: keeps a table of the last row of each key in versioned folders; a batch that is run again writes its own folder again."""
-    from tracewell.plans.incremental import upsert
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self.settled.get() if self.settled.exists() else (None, 0)
+        last, total = self._after(*state, [r[0] for r in self.open.get()] if self.open.exists() else [])
+        self.settled.clear()
+        self.open.clear()
+        yield self._row(key, last, total, True)
 
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        target = f"{path}/version={number:012d}"
-        if number:
-            old = spark.read.parquet(f"{path}/version={number - 1:012d}")
-            batch = (merge or (lambda a, b: upsert(a, b, keys)))(old, batch)
-        batch.write.mode("overwrite").parquet(target)
 
-    return run
+def active_time(events: DataFrame, key: str, ts: str, late: str = "1 hour", idle: str | None = "1 day", max_gap_ms: int = MAX_GAP_MS) -> DataFrame:
+    """(key, active_ms, last_ms, closed): after each batch, the active time so far of the keys that it has.
+
+    Events may come in any order within ``late`` of the newest: their times wait in state, sorted, until the watermark has
+    passed them, so every row is what the batch form gives for the events so far. Later ones are dropped. A key without
+    events for ``idle`` after the watermark is closed by a last row, and begins at 0 when it comes back; with None keys
+    are kept for ever. Needs the RocksDB state store, which is set for the session.
+    """
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kind = dict(events.dtypes)[key]
+    idle_ms = None if idle is None else pd.Timedelta(idle).value // 1_000_000
+    timed = events.select(key, F.col(ts).cast("timestamp").alias("__t")).where("__t is not null").withWatermark("__t", late).withColumn("ms", F.unix_millis("__t"))
+    return timed.groupBy(key).transformWithStateInPandas(_ActiveTime(key, idle_ms, max_gap_ms), f"{key} {kind}, active_ms bigint, last_ms bigint, closed boolean", "Update", "EventTime")
