@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from tracewell.plans import catalogue
@@ -21,5 +23,28 @@ def test_orders_unions_and_scans(spark):
     assert {r["slug"]: r["scanned_prompts"] for r in catalogue.with_scan(rows, scans).collect()} == {"s": 7, "t": None}
     notes = spark.createDataFrame([("p",), ("p",)], "project string")
     assert {r["project"]: r["notes"] for r in catalogue.with_notes(p, notes).collect()} == {"p": 2, "q": 0, "r": 0}
-    tools = spark.createDataFrame([("Read",), ("Write",), ("Bash",), ("Glob",), ("Task",)], "t string")
-    assert [r[0] for r in tools.select(catalogue.tool_action(F.col("t"))).collect()] == ["read", "create", "run", "search", "task"]
+    tools = spark.createDataFrame([("View", ""), ("Write", None), ("Bash", "2 passed"), ("Bash", "Exit code 1, 2 passed"), ("Bash", "ok"), ("Glob", "error"), ("Task", ""), ("NotebookEdit", "")], "t string, r string")
+    got = [tuple(r) for r in tools.select(catalogue.tool_action(F.col("t")), catalogue.run_passed(F.col("t"), F.col("r"))).collect()]
+    assert got == [("read", None), ("create", None), ("run", True), ("run", False), ("run", None), ("search", None), (None, None), (None, None)]
+
+
+def test_days_until_cleanup(spark):
+    rows = spark.createDataFrame([("2025-03-01T12:00:00Z",), ("2025-03-01T12:00:01Z",), ("2025-01-01T00:00:00Z",), ("2025-03-11T12:00:00Z",), ("never",), (None,)], "at string")
+    left = lambda period: [r[0] for r in rows.select(catalogue.days_left(F.col("at"), "2025-03-11T12:00:00Z", period)).collect()]
+    assert left(30) == [20, 20, 0, 30, None, None] and left(10) == [0, 0, 0, 10, None, None]
+    assert left(0) == left(-1) == [None] * 6
+    cards = spark.createDataFrame([("a", "2025-02-14T00:00:00Z"), ("a", "2025-02-16T13:00:00Z"), ("a", "2025-03-01T00:00:00Z"), ("b", "2025-02-14T00:00:00Z")], "provider string, modified string")
+    assert tuple(catalogue.expiring(cards, "a", "2025-03-11T12:00:00Z").first()) == (2, 4)
+
+
+def test_uploads(spark):
+    good = {"meta": {"sessionId": "s", "provider": "p", "title": "t" * 300, "model": "m", "stats": {"sceneCount": 2e9, "userPrompts": -4, "toolCalls": "7", "durationMs": 5.9, "costEstimate": 1.5}}, "scenes": [{"type": "thinking", "content": "x"}, {"type": "user-prompt", "content": "q" * 400}]}
+    rows = [
+        (json.dumps(good), None), ("not json", "Missing meta object"), ("{}", "Missing meta object"), ('{"meta": {}}', "Missing meta.sessionId"), ('{"meta": {"sessionId": 3}}', "Missing meta.sessionId"), ('{"meta": {"sessionId": "a"}}', "Missing meta.provider"),
+        ('{"meta": {"sessionId": "a", "provider": "b"}, "scenes": 1}', "Missing scenes array"), ('{"meta": {"sessionId": "a", "provider": "b"}, "scenes": [{"type": "x"}, {"type": 1}]}', "Invalid scene at index 1: missing type"), ('{"meta": {"sessionId": "a", "provider": "b"}, "scenes": []}', None),
+    ]
+    df = spark.createDataFrame(rows, "document string, want string")
+    got = df.select("want", catalogue.upload_error(F.col("document")).alias("error"), catalogue.upload_row(F.col("document")).alias("row")).collect()
+    assert [r["error"] for r in got] == [r["want"] for r in got]
+    assert tuple(got[0]["row"]) == ("t" * 200, "p", "m", 100_000, 0, 7, 5, "1.5", "q" * 300)
+    assert tuple(got[1]["row"]) == ("Untitled", "claude-code", None, 0, 0, 0, 0, None, None)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
-import json
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.functions import diff, partial_json
+
 #: Type objects, since a string would need a session when this module is imported.
 DIFF = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("line", T.StringType())]))
 
@@ -26,19 +25,13 @@ def line_delta(old: Column, new: Column) -> Column:
 
 @F.pandas_udf(DIFF)
 def line_diff(old: pd.Series, new: pd.Series) -> pd.Series:
-    """Lines kept, removed and added, in order (P52); null counts as empty."""
+    """Lines kept, removed and added, in order, with the fewest edits (P52); null counts as empty."""
 
     def one(a: str | None, b: str | None) -> list[dict]:
-        a, b = (x.split("\n") if x else [] for x in (a, b))
-        out = []
-        for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-            if tag == "equal":
-                out += [{"kind": "same", "line": x} for x in a[i:j]]
-            else:
-                out += [{"kind": "removed", "line": x} for x in a[i:j]] + [{"kind": "added", "line": x} for x in b[k:m]]
-        return out
+        sides = (x.split("\n") if x else [] for x in (a, b))
+        return [{"kind": kind, "line": line} for kind, line in diff.edits(*sides)]
 
-    return pd.Series([one(a, b) for a, b in zip(old, new, strict=True)])
+    return pd.Series([one(a, b) for a, b in zip(old, new, strict=True)], dtype=object)
 
 
 def patch_sides(patch: Column) -> Column:
@@ -56,17 +49,10 @@ def patch_sides(patch: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def first_json(text: pd.Series) -> pd.Series:
     """The first whole JSON object inside a text, else null."""
-    decoder = json.JSONDecoder()
-
-    def one(s: str | None) -> str | None:
-        at = s.find("{") if s else -1
-        tries = 0
-        while at >= 0 and tries < 1_000:  # every try reads on from its brace
-            try:
-                _, end = decoder.raw_decode(s, at)
-                return s[at:end]
-            except ValueError:
-                at, tries = s.find("{", at + 1), tries + 1
-        return None
-
-    return text.map(one)
+    return text.map(lambda s: partial_json.read(s) if s else None)
+
+
+@F.pandas_udf(T.StringType())
+def repaired_json(text: pd.Series) -> pd.Series:
+    """As ``first_json``, but an object that the text's end cuts comes closed after its last whole member."""
+    return text.map(lambda s: partial_json.read(s, repair=True) if s else None)

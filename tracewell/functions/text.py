@@ -137,6 +137,63 @@ def format_duration(ms: Column) -> Column:
     return F.when(hour > 0, F.format_string("%dh %dm", hour, minute)).when(s >= 60, F.format_string("%dm %ds", F.floor(s / 60), second)).otherwise(F.format_string("%ds", s))
 
 
+def _age_minutes(at: Column, now: str) -> Column:
+    return F.floor((F.unix_millis(F.lit(now).cast("timestamp")) - F.unix_millis(F.try_to_timestamp(at))) / 60_000)
+
+
+def time_ago(at: Column, now: str) -> Column:
+    """just now, 5m ago, 3h ago or 2d ago; from 30 days on the date itself (P50). ``at`` is ISO text; null where it is no time."""
+    m = _age_minutes(at, now)
+    h, d = F.floor(m / 60), F.floor(m / 1440)
+    return (
+        F.when(m < 1, "just now").when(m < 60, F.format_string("%dm ago", m)).when(h < 24, F.format_string("%dh ago", h)).when(d < 30, F.format_string("%dd ago", d))
+        .when(m.isNotNull(), F.date_format(F.try_to_timestamp(at), "MMM d, yyyy, HH:mm"))
+    )
+
+
+def compact_age(at: Column, now: str) -> Column:
+    """5m, 3h or 2d; 0m for what isn't a time in the past, empty for null (P50)."""
+    m = _age_minutes(at, now)
+    some = F.when(m < 60, F.format_string("%dm", m)).when(m < 1440, F.format_string("%dh", F.floor(m / 60))).otherwise(F.format_string("%dd", F.floor(m / 1440)))
+    return F.when(F.coalesce(at, F.lit("")) == "", "").when(m.isNull() | (m < 0), "0m").otherwise(some)
+
+
+def compact_duration(ms: Column) -> Column:
+    """5m, 1h 20m or 2d 3h (P50)."""
+    m = F.floor(ms / 60_000)
+    h, d = F.floor(m / 60), F.floor(m / 1440)
+    two = lambda big, small, a, b: F.when(small > 0, F.format_string(f"%d{a} %d{b}", big, small)).otherwise(F.format_string(f"%d{a}", big))
+    return F.when(m < 60, F.format_string("%dm", m)).when(h < 24, two(h, F.pmod(m, F.lit(60)), "h", "m")).otherwise(two(d, F.pmod(h, F.lit(24)), "d", "h"))
+
+
+#: Names of models with the family after the version, and before it.
+_MODEL_OLD = r"(?i)claude-(\d+)-(\d+)-(opus|sonnet|haiku)(?:-\d{8})?"
+_MODEL_NEW = r"(?i)claude-(?:(opus|sonnet|haiku)-)?(\d+(?:[.-](?!\d{8})\d+)*)(?:-\d{8})?(?:-(opus|sonnet|haiku))?(?:$|\b)"
+
+
+def short_model(model: Column) -> Column:
+    """A model's family and version, else the first two parts of its name; empty for null (P50)."""
+    family = F.coalesce(F.nullif(F.regexp_extract(model, _MODEL_NEW, 1), F.lit("")), F.regexp_extract(model, _MODEL_NEW, 3))
+    version = F.replace(F.regexp_extract(model, _MODEL_NEW, 2), F.lit("-"), F.lit("."))
+    old = F.concat(F.initcap(F.regexp_extract(model, _MODEL_OLD, 3)), F.lit(" "), F.regexp_extract(model, _MODEL_OLD, 1), F.lit("."), F.regexp_extract(model, _MODEL_OLD, 2))
+    new = F.concat(F.when(family == "", "Claude").otherwise(F.initcap(family)), F.lit(" "), version)
+    return F.when(F.coalesce(model, F.lit("")) == "", "").when(model.rlike(_MODEL_OLD), old).when(model.rlike(_MODEL_NEW), new).otherwise(F.array_join(F.slice(F.split(model, "[-/]"), 1, 2), "-"))
+
+
+#: Projects that are no folders of a person's.
+_PROJECTS = (("(globalStorage)", "Cursor Global Storage"), ("~", "Home"))
+
+
+def project_label(project: Column, most: int = 26) -> Column:
+    """A project's path in at most ``most`` characters where its first and last parts allow it."""
+    bare = F.regexp_replace(project, "/$", "")
+    parts = F.split(project, "/")
+    n = F.size(parts)
+    short = lambda k: F.concat(F.element_at(parts, 1), F.lit("/…/"), F.array_join(F.slice(parts, -k, k), "/"))
+    out = F.when(bare == _PROJECTS[0][0], _PROJECTS[0][1]).when(bare == _PROJECTS[1][0], _PROJECTS[1][1]).when(bare.rlike(r"/\.cursor/projects/.+/terminals$"), "Cursor Terminals").when(bare.rlike(r"/\.cursor/extensions/"), "Cursor Extension")
+    return out.when((F.length(project) <= most) | (n <= 2), project).when(F.length(short(2)) <= most, short(2)).otherwise(short(1))
+
+
 def format_cost(dollars: Column) -> Column:
     return F.when(dollars < 0.01, "<$0.01").otherwise(F.concat(F.lit("$"), F.format_string("%.2f", dollars)))
 
@@ -156,6 +213,33 @@ def escape_html(text: Column) -> Column:
     return text
 
 
+#: Characters that a drawing has no glyph for.
+NO_GLYPH = "[\U0001f600-\U0001f9ff\U0001fa00-\U0001faff\u2600-\u27bf\u2b50\u2b55\U0001f1e0-\U0001f1ff\ue000-\uf8ff\U000f0000-\U000ffffd\ufe0f\u200d\u20e3\U000e0020-\U000e007f]"
+
+
+def strip_emoji(text: Column) -> Column:
+    """Without emoji and private characters, white space runs as one blank."""
+    return F.regexp_replace(F.regexp_replace(text, NO_GLYPH, ""), r"\s+", " ")
+
+
+def escape_xml(text: Column) -> Column:
+    """(P48)"""
+    text = strip_emoji(text)
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def escape_markdown(text: Column) -> Column:
+    """A backslash before brackets, stars, underscores, backticks and backslashes."""
+    return F.regexp_replace(text, r"([\[\]()*_`\\])", r"\\$1")
+
+
+def safe_filename(text: Column) -> Column:
+    """Letters, digits, - and _, all else as one -, at most 60 characters."""
+    return F.substring(F.regexp_replace(F.regexp_replace(text, "[^a-zA-Z0-9_-]", "-"), "-+", "-"), 1, 60)
+
+
 def strip_markdown(text: Column) -> Column:
     """Plain words of a Markdown text."""
     for pattern, to in ((r"```[\s\S]*?```", ""), (r"`([^`]*)`", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"(?m)^\s*[-*]\s+", "")):
@@ -167,9 +251,18 @@ def strip_ansi(text: Column) -> Column:
     return F.regexp_replace(text, "\\u001b\\[[0-9;]*[A-Za-z]", "")
 
 
+#: Ranges of characters that are two columns wide.
+WIDE = ("\u3000-\u9fff", "\uac00-\ud7af", "\uf900-\ufaff", "\uff00-\uff60", "\U00020000-\U0002fa1f")
+
+
+def one_line(text: Column) -> Column:
+    """White space collapsed."""
+    return strip(F.regexp_replace(text, r"\s+", " "))
+
+
 def visual_width(text: Column) -> Column:
     """Wide East Asian characters count twice."""
-    return F.length(F.regexp_replace(text, r"[ᄀ-ᅟ⺀-꓏가-힣豈-﫿︰-﹏＀-｠￠-￦]", "xx"))
+    return F.length(F.regexp_replace(text, f"[{''.join(WIDE)}]", "xx"))
 
 
 def snippet(text: Column, query: str, before: int = 40, after: int = 60) -> Column:

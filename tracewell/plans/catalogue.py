@@ -80,10 +80,29 @@ def choices(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__newest", newest).orderBy(F.desc("__newest"), "project", F.desc("modified"), "session").drop("__newest")
 
 
-def to_enrich(rows: DataFrame, known: DataFrame, limit: int = ENRICHED) -> DataFrame:
-    """The newest sessions that lack a count, a title or a model, or whose title is noise, and that aren't known yet."""
-    lacking = F.col("prompt_count").isNull() | (F.col("prompt_count") == 0) | F.coalesce(F.trim("title"), F.lit("")).isin("") | F.col("model").isNull() | F.coalesce(F.col("title").startswith("<"), F.lit(False))
-    return newest_first(rows.where(lacking).join(known.select("session"), "session", "left_anti")).limit(limit)
+def is_noise(shown: Column) -> Column:
+    """A text of which cleaning leaves nothing."""
+    return F.coalesce((text.strip(shown) != "") & (text.clean_prompt(shown) == ""), F.lit(False))
+
+
+def to_enrich(rows: DataFrame, known: DataFrame, provider: str = "cursor", limit: int = ENRICHED) -> DataFrame:
+    """The newest ``known`` sessions among those of ``rows`` that lack something.
+
+    A row of the provider lacks something if it has no count of prompts or of tool calls, no title or no model, or its title
+    or first prompt is noise, and if there is a file or store to read it from (``readable``). It stands for the known session
+    of its id, else for that of its provider, project and slug; rows without one are left out.
+    """
+    empty = lambda c: F.coalesce(text.strip(F.col(c)), F.lit("")) == ""
+    lacking = F.col("prompt_count").isNull() | F.col("tool_call_count").isNull() | empty("title") | (F.coalesce("model", F.lit("")) == "") | is_noise(F.col("title")) | is_noise(F.col("first_prompt"))
+    some = rows.where((F.col("provider") == provider) & lacking & F.coalesce("readable", F.lit(False))).select("session", "provider", "project", "slug", F.monotonically_increasing_id().alias("__row"))
+    columns = known.columns
+    whole = F.struct(*columns)
+    by_id = some.join(known.select("session", whole.alias("__known")), "session")
+    rest = some.join(by_id.select("__row"), "__row", "left_anti")
+    key = ["provider", "project", "slug"]
+    by_key = rest.join(known.select(*key, whole.alias("__known")), key)
+    found = by_id.select("__row", "__known").union(by_key.select("__row", "__known"))
+    return newest_first(found.select("__known.*")).limit(limit)
 
 
 def visible(rows: DataFrame, user: str | None, now: str) -> DataFrame:
@@ -102,14 +121,16 @@ def within_quota(rows: DataFrame, added: int, quota: int = QUOTA) -> DataFrame:
     return storage(rows).where(F.col("bytes") + added <= quota)
 
 
-def days_left(modified: Column, today: str, period: int = CLEANUP_DAYS) -> Column:
-    """Days until a log is cleaned up, 0 at least."""
-    return F.greatest(F.lit(0), F.lit(period) - F.datediff(F.lit(today).cast("date"), F.to_date(modified)))
+def days_left(at: Column, now: str, period: float = CLEANUP_DAYS) -> Column:
+    """Whole days until a log is cleaned up, 0 at least; null for a period of 0 or less, and for what is no time."""
+    time = F.try_to_timestamp(at.cast("string"))
+    age = (F.unix_millis(F.lit(now).cast("timestamp")) - F.unix_millis(time)) / F.lit(86_400_000.0)
+    return F.when(F.lit(period) > 0, F.greatest(F.lit(0).cast("long"), F.floor(F.lit(float(period)) - age)) + F.when(age.isNotNull(), 0))
 
 
-def expiring(rows: DataFrame, provider: str, today: str, period: int = CLEANUP_DAYS, within: int = WARNING_DAYS) -> DataFrame:
+def expiring(rows: DataFrame, provider: str, now: str, period: float = CLEANUP_DAYS, within: int = WARNING_DAYS) -> DataFrame:
     """(expiring, soonest) of a provider's sessions that go within so many days."""
-    left = days_left(F.col("modified"), today, period)
+    left = days_left(F.col("modified"), now, period)
     return rows.where((F.col("provider") == provider) & (left <= within)).agg(F.count("*").alias("expiring"), F.min(left).alias("soonest"))
 
 
@@ -175,5 +196,52 @@ def safe_slug(column: Column) -> Column:
 
 
 def tool_action(tool: Column) -> Column:
-    """What a tool call does: read, edit, create, run or search, else the tool's name in small letters."""
-    return F.when(tool == "Read", "read").when(tool.isin("Edit", "NotebookEdit"), "edit").when(tool == "Write", "create").when(tool == "Bash", "run").when(tool.isin("Grep", "Glob", "WebSearch"), "search").otherwise(F.lower(tool))
+    """What a tool call does: read, edit, create, run or search; null for tools that say nothing of the work."""
+    return F.when(tool.isin("Read", "View"), "read").when(tool == "Edit", "edit").when(tool == "Write", "create").when(tool == "Bash", "run").when(tool.isin("Glob", "Grep"), "search")
+
+
+def run_passed(tool: Column, result: Column) -> Column:
+    """Whether a command passed or failed, as its result tells; null where it doesn't, and for other tools."""
+    low = F.lower(F.coalesce(result, F.lit("")))
+    any_of = lambda *words: low.rlike("|".join(words))
+    return F.when(tool == "Bash", F.when(any_of("error", "failed", "fail ", "exit code"), False).when(any_of("passed", "success", "all tests"), True))
+
+
+#: The largest counts and the longest texts that a published document's row may have.
+MOST = {"scene_count": 100_000, "user_prompts": 10_000, "tool_calls": 100_000, "duration_ms": 86_400_000}
+LONGEST = {"title": 200, "provider": 50, "model": 100, "first_message": 300}
+_STATS = {"scene_count": "sceneCount", "user_prompts": "userPrompts", "tool_calls": "toolCalls", "duration_ms": "durationMs"}
+
+
+def upload_error(document: Column) -> Column:
+    """What a published document lacks, else null: a meta object with session id and provider, and scenes with types."""
+    whole = F.try_parse_json(document)
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(whole, path, "variant"))
+    filled = lambda path: F.coalesce((kind(path) == "STRING") & (F.try_variant_get(whole, path, "string") != ""), F.lit(False))
+    out = F.when(~F.coalesce(kind("$.meta").startswith("OBJECT"), F.lit(False)), "Missing meta object").when(~filled("$.meta.sessionId"), "Missing meta.sessionId").when(~filled("$.meta.provider"), "Missing meta.provider")
+    out = out.when(~F.coalesce(kind("$.scenes").startswith("ARRAY"), F.lit(False)), "Missing scenes array")
+    scenes = F.try_variant_get(whole, "$.scenes", "array<variant>")
+    for i in range(5):
+        there = F.size(scenes) > i
+        out = out.when(there & ~F.coalesce(kind(f"$.scenes[{i}].type") == "STRING", F.lit(False)), f"Invalid scene at index {i}: missing type")
+    return out
+
+
+def upload_row(document: Column) -> Column:
+    """(title, provider, model, counts, cost_estimate, first_message) of a published document, clamped and cut."""
+    get = lambda path: F.nullif(F.get_json_object(document, path), F.lit(""))
+    number = lambda path: F.coalesce(F.get_json_object(document, path).try_cast("double"), F.lit(0.0))
+    clamped = lambda x, most: F.greatest(F.lit(0.0), F.least(x, F.lit(float(most))))
+    has_meta = get("$.meta").startswith("{")
+    text_of = lambda name, value: F.substring(value, 1, LONGEST[name]).alias(name)
+    cost = clamped(number("$.meta.stats.costEstimate"), 100_000)
+    scenes = F.from_json(F.get_json_object(document, "$.scenes"), "array<struct<type:string,content:string>>")
+    first = F.try_element_at(F.filter(scenes, lambda s: s["type"] == "user-prompt"), F.lit(1))["content"]
+    return F.struct(
+        text_of("title", F.coalesce(get("$.meta.title"), get("$.meta.project"), F.lit("Untitled"))),
+        text_of("provider", F.when(has_meta, F.coalesce(get("$.meta.provider"), F.lit("unknown"))).otherwise("claude-code")),
+        text_of("model", get("$.meta.model")),
+        *(clamped(number(f"$.meta.stats.{_STATS[k]}"), most).cast("long").alias(k) for k, most in MOST.items()),
+        F.when(get("$.meta.stats.costEstimate").isNotNull(), F.when(cost == F.floor(cost), cost.cast("long").cast("string")).otherwise(cost.cast("string"))).alias("cost_estimate"),
+        text_of("first_message", F.nullif(first, F.lit(""))),
+    )

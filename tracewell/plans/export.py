@@ -62,13 +62,16 @@ def counted(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def risks(scenes: DataFrame) -> DataFrame:
-    """(session, risk): files edited four times or more, failed tests, compaction."""
-    edited = scenes.where("diff is not null").groupBy("session", F.col("diff.file_path").alias("file")).agg(F.count("*").alias("n")).where(F.col("n") >= EDITS_AT_RISK)
-    files = edited.select("session", F.concat(text.base_name(F.col("file")), F.lit(" edited "), F.col("n").cast("string"), F.lit(" times")).alias("risk"))
-    tests = scenes.where((F.col("tool_name") == "Bash") & (text.classify_command(F.col("bash.command")) == "test") & (F.col("is_error") | F.substring("result", 1, 500).rlike(r"(?i)\bfail(?:ed|ures?)?\b")))
-    failed = tests.groupBy("session").agg(F.count("*").alias("n")).select("session", F.concat(F.col("n").cast("string"), F.lit(" failing test runs")).alias("risk"))
-    compact = scenes.where("type = 'compaction-summary'").select("session", F.lit("context was compacted").alias("risk")).distinct()
-    return files.union(failed).union(compact)
+    """(session, risk): files changed four times or more, failed tests, whether others passed, and compaction."""
+    path = F.col("diff.file_path")
+    changed = scenes.where(F.col("tool_name").isin("Edit", "Write") & (path != "")).groupBy("session", text.last_two(path).alias("file")).agg(F.count("*").alias("n")).where(F.col("n") >= EDITS_AT_RISK)
+    files = changed.select("session", F.format_string("`%s` modified %dx", "file", "n").alias("risk"))
+    low, command = F.lower(F.coalesce("result", F.lit(""))), F.coalesce("bash.command", F.lit(""))
+    ran = scenes.where((F.col("type") == "tool-call") & (F.col("tool_name") == "Bash") & command.rlike("test|jest"))
+    counts = ran.groupBy("session").agg(F.count_if(low.rlike("failed|fail |error")).alias("failed"), F.count_if(low.rlike("passed|success|all tests")).alias("passed")).where("failed > 0")
+    tests = counts.select("session", F.concat(F.format_string("%d test failure(s)", "failed"), F.when(F.col("passed") > 0, " (resolved)").otherwise("")).alias("risk"))
+    compact = scenes.where("type = 'compaction-summary'").select("session", F.lit("Session was compacted (very long conversation)").alias("risk")).distinct()
+    return files.union(tests).union(compact)
 
 
 def markdown(scenes: DataFrame, rows: DataFrame) -> DataFrame:

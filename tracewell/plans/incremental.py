@@ -55,6 +55,13 @@ def unexpired(rows: DataFrame, now: str, grace_days: int = 7) -> DataFrame:
     return rows.where(F.col("expires_at").isNull() | (F.col("expires_at").cast("timestamp") >= limit))
 
 
+def swept(rows: DataFrame, now: str, grace_days: int = 7) -> DataFrame:
+    """All rows, with size 0 where they expired more than ``grace_days`` ago, so that they use up no quota."""
+    limit = F.lit(now).cast("timestamp") - F.expr(f"interval {int(grace_days)} days")
+    gone = F.coalesce(F.col("expires_at").cast("timestamp") < limit, F.lit(False))
+    return rows.withColumn("size", F.when(gone, F.lit(0)).otherwise(F.col("size")).cast(rows.schema["size"].dataType))
+
+
 def public(rows: DataFrame, now: str) -> DataFrame:
     """(F15)"""
     return rows.where((F.col("visibility") == "public") & (F.col("expires_at").isNull() | (F.col("expires_at").cast("timestamp") > F.lit(now).cast("timestamp"))))

@@ -34,22 +34,39 @@ def _totals() -> list[Column]:
     ]
 
 
+def rolled_up(rows: DataFrame) -> DataFrame:
+    """A row for each project and one for all sessions (``every`` is true, project null), from one pass.
+
+    Totals, the average over sessions that have a duration, the number of projects, distinct branches (for all sessions:
+    of each project) and distinct links. Every session gives a row for its totals and one for each of its branches and links, which one
+    expansion counts for its project and for all.
+    """
+    none = F.lit(None).cast("string")
+    branch = F.transform(F.coalesce(_branches(), F.array().cast("array<string>")), lambda b: F.struct(F.lit(1).alias("kind"), b.alias("value")))
+    link = F.transform(F.coalesce(F.transform("pr_links", lambda p: p["pr_url"]), F.array().cast("array<string>")), lambda u: F.struct(F.lit(2).alias("kind"), u.alias("value")))
+    self_ = F.array(F.struct(F.lit(0).alias("kind"), none.alias("value")))
+    each = rows.withColumn("__of", F.explode(F.concat(self_, branch, link))).withColumn("__kind", F.col("__of.kind")).withColumn("__value", F.col("__of.value"))
+    own = F.col("__kind") == 0
+    kept = [c for c in rows.columns if c not in ("project", "git_branch", "git_branches", "pr_links")]
+    each = each.select("project", "__kind", "__value", *(F.when(own, F.col(c)).alias(c) for c in kept))
+    of = lambda k, *c: F.count_distinct(*(F.when(F.col("__kind") == k, F.col(x)) for x in c))
+    totals = [F.count_if(own).alias("sessions"), *_totals()[1:]]
+    sets = each.groupingSets([["project"], []], "project")
+    out = sets.agg(
+        (F.grouping("project") == 1).alias("every"), *totals,
+        F.count_distinct(F.when(own, F.col("project"))).alias("projects"), of(1, "project", "__value").alias("branches_of_projects"), of(1, "__value").alias("branches"), of(2, "__value").alias("pull_requests"),
+    )
+    return out.withColumn("branches", F.when(F.col("every"), F.col("branches_of_projects")).otherwise(F.col("branches"))).drop("branches_of_projects")
+
+
 def projects(rows: DataFrame) -> DataFrame:
     """One row per project: totals, the average over sessions that have a duration, distinct branches and links."""
-    named = rows.groupBy("project").agg(*_totals())
-    branch = rows.select("project", F.explode(_branches()).alias("b")).groupBy("project").agg(F.count_distinct("b").alias("branches"))
-    link = rows.select("project", F.explode("pr_links").alias("p")).groupBy("project").agg(F.count_distinct("p.pr_url").alias("pull_requests"))
-    zero = F.lit(0).cast("long")
-    out = named.join(branch, "project", "left").join(link, "project", "left")
-    return out.withColumn("branches", F.coalesce("branches", zero)).withColumn("pull_requests", F.coalesce("pull_requests", zero))
+    return rolled_up(rows).where("not every").drop("every", "projects")
 
 
 def user(rows: DataFrame) -> DataFrame:
     """One row for all sessions, with distinct projects, branches of a project and links."""
-    one = rows.agg(*_totals(), F.count_distinct("project").alias("projects"))
-    branch = rows.select("project", F.explode(_branches()).alias("b")).agg(F.count_distinct("project", "b").alias("branches"))
-    link = rows.select(F.explode("pr_links").alias("p")).agg(F.count_distinct("p.pr_url").alias("pull_requests"))
-    return one.crossJoin(branch).crossJoin(link)  # one row each
+    return rolled_up(rows).where("every").drop("every", "project")
 
 
 def _branches() -> Column:
@@ -78,9 +95,11 @@ def spine(rows: DataFrame, today: str, days: int, step: int = 1) -> DataFrame:
     return rows.sparkSession.range(days).select(F.date_sub(F.lit(today).cast("date"), (F.col("id") * step).cast("int")).alias("day"))
 
 
-def heatmap(rows: DataFrame, today: str, days: int = 364) -> DataFrame:
-    """(day, sessions, level): every day of the range, levels 0 to 4 by quarters of the busiest."""
-    grid = spine(rows, today, days).join(per_day(rows).select("day", "sessions"), "day", "left").select("day", F.coalesce("sessions", F.lit(0)).alias("sessions"))
+def heatmap(rows: DataFrame, today: str, weeks: int = 52) -> DataFrame:
+    """(day, sessions, level): every day of the last weeks up to the Saturday of this one, levels 0 to 4 by quarters of the busiest."""
+    end = F.date_add(F.lit(today).cast("date"), 7 - F.dayofweek(F.lit(today).cast("date")))
+    grid = rows.sparkSession.range(7 * weeks).select(F.date_sub(end, F.col("id").cast("int")).alias("day"))
+    grid = grid.join(per_day(rows).select("day", "sessions"), "day", "left").select("day", F.coalesce("sessions", F.lit(0)).alias("sessions"))
     top = F.max("sessions").over(W.partitionBy(F.lit(1)))  # as many rows as days
     return grid.withColumn("level", F.when(F.col("sessions") == 0, 0).otherwise(F.least(F.lit(4), F.ceil(4.0 * F.col("sessions") / F.greatest(top, F.lit(1))))).cast("int"))
 
@@ -130,10 +149,34 @@ def shares(rows: DataFrame, key: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select(key, "sessions", (F.col("sessions") / F.col("total")).alias("share"))  # one row on the right
 
 
-def with_quality(rows: DataFrame) -> DataFrame:
-    """Adds ``notes``: which measures of a session are missing."""
-    notes = [F.when(c, F.lit(t)) for c, t in ((F.col("duration_ms").isNull(), "no duration"), (F.col("model").isNull(), "no model"), (F.col("input_tokens").isNull(), "no token usage"), (F.col("prompt_count") == 0, "no prompts"))]
-    return rows.withColumn("notes", F.array_compact(F.array(*notes)))
+def with_quality(rows: DataFrame, provider: str = "cursor") -> DataFrame:
+    """Adds ``notes`` on what a session's measures are worth, and for duration, tokens and turn_stats the first note that is about them.
+
+    ``rows`` has provider, data_source, source_notes (an array or null) and the token counts.
+    """
+    guessed = F.when((F.col("provider") == provider) & F.col("data_source").isin("sqlite", "global-state"), F.lit("Some Cursor metrics are best-effort estimates and may be incomplete."))
+    partial = F.when(F.col("input_tokens").isNull(), F.lit("Token and cost metrics may be unavailable."))
+    own = F.coalesce("source_notes", F.array().cast("array<string>"))
+    out = rows.withColumn("notes", F.array_distinct(F.array_compact(F.concat(F.array(guessed), own, F.array(partial)))))
+    about = {"duration": "(?i)duration", "tokens": "(?i)token|cost|model attribution", "turn_stats": "(?i)per-turn|turn stats|turn metrics"}
+    first = lambda pattern: F.try_element_at(F.filter("notes", lambda n: n.rlike(pattern)), F.lit(1))
+    return out.withColumns({f"{k}_note": first(pattern) for k, pattern in about.items()})
+
+
+def quality(rows: DataFrame, provider: str = "cursor") -> DataFrame:
+    """One row (total, estimated, no_duration, no_tokens, no_turn_stats, notes) for the sessions of the second provider; none without one.
+
+    ``rows`` has provider, source_notes, duration_ms, the token counts and turn_count.
+    """
+    about = F.exists(F.coalesce("source_notes", F.array().cast("array<string>")), lambda n: n.rlike(r"(?i)duration.*estimated|estimated.*duration"))
+    lacks = lambda c: F.count_if(F.coalesce(c, F.lit(0)) == 0)
+    n = rows.where(F.col("provider") == provider).agg(F.count("*").alias("total"), F.count_if(about).alias("estimated"), lacks("duration_ms").alias("no_duration"), F.count_if(F.col("input_tokens").isNull()).alias("no_tokens"), lacks("turn_count").alias("no_turn_stats"))
+    said = {
+        "estimated": "use best-effort duration estimates.", "no_duration": "do not have enough timing data to compute duration.",
+        "no_tokens": "do not include token snapshots, so token and cost totals are partial.", "no_turn_stats": "do not include per-turn stats.",
+    }
+    notes = [F.when(F.col(k) > 0, F.format_string(f"%d/%d Cursor sessions {v}", k, "total")) for k, v in said.items()]
+    return n.where("total > 0").withColumn("notes", F.array_compact(F.array(*notes)))
 
 
 def latest_of_parts(catalogue: DataFrame) -> DataFrame:

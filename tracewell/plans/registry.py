@@ -247,15 +247,45 @@ def prompt_nav(t):
     return windows.neighbours(t("conversations"), ["conv_id"], "turn", F.col("role") == "user").select("conv_id", "turn", "prev_index", "next_index")
 
 
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
 # --- texts ------------------------------------------------------------------------------------------------------
 
 
-@query(r"""
-SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '</?[a-zA-Z][^>]*>', '', 'g'), '^/[0-9A-Za-z_]+\s*', ''), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS prompt FROM conversations WHERE role = 'user'""")
+def clean_sql(source: str) -> str:
+    """Common table expressions that end in ``cleaned``: the rows of ``source`` with ``prompt``, its cleaned text."""
+    strip = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    noise = " OR ".join(f"regexp_matches({strip('x')}, {_q(p)})" for p in text.TERMINAL_LINES)
+    bare = "kept"
+    for pattern, to in ((r"(?i)</?[a-z][^>]*>", ""), (r"(?m)^\s*\d+\|\s*", ""), (r"Caveat:\s*The messages below were generated by the user while running local commands\.[^.]*", ""), ("DO NOT respond to these messages[^.]*", ""), (r"^/\w+\s*", ""), (r"\s+", " ")):
+        bare = f"regexp_replace({bare}, {_q(pattern)}, '{to}', 'g')"
+    return rf"""w AS (SELECT *, {strip("coalesce(text, '')")} AS whole FROM {source}), l AS (SELECT *, string_split(whole, chr(10)) AS lines FROM w),
+s AS (SELECT *, regexp_matches(lines[1], '^(?i)\S.*\[\d{{1,2}}:\d{{2}}\s?[ap]m\]$') AS speaker FROM l), g AS (SELECT *, CASE WHEN speaker THEN lines[2:] ELSE lines END AS rest FROM s),
+h AS (SELECT *, CASE WHEN speaker AND regexp_matches({strip("coalesce(rest[1], '')")}, '^(?i)(?:hello|hi)\b') THEN rest[2:] ELSE rest END AS body FROM g),
+f AS (SELECT *, {strip(f"array_to_string(list_filter(string_split({strip('array_to_string(body, chr(10))')}, chr(10)), lambda x: NOT ({noise})), chr(10))")} AS kept FROM h), b AS (SELECT *, {strip(bare)} AS bare FROM f),
+cleaned AS (SELECT *, CASE WHEN regexp_matches(whole, {_q(text.SUMMARY)}) OR regexp_matches(kept, '(?i)<attached_files>|<code_selection\b') OR regexp_matches(bare, {_q(text.SUMMARY)}) OR (regexp_matches(whole, {_q(text.TERMINAL_NOISE)}) AND regexp_matches(bare, '^(?i)[a-z0-9._:-]{{1,12}}$')) THEN '' ELSE bare END AS prompt FROM b)"""
+
+
+@query(f"WITH u AS (SELECT * FROM conversations WHERE role = 'user'), {clean_sql('u')} SELECT conv_id, turn, prompt FROM cleaned")
 def clean_prompt(t):
     return t("conversations").where("role = 'user'").select("conv_id", "turn", text.clean_prompt(F.col("text")).alias("prompt"))
 
 
+#: Noise that is put around texts, so that every step of the cleaning has work.
+_NOISE = (
+    "'Ann [9:05 am]' || chr(10) || 'Hello there' || chr(10) || text", "'Last login: today' || chr(10) || '➜  ~ git status' || chr(10) || text", "text || chr(10) || '- Token: abc' || chr(10) || 'user.name=x' || chr(10) || 'branch.main.remote=o'",
+    "'  12| ' || text || chr(10) || ' 13| more'", "'Caveat: The messages below were generated by the user while running local commands. ' || text", "'/fix ' || '<b>' || text || '</b>'", "'<attached_files>' || text", "'Summary: 1. Primary request and intent: ' || text", "'github.com' || chr(10) || 'ok'", "text",
+)
+
+
+@query("WITH u AS (SELECT doc_id, CASE doc_id % 10 " + " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(_NOISE)) + f" END AS text FROM documents), {clean_sql('u')} SELECT doc_id, prompt FROM cleaned")
+def clean_noisy_prompt(t):
+    noisy = F.expr("CASE doc_id % 10 " + " ".join(f"WHEN {i} THEN {e.replace('chr(10)', 'char(10)')}" for i, e in enumerate(_NOISE)) + " END")
+    return t("documents").select("doc_id", text.clean_prompt(noisy).alias("prompt"))
+
+
 @query("SELECT doc_id, substr(text, 1, 200) AS title FROM documents WHERE text IS NOT NULL")
 def title_select(t):
     return t("documents").where("text is not null").select("doc_id", F.substring("text", 1, 200).alias("title"))
@@ -267,9 +297,6 @@ def scene_search(t):
     return t("documents").where(hit).orderBy("doc_id").limit(50).select("doc_id", text.snippet(F.col("text"), "tion").alias("snippet"))
 
 
-def _q(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
 
 def _redact_sql(col: str) -> str:
     for pattern, before, mark, after in redact.steps():
@@ -298,12 +325,6 @@ def secret_scan(t):
     return redact.findings(t("documents"), "doc_id", "text").groupBy("doc_id", "rule").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, length(text)::BIGINT AS n, substr(text, 1, 2000) || CASE WHEN length(text) > 2000 THEN chr(10) || '... (truncated, ' || length(text) || ' chars total)' ELSE '' END AS cut FROM documents WHERE NOT regexp_matches(text, '@|(?i)key|secret|token|password|credential|auth|AKIA|://')")
-def truncate_text(t):
-    plain = t("documents").where(~F.col("text").rlike("@|(?i)key|secret|token|password|credential|auth|AKIA|://"))
-    return plain.select("doc_id", F.length("text").cast("long").alias("n"), redact.truncate(F.col("text"), 2000).alias("cut"))
-
-
 @query(
     f"WITH c AS (SELECT doc_id, {_redact_sql('text')} AS t FROM documents) SELECT doc_id, length(t)::BIGINT AS n, "
     "substr(t, 1, 2000) || CASE WHEN length(t) > 2000 THEN chr(10) || '... (truncated, ' || length(t) || ' chars total)' ELSE '' END AS cut FROM c"
@@ -313,6 +334,11 @@ def truncate_redacted(t):
     return t("documents").select("doc_id", F.length(clean).cast("long").alias("n"), redact.truncate(F.col("text"), 2000).alias("cut"))
 
 
+@query(ORACLE_SQL["truncate_redacted"])
+def truncate_text(t):
+    return truncate_redacted(t)
+
+
 @query("SELECT lang, count(*) AS docs, sum(length(text))::BIGINT AS chars, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS lines FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def char_totals(t):
     docs = t("documents").where("text is not null")
@@ -533,15 +559,14 @@ def latest_overlay(t):
 def risk_files(t):
     return t("orders").where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count("*").alias("n")).where("n >= 4")
 
-@query(f"SELECT doc_id, regexp_replace(text, {_q(f'{redact.EMAIL[0]}({redact.EMAIL[1]})')}, '[REDACTED]\\1', 'g') AS clean FROM documents WHERE contains(text, '@')")
+@query(f"SELECT doc_id, regexp_replace(text, {_q(f'{redact.EMAIL[0]}({redact.EMAIL[1]})')}, '[REDACTED]\\1', 'g') AS clean FROM documents")
 def email_redact(t):
-    clean = F.regexp_replace("text", f"{redact.EMAIL[0]}({redact.EMAIL[1]})", r"\[REDACTED\]$1")
-    return t("documents").where(F.contains("text", F.lit("@"))).select("doc_id", clean.alias("clean"))
+    return t("documents").select("doc_id", F.regexp_replace("text", f"{redact.EMAIL[0]}({redact.EMAIL[1]})", r"\[REDACTED\]$1").alias("clean"))
 
 
-@query(f"SELECT doc_id, regexp_replace(text, {_q(f'{redact.EMAIL[0]}({redact.EMAIL[1]})')}, '[REDACTED]\\1', 'g') AS clean FROM documents")
+@query(ORACLE_SQL["email_redact"])
 def email_redact_all(t):
-    return t("documents").select("doc_id", F.regexp_replace("text", f"{redact.EMAIL[0]}({redact.EMAIL[1]})", r"\[REDACTED\]$1").alias("clean"))
+    return email_redact(t)
 
 
 @query("""

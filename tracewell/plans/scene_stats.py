@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tracewell.functions import blocks, text
 from tracewell.operators import joins, windows
 from tracewell.plans import sessions
 
-READING, WRITING = ("Read", "Grep", "Glob", "LS", "WebFetch", "WebSearch"), ("Edit", "Write", "NotebookEdit", "Delete")
+#: Tools that read and that write.
+READING, WRITING = ("Read", "Grep", "Glob"), ("Edit", "Write")
 #: Which type of scene stands for a piece of the timeline, the largest first.
-PRIORITY = {"user-prompt": 5, "tool-call": 4, "text-response": 3, "thinking": 2}
+PRIORITY = {"user-prompt": 4, "tool-call": 3, "text-response": 2}
 SUB_AGENT_SCENES = 60
 
 
@@ -25,9 +27,9 @@ def totals(scenes: DataFrame) -> DataFrame:
 
 
 def failed() -> Column:
-    """A tool's error flag, else how its result begins."""
-    head = F.substring("result", 1, 500)
-    return F.coalesce((F.col("type") == "tool-call") & (F.col("is_error") | head.rlike(r"(?i)^\s*(?:error|fatal|traceback|command failed|exit code [1-9])")), F.lit(False))
+    """Whether a shell call failed: its flag, or where there is none a word in the first 500 characters of its result."""
+    told = F.substring("result", 1, 500).rlike(r"(?i)\b(?:error|fail|exception|errno)\b")
+    return F.coalesce((F.col("type") == "tool-call") & (F.col("tool_name") == "Bash") & F.coalesce("is_error", told), F.lit(False))
 
 
 def files(scenes: DataFrame) -> DataFrame:
@@ -65,9 +67,13 @@ def activity(scenes: DataFrame) -> DataFrame:
 
 
 def timeline(scenes: DataFrame, buckets: int = 200) -> DataFrame:
-    """(session, bucket, type, n): at most ``buckets`` pieces, each shown by its most important type."""
+    """(session, bucket, type, n): at most ``buckets`` pieces, each shown by its most important type, the first of several.
+
+    Piece b has the scenes from floor(b * n / buckets) up to the next piece's first.
+    """
     n = scenes.groupBy("session").agg(F.count("*").alias("total"))
-    rows = scenes.join(n, "session").withColumn("bucket", F.when(F.col("total") <= buckets, F.col("scene_index")).otherwise(F.floor(F.col("scene_index") * buckets / F.col("total"))))
+    last_start = F.floor(((F.col("scene_index") + 1) * buckets - 1) / F.col("total"))  # the last piece that begins no later
+    rows = scenes.join(n, "session").withColumn("bucket", F.when(F.col("total") <= buckets, F.col("scene_index")).otherwise(last_start))
     rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in PRIORITY.items() for x in kv)), F.col("type")), F.lit(1))
     return rows.groupBy("session", "bucket").agg(F.max_by("type", F.struct(rank.alias("r"), (-F.col("scene_index")).alias("i"))).alias("type"), F.count("*").alias("n"))
 
@@ -148,11 +154,52 @@ def turn_usage(events: DataFrame) -> DataFrame:
     )
 
 
-def digest(scenes: DataFrame, each: int = 500, limit: int = 50_000) -> DataFrame:
-    """(session, digest): scenes in short, one a line, as long as they fit into ``limit`` characters."""
-    said = F.coalesce("content", F.concat("tool_name", F.lit(": "), F.coalesce(F.to_json("input"), F.lit(""))))
-    line = F.concat(F.lit("["), F.col("scene_index").cast("string"), F.lit("] "), "type", F.lit(": "), F.substring(text.strip(F.regexp_replace(said, r"\s+", " ")), 1, each))
-    rows = scenes.select("session", "scene_index", line.alias("line"))
-    rows = windows.cumulative(rows.withColumn("n", F.length("line") + 1), ["session"], ["scene_index"], "n", "used").where(F.col("used") <= limit)
+#: How many characters each kind of text may have in a digest, and how many all prompts' share is.
+DIGEST = {"prompt": (3000, 25000), "response": (1500, 20000), "diff": (500, 8000), "output": (300, 5000)}
+THOUGHT, COMMAND, INPUT, DIGEST_LIMIT = 200, 120, 100, 50_000
+
+
+def digest(scenes: DataFrame, limit: int = DIGEST_LIMIT) -> DataFrame:
+    """(session, digest): turns with their prompts, and of each turn's answer as much as its budget allows.
+
+    The more prompts, the smaller the budgets (DIGEST). Within a turn, thoughts, texts, changes and outputs use up the budget
+    of the response in order; a text is cut to what is left, and once nothing is, calls are only named. So the running
+    sum of sizes tells what is shown. Behind ``limit`` characters a note stands for the rest. Sessions without a line
+    have an empty digest.
+    """
+    prompts = scenes.groupBy("session").agg(F.greatest(F.count_if(F.col("type") == "user-prompt"), F.lit(1)).alias("prompts"))
+    rows = scenes.withColumn("turn", windows.turn_id(F.col("type") == "user-prompt", ["session"], ["scene_index"])).join(prompts, "session")
+    most = {k: F.least(F.lit(a), F.floor(F.lit(b) / F.col("prompts"))) for k, (a, b) in DIGEST.items()}
+    said, kind = F.coalesce("content", F.lit("")), F.col("type")
+    cut = lambda c, n, end="...": F.when(F.length(c) > n, F.concat(F.substring(c, F.lit(1), n if isinstance(n, Column) else F.lit(n)), F.lit(end))).otherwise(c)
+    indented = lambda c: F.concat(F.lit("    "), F.replace(c, F.lit("\n"), F.lit("\n    ")))
+    changed, ran = F.coalesce(F.nullif("diff.new_content", F.lit("")), "diff.old_content", F.lit("")), text.strip(F.coalesce("bash.stdout", F.lit("")))
+    is_diff, is_bash = (kind == "tool-call") & F.col("diff").isNotNull(), (kind == "tool-call") & F.col("diff").isNull() & F.col("bash").isNotNull()
+    # what a scene shows of itself, before the budget; a text is cut to what is left of it
+    shown = (
+        F.when(kind == "thinking", cut(said, THOUGHT)).when(kind == "text-response", said).when(is_diff, cut(changed, most["diff"])).when(is_bash, cut(ran, most["output"]))
+    )
+    rows = rows.withColumn("shown", shown).withColumn("size", F.coalesce(F.length("shown"), F.lit(0)).cast("long"))
+    rows = windows.cumulative(rows, ["session", "turn"], ["scene_index"], "size", "used")
+    left = most["response"] - (F.col("used") - F.col("size"))
+    some = (left > 0) & (F.col("size") > 0)
+    prompt = F.concat(F.lit("=== TURN "), F.col("turn").cast("string"), F.lit(" (scene "), F.col("scene_index").cast("string"), F.lit(") ===\n[USER PROMPT]:\n"), cut(said, most["prompt"], "\n...(truncated)"), F.lit("\n\n[ASSISTANT RESPONSE]:"))
+    line = (
+        F.when(kind == "user-prompt", prompt)
+        .when((kind == "thinking") & (left > 0), F.concat(F.lit("  - Thinking: "), "shown"))
+        .when((kind == "text-response") & (left > 0), F.concat(F.lit("  - Text: "), cut(said, left)))
+        .when(is_diff, F.concat(F.lit("  - "), "tool_name", F.lit(": "), "diff.file_path", F.when(some, F.concat(F.lit("\n"), indented(F.col("shown")))).otherwise("")))
+        .when(is_bash, F.concat(F.lit("  - Bash: "), cut(F.col("bash.command"), COMMAND), F.when(some, F.concat(F.lit("\n    Output: "), F.replace("shown", F.lit("\n"), F.lit("\n    ")))).otherwise("")))
+        .when(kind == "tool-call", F.concat(F.lit("  - "), "tool_name", F.lit(": "), F.substring(F.coalesce(F.to_json("input"), F.lit("{}")), 1, INPUT)))
+        .when(kind == "compaction-summary", "  - [Context compaction — earlier context was summarized]")
+    )
+    lines = rows.select("session", "scene_index", "turn", line.alias("line")).where("line is not null")
+    ends = ~F.coalesce(F.lead("turn").over(W.partitionBy("session").orderBy("scene_index")) == F.col("turn"), F.lit(False))
+    lines = lines.withColumn("line", F.concat("line", F.when(ends, "\n").otherwise("")))  # an empty line after each turn
+    lines = windows.cumulative(lines.withColumn("n", (F.length("line") + 1).cast("long")), ["session"], ["scene_index"], "n", "end")
+    total = lines.groupBy("session").agg((F.max("end") - 1).alias("total"))
+    fit = lines.where(F.col("end") - F.col("n") < limit)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("scene_index", "line"))), lambda x: x["line"])
-    return rows.groupBy("session").agg(F.array_join(listed, "\n").alias("digest"))
+    text_ = fit.groupBy("session").agg(F.array_join(listed, "\n").alias("text")).join(total, "session")
+    whole = F.when(F.col("total") > limit, F.concat(F.substring("text", 1, limit), F.lit("\n\n... (remaining turns omitted due to length)"))).otherwise(F.col("text"))
+    return prompts.select("session").join(text_, "session", "left").select("session", F.coalesce(whole, F.lit("")).alias("digest"))

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from tracewell.functions import composer
 from tracewell.plans import catalogue, export, incremental, insights, scene_stats, sessions
-from tracewell.plans.registry import query
+from tracewell.plans.registry import clean_sql, query
 
 TODAY = "1998-08-02"
 _TOTALS = ("prompt_count", "tool_call_count", "edit_count", "sub_agent_count", "api_error_count", "compaction_count", "input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")
@@ -94,7 +94,7 @@ def session_hot_files(t):
 
 
 @query(f"""
-WITH {S}, c AS (SELECT {DAY} AS day, count(*) AS n FROM s GROUP BY 1), g AS (SELECT (DATE '{TODAY}' - i::INTEGER) AS day FROM generate_series(0, 363) x(i)), j AS (SELECT day, coalesce(n, 0)::BIGINT AS sessions FROM g LEFT JOIN c USING (day))
+WITH {S}, c AS (SELECT {DAY} AS day, count(*) AS n FROM s GROUP BY 1), g AS (SELECT (DATE '1998-08-08' - i::INTEGER) AS day FROM generate_series(0, 363) x(i)), j AS (SELECT day, coalesce(n, 0)::BIGINT AS sessions FROM g LEFT JOIN c USING (day))
 SELECT day, sessions, CASE WHEN sessions = 0 THEN 0 ELSE least(4, ceil(4.0 * sessions / greatest(max(sessions) OVER (), 1)))::INTEGER END AS level FROM j""")
 def session_heatmap(t):
     return insights.heatmap(session_rows(t), TODAY)
@@ -135,11 +135,29 @@ def session_models(t):
     return insights.shares(session_rows(t), "model").withColumn("share", F.round("share", 9))
 
 
-@query(
-    f"WITH {S} SELECT session, concat_ws(';', CASE WHEN duration_ms IS NULL THEN 'no duration' END, CASE WHEN model IS NULL THEN 'no model' END, CASE WHEN input_tokens IS NULL THEN 'no token usage' END, CASE WHEN prompt_count = 0 THEN 'no prompts' END) AS notes FROM s"
-)
+_SOURCE = "CASE session % 3 WHEN 0 THEN 'sqlite' WHEN 1 THEN 'jsonl' END"
+
+
+def second_provider_rows(t):
+    """``session_rows`` with the columns that tell where measures come from; provider F stands for the second one."""
+    note = F.when(F.col("session") % 5 == 0, F.array(F.lit("Session duration is estimated."), F.lit("No per-turn stats."))).when(F.col("session") % 5 == 1, F.array(F.lit("Token counts are partial.")))
+    return session_rows(t).withColumn("data_source", F.expr(_SOURCE)).withColumn("source_notes", note).withColumn("turn_count", F.col("session") % 2)
+
+
+@query(f"""
+WITH {S}, n AS (SELECT session, CASE WHEN provider = 'F' AND session % 3 = 0 THEN 'Some Cursor metrics are best-effort estimates and may be incomplete.' END AS a,
+  CASE session % 5 WHEN 0 THEN 'Session duration is estimated.;No per-turn stats.' WHEN 1 THEN 'Token counts are partial.' END AS b, CASE WHEN input_tokens IS NULL THEN 'Token and cost metrics may be unavailable.' END AS c FROM s)
+SELECT session, concat_ws(';', a, b, c) AS notes, CASE WHEN session % 5 = 0 THEN 'Session duration is estimated.' END AS duration_note, coalesce(CASE WHEN session % 5 = 1 THEN b END, c) AS tokens_note FROM n""")
 def session_notes(t):
-    return insights.with_quality(session_rows(t)).select("session", F.array_join("notes", ";").alias("notes"))
+    return insights.with_quality(second_provider_rows(t), "F").select("session", F.array_join("notes", ";").alias("notes"), "duration_note", "tokens_note")
+
+
+@query(f"""
+WITH {S}, q AS (SELECT count(*) AS total, count(*) FILTER (session % 5 = 0) AS e, count(*) FILTER (duration_ms IS NULL) AS d, count(*) FILTER (input_tokens IS NULL) AS k, count(*) FILTER (session % 2 = 0) AS u FROM s WHERE provider = 'F')
+SELECT total, e AS estimated, d AS no_duration, k AS no_tokens, u AS no_turn_stats, concat_ws(';', e || '/' || total || ' Cursor sessions use best-effort duration estimates.', d || '/' || total || ' Cursor sessions do not have enough timing data to compute duration.',
+  k || '/' || total || ' Cursor sessions do not include token snapshots, so token and cost totals are partial.', u || '/' || total || ' Cursor sessions do not include per-turn stats.') AS notes FROM q""")
+def session_quality(t):
+    return insights.quality(second_provider_rows(t), "F").withColumn("notes", F.array_join("notes", ";"))
 
 
 @query(f"""
@@ -174,6 +192,7 @@ def catalogue_sources(t):
 _KIND = "CASE event_type WHEN 'click' THEN 'user-prompt' WHEN 'signup' THEN 'text-response' ELSE 'tool-call' END"
 _TOOL = "CASE event_type WHEN 'view' THEN 'Read' WHEN 'purchase' THEN 'Edit' WHEN 'error' THEN 'Bash' END"
 _FILE = "concat('/src/f', event_id % 9)"
+_RESULT = "CASE WHEN event_id % 5 = 0 THEN '1 failed' WHEN event_id % 35 = 1 THEN 'All 3 passed' ELSE 'ok' END"
 _COMMAND = "CASE WHEN event_id % 3 = 0 THEN 'pytest -q' WHEN event_id % 3 = 1 THEN 'git status' ELSE 'ls' END"
 E = (
     f"e AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS scene_index, {_KIND} AS type, {_TOOL} AS tool_name, {_FILE} AS file, {_COMMAND} AS command, props AS content, event_id FROM events), "
@@ -188,14 +207,14 @@ def scene_rows(t):
     diff = F.struct(F.expr(_FILE).alias("file_path"), F.lit("a").alias("old_content"), F.lit("a\nb\nc").alias("new_content"))
     return e.select(
         F.col("user_id").alias("session"), (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("scene_index"), F.expr(_KIND).alias("type"), F.when(text, F.col("props")).alias("content"), tool.alias("tool_name"),
-        F.when(tool == "Read", F.create_map(F.lit("file_path"), F.expr(_FILE))).alias("input"), F.when(~text, F.lit("ok")).alias("result"), F.when(~text, F.col("event_id") % 5 == 0).alias("is_error"),
+        F.when(tool == "Read", F.create_map(F.lit("file_path"), F.expr(_FILE))).alias("input"), F.when(~text, F.expr(_RESULT)).alias("result"), F.when(~text, F.col("event_id") % 5 == 0).alias("is_error"),
         F.when(tool == "Edit", diff).alias("diff"), F.when(tool == "Bash", F.struct(F.expr(_COMMAND).alias("command"), F.lit("ok").alias("stdout"))).alias("bash"), F.array().cast("array<string>").alias("images"),
     )
 
 
 @query(
     f"WITH {E} SELECT session, count(*) AS scenes, coalesce(sum(length(content)) FILTER (type = 'user-prompt'), 0)::BIGINT AS prompt_chars, 0::BIGINT AS thinking_chars, coalesce(sum(length(content)) FILTER (type = 'text-response'), 0)::BIGINT AS response_chars, "
-    "count(*) FILTER (type = 'tool-call') AS tools, count(*) FILTER (type = 'tool-call' AND event_id % 5 = 0) AS errors, 0::BIGINT AS images FROM e GROUP BY 1"
+    "count(*) FILTER (type = 'tool-call') AS tools, count(*) FILTER (tool_name = 'Bash' AND event_id % 5 = 0) AS errors, 0::BIGINT AS images FROM e GROUP BY 1"
 )
 def scene_totals(t):
     return scene_stats.totals(scene_rows(t))
@@ -212,8 +231,9 @@ def scene_commands(t):
 
 
 @query(
-    f"WITH {E}, n AS (SELECT *, count(*) OVER (PARTITION BY session) AS total FROM e), b AS (SELECT *, CASE WHEN total <= 20 THEN scene_index ELSE scene_index * 20 // total END AS bucket, CASE type WHEN 'user-prompt' THEN 5 WHEN 'tool-call' THEN 4 ELSE 3 END AS r FROM n) "
-    "SELECT session, bucket::BIGINT AS bucket, arg_max(type, (r, -scene_index)) AS type, count(*) AS n FROM b GROUP BY 1, 2"
+    f"WITH {E}, n AS (SELECT session, count(*) AS total FROM e GROUP BY 1), g AS (SELECT session, total, b, b * total // 20 AS first, (b + 1) * total // 20 AS stop FROM n, generate_series(0, 19) x(b)), "
+    "j AS (SELECT e.*, CASE WHEN g.total <= 20 THEN e.scene_index ELSE g.b END AS bucket, CASE type WHEN 'user-prompt' THEN 4 WHEN 'tool-call' THEN 3 ELSE 2 END AS r FROM e JOIN g ON g.session = e.session AND CASE WHEN g.total <= 20 THEN g.b = e.scene_index ELSE g.first <= e.scene_index AND e.scene_index < g.stop END) "
+    "SELECT session, bucket::BIGINT AS bucket, arg_max(type, (r, -scene_index)) AS type, count(*) AS n FROM j GROUP BY 1, 2"
 )
 def scene_timeline(t):
     return scene_stats.timeline(scene_rows(t), 20)
@@ -242,8 +262,9 @@ def scene_turns(t):
 
 
 @query(f"""
-WITH {E}, a AS (SELECT session, concat(substr(file, 6), ' edited ', count(*), ' times') AS risk FROM e WHERE tool_name = 'Edit' GROUP BY session, file HAVING count(*) >= 4),
-b AS (SELECT session, concat(count(*), ' failing test runs') AS risk FROM e WHERE tool_name = 'Bash' AND command = 'pytest -q' AND event_id % 5 = 0 GROUP BY 1) SELECT * FROM a UNION ALL SELECT * FROM b""")
+WITH {E}, a AS (SELECT session, concat('`', substr(file, 2), '` modified ', count(*), 'x') AS risk FROM e WHERE tool_name = 'Edit' GROUP BY session, file HAVING count(*) >= 4),
+b AS (SELECT session, count(*) FILTER (event_id % 5 = 0) AS failed, count(*) FILTER (event_id % 35 = 1) AS passed FROM e WHERE tool_name = 'Bash' AND command = 'pytest -q' GROUP BY 1)
+SELECT * FROM a UNION ALL SELECT session, concat(failed, ' test failure(s)', CASE WHEN passed > 0 THEN ' (resolved)' ELSE '' END) AS risk FROM b WHERE failed > 0""")
 def scene_risks(t):
     return export.risks(scene_rows(t))
 
@@ -326,9 +347,20 @@ def catalogue_groups(t):
     return catalogue.grouped(cards(t))
 
 
-@query(f"WITH {C} SELECT session, modified FROM c WHERE (prompt_count = 0 OR title IS NULL OR title LIKE '<%' OR model IS NULL) AND k % 2 = 1 ORDER BY modified DESC, session LIMIT 30")
+@query(f"""
+WITH {C}, b AS (SELECT *, CASE WHEN k % 5 > 0 THEN k % 5 END AS prompts, CASE WHEN k % 7 > 0 THEN 1 END AS tools, CASE WHEN k % 19 = 0 THEN ' <p> ' ELSE first_prompt END AS said FROM c WHERE provider = 'F' AND k % 4 > 0),
+l AS (SELECT * FROM b WHERE prompts IS NULL OR tools IS NULL OR title IS NULL OR title LIKE '<%' OR model IS NULL OR k % 19 = 0),
+i AS (SELECT c.session, c.modified FROM l JOIN c ON c.session = l.session WHERE c.k % 2 = 0), u AS (SELECT c.session, c.modified FROM l JOIN c ON c.k + 1 = l.k AND c.provider = 'F' WHERE l.k % 2 = 1 AND c.k % 2 = 0)
+SELECT session, modified FROM (SELECT * FROM i UNION ALL SELECT * FROM u) ORDER BY modified DESC, session LIMIT 30""")
 def catalogue_enrich(t):
-    return catalogue.to_enrich(cards(t), cards(t).where("session % 2 = 0")).select("session", "modified")
+    some = cards(t).withColumn("k", F.col("session").cast("long"))
+    known = some.where("k % 2 = 0")
+    # a card with an odd number has the project and slug of the known session before it, but another id
+    before = known.select((F.col("k") + 1).alias("k"), F.col("project").alias("__p"), F.col("slug").alias("__s"))
+    base = some.join(before, "k", "left").withColumn("project", F.coalesce("__p", "project")).withColumn("slug", F.coalesce("__s", "slug"))
+    base = base.withColumn("prompt_count", F.when(F.col("k") % 5 > 0, F.col("k") % 5)).withColumn("tool_call_count", F.when(F.col("k") % 7 > 0, 1))
+    base = base.withColumn("first_prompt", F.when(F.col("k") % 19 == 0, " <p> ").otherwise(F.col("first_prompt"))).withColumn("readable", F.col("k") % 4 > 0)
+    return catalogue.to_enrich(base, known, "F").select("session", "modified")
 
 
 @query(f"WITH {C} SELECT project, count(*) AS sessions, count(r.slug) AS replays FROM c LEFT JOIN r USING (slug) GROUP BY 1")
@@ -348,9 +380,11 @@ def catalogue_days(t):
     return catalogue.days(cards(t))
 
 
-@query(f"WITH {C} SELECT count(*) AS expiring, min(greatest(0, 2000 - date_diff('day', modified::DATE, DATE '{TODAY}')))::INTEGER AS soonest FROM c WHERE provider = 'F' AND greatest(0, 2000 - date_diff('day', modified::DATE, DATE '{TODAY}')) <= 7")
+@query(f"""
+WITH {C}, d AS (SELECT greatest(0, floor(2000.25 - (epoch_ms(TIMESTAMP '{TODAY} 13:00:00') - epoch_ms(modified)) / 86400000.0))::BIGINT AS days FROM c WHERE provider = 'F')
+SELECT count(*) AS expiring, min(days) AS soonest FROM d WHERE days <= 7""")
 def catalogue_expiring(t):
-    return catalogue.expiring(cards(t), "F", TODAY, 2000)
+    return catalogue.expiring(cards(t), "F", f"{TODAY} 13:00:00", 2000.25)
 
 
 @query("SELECT o_custkey AS owner, sum(round(o_totalprice))::BIGINT AS bytes FROM orders GROUP BY 1 HAVING sum(round(o_totalprice)) + 100000 <= 2000000")
@@ -374,12 +408,12 @@ def scene_prompts_only(t):
     return catalogue.shown(scene_rows(t), prompts_only=True).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("""
-WITH p AS (SELECT conv_id AS session, turn, substr(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), 1, 12) AS p FROM conversations WHERE role = 'assistant' AND text NOT LIKE '%<%' AND text NOT LIKE '/%'),
-f AS (SELECT session, p, min(turn) AS turn FROM p WHERE length(p) >= 8 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY turn) AS rn FROM f)
+@query(f"""
+WITH a AS (SELECT * FROM conversations WHERE role = 'assistant'), {clean_sql("a")}, p AS (SELECT conv_id AS session, turn, substr(prompt, 1, 12) AS p FROM cleaned),
+k0 AS (SELECT session, p, min(turn) AS turn FROM p WHERE length(p) >= 8 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY turn) AS rn FROM k0)
 SELECT session, string_agg(p, '|' ORDER BY turn) AS previews FROM k WHERE rn <= 3 GROUP BY 1""")
 def prompt_previews(t):
-    said = t("conversations").where("role = 'assistant' and text not like '%<%' and text not like '/%'").select(F.col("conv_id").alias("session"), F.col("turn").alias("ord"), "text")
+    said = t("conversations").where("role = 'assistant'").select(F.col("conv_id").alias("session"), F.col("turn").alias("ord"), "text")
     return catalogue.previews(said, limit=12).select("session", F.array_join("previews", "|").alias("previews"))
 
 
@@ -397,12 +431,11 @@ _INTENT = r"(?i)\b(?:I\s+need|I\s+think|I\s+should|I\s+might|I\s+could|I'm|I\s+a
 
 @query(f"""
 WITH d AS (SELECT doc_id, doc_id % 3 AS m, regexp_replace(regexp_replace(coalesce(text, ''), '^\\s+', ''), '\\s+$', '') AS body FROM documents)
-SELECT doc_id, CASE WHEN m < 2 AND regexp_matches(substr(body, 1, 500), '{_INTENT.replace("'", "''")}') THEN 7 WHEN body = '' THEN length('Did it.' || chr(10) || chr(10) || (CASE m WHEN 0 THEN '**Planning**' WHEN 1 THEN '**Checking the rest**' ELSE '**Results**' END))
-  ELSE length('Did it.' || repeat(chr(10), 4) || (CASE m WHEN 0 THEN '**Planning**' WHEN 1 THEN '**Checking the rest**' ELSE '**Results**' END) || body) END::INTEGER AS length FROM d""")
+SELECT doc_id, md5(CASE WHEN m < 2 AND regexp_matches(substr(body, 1, 500), '{_INTENT.replace("'", "''")}') THEN 'Did it.' ELSE 'Did it.' || chr(10) || chr(10) || (CASE m WHEN 0 THEN '**Planning**' WHEN 1 THEN '**Checking the rest**' ELSE '**Results**' END) || CASE WHEN body = '' THEN '' ELSE chr(10) || chr(10) || body END END) AS digest FROM d""")
 def plans_removed(t):
     heading = F.expr("case doc_id % 3 when 0 then 'Planning' when 1 then 'Checking the rest' else 'Results' end")
     said = F.concat(F.lit("Did it.\n\n**"), heading, F.lit("**\n\n"), F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+", ""))
-    return t("documents").select("doc_id", F.length(composer.without_plan(said)).alias("length"))
+    return t("documents").select("doc_id", F.md5(composer.without_plan(said)).alias("digest"))
 
 
 @query("""

@@ -120,14 +120,22 @@ BUBBLE = (
 
 
 def composers(kv: DataFrame) -> DataFrame:
-    """(composer, name, created, updated, model, branch, headers): conversations with at least one header."""
-    c = kv.where(F.col("key").startswith("composerData:")).select(F.substring_index("key", ":", -1).alias("composer"), F.from_json(utf8(F.col("value")), COMPOSER).alias("c"))
+    """(composer, name, created, updated, model, branch, branches, headers): conversations with at least one header."""
+    json = utf8(F.col("value"))
+    c = kv.where(F.col("key").startswith("composerData:")).select(F.substring_index("key", ":", -1).alias("composer"), F.from_json(json, COMPOSER).alias("c"), read.branches(json).alias("b"))
     return c.where(F.size("c.fullConversationHeadersOnly") > 0).select(
         "composer", F.col("c.name").alias("name"), text.coerce_time(F.col("c.createdAt")).alias("created"), text.coerce_time(F.col("c.lastUpdatedAt")).alias("updated"),
-        text.model_label(F.col("c.modelConfig.modelName")).alias("model"), F.coalesce("c.activeBranch", "c.createdOnBranch").alias("branch"), F.transform("c.fullConversationHeadersOnly", lambda h: h["bubbleId"]).alias("headers"),
+        text.model_label(F.col("c.modelConfig.modelName")).alias("model"), F.col("b.branch").alias("branch"), read.branch_chain(F.col("b.branch"), F.col("b.chain")).alias("branches"), F.transform("c.fullConversationHeadersOnly", lambda h: h["bubbleId"]).alias("headers"),
     )
 
 
+def pull_requests(kv: DataFrame, composer: DataFrame) -> DataFrame:
+    """(session, pr_url, pr_number, pr_repository, position): the links in a conversation's messages."""
+    b = kv.where(F.col("key").startswith("bubbleId:")).select(F.split("key", ":").alias("k"), utf8(F.col("value")).alias("bubble"))
+    order = composer.select(F.col("composer").alias("session"), F.posexplode("headers").alias("position", "id"))
+    return read.pull_requests(order.join(b.select(F.col("k")[1].alias("session"), F.col("k")[2].alias("id"), "bubble"), ["session", "id"]).select("session", "position", "bubble"))
+
+
 def bubbles(kv: DataFrame, composer: DataFrame) -> DataFrame:
     """(composer, position, role, text, thinking, tool, input, result, created, model, tokens): messages in the order of the headers, by one equi-join.
 
@@ -145,23 +153,50 @@ def bubbles(kv: DataFrame, composer: DataFrame) -> DataFrame:
     )
 
 
-#: Names that the second provider gives to tools, under the canonical one.
+#: Canonical names of the tools of the second provider, by its own.
 TOOL_NAMES = {
-    "Bash": ("Shell", "run_terminal_command_v2", "run_terminal_cmd"),
-    "Read": ("Read", "ReadFile", "read_file_v2", "read_file"),
-    "ReadLints": ("read_lints",),
-    "Grep": ("Grep", "ripgrep_raw_search", "ripgrep", "rg", "grep", "grep_search"),
-    "Glob": ("Glob", "glob_file_search", "file_search", "list_dir", "list_dir_v2", "LS"),
-    "Edit": ("StrReplace", "EditFile", "edit_file_v2", "edit_file", "search_replace", "ApplyPatch", "apply_patch"),
-    "Write": ("Write", "WriteFile", "write"),
-    "Delete": ("Delete", "delete_file"),
-    "Agent": ("Task", "task_v2"),
-    "TodoWrite": ("todo_write",),
-    "AskQuestion": ("ask_question",),
-    "SemanticSearch": ("semantic_search_full", "codebase_search"),
-    "WebSearch": ("web_search",),
-    "WebFetch": ("WebFetch", "web_fetch"),
-    "Plan": ("create_plan",),
+    "Shell": "Bash",
+    "run_terminal_command_v2": "Bash",
+    "run_terminal_cmd": "Bash",
+    "Read": "Read",
+    "ReadFile": "Read",
+    "read_file_v2": "Read",
+    "read_file": "Read",
+    "read_lints": "ReadLints",
+    "Grep": "Grep",
+    "ripgrep_raw_search": "Grep",
+    "ripgrep": "Grep",
+    "rg": "Grep",
+    "grep": "Grep",
+    "grep_search": "Grep",
+    "Glob": "Glob",
+    "glob_file_search": "Glob",
+    "file_search": "Glob",
+    "list_dir": "Glob",
+    "list_dir_v2": "Glob",
+    "LS": "Glob",
+    "StrReplace": "Edit",
+    "EditFile": "Edit",
+    "edit_file_v2": "Edit",
+    "edit_file": "Edit",
+    "search_replace": "Edit",
+    "ApplyPatch": "Edit",
+    "apply_patch": "Edit",
+    "Write": "Write",
+    "WriteFile": "Write",
+    "write": "Write",
+    "Delete": "Delete",
+    "delete_file": "Delete",
+    "Task": "Agent",
+    "task_v2": "Agent",
+    "todo_write": "TodoWrite",
+    "ask_question": "AskQuestion",
+    "semantic_search_full": "SemanticSearch",
+    "codebase_search": "SemanticSearch",
+    "web_search": "WebSearch",
+    "WebFetch": "WebFetch",
+    "web_fetch": "WebFetch",
+    "create_plan": "Plan",
 }
 #: Names that begin so belong to the browser.
 BROWSER = ("mcp-cursor-ide-browser-cursor-ide-browser-browser_", "chrome-devtools-")
@@ -169,7 +204,7 @@ BROWSER = ("mcp-cursor-ide-browser-cursor-ide-browser-browser_", "chrome-devtool
 
 def tool_name(name: Column) -> Column:
     """The canonical name of a tool, else the name itself (P10)."""
-    known = F.create_map(*(F.lit(x) for to, names in TOOL_NAMES.items() for n in names for x in (n, to)))
+    known = F.create_map(*(F.lit(x) for pair in TOOL_NAMES.items() for x in pair))
     browser = F.when(name.startswith(BROWSER[0]) | name.startswith(BROWSER[1]), "Browser")
     return F.coalesce(F.try_element_at(known, name), browser, name)
 
