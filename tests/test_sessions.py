@@ -141,12 +141,12 @@ def test_scene_measures(events):
     assert tuple(scene_stats.activity(scene).first())[1:] == (1, 2, 1, 1)
     assert [tuple(r)[1:] for r in scene_stats.commands(scene).collect()] == [("test", 1)]
     t = scene_stats.totals(scene).first()
-    assert (t["scenes"], t["tools"], t["errors"], t["images"]) == (11, 5, 1, 1)
+    assert (t["scenes"], t["tools"], t["errors"], t["images"]) == (11, 5, 0, 1)
     assert scene_stats.timeline(scene, 4).agg(F.sum("n")).first()[0] == 11 and scene_stats.timeline(scene, 4).count() == 4
     grid = {(r["file"], r["turn"]): r["edits"] for r in scene_stats.file_grid(scene).collect()}
     assert grid == {("~/p/lib.py", 1): 1, ("~/p/lib.py", 2): 0, ("~/p/b.py", 1): 0, ("~/p/b.py", 2): 1}
     assert scene_stats.first_turn(scene).first()["tools"] == 2
-    assert len(scene_stats.digest(scene).first()["digest"].split("\n")) == 11 and len(scene_stats.digest(scene, limit=100).first()["digest"]) <= 100
+    assert scene_stats.digest(scene).first()["digest"].startswith("=== TURN 1 (scene 0) ===\n[USER PROMPT]:\nPlease repair the parser in lib.py\n\n[ASSISTANT RESPONSE]:\n  - Thinking: hm\n  - Text: On it.\n  - Edit: ~/p/lib.py\n    b\n")
 
 
 def test_turns_agents_and_usage(events):
@@ -171,3 +171,24 @@ def test_blocks(spark):
     assert r["d"] == 1 and [tuple(x) for x in r["diff"]] == [("same", "a"), ("removed", "b"), ("added", "c"), ("added", "d")]
     assert tuple(r["p"]) == ("x.py", "keep\nold", "keep\nnew") and r["j"] == '{"k": {"n": 1}}'
     assert empty["d"] == 0 and empty["diff"] == [] and empty["j"] is None
+
+
+def test_sub_agents_stand_under_their_calls(spark, tmp_path):
+    (tmp_path / "s" / "subagents").mkdir(parents=True)
+    start = [user(1, "Look around"), assistant(2, "m1", [tool("t1", "Agent", prompt="x"), tool("t2", "Agent", prompt="y"), tool("t3", "Bash", command="ls")])]
+    links = [{"type": "progress", "parentToolUseID": f"t{k}", "data": {"type": "agent_progress", "agentId": f"a{k}"}} for k in (1, 2)]
+    (tmp_path / "s.jsonl").write_text("\n".join(map(json.dumps, [*start, *links, user(30, [result("t1", "one"), result("t2", "two"), result("t3", "f")])])))
+    for k in (1, 2):
+        own = [user(3, f"task {k} of /home/me/p"), assistant(4, f"x{k}", [{"type": "thinking", "thinking": " "}, {"type": "text", "text": f"found {k}"}, tool(f"u{k}", "Read", file_path="/home/me/a.py")]), user(5, [result(f"u{k}", "code")])]
+        (tmp_path / "s" / "subagents" / f"agent-a{k}.jsonl").write_text("\n".join(map(json.dumps, own)))
+    (tmp_path / "s" / "subagents" / "agent-a1.meta.json").write_text('{"agentType": "Explore", "description": "looks"}')
+    events = logs.events(spark, str(tmp_path))
+    scene = scene_stats.with_sub_agents(sessions.scenes(events, "/home/me"), events, "/home/me", logs.agent_kinds(spark, str(tmp_path)))
+    rows = scene.orderBy("scene_index").collect()
+    assert [r["tool_name"] for r in rows] == [None, "Agent", "Agent", "Bash"] and rows[0]["sub_agent"] is None and rows[3]["sub_agent"] is None
+    one, two = rows[1]["sub_agent"], rows[2]["sub_agent"]
+    assert (one["agent_id"], one["agent_type"], one["description"], one["prompt"], one["model"]) == ("a1", "Explore", "looks", "task 1 of ~/p", "x-sonnet-4")
+    assert (two["agent_id"], two["agent_type"], two["description"], two["tools"], two["texts"]) == ("a2", "unknown", None, 1, 1)
+    assert [(x["type"], x.get("content"), x.get("result")) for x in map(json.loads, two["scenes"])] == [("text-response", "found 2", None), ("tool-call", None, "code")]
+    document = json.loads(sessions.documents(scene, sessions.scan(events)).first()["document"])
+    assert document["scenes"][1]["sub_agent"]["agent_type"] == "Explore" and len(document["scenes"][2]["sub_agent"]["scenes"]) == 2 and "sub_agent" not in document["scenes"][3]

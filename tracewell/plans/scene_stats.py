@@ -114,6 +114,7 @@ def sub_agent_scenes(events: DataFrame, home: str = "", limit: int = SUB_AGENT_S
     """(session, agent, rn, ts, type, content, tool_name, input, result, is_error, diff): the first ``limit`` scenes of each sub-agent, redacted, texts and results cut to 1,000 characters."""
     own = events.where("agent is not null")
     rows = own.where("role = 'assistant'").select("session", "agent", "ord", "ts", F.posexplode("blocks").alias("at", "b")).where("b.type in ('thinking', 'text', 'tool_use')")
+    rows = rows.where((F.col("b.type") == "tool_use") | F.coalesce("b.thinking", "b.text").rlike(r"\S"))
     first = windows.top_k(rows, ["session", "agent"], ["ord", "at"], limit).withColumn("tool_id", F.when(F.col("b.type") == "tool_use", F.col("b.id")))
     known = first.join(sessions.tool_results(own, ("session", "agent")), ["session", "agent", "tool_id"], "left")
     tool = F.col("b.type") == "tool_use"
@@ -140,6 +141,34 @@ def agent_links(events: DataFrame) -> DataFrame:
     return joins.last_per_key(rows.select("session", F.col("parentToolUseID").alias("tool_id"), "ord", F.col("data.agentId").alias("agent")), ["session", "tool_id"], ["ord"]).drop("ord")
 
 
+def agents(events: DataFrame, home: str = "", kinds: DataFrame | None = None) -> DataFrame:
+    """(session, agent, sub_agent): what is known of each sub-agent, its scenes in order.
+
+    ``kinds`` is ``logs.agent_kinds``. At most SUB_AGENT_SCENES scenes of each stand in it, which bounds the group.
+    """
+    own = events.where("agent is not null")
+    said = F.coalesce("text", F.try_element_at(F.transform(F.filter("blocks", lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit(""))), F.lit(1)))
+    person, model = (F.col("role") == "user") & (said != ""), (F.col("role") == "assistant") & F.col("model").isNotNull() & (F.col("model") != "<synthetic>")
+    about = own.groupBy("session", "agent").agg(F.min_by(F.substring(said, 1, 500), F.when(person, F.col("ord"))).alias("prompt"), F.min_by("model", F.when(model, F.col("ord"))).alias("model"))
+    columns = ("type", "content", "tool_name", "input", "result", "is_error", "diff", "ts")
+    scenes = sub_agent_scenes(events, home).groupBy("session", "agent").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", F.to_json(F.struct(*columns)).alias("scene")))), lambda x: x["scene"]).alias("scenes"))
+    out = about.join(sub_agents(events), ["session", "agent"], "left").join(scenes, ["session", "agent"], "left")
+    none = F.lit(None).cast("string")
+    out = out.join(kinds, ["session", "agent"], "left") if kinds is not None else out.withColumn("agent_type", none).withColumn("description", none)
+    prompt = sessions.clean(F.coalesce("prompt", F.lit("")), home)
+    n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("session", "agent", F.struct(F.col("agent").alias("agent_id"), F.coalesce("agent_type", F.lit("unknown")).alias("agent_type"), "description", prompt.alias("prompt"), "model", n("tools"), n("thinking"), n("texts"), n("tokens"), F.coalesce("scenes", F.array().cast("array<string>")).alias("scenes")).alias("sub_agent"))
+
+
+def with_sub_agents(scenes: DataFrame, events: DataFrame, home: str = "", kinds: DataFrame | None = None) -> DataFrame:
+    """``sessions.scenes`` with ``sub_agent`` at each call that started one: its log by the progress lines that name the call.
+
+    The scenes of a sub-agent are JSON texts, since their inputs differ in shape.
+    """
+    found = agent_links(events).join(agents(events, home, kinds), ["session", "agent"]).select("session", "tool_id", "sub_agent", F.lit("Agent").alias("tool_name"))
+    return scenes.join(found, ["session", "tool_id", "tool_name"], "left").select(*scenes.columns, "sub_agent")
+
+
 def turn_usage(events: DataFrame) -> DataFrame:
     """(session, turn, model, output, context, cache_share): each turn's first model, output tokens, largest context and share of cached input."""
     main = events.where("agent is null and role in ('user', 'assistant') and not is_meta")

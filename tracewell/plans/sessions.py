@@ -210,7 +210,7 @@ def scenes(events: DataFrame, home: str = "") -> DataFrame:
         diff(home).alias("diff"),
         F.when((F.col("b.name") == "Bash") & command.isNotNull(), F.struct(clean(command, home).alias("command"), cut(F.coalesce("result", blank), home, 3000).alias("stdout"))).alias("bash"),
         F.when(F.col("b.type") == "text", F.col("stop_reason").eqNullSafe("max_tokens")).alias("is_truncated"),
-        no_text.alias("injection"), F.array().cast("array<string>").alias("images"),
+        no_text.alias("injection"), F.array().cast("array<string>").alias("images"), F.when(F.col("b.type") == "tool_use", F.col("b.id")).alias("tool_id"),
     ).where("type is not null and (type = 'tool-call' or content rlike '\\\\S')")
     prompt = (F.col("kind") == "user-prompt") & ~F.col("content").rlike(r"\S")
     none = {"tool_name": no_text, "input": F.lit(None).cast("map<string,string>"), "result": no_text, "is_error": F.lit(None).cast("boolean"), "duration_ms": no_long}
@@ -221,7 +221,7 @@ def scenes(events: DataFrame, home: str = "") -> DataFrame:
         F.lit(None).cast("struct<file_path:string,old_content:string,new_content:string>").alias("diff"),
         F.lit(None).cast("struct<command:string,stdout:string>").alias("bash"),
         F.lit(None).cast("boolean").alias("is_truncated"),
-        F.when(F.col("kind") == "context-injection", text.classify_injection(F.col("content"))).alias("injection"), "images",
+        F.when(F.col("kind") == "context-injection", text.classify_injection(F.col("content"))).alias("injection"), "images", no_text.alias("tool_id"),
     )
     every = from_users.unionByName(from_blocks)
     order = W.partitionBy("session").orderBy(F.try_to_timestamp("ts").asc_nulls_first(), "side", "o")

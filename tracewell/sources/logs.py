@@ -123,6 +123,14 @@ def files(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame
     return found.select("path", "length", F.col("modificationTime").alias("modified"))
 
 
+def agent_kinds(spark: SparkSession, path: str) -> DataFrame:
+    """(session, agent, agent_type, description) from the .meta.json files beside the logs of sub-agents (S3)."""
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.meta.json").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", "agentType string, description string").alias("m"))
+    of = r"/([^/]+)/subagents/(?:agent-)?([^/]+)\.meta\.json$"
+    rows = whole.select(F.regexp_extract("path", of, 1).alias("session"), F.regexp_extract("path", of, 2).alias("agent"), F.coalesce(F.nullif("m.agentType", F.lit("")), F.lit("unknown")).alias("agent_type"), F.col("m.description").alias("description"))
+    return rows.where("agent <> ''")
+
+
 def memory_notes(spark: SparkSession, path: str, limit: int = 2000) -> DataFrame:
     """(path, name, description, kind, content) of Markdown notes with a header between --- lines."""
     text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")

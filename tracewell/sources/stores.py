@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tracewell.functions import composer as read
-from tracewell.functions import text
+from tracewell.functions import results, text
 from tracewell.operators import joins, windows
 from tracewell.sources import logs
 
@@ -137,7 +138,7 @@ def pull_requests(kv: DataFrame, composer: DataFrame) -> DataFrame:
 
 
 def bubbles(kv: DataFrame, composer: DataFrame) -> DataFrame:
-    """(composer, position, role, text, thinking, tool, input, result, created, model, tokens): messages in the order of the headers, by one equi-join.
+    """(composer, position, role, text, thinking, tool_id, tool, input, result, created, model, tokens): messages in the order of the headers, by one equi-join.
 
     ``tool`` is the canonical name. Headers without a message are left out, and plans from the assistant's texts and thoughts.
     """
@@ -148,11 +149,51 @@ def bubbles(kv: DataFrame, composer: DataFrame) -> DataFrame:
     said = F.when(F.col("b.type") == USER_TYPE, F.col("b.text")).otherwise(read.assistant_text(F.col("b.text"), F.col("b.toolFormerData").isNotNull()))
     return joined.select(
         "composer", "position", F.when(F.col("b.type") == USER_TYPE, "user").otherwise("assistant").alias("role"), said.alias("text"), F.when(F.col("b.thinking").isNotNull(), read.thinking(F.col("b.thinking"))).alias("thinking"),
-        tool_name(F.col("b.toolFormerData.name")).alias("tool"), F.col("b.toolFormerData.params").alias("input"), F.col("b.toolFormerData.result").alias("result"),
+        F.col("b.toolFormerData.toolCallId").alias("tool_id"), tool_name(F.col("b.toolFormerData.name")).alias("tool"), F.col("b.toolFormerData.params").alias("input"), F.col("b.toolFormerData.result").alias("result"),
         text.coerce_time(F.col("b.createdAt")).alias("created"), F.coalesce("b.modelInfo.modelName", "default_model").alias("model"), F.col("b.tokenCount").alias("tokens"),
     )
 
 
+def turns(bubbles: DataFrame) -> DataFrame:
+    """(session, position, role, ts, kind, text, tool_id, tool, args, result, is_error, took): messages in the shape of ``transcripts.turns``.
+
+    Of one message thoughts come first, then its text, then its call.
+    """
+    told = results.told(F.col("result"))
+    each = bubbles.withColumn("told", F.when(F.col("tool").isNotNull(), told))
+    thoughts = F.when(F.col("thinking").rlike(r"\S"), F.array(F.struct(F.lit("thinking").alias("kind"), F.col("thinking").alias("said"))))
+    said = F.when(F.col("text").rlike(r"\S"), F.array(F.struct(F.lit("text").alias("kind"), F.col("text").alias("said"))))
+    call = F.when(F.col("tool").isNotNull(), F.array(F.struct(F.lit("tool").alias("kind"), F.lit(None).cast("string").alias("said"))))
+    empty = F.array().cast("array<struct<kind:string,said:string>>")
+    parts = each.select("*", F.posexplode(F.concat(F.coalesce(thoughts, empty), F.coalesce(said, empty), F.coalesce(call, empty))).alias("at", "part"))
+    is_tool = F.col("part.kind") == "tool"
+    place = F.row_number().over(W.partitionBy("composer").orderBy("position", "at")) - 1
+    own = lambda c: F.when(is_tool, F.col(c))
+    return parts.select(
+        F.col("composer").alias("session"), place.alias("position"), "role", F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("ts"), F.col("part.kind").alias("kind"), F.col("part.said").alias("text"),
+        own("tool_id").alias("tool_id"), own("tool").alias("tool"), own("input").alias("args"), own("told.text").alias("result"), F.coalesce(own("told.failed"), F.lit(False)).alias("is_error"), own("told.ms").alias("took"),
+    )
+
+
+def usage(bubbles: DataFrame) -> DataFrame:
+    """(session, model, four sums) of the messages that have counts (A2)."""
+    count = {"input_tokens": "inputTokens", "output_tokens": "outputTokens", "cache_creation_input_tokens": "cacheCreationTokens", "cache_read_input_tokens": "cacheReadTokens"}
+    n = {k: F.coalesce(F.col(f"tokens.{v}"), F.lit(0)) for k, v in count.items()}
+    some = bubbles.where(sum(n.values(), F.lit(0)) > 0)
+    return some.groupBy(F.col("composer").alias("session"), "model").agg(*(F.sum(c).alias(k) for k, c in n.items()))
+
+
+def info(composer: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """What ``transcripts.session_rows`` takes from a store: (session, title, start_time, end_time, git_branch, git_branches, model, data_source, pr_links)."""
+    time = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    several = F.when(F.size("branches") > 1, F.col("branches"))
+    out = composer.select(F.col("composer").alias("session"), text.normal_title(F.col("name")).alias("title"), time("created").alias("start_time"), time("updated").alias("end_time"), F.col("branch").alias("git_branch"), several.alias("git_branches"), "model", F.lit("global-state").alias("data_source"))
+    if links is None:
+        return out
+    listed = F.array_sort(F.collect_list(F.struct(F.col("pr_number").cast("long").alias("pr_number"), "pr_url", "pr_repository")))
+    return out.join(links.groupBy("session").agg(listed.alias("pr_links")), "session", "left")
+
+
 #: Canonical names of the tools of the second provider, by its own.
 TOOL_NAMES = {
     "Shell": "Bash",

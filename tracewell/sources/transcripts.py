@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tracewell.functions import composer
+from tracewell.functions import composer, pricing, redact
+from tracewell.functions import results as results_
+from tracewell.functions import text as text_
 from tracewell.functions.text import strip
-from tracewell.operators import joins
+from tracewell.operators import joins, windows
+from tracewell.plans import sessions
 from tracewell.sources import logs, stores
 
 LINE = f"role string, timestamp string, message struct<content:array<{logs.BLOCK}>>"
@@ -65,27 +68,14 @@ def token_usage(counts: Column) -> Column:
     return F.when(some, F.struct(*(c.alias(n) for n, c in got.items())))
 
 
-def _truthy(value: Column) -> Column:
-    return value.isNotNull() & ~value.isin("", "false", "0", "null")
-
-
 def failed(result: Column) -> Column:
-    """Whether a tool's result, a JSON object or an array of some, tells of an error."""
-
-    def one(x: Column) -> Column:
-        get = lambda p: F.get_json_object(x, f"$.{p}")
-        error = get("error")
-        told = (error == "true") | (F.trim(error) != "") & ~error.startswith("{") & ~error.startswith("[") & ~error.isin("false", "null") & ~error.rlike(r"^-?[0-9.]+$")
-        return F.coalesce((get("isError") == "true") | _truthy(get("failure")) | _truthy(get("rejected")) | told | _truthy(get("output.failure")) | (get("output.success") == "false"), F.lit(False))
-
-    items = F.from_json(result, "array<string>")
-    return F.coalesce(F.when(F.ltrim(result).startswith("["), F.exists(items, one)).otherwise(one(result)), F.lit(False))
+    """Whether a tool's result, JSON of any depth, tells of an error."""
+    return results_.told(result)["failed"]
 
 
 def execution_ms(result: Column) -> Column:
     """How long a tool ran, as its result tells, directly or within its output."""
-    names = ("localExecutionTimeMs", "executionTimeMs", "executionTime")
-    return F.coalesce(*(positive_ms(F.get_json_object(result, f"$.{at}{n}")) for at in ("", "output.success.", "output.failure.") for n in names))
+    return results_.told(result)["ms"]
 
 
 def _first(args: Column, *names: str) -> Column:
@@ -201,6 +191,107 @@ def with_thinking(primary: DataFrame, transcript: DataFrame) -> DataFrame:
     return out.where(~F.col("added") | (F.size("thinking") > 0))
 
 
+def user_images(rows: DataFrame) -> DataFrame:
+    """(session, turn, images): the images of each user line of ``entries`` as data addresses, numbered from 0; lines without are empty."""
+    picture = lambda b: F.concat(F.lit("data:"), F.coalesce(b["source"]["media_type"], F.lit("image/png")), F.lit(";base64,"), b["source"]["data"])
+    users = rows.where("role = 'user'")
+    images = F.filter(F.transform(F.filter("blocks", lambda b: b["type"] == "image"), picture), lambda x: x.isNotNull())
+    place = F.row_number().over(W.partitionBy("session").orderBy("ord")) - 1
+    return users.select("session", place.alias("turn"), F.coalesce(images, F.array().cast("array<string>")).alias("images"))
+
+
+def with_images(turns: DataFrame, images: DataFrame) -> DataFrame:
+    """``turns`` (session, position, role, ...) of a store with ``images``: the k-th user turn gets those of the transcript's k-th user line."""
+    users = turns.where("role = 'user' and kind = 'text'").select("session", "position")
+    paired = joins.positional(users, images.select("session", F.col("turn").alias("t2"), "images"), ["session"], ["position"], ["t2"], "left").select("session", "position", "images")
+    return turns.join(paired, ["session", "position"], "left").withColumn("images", F.coalesce("images", F.array().cast("array<string>")))
+
+
+#: The second provider's names of kinds of agents.
+AGENT_TYPES = {"explore": "Explore", "plan": "Plan", "generalpurpose": "general-purpose", "shell": "Shell"}
+
+
+def minimal_agent(tool_id: Column, args: Column, home: str = "") -> Column:
+    """(agent_id, agent_type, description, prompt) of a call that starts an agent, as far as its arguments tell; null without a type."""
+    get = lambda k: F.nullif(F.trim(F.get_json_object(args, f"$.{k}")), F.lit(""))
+    raw = get("subagent_type")
+    kind = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in AGENT_TYPES.items() for x in kv)), F.lower(raw)), raw)
+    own = F.coalesce(F.nullif(F.trim(tool_id), F.lit("")), F.concat(F.lit("cursor-agent-"), kind))
+    return F.when(raw.isNotNull(), F.struct(own.alias("agent_id"), kind.alias("agent_type"), get("description").alias("description"), sessions.clean(F.coalesce(F.get_json_object(args, "$.prompt"), F.lit("")), home).alias("prompt")))
+
+
+def scenes(turns: DataFrame, home: str = "") -> DataFrame:
+    """Typed scenes of each session in the shape of ``sessions.scenes``, from the turns of transcripts or stores.
+
+    Tools have their canonical names and arguments, calls of agents what is known of the agent. ``images`` and ``took`` (ms) are read where
+    the turns have them. Turns without text are left out, but for prompts with images.
+    """
+    has = lambda c, kind: F.col(c) if c in turns.columns else F.lit(None).cast(kind)
+    some = F.coalesce(has("images", "array<string>"), F.array().cast("array<string>"))
+    name = stores.tool_name(F.col("tool"))
+    is_tool, is_user = F.col("kind").isin("tool", "marker"), F.col("role") == "user"
+    rows = turns.withColumn("images", some).withColumn("b", F.struct(name.alias("name"), F.to_json(tool_args(F.col("tool"), F.col("args"))).alias("input")))
+    said, blank = F.coalesce("text", F.lit("")), F.lit("")
+    command = F.get_json_object("b.input", "$.command")
+    kind = F.when(is_tool, "tool-call").when(is_user, "user-prompt").when(F.col("kind") == "thinking", "thinking").otherwise("text-response")
+    content = F.when(kind == "thinking", sessions.cut(said, home, 2000)).when(~is_tool, F.when(is_user & ~said.rlike(r"\S"), "(image)").otherwise(sessions.clean(said, home)))
+    order = W.partitionBy("session").orderBy("position")
+    took = has("took", "bigint")
+    return rows.where(is_tool | said.rlike(r"\S") | is_user & (F.size("images") > 0)).select(
+        "session", "ts", kind.alias("type"), content.alias("content"), F.when(is_tool, F.col("b.name")).alias("tool_name"),
+        F.when(is_tool, sessions.sanitized(F.col("b.input"), home)).alias("input"), F.when(is_tool, sessions.cut(F.coalesce("result", blank), home, 5000)).alias("result"),
+        F.when(is_tool, F.coalesce("is_error", F.lit(False))).alias("is_error"), F.when((took > 0) & (took < 3_600_000), took).alias("duration_ms"), F.when(is_tool, sessions.diff(home)).alias("diff"),
+        F.when(is_tool & (F.col("b.name") == "Bash") & command.isNotNull(), F.struct(sessions.clean(command, home).alias("command"), sessions.cut(F.coalesce("result", blank), home, 3000).alias("stdout"))).alias("bash"),
+        F.lit(None).cast("boolean").alias("is_truncated"), F.lit(None).cast("string").alias("injection"), "images", F.when(is_tool, F.col("tool_id")).alias("tool_id"),
+        F.when(is_tool & (F.col("b.name") == "Agent"), minimal_agent(F.col("tool_id"), F.col("args"), home)).alias("sub_agent"), (F.row_number().over(order) - 1).alias("scene_index"),
+    )
+
+
+def session_rows(turns: DataFrame, home: str = "", info: DataFrame | None = None, usage: DataFrame | None = None) -> DataFrame:
+    """One wide row per session in the shape of ``sessions.scan``, from its turns.
+
+    ``info`` (session, …) has what other sources know: any of title, first_prompt, start_time, end_time, duration_ms, git_branch,
+    git_branches, pr_links, model, api_error_count, compaction_count, sub_agent_count, turn_count, data_source and source_notes; what it has
+    counts first, and a title stands for the first prompt. ``usage`` has (session, model, counts). Without a duration the active time of the turns counts.
+    """
+    rows = turns
+    tool = F.col("kind") == "tool"
+    canonical = stores.tool_name(F.col("tool"))
+    path = F.when(tool & canonical.isin(*sessions.EDITING), F.nullif(tool_args(F.col("tool"), F.col("args"))["file_path"], F.lit("")))
+    short = redact.shorten_path(path, home) if home else path
+    prompt = (F.col("role") == "user") & F.col("text").rlike(r"\S")
+    if "images" in turns.columns:
+        prompt = prompt | (F.col("role") == "user") & (F.size("images") > 0)
+    prompt = F.coalesce(prompt, F.lit(False))
+    rows = rows.withColumn("file", short).withColumn("server", F.when(tool, text_.mcp_server(F.col("tool"))))
+    flat = rows.groupBy("session").agg(
+        F.min_by(F.substring("text", 1, 200), F.when(prompt, F.col("position"))).alias("first_prompt"), F.min("ts").alias("start_time"), F.max("ts").alias("end_time"), F.count_if(prompt).alias("prompt_count"), F.count_if(tool).alias("tool_call_count"), F.count("file").alias("edit_count"),
+        F.count_if(tool & (canonical == "Agent") & F.get_json_object("args", "$.subagent_type").isNotNull()).alias("sub_agent_count"), F.array_sort(F.collect_set("server")).alias("mcp_servers_used"),
+    )
+    per_file = rows.where("file is not null").groupBy("session", "file").agg(F.count("*").alias("edits"), F.min("position").alias("first"))
+    top = windows.top_k(per_file, ["session"], [F.desc("edits"), "first"], sessions.FILES_PER_SESSION)
+    listed = top.groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "file", "edits"))), lambda x: F.struct(x["file"].alias("file"), x["edits"].alias("count"))).alias("files_modified"))
+    active = windows.active_duration(rows.select("session", F.try_to_timestamp("ts").alias("t")), "session", "t").withColumnRenamed("active_ms", "duration_ms")
+    out = flat.join(listed, "session", "left").join(active, "session", "left")
+    none = lambda kind: F.lit(None).cast(kind)
+    kinds = {"title": "string", "git_branch": "string", "git_branches": "array<string>", "pr_links": "array<struct<pr_number:bigint,pr_url:string,pr_repository:string>>", "model": "string", "turn_count": "bigint", "data_source": "string", "source_notes": "array<string>"}
+    zeros = ("api_error_count", "compaction_count")
+    out = out.withColumns({c: none(k) for c, k in kinds.items()} | {c: F.lit(0).cast("long") for c in zeros} | {"entrypoint": none("string"), "permission_mode": none("string"), "skills_used": F.array().cast("array<string>")})
+    if info is not None:
+        more = info.select("session", *(F.col(c).alias(f"__{c}") for c in info.columns if c in out.columns and c != "session"))
+        out = out.join(more, "session", "left")
+        out = out.withColumns({c[2:]: F.coalesce(F.nullif(c, F.lit(0)) if c == "__sub_agent_count" else F.col(c), F.col(c[2:])) for c in more.columns if c != "session"}).drop(*(c for c in more.columns if c != "session"))
+        out = out.withColumn("first_prompt", F.coalesce("title", "first_prompt"))
+    if usage is not None:
+        price = pricing.cost(F.col("model"), *(F.col(c) for c in sessions.TOKENS))
+        sums = usage.groupBy("session").agg(*(F.sum(c).alias(c) for c in sessions.TOKENS), F.sum(F.when(F.col("model").isNotNull(), price)).alias("cost"))
+    else:
+        sums = out.select("session", *(none("long").alias(c) for c in sessions.TOKENS), none("double").alias("cost"))
+    out = out.join(sums, "session", "left")
+    simple = F.when(F.col("input_tokens").isNotNull() & F.col("model").isNotNull(), pricing.cost(F.col("model"), *(F.col(c) for c in sessions.TOKENS)))
+    return out.withColumn("cost", F.coalesce("cost", simple))
+
+
 def scan(rows: DataFrame) -> DataFrame:
     """(session, first_prompt, prompt_count, tool_call_count, edit_count, files): a row for each session from its turns."""
     tool = F.col("kind") == "tool"
