@@ -608,4 +608,4 @@ def run(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
     return QUERIES[name](spark, sf_dir)
 
 
-from tracewell.plans import session_queries  # noqa: E402, F401  registers its queries here
+from tracewell.plans import log_queries, session_queries  # noqa: E402, F401  register their queries here

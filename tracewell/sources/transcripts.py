@@ -107,11 +107,16 @@ def tool_args(tool: Column, args: Column) -> Column:
 
 
 def entries(spark: SparkSession, path: str) -> DataFrame:
-    """(session, ord, role, ts, blocks) of the .jsonl files below ``path``, named after their sessions; lines without blocks are left out.
+    """The entries of the .jsonl files below ``path``, see ``parsed``."""
+    return parsed(logs.raw_lines(spark, path))
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """(session, ord, role, ts, blocks) of lines (path, line, raw, modified) of files named after their sessions; lines without blocks are left out.
 
     ``ord`` sorts by the files' times, then by lines.
     """
-    each = logs.raw_lines(spark, path).where(F.try_parse_json("raw").isNotNull()).withColumn("e", F.from_json("raw", LINE)).where("e.message.content is not null")
+    each = lines.where(F.try_parse_json("raw").isNotNull()).withColumn("e", F.from_json("raw", LINE)).where("e.message.content is not null")
     return each.select(F.regexp_extract("path", _STEM, 1).alias("session"), F.struct("modified", "path", "line").alias("ord"), F.col("e.role").alias("role"), F.nullif(F.col("e.timestamp"), F.lit("")).alias("ts"), F.col("e.message.content").alias("blocks"))
 
 
