@@ -143,6 +143,37 @@ def test_solver_packs_every_piece(seed):
     assert sum(n for _, n in found) <= -(-int(sizes.sum()) // 1024) * 1.01 + 1
 
 
+@pytest.fixture(scope="module")
+def histogram(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    return {r["length"]: r["count"] for r in packing.pieces(docs).groupBy("length").count().collect()}
+
+
+def test_the_program_places_nearly_all_pieces(histogram):
+    count = {k: n for k, n in histogram.items() if k < packing.CAPACITY}
+    placed, left = packing.program(count)
+    got = collections.Counter(left)
+    for pattern, n in placed:
+        assert sum(pattern) == packing.CAPACITY and n >= 1
+        got.update({x: n * pattern.count(x) for x in set(pattern)})
+    assert got == count
+    assert sum(left.values()) <= 0.01 * sum(count.values())
+
+
+def test_the_weights_save_sequences(histogram):
+    sequences = lambda found: sum(n for _, n in found)
+    bound = packing.lower_bound(histogram)
+    found = sequences(packing.solve(histogram))
+    assert found - bound <= 1 and found <= 9_871
+    _, tolerance, discount = packing.SETTINGS[0]
+    assert sequences(packing.solve(histogram, settings=((0.0, tolerance, discount),))) > sequences(packing.solve(histogram, settings=packing.SETTINGS[:1])) == found
+
+
+@pytest.mark.parametrize("sf, most", [("sf0.001", 193), ("sf0.01", 962)])
+def test_small_tables_need_few_sequences(spark, sf, most):
+    assert packing.pack(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).agg({"sequence_id": "max"}).first()[0] + 1 <= most
+
+
 def test_toxicity_finds_words_and_forms(spark):
     rng = random.Random(1)
     words = [f"w{k}x" for k in range(300)]

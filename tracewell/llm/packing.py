@@ -1,8 +1,8 @@
 """Best-fit packing of token sequences: a configuration program over the length histogram.
 
-Multiplicative weights solve the fractional program, a knapsack over the current prices names the next patterns, and
-the amounts are rounded. What rounding leaves goes through knapsacks in whole amounts, and only what these can't place
-well through best fit on the histogram. Only the histogram, at
+Multiplicative weights solve the program, a knapsack over the weights names the next patterns, and their amounts are
+rounded down as they are added, so that the weights follow whole amounts. What full patterns don't cover goes through knapsacks in
+whole amounts, and the last few pieces through best fit. Only the histogram, at
 most one entry for each length up to the capacity, comes to the driver; documents find their places by their rank
 among the pieces of their length.
 """
@@ -138,26 +138,53 @@ def best_fit(count: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
 
 #: Pieces that are left to best fit, at most.
 FEW = 8
-#: How much more a piece as long as the capacity is worth than its length: short pieces are easier to place later.
+#: In the last knapsacks, how much more a piece as long as the capacity is worth than its length: short pieces are easier to place later.
 LONG_WORTH = 0.3
-#: How fast prices fall as pieces get covered, and how far below the best pattern of a round others may be worth.
-RATE, TOLERANCE = 0.002, 0.01
+#: The program's settings: how fast a length's weight grows with the share of its pieces placed, how far above the cheapest
+#: pattern of a round others may be, and how much cheaper than its length a piece as long as the capacity is at first.
+SETTINGS = ((0.2, 0.02, 0.3), (0.1, 0.01, 0.6))
+#: The share of what the pieces left allow that a round gives to a pattern.
+STEP = 0.5
 
+Patterns = list[tuple[tuple[int, ...], int]]
 
-def solve(count: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+
+def solve(count: dict[int, int], capacity: int = CAPACITY, settings: tuple[tuple[float, float, float], ...] = SETTINGS) -> Patterns:
     """(lengths in a sequence, number of such sequences) for a histogram of lengths.
 
-    The fractional program's amounts are rounded down. What is left goes through knapsacks in whole amounts, which
-    fill a sequence from the longest piece on, and the last FEW pieces through best fit.
+    The configuration program places what it can under each of the settings, knapsacks in whole amounts the rest, best fit the last
+    FEW pieces. The fewest sequences count; of equal ones those of which the program placed the most.
     """
-    by_program, rest = through_program(count, capacity)
-    return by_program + best_fit(rest, capacity)
+    whole = count.get(capacity, 0)
+    count = {k: n for k, n in count.items() if n and k < capacity}
+    out: Patterns = [((capacity,), whole)] if whole else []
+    if not count:
+        return out
+    found = []
+    for rate, tolerance, discount in settings:
+        placed, left = program(count, capacity, rate, tolerance, discount)
+        rest, few = by_knapsacks(left, capacity)
+        every = placed + rest + best_fit(few, capacity)
+        found.append((sum(n for _, n in every), -sum(len(p) * n for p, n in placed), every))
+    return out + min(found, key=lambda f: f[:2])[2]
+
+
+def through_program(count: dict[int, int], capacity: int = CAPACITY, setting: tuple[float, float, float] = SETTINGS[0]) -> tuple[Patterns, dict[int, int]]:
+    """(patterns of the program and of the knapsacks after it, the last FEW pieces)."""
+    placed, left = program(count, capacity, *setting)
+    rest, few = by_knapsacks(left, capacity)
+    return placed + rest, few
 
 
-def through_program(count: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
-    """(patterns that the program places, pieces left)."""
+def lower_bound(count: dict[int, int], capacity: int = CAPACITY) -> int:
+    """Sequences that any packing needs: the value of the program's dual at prices of length / capacity, which no pattern exceeds, rounded up."""
+    return -(-sum(k * n for k, n in count.items()) // capacity)
+
+
+def by_knapsacks(count: dict[int, int], capacity: int) -> tuple[Patterns, dict[int, int]]:
+    """(patterns, the last FEW pieces): sequences filled from the longest piece on, in whole amounts."""
     left = {k: n for k, n in count.items() if n}
-    out = [((capacity,), left.pop(capacity))] if capacity in left else []
+    out: Patterns = []
 
     def place(key: tuple[int, ...], most: int) -> int:
         times = {k: key.count(k) for k in set(key)}
@@ -168,9 +195,6 @@ def through_program(count: dict[int, int], capacity: int = CAPACITY) -> tuple[li
                 left[k] -= n * t
         return n
 
-    for key, x in sorted(program(left, capacity).items(), key=lambda a: (-a[1], a[0])):
-        place(key, int(x + 1e-9))
-    left = {k: n for k, n in left.items() if n}
     while sum(left.values()) > FEW:
         fill = knapsack(left | {max(left): left[max(left)] - 1}, capacity)  # so that the longest piece always finds its place
         for length in sorted(left, reverse=True):
@@ -210,62 +234,52 @@ def knapsack(count: dict[int, int], capacity: int):
     return fill
 
 
-def program(count: dict[int, int], capacity: int, rate: float = RATE, tolerance: float = TOLERANCE, step: float = 1.0, rounds: int = 1500) -> dict[tuple[int, ...], float]:
-    """Amounts of patterns in the fractional program, by multiplicative weights.
+def program(count: dict[int, int], capacity: int = CAPACITY, rate: float = SETTINGS[0][0], tolerance: float = SETTINGS[0][1], discount: float = SETTINGS[0][2]) -> tuple[Patterns, dict[int, int]]:
+    """(patterns with whole amounts, pieces left): the configuration program by multiplicative weights.
 
-    The price of a length starts at its share of the capacity and falls exponentially as its pieces get covered.
-    Each round a knapsack over the prices gives, for every length, the best pattern that has it; full ones within
-    ``tolerance`` of the best are used for a ``step`` of the pieces that they cover. Pieces that no full pattern covers stay uncovered.
+    As a packing program: as many sequences as possible of full patterns, whose lengths sum to the capacity, without more
+    pieces of a length than there are. These are the patterns that cost nothing at the dual prices of ``lower_bound``, so what it places
+    is never more than an optimum needs for the same pieces. Each length has a weight that grows exponentially with the share of its pieces
+    that are placed, from the length itself less the ``discount`` of long ones, which are harder to place later. A
+    knapsack over the weights names, for every length, the cheapest full pattern that has it. Those within ``tolerance`` of
+    the cheapest of all get STEP of what the pieces left allow, rounded down, but at least one sequence. It ends
+    when no such pattern fits the pieces left.
     """
     lengths = np.array(sorted(count), dtype=np.int64)
-    if not len(lengths):
-        return {}
-    need = np.array([count[k] for k in lengths.tolist()], dtype=float)
-    covered = np.zeros(len(lengths))
-    amount: dict[tuple[int, ...], float] = {}
+    need = np.array([count[k] for k in lengths.tolist()], dtype=np.int64)
+    left, start = need.copy(), lengths / capacity * (1 - discount * lengths / capacity)
     place = {k: i for i, k in enumerate(lengths.tolist())}
-    for _ in range(rounds):
-        open_ = covered < need * (1 - 1e-9)
-        if not open_.any():
-            break
-        share = covered / need
-        price = np.where(open_, lengths / capacity * (1 + LONG_WORTH * lengths / capacity) * np.exp(-rate * (share - share.min())), 0.0)
-        own, worth = lengths[open_], price[open_]
-        best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
-        for c in range(1, capacity + 1):
+    amount: dict[tuple[int, ...], int] = {}
+    while (left > 0).any():
+        open_ = left > 0
+        own, weight = lengths[open_], (start * np.exp(rate * (1 - left / need)))[open_]
+        cost, last = np.full(capacity + 1, np.inf), np.zeros(capacity + 1, dtype=np.int64)
+        cost[0] = 0.0
+        for c in range(int(own[0]), capacity + 1):
             n = np.searchsorted(own, c, side="right")
-            best[c] = best[c - 1]
-            if n:
-                value = worth[:n] + best[c - own[:n]]
-                k = int(value.argmax())
-                if value[k] > best[c]:
-                    best[c], last[c] = value[k], own[k]
-        total = worth + best[capacity - own]
-        used = 0
-        for k in np.argsort(-total, kind="stable"):
-            if total[k] < total.max() * (1 - tolerance):
+            value = weight[:n] + cost[c - own[:n]]
+            k = int(value.argmin())
+            cost[c], last[c] = value[k], own[k]
+        total = weight + cost[capacity - own]
+        used = False
+        for k in np.argsort(total, kind="stable"):
+            if not total[k] <= total.min() * (1 + tolerance) or total[k] == np.inf:
                 break
             pattern, c = [int(own[k])], int(capacity - own[k])
-            while c > 0:
-                if last[c]:
-                    pattern.append(int(last[c]))
-                    c -= int(last[c])
-                else:
-                    c -= 1
-            if sum(pattern) < capacity:
-                continue
+            while c:
+                pattern.append(int(last[c]))
+                c -= pattern[-1]
             key = tuple(sorted(pattern, reverse=True))
             index, times = np.unique([place[x] for x in key], return_counts=True)
-            room = ((need - covered)[index] / times).min()
-            more = min(room, max(step * (need[index] / times).min(), 1.0))
-            if more <= 0:
-                continue
-            amount[key] = amount.get(key, 0.0) + more
-            covered[index] += more * times
-            used += 1
+            room = int((left[index] // times).min())
+            if room:
+                more = max(1, int(STEP * room))
+                amount[key] = amount.get(key, 0) + more
+                left[index] -= more * times
+                used = True
         if not used:
             break
-    return amount
+    return list(amount.items()), {int(k): int(n) for k, n in zip(lengths, left, strict=True) if n}
 
 
 class Places:
