@@ -42,3 +42,12 @@ def labels(spark):
 @pytest.fixture
 def vectors(spark):
     return spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+
+
+@pytest.fixture(scope="session", autouse=True)
+def written_tables(spark):
+    """The tests' intermediate tables go when all are done."""
+    from tracewell.llm.store import delete_all_written
+
+    yield
+    delete_all_written(spark)

@@ -95,7 +95,7 @@ def test_repair_equals_the_plain_search(spark, monkeypatch, bits):
     rows = random_rows(bits, [*range(120), None], 9) + random_rows(7, [500], 60)
     got = repaired(frame(spark, rows))
     assert got == plain(rows)
-    assert all(any(edit in r[6] for r in got.values()) for edit in "DKR")  # two deletions are cheaper than an insertion
+    assert all(any(edit in r[6] for r in got.values()) for edit in "DKR")  # a deletion is cheaper than an insertion
 
 
 def test_damage_and_conversations_without_rows(spark):

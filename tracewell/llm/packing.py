@@ -26,8 +26,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Rows that one task ranks at a time, about.
 ROWS_PER_BUCKET = 20_000
-#: Sequences' worth of tokens in each range of an order that has to be kept.
-RANGE = 256
+#: Sequences' worth of tokens in each range of an order that has to be kept, and ranges whose sizes are summed together.
+RANGE, RANGES_PER_GROUP = 256, 4096
 #: How the public byte-level vocabulary splits a text into words before merging (a fixed value of its format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
@@ -336,6 +336,17 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     return ranked.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
 
 
+def running(sizes: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
+    """(groups, order, first) of (groups, order, n): the sum of ``n`` before each row in the order of groups and rows.
+
+    One task sums up the groups, of which there are far fewer than rows; within a group its own rows are added.
+    """
+    own = F.coalesce(F.sum("n").over(W.partitionBy(*groups).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    totals = sizes.groupBy(*groups).agg(F.sum("n").alias("total"))
+    before = F.coalesce(F.sum("total").over(W.partitionBy(F.lit(1)).orderBy(*groups).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return sizes.withColumn("own", own).join(totals.select(*groups, before.alias("before")), groups).select(*groups, *order, (F.col("before") + F.col("own")).alias("first"))
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """(doc_id, text, file, row): the documents with their place, by file and row where they come from files, else by row of the frame."""
     try:
@@ -353,12 +364,9 @@ def pack_in_order(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     """
     cut = written(pieces(in_order(docs), tokenizer, capacity, end_id, keep=("file", "row")), "packing-pieces")
     keyed = cut.withColumn("chunk", F.floor(F.col("row") / ROWS_PER_BUCKET))
-    chunks = keyed.groupBy("file", "chunk").agg(F.sum("length").alias("n")).orderBy("file", "chunk").collect()
-    ends = np.cumsum([r["n"] for r in chunks]).tolist()
-    table = [(r["file"], r["chunk"], end - r["n"]) for r, end in zip(chunks, ends, strict=True)]
-    starts = docs.sparkSession.createDataFrame(table, "file string, chunk bigint, first bigint")  # a row for each file and 20,000 rows of it
+    starts = running(keyed.groupBy("file", "chunk").agg(F.sum("length").alias("n")), ["file"], ["chunk"])
     before = F.sum("length").over(W.partitionBy("file", "chunk").orderBy("row", "piece").rowsBetween(W.unboundedPreceding, -1))
-    place = keyed.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(starts), ["file", "chunk"])
+    place = keyed.withColumn("before", F.coalesce(before, F.lit(0))).join(starts, ["file", "chunk"])
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     ranged = place.select(*names, (F.col("first") + F.col("before")).alias("place")).withColumn("range", F.floor(F.col("place") / (sequences * capacity)))
 
@@ -372,7 +380,6 @@ def pack_in_order(docs: DataFrame, tokenizer: str | None = None, capacity: int =
         return part.drop(columns="place").assign(local=number[sequence], offset=offset)
 
     packed = written(ranged.groupBy("range").applyInPandas(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, range bigint, local bigint, offset bigint"), "packing-ranges")
-    sizes = packed.groupBy("range").agg((F.max("local") + 1).alias("n")).orderBy("range").collect()
-    ends = np.cumsum([r["n"] for r in sizes]).tolist()
-    first = docs.sparkSession.createDataFrame([(r["range"], end - r["n"]) for r, end in zip(sizes, ends, strict=True)], "range bigint, first bigint")
-    return packed.join(F.broadcast(first), "range").select(*names, (F.col("first") + F.col("local")).alias("sequence_id"), "offset")
+    sizes = packed.groupBy("range").agg((F.max("local") + 1).alias("n")).withColumn("group", F.floor(F.col("range") / RANGES_PER_GROUP))
+    first = running(sizes, ["group"], ["range"]).select("range", "first")
+    return packed.join(first, "range").select(*names, (F.col("first") + F.col("local")).alias("sequence_id"), "offset")
