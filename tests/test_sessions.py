@@ -28,7 +28,7 @@ def assistant(second, id, content, output=10, model="x-sonnet-4", **more):
 
 
 LOG = [
-    {"type": "file-history-snapshot", "snapshot": {"timestamp": "2025-05-02T07:59:00Z"}, "gitBranch": "main", "entrypoint": "cli", "permissionMode": "plan"},
+    {"type": "file-history-snapshot", "snapshot": {"timestamp": "2025-05-02T07:59:00Z", "trackedFileBackups": {"/home/me/p/z.py": {"v": 1}, "/home/me/p/a.py": {}}}, "slug": "", "cwd": "/home/me/p", "gitBranch": "main", "entrypoint": "cli", "permissionMode": "plan"},
     user(1, "Please repair the parser in lib.py", gitBranch="main"),
     assistant(5, "m1", [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "On it."}]),
     assistant(6, "m1", [tool("t1", "Edit", file_path="/home/me/p/lib.py", old_string="password=hunter2hunter2", new_string="b"), tool("t2", "Read", file_path="/home/me/p/a.py")], output=30) | {"gitBranch": "fix"},
@@ -83,6 +83,7 @@ def test_one_row_a_session(events):
     assert r["cost"] == pytest.approx((200 * 3 + 40 * 15 + 14 * 0.3) / 1e6)
     assert r["skills_used"] == ["tidy"] and r["mcp_servers_used"] == ["git"]
     assert [tuple(x) for x in r["pr_links"]] == [(4, "https://e.org/p/4", "e/p")]
+    assert (r["slug"], r["cwd"], r["tracked_files"]) == (None, "/home/me/p", ["~/p/a.py", "~/p/z.py"])
     r = rows["two"]
     assert (r["prompt_count"], r["duration_ms"], r["cost"], r["git_branch"], r["edit_count"]) == (3, 11000, None, None, 0)
 

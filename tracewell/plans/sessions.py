@@ -14,6 +14,7 @@ EDITING = ("Edit", "Write", "NotebookEdit", "Delete")
 OTHER_TYPES = ("file-history-snapshot", "progress", "custom-title", "pr-link", "system")
 TOKENS = ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")
 FILES_PER_SESSION = 100
+TRACKED_FILES = 200
 
 
 def messages(events: DataFrame) -> DataFrame:
@@ -59,6 +60,14 @@ def pull_requests(events: DataFrame) -> DataFrame:
     return joins.first_per_key(rows.select("session", "pr_url", "pr_number", "pr_repository", "ord"), ["session", "pr_url"], ["ord"]).drop("ord")
 
 
+def tracked_files(events: DataFrame, home: str = "", limit: int = TRACKED_FILES) -> DataFrame:
+    """(session, tracked_files): the files that snapshots name, each once, the first ``limit`` in order."""
+    file = F.col("file") if not home else redact.shorten_path(F.col("file"), home)
+    each = events.where("agent is null and type = 'file-history-snapshot'").select("session", F.explode("tracked").alias("file")).select("session", file.alias("file")).distinct()
+    first = windows.top_k(each, ["session"], ["file"], limit)
+    return first.groupBy("session").agg(F.array_sort(F.collect_list("file")).alias("tracked_files"))
+
+
 def skill() -> Column:
     """Name of the skill or command that an injected message is about."""
     said = F.coalesce(F.col("text"), F.array_join(F.transform(F.filter("blocks", lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit(""))), "\n"))
@@ -98,6 +107,8 @@ def scan(events: DataFrame, home: str = "") -> DataFrame:
         F.min(F.when(snap, F.struct("ord", "snapshot_ts"))).alias("snap"),
         F.max_by("title", F.when((F.col("type") == "custom-title") & F.col("title").isNotNull(), F.col("ord"))).alias("title"),
         F.min_by(F.substring("text", 1, 200), F.when(plain, F.col("ord"))).alias("first_prompt"),
+        first("slug", nonempty("slug")).alias("slug"),
+        first("cwd", nonempty("cwd")).alias("cwd"),
         first("entrypoint", nonempty("entrypoint")).alias("entrypoint"),
         first("permissionMode", nonempty("permissionMode")).alias("permission_mode"),
         first("model", known).alias("model"),
@@ -121,20 +132,20 @@ def scan(events: DataFrame, home: str = "") -> DataFrame:
     tokens = by_model.groupBy("session").agg(*(F.sum(c).alias(c) for c in TOKENS), F.sum(F.when(F.col("model").isNotNull(), price)).alias("model_cost"))
     links = pull_requests(events).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("pr_number", "pr_url", "pr_repository"))).alias("pr_links"))
     out = flat
-    for part in (active, changed, listed, agents, tokens, branches(events), links):
+    for part in (active, changed, listed, agents, tokens, branches(events), links, tracked_files(events, home)):
         out = out.join(part, "session", "left")
     zero = F.lit(0).cast("long")
     before = F.col("snap").isNotNull() & (F.col("ts_ord").isNull() | (F.col("snap.ord") < F.col("ts_ord")))
     simple = F.when(F.col("input_tokens").isNotNull() & F.col("model").isNotNull(), pricing.cost(F.col("model"), *(F.col(c) for c in TOKENS)))
     return out.select(
-        "session", "title", "first_prompt",
+        "session", "slug", "cwd", "title", "first_prompt",
         F.when(before, F.least("snap.snapshot_ts", "first_ts")).otherwise(F.col("first_ts")).alias("start_time"),
         "end_time",
         F.coalesce(F.nullif("turn_ms", zero), "active_ms").alias("duration_ms"),
         "git_branch", "git_branches", "pr_links", "model", "prompt_count", "tool_call_count",
         F.coalesce("edit_count", zero).alias("edit_count"), "files_modified", *TOKENS,
         F.coalesce("model_cost", simple).alias("cost"),
-        F.coalesce("sub_agent_count", zero).alias("sub_agent_count"), "api_error_count", "compaction_count", "entrypoint", "permission_mode", "skills_used", "mcp_servers_used",
+        F.coalesce("sub_agent_count", zero).alias("sub_agent_count"), "api_error_count", "compaction_count", "entrypoint", "permission_mode", "skills_used", "mcp_servers_used", "tracked_files",
     )
 
 

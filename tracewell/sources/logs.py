@@ -14,7 +14,7 @@ USAGE = "struct<input_tokens:bigint,output_tokens:bigint,cache_creation_input_to
 LINE = (
     "struct<type:string,subtype:string,sessionId:string,slug:string,cwd:string,version:string,timestamp:string,gitBranch:string,entrypoint:string,"
     "permissionMode:string,isMeta:boolean,isCompactSummary:boolean,sourceToolAssistantUUID:string,durationMs:double,customTitle:string,title:string,"
-    "prNumber:bigint,prUrl:string,prRepository:string,parentToolUseID:string,retryAttempt:bigint,error:struct<status:bigint,error:struct<type:string,error:struct<type:string,message:string>>>,snapshot:struct<timestamp:string>,"
+    "prNumber:bigint,prUrl:string,prRepository:string,parentToolUseID:string,retryAttempt:bigint,error:struct<status:bigint,error:struct<type:string,error:struct<type:string,message:string>>>,snapshot:struct<timestamp:string,trackedFileBackups:map<string,string>>,"
     "data:struct<type:string,agentId:string,prNumber:bigint,prUrl:string,prRepository:string>,"
     f"message:struct<role:string,id:string,model:string,stop_reason:string,content:variant,usage:{USAGE}>>"
 )
@@ -100,6 +100,7 @@ def parsed(lines: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
         *(F.col(f"e.{c}").alias(c) for c in ("type", "subtype", "sessionId", "slug", "cwd", "gitBranch", "entrypoint", "permissionMode", "sourceToolAssistantUUID", "durationMs", "parentToolUseID", "retryAttempt", "error", "data")),
         F.nullif(F.col("e.timestamp"), F.lit("")).alias("ts"),
         F.nullif(F.col("e.snapshot.timestamp"), F.lit("")).alias("snapshot_ts"),
+        F.map_keys("e.snapshot.trackedFileBackups").alias("tracked"),
         F.coalesce("e.isMeta", F.lit(False)).alias("is_meta"),
         F.coalesce("e.isCompactSummary", F.lit(False)).alias("is_compact"),
         F.coalesce(F.nullif("e.customTitle", F.lit("")), F.nullif("e.title", F.lit(""))).alias("title"),

@@ -134,6 +134,32 @@ def tool_files(spark: SparkSession, path: str) -> DataFrame:
     return out.where("result <> ''").withColumn("tool", output_tool(F.col("result"))).select("id", "modified", "tool", "result")
 
 
+#: Folders of a project's transcripts and of its tools' outputs.
+_TRANSCRIPT = r"^(.*)/agent-transcripts/([^/]+)(?:/([^/]+))?\.jsonl$"
+_OUTPUT = r"^(.*)/agent-tools/([^/]+)\.txt$"
+
+
+def listed_outputs(spark: SparkSession, path: str) -> DataFrame:
+    """(project, session, id, path, modified): each output of a tool below ``path`` with the transcript of its project that it belongs to, from listings alone.
+
+    That is the first one written at its time or later; outputs after all transcripts belong to none. A transcript is a file of its
+    folder, or one named like the folder within that which holds it.
+    """
+    part = lambda pattern, n: F.regexp_extract("path", pattern, n)
+    found = logs.files(spark, path).where(F.col("path").rlike(_TRANSCRIPT)).where((part(_TRANSCRIPT, 3) == "") | (part(_TRANSCRIPT, 2) == part(_TRANSCRIPT, 3)))
+    transcripts = found.select(part(_TRANSCRIPT, 1).alias("project"), part(_TRANSCRIPT, 2).alias("session"), "modified")
+    outputs = logs.files(spark, path, "*.txt").where(F.col("path").rlike(_OUTPUT)).select(part(_OUTPUT, 1).alias("project"), part(_OUTPUT, 2).alias("id"), "path", "modified")
+    both = joins.asof_forward(outputs, transcripts, ["project"], "modified", "session")
+    return both.where("next_session is not null").select("project", F.col("next_session").alias("session"), "id", "path", "modified")
+
+
+def outputs(spark: SparkSession, path: str) -> DataFrame:
+    """(session, id, modified, tool, result) of the outputs of ``listed_outputs``, for ``with_outputs``."""
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), strip(F.col("value")).alias("result"))
+    rows = listed_outputs(spark, path).join(texts, "path").where("result <> ''")
+    return rows.select("session", "id", "modified", output_tool(F.col("result")).alias("tool"), "result")
+
+
 def results(rows: DataFrame) -> DataFrame:
     """(session, tool_id, result, is_error): the last result of each tool call."""
     each = rows.select("session", "ord", F.posexplode("blocks").alias("at", "b")).where("b.type = 'tool_result' and b.tool_use_id is not null and b.tool_use_id <> ''")
