@@ -105,6 +105,16 @@ ranked as (
 select * from ranked where rank <= 10
 """
 
+EMBEDDING_DEDUP_SQL = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+  where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.93),
+reached as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reached r join links l on l.a = r.b),
+counts as (select a, count(*) as n from links group by a), least as (select a, min(b) as c from reached group by a)
+select vec_id, coalesce(n, 0) as n_links, c as component_id, vec_id = c as kept from embeddings left join counts on counts.a = vec_id join least on least.a = vec_id
+"""
+
 
 def _repair_sql() -> str:
     """The edits' dynamic program from the last row of each conversation to its first; costs, audits and lines by state."""
@@ -146,9 +156,11 @@ damaged as (
   from kinds where kind <> 0),
 placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(txt), copy) as i from damaged),
 judged as (
-  select *, case when not regexp_matches(txt, '[^ 	-]') then 1
+  select *, case when not regexp_matches(txt, '[^ 	-
+]') then 1
       when row_number() over (partition by conv_id, role, txt order by i) > 1 then 2
-      when not regexp_matches(txt, '[.!?][ 	-]*\z') then 3 else 0 end as fault,
+      when not regexp_matches(txt, '[.!?][ 	-
+]*\z') then 3 else 0 end as fault,
     lag(left(role, 1)) over (partition by conv_id order by i) || left(role, 1) as pair
   from placed),
 sized as (select *, case when fault = 3 then 5 else 0 end as more from judged),
@@ -170,4 +182,4 @@ left join states as s on s.conv_id is not distinct from o.conv_id and s.i = 0
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op11_repair": _repair_sql(), "op12_hard_negatives": HARD_NEGATIVES_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_embedding_dedup": EMBEDDING_DEDUP_SQL, "op11_repair": _repair_sql(), "op12_hard_negatives": HARD_NEGATIVES_SQL}
