@@ -118,7 +118,7 @@ def test_outputs_belong_to_the_next_transcript(spark, tmp_path):
     files = {"p/agent-transcripts/a.jsonl": 100, "p/agent-transcripts/b/b.jsonl": 200, "p/agent-transcripts/b/other.jsonl": 120, "p/agent-tools/1.txt": 90, "p/agent-tools/2.txt": 100, "p/agent-tools/3.txt": 101, "p/agent-tools/4.txt": 201, "q/agent-transcripts/c.jsonl": 1000, "q/agent-tools/5.txt": 1, "r/agent-tools/6.txt": 1}
     for name, at in files.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / name).write_text("{}" if name.endswith("jsonl") else f" result of {name} " * (name[-5] != "2"))
+        (tmp_path / name).write_text("{}" if name.endswith("jsonl") else " \n" if name.endswith("2.txt") else f" result of {name} ")
         os.utime(tmp_path / name, (1_700_000_000 + at,) * 2)
     got = transcripts.listed_outputs(spark, str(tmp_path))
     assert sorted((r["project"][-1], r["session"], r["id"]) for r in got.collect()) == [("p", "a", "1"), ("p", "a", "2"), ("p", "b", "3"), ("q", "c", "5")]
