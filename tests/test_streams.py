@@ -85,6 +85,10 @@ def test_a_batch_writes_the_buckets_of_its_keys(spark, tmp_path):
         put(frame([(one, 2), (9999, 3)]), 2)
         assert rows_of(tables.current(spark, path)) == want | {one: 2, 9999: 3}
     put(frame([]), 3)
+    other = tables.merged_into(str(tmp_path / "null"), ["k"], buckets=4)
+    other(frame([(None, 1), (1, 1)]), 0)
+    other(frame([(None, 2)]), 1)
+    assert sorted(map(str, tables.current(spark, str(tmp_path / "null")).collect())) == ["Row(k=1, n=1)", "Row(k=None, n=2)"]
     assert rows_of(tables.current(spark, path)) == want | {one: 2, 9999: 3}
     assert rows_of(tables.current(spark, path, version=1)) == want
     assert tables.vacuum(spark, path, keep=1) > 0 and tables.versions(spark, path) == [3]

@@ -20,8 +20,10 @@ def changed(now: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old rows without a new one of their key, and all new rows."""
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+    """Old rows without a new one of their key, and all new rows; a null key is a key like others."""
+    named = new.select(*(F.col(k).alias(f"__new_{k}") for k in keys))
+    same = [F.col(k).eqNullSafe(F.col(f"__new_{k}")) for k in keys]
+    return old.join(named, same, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def counters(totals: DataFrame, views: DataFrame, key: str) -> DataFrame:
