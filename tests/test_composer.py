@@ -86,3 +86,16 @@ def test_small_helpers(spark):
     assert row["added"] == ["a", "a", "b"] and row["same"] == ["a"] and row["many"] == row["two"] and len(row["two"]) == 16
     usage = "struct<input_tokens:bigint,output_tokens:bigint,cache_creation_input_tokens:bigint,cache_read_input_tokens:bigint>"
     assert tuple(spark.createDataFrame([((1, 2, 3, None), None)], f"a {usage}, b {usage}").select(c.tokens_added(F.col("a"), F.col("b"))).first()[0]) == (1, 2, 3, 0)
+
+
+def json_readings(df, capsys):
+    df.explain()
+    plan = capsys.readouterr().out
+    return plan.count("get_json_object(") + plan.count("from_json(")
+
+
+def test_branches_read_each_json_once(spark, capsys):
+    composers = spark.createDataFrame([('{"createdOnBranch": "a", "branches": ["b"], "activeBranch": {"name": {"ref": "c"}}}',)], "v string")
+    df = composers.select(c.branches(F.col("v")).alias("b"))
+    assert df.first()[0].asDict() == {"branch": "c", "chain": ["a", "b", "c"]}
+    assert json_readings(df, capsys) < 40

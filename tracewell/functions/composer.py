@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import model_label, strip
+from tracewell.functions.text import model_label, once, strip
 from tracewell.operators import windows
 
 #: Headings of a model's notes to itself, alone or with more words behind them.
@@ -138,28 +138,52 @@ def known_dirs(rows: DataFrame, known: DataFrame, home: str) -> DataFrame:
     return rows.join(codes, "name", "left").withColumn("project", F.coalesce("project", decoded_dir(F.col("name"))))
 
 
+def fields(json: Column, *names: str) -> Column:
+    """An object's values as texts, all from one reading; nulls where the text is no object."""
+    whole = F.when(json.rlike(r"^\s*\{"), json)
+    return F.from_json(whole, ", ".join(f"{n} string" for n in names), {"allowUnquotedControlChars": "true"})
+
+
+def listed(json: Column) -> Column:
+    """The elements of a list as texts; none where the text is no list."""
+    return F.coalesce(F.when(F.ltrim(json).startswith("["), F.from_json(json, "array<string>")), F.array().cast("array<string>"))
+
+
 # --- branches and links --------------------------------------------------------------------------------------------
 
 
+def _named_branch(value: Column, depth: int) -> Column:
+    plain = F.when(value.rlike(r"\S"), strip(value))
+    is_object = F.ltrim(value).startswith("{")
+    if depth == 0:
+        return F.when(~is_object, plain)
+    inner = once(fields(value, *_BRANCH), lambda p: F.coalesce(*(_named_branch(p[k], depth - 1) for k in _BRANCH)))
+    return F.when(is_object, inner).otherwise(plain)
+
+
+_BRANCH = ("branchName", "name", "branch", "ref")
+
+
 def branch_name(value: Column, depth: int = 2) -> Column:
     """The branch that a text, or an object up to ``depth`` levels deep, names; null if none (P25)."""
-    plain = F.nullif(strip(value), F.lit(""))
-    if depth == 0:
-        return F.when(~F.ltrim(value).startswith("{"), plain)
-    inner = F.coalesce(*(branch_name(F.get_json_object(value, f"$.{k}"), depth - 1) for k in ("branchName", "name", "branch", "ref")))
-    return F.when(F.ltrim(value).startswith("{"), inner).otherwise(plain)
+    return once(value, lambda v: _named_branch(v, depth))
 
 
 def branches(composer: Column) -> Column:
     """(branch, chain) of a conversation's JSON: where it ended, and all its branches in order where there are two or more (P25)."""
-    get = lambda k: F.get_json_object(composer, f"$.{k}")
-    listed = F.coalesce(F.when(F.ltrim(get("branches")).startswith("["), F.from_json(get("branches"), "array<string>")), F.array().cast("array<string>"))
-    timed = F.transform(listed, lambda x, i: F.struct(F.get_json_object(x, "$.lastInteractionAt").try_cast("double").alias("t"), i.alias("i"), x.alias("x")))
-    known = F.when(F.forall(timed, lambda s: s["t"].isNotNull()), F.array_sort(timed)).otherwise(timed)
-    names = F.concat(F.array(branch_name(get("createdOnBranch"))), F.transform(known, lambda s: branch_name(s["x"])), F.array(*(branch_name(get(k)) for k in ("committedToBranch", "prBranchName", "activeBranch"))))
-    chain = F.array_distinct(F.array_compact(names))
-    last = F.coalesce(branch_name(get("activeBranch")), branch_name(get("committedToBranch")), F.try_element_at(chain, F.lit(-1)))
-    return F.struct(last.alias("branch"), F.when(F.size(chain) > 1, chain).alias("chain"))
+    ends = ("committedToBranch", "prBranchName", "activeBranch")
+
+    def in_order(timed: Column) -> Column:
+        return F.transform(F.when(F.forall(timed, lambda s: s["t"].isNotNull()), F.sort_array(timed)).otherwise(timed), lambda s: s["name"])
+
+    def of(c: Column) -> Column:
+        timed = F.transform(listed(c["branches"]), lambda x, i: F.struct(F.get_json_object(x, "$.lastInteractionAt").try_cast("double").alias("t"), i.alias("i"), _named_branch(x, 2).alias("name")))
+        first, last = _named_branch(c["createdOnBranch"], 2), F.struct(*(_named_branch(c[k], 2).alias(k) for k in ends))
+        return once(last, lambda e: once(F.array_distinct(F.array_compact(F.concat(F.array(first), once(timed, in_order), F.array(*(e[k] for k in ends))))), lambda chain: F.struct(
+            F.coalesce(e["activeBranch"], e["committedToBranch"], F.try_element_at(chain, F.lit(-1))).alias("branch"), F.when(F.size(chain) > 1, chain).alias("chain"),
+        )))
+
+    return once(fields(composer, "createdOnBranch", "branches", *ends), of)
 
 
 def branch_chain(branch: Column, chain: Column) -> Column:
@@ -185,47 +209,54 @@ def pull_requests(bubbles: DataFrame) -> DataFrame:
 # --- context files -------------------------------------------------------------------------------------------------
 
 
-def context_file(value: Column) -> Column:
-    """A path as it is written, or that of a file URI; null for empty texts, several lines and broken URIs."""
-    v = F.nullif(strip(value), F.lit(""))
-    uri = F.try_url_decode(F.replace(F.regexp_replace(v, r"^(?i)file://(?:localhost)?", ""), F.lit("+"), F.lit("%2B")))
-    plain = F.when(v.rlike(r"^(?i)file://"), F.regexp_replace(uri, r"^/(?i)([a-z]:/)", "$1")).otherwise(v)
-    return F.when(~v.contains("\n"), plain)
+def _path(value: Column) -> Column:
+    def of(v: Column) -> Column:
+        uri = F.try_url_decode(F.replace(F.regexp_replace(v, r"^(?i)file://(?:localhost)?", ""), F.lit("+"), F.lit("%2B")))
+        return F.when((v != "") & ~v.contains("\n"), F.when(v.rlike(r"^(?i)file://"), F.regexp_replace(uri, r"^/(?i)([a-z]:/)", "$1")).otherwise(v))
 
+    return once(strip(value), of)
 
-def _named(item: Column, *keys: str) -> Column:
-    def one(k: str) -> Column:
-        got = F.get_json_object(item, f"$.{k}")
-        return F.when(~got.startswith("{") & ~got.startswith("["), context_file(got))
 
-    return F.coalesce(*(one(k) for k in keys))
+def context_file(value: Column) -> Column:
+    """A path as it is written, or that of a file URI; null for empty texts, several lines and broken URIs."""
+    return _path(value)
 
 
 _PATHS = ("filePath", "path", "fsPath", "uri", "relativeWorkspacePath", "relativePath")
 
 
+def _named(item: Column, *keys: str) -> Column:
+    """The first of the keys' values that is a file, of an object of ``fields``."""
+    return F.coalesce(*(F.when(~item[k].startswith("{") & ~item[k].startswith("["), _path(item[k])) for k in keys))
+
+
 def _is_object(item: Column) -> Column:
     return F.ltrim(item).startswith("{") & F.try_parse_json(item).isNotNull()
 
 
 def _of_item(item: Column) -> Column:
     """The file of a list's element, a text or an object."""
-    name = _named(item, "name")
-    likely = F.when(name.contains("/") | name.contains(".") | name.startswith("~"), name)
-    return F.when(_is_object(item), F.coalesce(_named(item, *_PATHS), likely)).otherwise(context_file(item))
+    likely = lambda name: F.when(name.contains("/") | name.contains(".") | name.startswith("~"), name)
+    named = once(fields(item, *_PATHS, "name"), lambda p: F.coalesce(_named(p, *_PATHS), once(_named(p, "name"), likely)))
+    return F.when(_is_object(item), named).otherwise(_path(item))
 
 
 def _of_folder(folder: Column) -> Column:
     """The files of a folder's listing, below the folder where it is named."""
-    at = F.regexp_replace(F.regexp_replace(_named(folder, "directoryRelativeWorkspacePath", "directoryPath"), "/+$", ""), r"^(?:\./)+", "")
-    files = F.from_json(F.get_json_object(folder, "$.files"), "array<string>")
 
-    def one(f: Column) -> Column:
-        name = F.when(_is_object(f), _named(f, "name")).otherwise(context_file(f))
-        joined = F.when(at == ".", name).otherwise(F.concat_ws("/", at, name))
-        return F.when(at.isNotNull() & name.isNotNull(), joined).otherwise(F.coalesce(F.when(_is_object(f), _named(f, *_PATHS)), name))
+    def below(at: Column, f: Column) -> Column:
+        def of(p: Column) -> Column:
+            name = F.when(p.isNotNull(), _named(p, "name")).otherwise(_path(f))
+            named = lambda n: F.when(at.isNotNull() & n.isNotNull(), F.when(at == ".", n).otherwise(F.concat_ws("/", at, n))).otherwise(F.coalesce(_named(p, *_PATHS), n))
+            return once(name, named)
+
+        return once(F.when(_is_object(f), fields(f, *_PATHS, "name")), of)
+
+    def of(p: Column) -> Column:
+        at = F.regexp_replace(F.regexp_replace(_named(p, "directoryRelativeWorkspacePath", "directoryPath"), "/+$", ""), r"^(?:\./)+", "")
+        return once(at, lambda at: F.transform(F.from_json(p["files"], "array<string>"), lambda f: below(at, f)))
 
-    return F.transform(files, one)
+    return once(fields(folder, "directoryRelativeWorkspacePath", "directoryPath", "files"), of)
 
 
 def context(bubbles: DataFrame, requests: DataFrame, limit: int = CONTEXT_FILES) -> DataFrame:
@@ -235,17 +266,16 @@ def context(bubbles: DataFrame, requests: DataFrame, limit: int = CONTEXT_FILES)
     without a list that holds something don't count. The first ``limit`` files of a session are kept; parts "." and ".."
     within a folder's files stay as they are.
     """
-    array = lambda c, k: F.coalesce(F.when(F.ltrim(F.get_json_object(c, f"$.{k}")).startswith("["), F.from_json(F.get_json_object(c, f"$.{k}"), "array<string>")), F.array().cast("array<string>"))
-    seen = F.concat(array("bubble", "relevantFiles"), array("bubble", "recentlyViewedFiles"))
+    seen = once(fields(F.col("bubble"), "relevantFiles", "recentlyViewedFiles"), lambda b: F.concat(listed(b["relevantFiles"]), listed(b["recentlyViewedFiles"])))
     of_bubbles = bubbles.select("session", F.lit(0).alias("side"), "position", F.transform(seen, _of_item).alias("files"))
     lists = ("terminalFiles", "cursorRules", "attachedFoldersListDirResults", "summarizedComposers")
-    full = requests.where(sum((F.size(array("request", k)) for k in lists), F.lit(0)) > 0)
-    folders = F.flatten(F.filter(F.transform(array("request", "attachedFoldersListDirResults"), _of_folder), lambda x: x.isNotNull()))
-    of_requests = full.select("session", F.lit(1).alias("side"), "position", F.concat(F.transform(array("request", "terminalFiles"), _of_item), folders).alias("files"))
+    full = requests.select("session", "position", once(fields(F.col("request"), *lists), lambda r: F.struct(*(listed(r[k]).alias(k) for k in lists))).alias("r")).where(" or ".join(f"size(r.{k}) > 0" for k in lists))
+    folders = F.flatten(F.filter(F.transform("r.attachedFoldersListDirResults", _of_folder), lambda x: x.isNotNull()))
+    of_requests = full.select("session", F.lit(1).alias("side"), "position", F.concat(F.transform("r.terminalFiles", _of_item), folders).alias("files"))
     each = of_bubbles.unionByName(of_requests).select("session", "side", "position", F.posexplode("files").alias("at", "file")).where("file is not null")
     first = each.groupBy("session", "file").agg(F.min(F.struct("side", "position", "at")).alias("o"))
     files = windows.top_k(first, ["session"], ["o", "file"], limit).groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "file"))), lambda x: x["file"]).alias("context_files"))
-    counts = full.groupBy("session").agg(F.count("*").alias("request_contexts"), F.max(F.size(array("request", "cursorRules")) > 0).alias("has_rules"))
+    counts = full.groupBy("session").agg(F.count("*").alias("request_contexts"), F.max(F.size("r.cursorRules") > 0).alias("has_rules"))
     return files.join(counts, "session", "full_outer").select("session", "context_files", F.coalesce("request_contexts", F.lit(0)).alias("request_contexts"), F.coalesce("has_rules", F.lit(False)).alias("has_rules"))
 
 
