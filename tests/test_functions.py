@@ -261,3 +261,11 @@ def test_diff_and_json_columns(spark):
     r, empty = df.select(blocks.line_diff("old", "new").alias("d"), blocks.first_json("t").alias("j"), blocks.repaired_json("t").alias("r")).collect()
     assert [tuple(x) for x in r["d"]] == [("same", "a"), ("removed", "b"), ("added", "c"), ("added", "d")] and r["j"] is None and r["r"] == '{"k": [1]}'
     assert empty["d"] == [] and empty["j"] is None and empty["r"] is None
+
+
+def test_prompts_are_searched_once_for_each_pattern(spark, capsys):
+    df = spark.createDataFrame([("Ann [9:05 am]\nHello\n➜ git status\n do \t <b>this</b>  \n\n  now",)], "v string").select(text.clean_prompt(F.col("v")).alias("p"))
+    assert df.first()[0] == "do this now"
+    df.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("regexp_replace(") + plan.count("RLIKE") < 40

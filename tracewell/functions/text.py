@@ -40,8 +40,12 @@ def is_system_generated(text: Column) -> Column:
     return out
 
 
+#: What ``\s`` stands for in a pattern.
+BLANKS = " \t\n\x0b\f\r"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def once(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -49,31 +53,37 @@ def once(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def _replaced(text: Column, mark: str, pattern: str) -> Column:
+    """``text`` without what matches; texts that lack ``mark``, which every match holds, aren't searched."""
+    return once(text, lambda v: F.when(v.contains(mark), F.regexp_replace(v, pattern, "")).otherwise(v))
+
+
 def clean_prompt(text: Column) -> Column:
     """What a person asked, without pasted noise and tags, on one line; empty if nothing is left."""
-    whole = strip(F.coalesce(text, F.lit("")))
-    lines = F.split(whole, "\n")
-    speaker = F.element_at(lines, 1).rlike(r"^(?i)\S.*\[\d{1,2}:\d{2}\s?[ap]m\]$")
-    lines = F.when(speaker, F.slice(lines, 2, 1_000_000)).otherwise(lines)
-    greeting = speaker & strip(F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))).rlike(r"^(?i)(?:hello|hi)\b")
-    lines = F.when(greeting, F.slice(lines, 2, 1_000_000)).otherwise(lines)
-
-    def wanted(line: Column) -> Column:
-        bare, drop = strip(line), F.lit(False)
-        for p in TERMINAL_LINES:
-            drop = drop | bare.rlike(p)
-        return ~drop
-
-    out = strip(F.array_join(F.filter(F.split(strip(F.array_join(lines, "\n")), "\n"), wanted), "\n"))
-    attached = out.rlike(r"(?i)<attached_files>|<code_selection\b")
-    out = F.regexp_replace(out, r"(?i)</?[a-z][^>]*>", "")
-    out = F.regexp_replace(out, r"(?m)^\s*\d+\|\s*", "")
-    out = F.regexp_replace(out, r"Caveat:\s*The messages below were generated by the user while running local commands\.[^.]*", "")
-    out = F.regexp_replace(out, r"DO NOT respond to these messages[^.]*", "")
-    out = F.regexp_replace(out, r"^/\w+\s*", "")
-    out = strip(F.regexp_replace(out, r"\s+", " "))
-    short = whole.rlike(TERMINAL_NOISE) & out.rlike(r"^(?i)[a-z0-9._:-]{1,12}$")
-    return F.when(whole.rlike(SUMMARY) | attached | out.rlike(SUMMARY) | short, "").otherwise(out)
+    noise = "|".join(f"(?:{p})" for p in TERMINAL_LINES)
+    behind = lambda x: F.slice(x, 2, F.greatest(F.size(x), F.lit(1)))
+
+    def wanted(lines: Column) -> Column:
+        greeting = lambda x: strip(F.coalesce(F.try_element_at(x, F.lit(1)), F.lit(""))).rlike(r"^(?i)(?:hello|hi)\b")
+        said = once(behind(lines), lambda x: F.when(greeting(x), behind(x)).otherwise(x))
+        own = F.when(F.element_at(lines, 1).rlike(r"^(?i)\S.*\[\d{1,2}:\d{2}\s?[ap]m\]$"), said).otherwise(lines)
+        return strip(F.array_join(F.filter(own, lambda x: ~strip(x).rlike(noise)), "\n"))
+
+    def bare(out: Column) -> Column:
+        out = _replaced(out, "<", r"(?i)</?[a-z][^>]*>")
+        out = _replaced(out, "|", r"(?m)^\s*\d+\|\s*")
+        out = _replaced(out, "Caveat:", r"Caveat:\s*The messages below were generated by the user while running local commands\.[^.]*")
+        out = _replaced(out, "DO NOT", r"DO NOT respond to these messages[^.]*")
+        out = _replaced(out, "/", r"^/\w+\s*")
+        return strip(F.regexp_replace(out, r" \s+|[^\S ]\s*", " "))  # single blanks stay
+
+    def cleaned(whole: Column, kept: Column, out: Column) -> Column:
+        attached = kept.contains("<") & kept.rlike(r"(?i)<attached_files>|<code_selection\b")
+        short = out.rlike(r"^(?i)[a-z0-9._:-]{1,12}$") & whole.rlike(TERMINAL_NOISE)
+        return F.when(attached | whole.rlike(SUMMARY) | out.rlike(SUMMARY) | short, "").otherwise(out)
+
+    of = lambda whole: once(once(F.split(whole, "\n"), wanted), lambda kept: once(bare(kept), lambda out: cleaned(whole, kept, out)))
+    return once(strip(F.coalesce(text, F.lit(""))), of)
 
 
 def normal_title(text: Column) -> Column:
