@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import text as tx
 from tracewell.llm.jaccard import group_starts, whole_groups
-from tracewell.llm.store import buckets_for, written
+from tracewell.llm.store import buckets_for, delete_written, written
 
 WINDOW = 100
 LEADING = 20
@@ -292,15 +292,17 @@ def covered_ranges(docs: DataFrame, window: int = WINDOW, leading: int = LEADING
     """(doc, start, end) of bytes that a window which occurs earlier covers; ``docs`` has (doc, text), a text for each doc."""
     rows = written(anchor_rows(docs, window, leading), "suffix-anchors")
     places = written(repeated(rows), "suffix-places")
+    whole = written(rows.where("lead is null").select("doc", F.col("place").alias("start"), "end"), "suffix-whole")
+    delete_written(docs.sparkSession, rows)  # hashes that no later step reads
     blocks_ = F.sequence(F.lit(0).cast("long"), F.expr(f"greatest(octet_length(text) - 1, 0) div {BLOCK}"))
     cut = docs.select("doc", F.col("text").cast("binary").alias("text"), F.explode(blocks_).alias("block"))
     texts = cut.select("doc", "block", F.expr(f"substring(text, cast(block * {BLOCK} + 1 as int), {BLOCK + OVERHANG})").alias("text")).join(places, ["doc", "block"])
     many = places.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
     found = written(compared(suffixes(texts, window), buckets_for(many, RANGE_ROWS), window), "suffix-compared")
+    delete_written(docs.sparkSession, places)
     edge = found.where("bytes is not null")
     firsts = edge.groupBy("bytes").agg(F.min(F.struct("doc", "start")).alias("first"))
     late = edge.join(firsts, "bytes").where("doc <> first.doc or start <> first.start").select("doc", "start", "end")
-    whole = rows.where("lead is null").select("doc", F.col("place").alias("start"), "end")
     return whole.union(found.where("bytes is null").select("doc", "start", "end")).union(late)
 
 
