@@ -238,7 +238,8 @@ def _of_item(item: Column) -> Column:
     """The file of a list's element, a text or an object."""
     likely = lambda name: F.when(name.contains("/") | name.contains(".") | name.startswith("~"), name)
     named = once(fields(item, *_PATHS, "name"), lambda p: F.coalesce(_named(p, *_PATHS), once(_named(p, "name"), likely)))
-    return F.when(_is_object(item), named).otherwise(_path(item))
+    plain = F.when(F.try_parse_json(item).isNull(), _path(item))  # braces that are no JSON
+    return F.when(F.ltrim(item).startswith("{"), F.coalesce(named, plain)).otherwise(_path(item))
 
 
 def _of_folder(folder: Column) -> Column:
