@@ -80,10 +80,25 @@ def branches(rows: DataFrame) -> DataFrame:
     return of.join(links, ["project", "branch"], "left").withColumn("pull_requests", F.coalesce("pull_requests", F.lit(0)))
 
 
-def hot_files(rows: DataFrame, limit: int = 20) -> DataFrame:
-    """(project, file, edits, sessions, rn): most edited first."""
-    each = rows.select("project", "session", F.explode("files_modified").alias("f")).groupBy("project", F.col("f.file").alias("file"))
-    return windows.top_k(each.agg(F.sum("f.count").alias("edits"), F.count_distinct("session").alias("sessions")), ["project"], [F.desc("edits"), "file"], limit)
+#: Tasks that get the sessions of one file, or the files of one project, at most.
+SHARES = 16
+
+
+def hot_files(rows: DataFrame, limit: int = 20, parts: int | None = None) -> DataFrame:
+    """(project, file, edits, sessions, rn): most edited first.
+
+    With ``parts``, entries are dealt to that many tasks, so that a task's memory doesn't grow with the rows. Then a file's sessions are
+    first counted in shares, and a project's files first ranked in shares: neither fills one task.
+    """
+    each = rows.select("project", "session", F.explode("files_modified").alias("f")).select("project", "session", "f.file", "f.count")
+    edits, order = F.sum("count").alias("edits"), [F.desc("edits"), "file"]
+    if parts is None:
+        return windows.top_k(each.groupBy("project", "file").agg(edits, F.count_distinct("session").alias("sessions")), ["project"], order, limit)
+    share = lambda c: F.pmod(F.xxhash64(c), F.lit(SHARES))
+    counted = each.withColumn("share", share("session")).repartition(parts, "project", "file", "share").groupBy("project", "file", "share").agg(edits, F.count_distinct("session").alias("sessions"))
+    whole = counted.withColumn("share", share("file")).repartition(parts, "project", "share").groupBy("project", "share", "file").agg(F.sum("edits").alias("edits"), F.sum("sessions").alias("sessions"))
+    some = windows.top_k(whole, ["project", "share"], order, limit).drop("share", "rn")
+    return windows.top_k(some.repartition(parts, "project"), ["project"], order, limit)
 
 
 def per_day(rows: DataFrame) -> DataFrame:
