@@ -14,10 +14,15 @@ def millis(ts: str) -> Column:
     return F.unix_millis(F.col(ts).cast("timestamp"))
 
 
+def capped_gap(key: str, ts: str, max_gap_ms: int = MAX_GAP_MS) -> Column:
+    """Milliseconds since the time before of the same key, capped; null at the first time and where there is none."""
+    gap = millis(ts) - F.lag(millis(ts)).over(W.partitionBy(key).orderBy(ts))
+    return F.when(gap.isNotNull(), F.least(gap, F.lit(max_gap_ms)))  # least() would skip the first row's null
+
+
 def active_duration(df: DataFrame, key: str, ts: str, max_gap_ms: int = MAX_GAP_MS) -> DataFrame:
     """(key, active_ms): gaps between successive times, each capped; null with fewer than two times or no gap."""
-    gap = millis(ts) - F.lag(millis(ts)).over(W.partitionBy(key).orderBy(ts))
-    gaps = df.where(F.col(ts).isNotNull()).select(key, gap.alias("gap")).withColumn("gap", F.when(F.col("gap").isNotNull(), F.least("gap", F.lit(max_gap_ms))))  # least() would skip the first row's null
+    gaps = df.where(F.col(ts).isNotNull()).select(key, capped_gap(key, ts, max_gap_ms).alias("gap"))
     return gaps.groupBy(key).agg(F.nullif(F.sum("gap"), F.lit(0)).alias("active_ms"))
 
 

@@ -76,7 +76,8 @@ def transcript_lines(t):
     call = F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("id"), F.when(odd, "StrReplace").otherwise("Shell").alias("name"), F.struct(F.when(odd, F.concat(F.lit("/p/f"), (F.col("turn") % 3).cast("string"))).alias("path"), F.when(~odd, "make test").alias("command")).alias("input"))
     content = F.when(F.col("role") == "user", F.to_variant_object(F.array(F.to_variant_object(said)))).otherwise(F.to_variant_object(F.array(F.to_variant_object(said), F.to_variant_object(call))))
     raw = F.to_json(F.struct("role", _ts().alias("timestamp"), F.struct(content.alias("content")).alias("message")))
-    return t("conversations").where("role <> 'system'").select(F.format_string("/t/c%d.jsonl", "conv_id").alias("path"), F.col("turn").alias("line"), raw.alias("raw"), F.lit(0).alias("modified"))
+    some = t("conversations").where("role <> 'system'").repartition("conv_id", "turn")  # a packed file is few splits, and lines take far longer to parse than to read
+    return some.select(F.format_string("/t/c%d.jsonl", "conv_id").alias("path"), F.col("turn").alias("line"), raw.alias("raw"), F.lit(0).alias("modified"))
 
 
 @query(f"""

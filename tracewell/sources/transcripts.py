@@ -116,7 +116,8 @@ def parsed(lines: DataFrame) -> DataFrame:
 
     ``ord`` sorts by the files' times, then by lines.
     """
-    each = lines.where(F.try_parse_json("raw").isNotNull()).withColumn("e", F.from_json("raw", LINE)).where("e.message.content is not null")
+    whole = F.array(F.when(F.try_parse_json("raw").isNotNull(), F.from_json("raw", LINE)))
+    each = lines.select("modified", "path", "line", F.explode(F.filter(whole, lambda e: e["message"]["content"].isNotNull())).alias("e"))  # a filter of rows would parse once more
     return each.select(F.regexp_extract("path", _STEM, 1).alias("session"), F.struct("modified", "path", "line").alias("ord"), F.col("e.role").alias("role"), F.nullif(F.col("e.timestamp"), F.lit("")).alias("ts"), F.col("e.message.content").alias("blocks"))
 
 
@@ -160,35 +161,43 @@ def outputs(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("session", "id", "modified", output_tool(F.col("result")).alias("tool"), "result")
 
 
-def results(rows: DataFrame) -> DataFrame:
-    """(session, tool_id, result, is_error): the last result of each tool call."""
-    each = rows.select("session", "ord", F.posexplode("blocks").alias("at", "b")).where("b.type = 'tool_result' and b.tool_use_id is not null and b.tool_use_id <> ''")
-    said = each.select("session", F.col("b.tool_use_id").alias("tool_id"), F.struct("ord", "at").alias("o"), F.coalesce(logs.block_text(F.col("b.content")), F.lit("")).alias("result"), F.coalesce("b.is_error", F.lit(False)).alias("is_error"))
-    last = joins.last_per_key(said.select("session", "tool_id", "o", "result"), ["session", "tool_id"], ["o"]).drop("o")
-    return last.join(said.groupBy("session", "tool_id").agg(F.max("is_error").alias("is_error")), ["session", "tool_id"])  # an error stays one
-
-
 def turns(rows: DataFrame) -> DataFrame:
     """(session, position, role, ts, kind, text, tool_id, tool, args, result, is_error): blocks in order, each user line as one text.
 
     Texts of the system, image blocks and plans go. A line in bold at the end of an assistant's text is a call that waits for its output, of kind ``marker``.
+    A call has its last result, and an error stays one. Lines are read in one pass and shuffled once.
     """
-    uses = F.exists("blocks", lambda b: b["type"] == "tool_use").alias("uses")
-    each = rows.select("session", "ord", "role", "ts", uses, F.posexplode("blocks").alias("at", "b"))
-    text = composer.without_images(unwrapped(F.col("b.text")))
-    users = each.where("role = 'user' and b.type = 'text'").where(~is_system_context(unwrapped(F.col("b.text"))) & (text != ""))
-    said = users.groupBy("session", "ord", "role", "ts").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", text.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
     none = F.lit(None).cast("string")
-    said = said.select("session", "ord", F.lit(0).alias("at"), F.lit(0).alias("part"), "role", "ts", F.lit("text").alias("kind"), "text", none.alias("tool_id"), none.alias("tool"), none.alias("args"))
-    other = each.where("role = 'assistant'").withColumn("said", F.when(F.col("b.type") == "text", composer.assistant_text(unwrapped(F.col("b.text")), F.col("uses")))).withColumn("m", marker(F.col("said")))
-    plain = F.when(F.col("m").isNotNull(), F.col("m.body")).otherwise(F.nullif("said", F.lit("")))
-    texts = other.where("b.type = 'text'").select("session", "ord", "at", F.lit(0).alias("part"), "role", "ts", F.lit("text").alias("kind"), plain.alias("text"), none.alias("tool_id"), none.alias("tool"), none.alias("args")).where("text is not null")
-    marks = other.where("m is not null").select("session", "ord", "at", F.lit(1).alias("part"), "role", "ts", F.lit("marker").alias("kind"), none.alias("text"), none.alias("tool_id"), F.col("m.name").alias("tool"), none.alias("args"))
+    is_user, is_assistant = F.col("role") == "user", F.col("role") == "assistant"
+
+    def shown(b: Column) -> Column:
+        return text_.once(unwrapped(b["text"]), lambda t: F.when(~is_system_context(t), F.nullif(composer.without_images(t), F.lit(""))))
+
+    texts = F.filter("blocks", lambda b: b["type"] == "text")
+    said = F.nullif(F.array_join(F.transform(texts, shown), "\n"), F.lit(""))
+    kept = F.when(is_user, F.concat(F.transform(F.slice(texts, 1, 1), lambda b: b.withField("text", said)), F.filter("blocks", lambda b: b["type"] == "tool_result"))).otherwise(F.col("blocks"))
+    uses = F.exists("blocks", lambda b: b["type"] == "tool_use").alias("uses")
+    each = rows.select("session", "ord", "role", "ts", uses, F.posexplode(kept).alias("at", "b"))
+    is_text, is_call = F.col("b.type") == "text", is_assistant & (F.col("b.type") == "tool_use")
+    is_result = (F.col("b.type") == "tool_result") & F.col("b.tool_use_id").isNotNull() & (F.col("b.tool_use_id") != "")
+    each = each.withColumn("said", F.when(is_assistant & is_text, composer.assistant_text(unwrapped(F.col("b.text")), F.col("uses")))).withColumn("m", marker(F.col("said")))
+    plain = F.when(is_user & is_text, F.col("b.text")).when(F.col("m").isNotNull(), F.col("m.body")).otherwise(F.nullif("said", F.lit("")))
     name = F.coalesce(F.nullif(F.trim("b.name"), F.lit("")), F.lit("Tool"))
-    calls = other.where("b.type = 'tool_use'").select("session", "ord", "at", F.lit(0).alias("part"), "role", "ts", F.lit("tool").alias("kind"), none.alias("text"), F.nullif(F.trim("b.id"), F.lit("")).alias("tool_id"), name.alias("tool"), F.coalesce("b.input", F.lit("{}")).alias("args"))
-    every = said.unionByName(texts).unionByName(marks).unionByName(calls).join(results(rows), ["session", "tool_id"], "left")
-    position = F.row_number().over(W.partitionBy("session").orderBy("ord", "at", "part")) - 1
-    return every.select("session", position.alias("position"), "role", "ts", "kind", "text", "tool_id", "tool", "args", "result", F.coalesce("is_error", F.lit(False)).alias("is_error"))
+
+    def part(of: Column, kind: str, text: Column = none, tool_id: Column = none, tool: Column = none, args: Column = none, failed: Column = F.lit(None).cast("boolean")) -> Column:
+        return F.when(of, F.struct(F.lit(kind).alias("kind"), text.alias("text"), tool_id.alias("tool_id"), tool.alias("tool"), args.alias("args"), failed.alias("failed")))
+
+    parts = F.array_compact(F.array(
+        part(plain.isNotNull(), "text", plain), part(F.col("m").isNotNull(), "marker", tool=F.col("m.name")),
+        part(is_call, "tool", tool_id=F.nullif(F.trim("b.id"), F.lit("")), tool=name, args=F.coalesce("b.input", F.lit("{}"))),
+        part(is_result, "result", F.coalesce(logs.block_text(F.col("b.content")), F.lit("")), F.col("b.tool_use_id"), failed=F.coalesce("b.is_error", F.lit(False))),
+    ))
+    every = each.select("session", "ord", "at", "role", "ts", F.posexplode(parts).alias("part", "p")).select("session", "ord", "at", "part", "role", "ts", "p.*")
+    is_turn = F.col("kind") != "result"
+    every = every.withColumn("position", (windows.turn_id(is_turn, ["session"], ["ord", "at", "part"]) - 1).cast("int"))
+    of_call = W.partitionBy("session", "tool_id")
+    every = every.withColumn("result", F.max_by(F.when(~is_turn, F.col("text")), F.when(~is_turn, F.struct("ord", "at"))).over(of_call)).withColumn("is_error", F.coalesce(F.max("failed").over(of_call), F.lit(False)))
+    return every.where(is_turn).select("session", "position", "role", "ts", "kind", "text", "tool_id", "tool", "args", "result", "is_error")
 
 
 def with_outputs(rows: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -294,16 +303,25 @@ def session_rows(turns: DataFrame, home: str = "", info: DataFrame | None = None
     if "images" in turns.columns:
         prompt = prompt | (F.col("role") == "user") & (F.size("images") > 0)
     prompt = F.coalesce(prompt, F.lit(False))
-    rows = rows.withColumn("file", short).withColumn("server", F.when(tool, text_.mcp_server(F.col("tool"))))
-    flat = rows.groupBy("session").agg(
-        F.min_by(F.substring("text", 1, 200), F.when(prompt, F.col("position"))).alias("first_prompt"), F.min("ts").alias("start_time"), F.max("ts").alias("end_time"), F.count_if(prompt).alias("prompt_count"), F.count_if(tool).alias("tool_call_count"), F.count("file").alias("edit_count"),
-        F.count_if(tool & (canonical == "Agent") & F.get_json_object("args", "$.subagent_type").isNotNull()).alias("sub_agent_count"), F.array_sort(F.collect_set("server")).alias("mcp_servers_used"),
+    rows = rows.withColumn("file", short).withColumn("server", F.when(tool, text_.mcp_server(F.col("tool")))).withColumn("t", F.try_to_timestamp("ts"))
+    rows = rows.withColumn("prompt_at", F.when(prompt, F.col("position"))).withColumn("gap", windows.capped_gap("session", "t"))
+    # a row for each file and one for turns without a file, then for each session: all within the one shuffle by session
+    counts = {
+        "prompt_count": F.count("prompt_at"), "tool_call_count": F.count_if(tool), "edit_count": F.count("file"),
+        "sub_agent_count": F.count_if(tool & (canonical == "Agent") & F.get_json_object("args", "$.subagent_type").isNotNull()), "duration_ms": F.sum("gap"),
+    }
+    per_file = rows.groupBy("session", "file").agg(
+        F.min_by(F.substring("text", 1, 200), "prompt_at").alias("first_prompt"), F.min("prompt_at").alias("prompt_at"), F.min("ts").alias("start_time"), F.max("ts").alias("end_time"),
+        *(c.alias(n) for n, c in counts.items()), F.collect_set("server").alias("servers"), F.min("position").alias("first"),
+    )
+    place = F.row_number().over(W.partitionBy("session").orderBy(F.col("file").isNull(), F.desc("edit_count"), "first"))
+    listed = F.when(F.col("file").isNotNull() & (F.col("rn") <= sessions.FILES_PER_SESSION), F.struct("rn", "file", F.col("edit_count").alias("edits")))
+    out = per_file.withColumn("rn", place).groupBy("session").agg(
+        F.min_by("first_prompt", "prompt_at").alias("first_prompt"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), *(F.sum(n).alias(n) for n in counts),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("servers")))).alias("mcp_servers_used"), F.array_sort(F.collect_list(listed)).alias("files_modified"),
     )
-    per_file = rows.where("file is not null").groupBy("session", "file").agg(F.count("*").alias("edits"), F.min("position").alias("first"))
-    top = windows.top_k(per_file, ["session"], [F.desc("edits"), "first"], sessions.FILES_PER_SESSION)
-    listed = top.groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "file", "edits"))), lambda x: F.struct(x["file"].alias("file"), x["edits"].alias("count"))).alias("files_modified"))
-    active = windows.active_duration(rows.select("session", F.try_to_timestamp("ts").alias("t")), "session", "t").withColumnRenamed("active_ms", "duration_ms")
-    out = flat.join(listed, "session", "left").join(active, "session", "left")
+    files = F.transform("files_modified", lambda x: F.struct(x["file"].alias("file"), x["edits"].alias("count")))
+    out = out.withColumn("files_modified", F.when(F.size("files_modified") > 0, files)).withColumn("duration_ms", F.nullif("duration_ms", F.lit(0)))
     none = lambda kind: F.lit(None).cast(kind)
     kinds = {"title": "string", "git_branch": "string", "git_branches": "array<string>", "pr_links": "array<struct<pr_number:bigint,pr_url:string,pr_repository:string>>", "model": "string", "turn_count": "bigint", "data_source": "string", "source_notes": "array<string>"}
     zeros = ("api_error_count", "compaction_count")
